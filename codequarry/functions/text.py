@@ -29,7 +29,7 @@ def strip_ws(col) -> Column:
 
 def escape_regex(col) -> Column:
     """Backslash-escape the 14 regex metacharacters ``\\ . + * ? ^ $ ( ) [ ] { } |``."""
-    return F.regexp_replace(_c(col), r"([\\.+*?^$()\[\]{}|])", r"\\\\$1")
+    return F.regexp_replace(_c(col), r"([\\.+*?^$()\[\]{}|])", r"\\$1")
 
 
 def docstring_pattern(doc) -> Column:
@@ -91,8 +91,11 @@ def entry_point_name(intent, first_nwords: int = catalog.ENTRY_FIRST_NWORDS,
     """
     stop = stop_words if stop_words is not None else catalog.ENTRY_STOP_WORDS
     delims = delimiters if delimiters is not None else catalog.ENTRY_DELIMITERS
-    words = F.slice(F.transform(F.filter(F.split(_c(intent), "(?U)\\s+"), lambda w: w != ""),
-                                lambda w: F.lower(w)), 1, first_nwords)
+    # split(limit=n+1) after a left trim yields exactly the first n words of
+    # a full split (the last piece holds the unsplit rest and is dropped).
+    lead = F.regexp_replace(_c(intent), "^(?U)\\s+", "")
+    first = F.slice(F.split(lead, "(?U)\\s+", first_nwords + 1), 1, first_nwords)
+    words = F.transform(F.filter(first, lambda w: w != ""), lambda w: F.lower(w))
 
     def cut(arr: Column, pred) -> Column:
         pos = F.array_position(F.transform(arr, pred), True)

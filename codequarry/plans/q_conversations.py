@@ -1,3 +1,99 @@
-"""Queries (registered on import)."""
+"""Transcript queries: Q/A pairing, running context, chat rendering, batching."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import hashing as H
+from ..operators import batches as B
+from ..operators import conversation as C
+from ..sources.tables import table
+from . import sqlbits as Q
+from .registry import query
+
+BATCH_SIZE = 8
+BATCH_BUCKETS = 16
+EXAMPLES_PER_BATCH = 2
+
+
+@query("qa_pairs", headline=True, sql=Q.qa_pairs())
+def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.qa_pairs(table(spark, sf_dir, "conversations"))
+
+
+@query("running_context", sql="""
+    SELECT conv_id, turn, role, turn::BIGINT AS n_prev_turns,
+           coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prev_chars
+    FROM conversations""")
+def running_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.running_context(table(spark, sf_dir, "conversations"))
+
+
+@query("render_chat", sql="""
+    SELECT c.conv_id, c.turn, c.role,
+           '<|' || c.role || '|>' || chr(10) || c.text || chr(10)
+           || CASE WHEN c.turn = l.last_turn AND c.role = 'user' THEN '<|assistant|>' || chr(10) ELSE '' END AS segment,
+           c.turn = l.last_turn AS is_last
+    FROM conversations c JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) l
+      ON l.conv_id = c.conv_id""")
+def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.chat_segments(table(spark, sf_dir, "conversations"))
+
+
+@query("batch_assign", sql=f"""
+    SELECT conv_id, turn, bucket,
+           ((row_number() OVER (PARTITION BY bucket ORDER BY conv_id, turn) - 1) // {BATCH_SIZE})::BIGINT AS batch_no
+    FROM (SELECT conv_id, turn,
+                 {Q.bucket("CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)", BATCH_BUCKETS)} AS bucket
+          FROM conversations) c""")
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE, BATCH_BUCKETS)
+
+
+@query("split_batch", sql=f"""
+    SELECT c.conv_id, c.turn, (c.turn // n.per)::BIGINT AS example_no, (c.turn % n.per)::BIGINT AS sample_no, c.text
+    FROM conversations c JOIN (SELECT conv_id, count(*) // {EXAMPLES_PER_BATCH} AS per FROM conversations GROUP BY conv_id) n
+      ON n.conv_id = c.conv_id
+    WHERE n.per > 0 AND c.turn < n.per * {EXAMPLES_PER_BATCH}""")
+def split_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one flat model output of 2 examples x n samples."""
+    flat = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"), "text")
+    out = B.split_flat(flat, EXAMPLES_PER_BATCH)
+    return out.select(F.col("batch_id").alias("conv_id"), F.col("pos").alias("turn"),
+                      "example_no", "sample_no", "text")
+
+
+@query("merge_batch", sql="""
+    SELECT conv_id, count(*)::BIGINT AS n_texts,
+           string_agg(text, chr(10) ORDER BY turn) AS merged
+    FROM conversations GROUP BY conv_id""")
+def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-example outputs (one per turn) merged back into one batch list."""
+    parts = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("batch_id"), F.col("turn").alias("example_no"),
+        F.array("text").alias("texts"))
+    merged = B.merge_outputs(parts)
+    return merged.select(F.col("batch_id").alias("conv_id"), F.size("texts").cast("bigint").alias("n_texts"),
+                         F.array_join("texts", "\n").alias("merged"))
+
+
+@query("completions_align", sql="""
+    SELECT c.conv_id, (c.turn // 2)::BIGINT AS prompt_no, (c.turn % 2)::BIGINT AS sample_no,
+           p.text AS prompt, c.text AS completion
+    FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = (c.turn // 2) * 2""")
+def completions_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat example-major completions (2 per prompt) aligned to their prompt by key."""
+    msgs = table(spark, sf_dir, "conversations")
+    flat = msgs.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"),
+                       F.col("text").alias("completion"))
+    aligned = B.align_completions(flat, 2)
+    prompts = msgs.select(F.col("conv_id").alias("batch_id"), (F.floor(F.col("turn") / 2)).alias("prompt_no"),
+                          F.col("text").alias("prompt"), (F.col("turn") % 2 == 0).alias("_is_prompt"))
+    prompts = prompts.filter("_is_prompt").drop("_is_prompt")
+    return (aligned.join(prompts, ["batch_id", "prompt_no"])
+                   .select(F.col("batch_id").alias("conv_id"), F.col("prompt_no").cast("bigint").alias("prompt_no"),
+                           F.col("sample_no").cast("bigint").alias("sample_no"), "prompt", "completion"))

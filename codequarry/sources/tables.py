@@ -47,7 +47,7 @@ def synth_code(docs: DataFrame) -> DataFrame:
 SQL_SYNTH_CODE = r"""
 (SELECT doc_id AS code_id,
         'def f_' || CAST(doc_id AS VARCHAR) || '(' || w1 || ', ' || w2 || '):' || chr(10)
-        || '    """' || doc || '"""' || chr(10)
+        || '    ' || repeat(chr(34), 3) || doc || repeat(chr(34), 3) || chr(10)
         || '    ' || w3 || ' = len(' || w1 || ') + ' || w2 || '  # total' || chr(10)
         || '    return ' || w3 || chr(10) AS code,
         doc AS docstring
