@@ -97,20 +97,22 @@ def entry_point_name(intent, first_nwords: int = catalog.ENTRY_FIRST_NWORDS,
     first = F.slice(F.split(lead, "(?U)\\s+", first_nwords + 1), 1, first_nwords)
     words = F.transform(F.filter(first, lambda w: w != ""), lambda w: F.lower(w))
 
-    def cut(arr: Column, pred) -> Column:
-        pos = F.array_position(F.transform(arr, pred), True)
-        return F.when(pos == 0, arr).otherwise(F.slice(arr, 1, (pos - 1).cast("int")))
-
-    w1 = cut(words, lambda w: w.rlike(_NUMERIC))
+    # The three cuts are prefix cuts on the same indices, so they compose to
+    # one cut at the first word meeting any of them (one pass, no nesting).
     stop_arr = F.array(*[F.lit(s) for s in stop])
-    w2 = cut(w1, lambda w, i: (i > 1) & F.array_contains(stop_arr, w))
-    w3 = cut(w2, lambda w: F.reduce(F.array(*[w.startswith(d) for d in delims]), F.lit(False),
-                                    lambda a, b: a | b))
-    w4 = F.filter(F.transform(w3, lambda w: F.translate(w, _PUNCT, "")), lambda w: w != "")
-    w5 = F.when(F.size(w4) < 2, F.concat(F.array(F.lit("f")), w4)).otherwise(w4)
-    first = F.element_at(w5, 1)
-    first = F.when(first.startswith("¿"), F.substring(first, 2, 1 << 30)).otherwise(first)
-    w6 = F.concat(F.array(first), F.slice(w5, 2, 1 << 30))
+
+    def cuts_here(w: Column, i: Column) -> Column:
+        delim = F.lit(False)
+        for d in delims:
+            delim = delim | w.startswith(d)
+        return w.rlike(_NUMERIC) | ((i > 1) & F.array_contains(stop_arr, w)) | delim
+
+    pos = F.array_position(F.transform(words, cuts_here), True)
+    kept = F.slice(words, 1, F.when(pos == 0, F.size(words)).otherwise(pos - 1).cast("int"))
+    w4 = F.filter(F.transform(kept, lambda w: F.translate(w, _PUNCT, "")), lambda w: w != "")
+    w5 = F.concat(F.when(F.size(w4) < 2, F.array(F.lit("f"))).otherwise(F.array().cast("array<string>")), w4)
+    w6 = F.transform(w5, lambda w, i: F.when((i == 0) & w.startswith("¿"), F.substring(w, 2, 1 << 30))
+                     .otherwise(w))
     return F.array_join(w6, "_")
 
 

@@ -18,12 +18,32 @@ def array_sum(arr) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0).cast("double"), lambda a, x: a + x)
 
 
+def with_scalar(arr, scalar, fn) -> Column:
+    """transform(arr, x -> fn(x, scalar)) with ``scalar`` evaluated once.
+
+    An outer expression referenced inside a lambda is re-evaluated for every
+    element (no hoisting), which turns an O(n) array pass into O(n^2) or
+    worse.  Zipping the array with one evaluated copy per element keeps it
+    linear.
+    """
+    a = _c(arr)
+    z = F.arrays_zip(a.alias("x"), F.array_repeat(scalar, F.size(a)).alias("c"))
+    return F.transform(z, lambda t: fn(t["x"], t["c"]))
+
+
+def fold_with_scalar(arr, scalar, zero, fn) -> Column:
+    """aggregate(arr, zero, (acc, x) -> fn(acc, x, scalar)), scalar evaluated once."""
+    a = _c(arr)
+    z = F.arrays_zip(a.alias("x"), F.array_repeat(scalar, F.size(a)).alias("c"))
+    return F.aggregate(z, zero, lambda acc, t: fn(acc, t["x"], t["c"]))
+
+
 def log_softmax(arr) -> Column:
     """x - max - ln(sum(exp(x - max))) element-wise, in double."""
     a = F.transform(_c(arr), lambda x: x.cast("double"))
     m = F.array_max(a)
-    lse = m + F.log(F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m)))
-    return F.transform(a, lambda x: x - lse)
+    s = fold_with_scalar(a, m, F.lit(0.0).cast("double"), lambda acc, x, mx: acc + F.exp(x - mx))
+    return with_scalar(a, m + F.log(s), lambda x, lse: x - lse)
 
 
 def top_k(arr, k: int) -> Column:
