@@ -1,3 +1,183 @@
-"""Queries (registered on import)."""
+"""Model-call queries: batched inference, Q/A generation, memoised and
+chained rewrites, resume and replay.  The shipped completers are
+deterministic stubs (md5 of the prompt; echo of the code), so each job has an
+exact SQL twin."""
 
 from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import prompts as P
+from ..operators import conversation as C
+from ..operators import fanout as FO
+from ..operators import generate as G
+from ..operators import infer as I
+from ..sources.tables import corpus, sql_synth_code, synth_code, table
+from . import catalog
+from . import sqlbits as Q
+from .registry import query
+
+N_SAMPLES = catalog.DEFAULT_N_SAMPLES
+
+
+def _sql_hash(prompt: str, i: int = 0) -> str:
+    return I.sql_hash_completion(prompt, i)
+
+
+# --- batched inference ------------------------------------------------------------
+
+_SQL_QO = P.sql_fill(catalog.QA_TEMPLATE_QUESTION_ONLY, question="question")
+
+
+@query("batch_infer", headline=True, sql=f"""
+    SELECT conv_id, turn, array_to_string([{', '.join(_sql_hash('p', i) for i in range(N_SAMPLES))}], ',') AS samples
+    FROM (SELECT conv_id, turn, {_SQL_QO} AS p FROM ({Q.qa_pairs()}) q) x""")
+def batch_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question-only prompts answered in batches of 8, five samples each."""
+    pairs = C.qa_pairs(table(spark, sf_dir, "conversations"))
+    prompts = pairs.select("conv_id", "turn", P.qa_prompt("", "question", "question_only").alias("prompt"))
+    out = I.batch_infer(prompts, "prompt", I.hash_completer, I.GenerationConfig(n=N_SAMPLES))
+    return out.select("conv_id", "turn", F.array_join("generated_answer", ",").alias("samples"))
+
+
+def _sql_generate() -> str:
+    nl = "chr(10)"
+    cats = ", ".join(f"({i}, {Q.lit(c)}, {'NULL' if p is None else Q.lit(p)}, {Q.lit(q)})"
+                     for i, (c, p, q) in enumerate(zip(catalog.CATEGORIES, catalog.PRE_PROMPTS,
+                                                       catalog.QUESTION_PROMPTS)))
+    u, a = f"'<|user|>' || {nl}", f"'<|assistant|>' || {nl}"
+    return f"""
+    WITH r AS (SELECT d.doc_id AS code_id, d.text AS code, c.category, c.pre_prompt, c.prompt
+               FROM documents d, (VALUES {cats}) AS c(category_no, category, pre_prompt, prompt)),
+    ra AS (SELECT *, CASE WHEN pre_prompt IS NOT NULL THEN {u} || pre_prompt || {nl} || {a} END AS pa FROM r),
+    rb AS (SELECT *, CASE WHEN pre_prompt IS NOT NULL
+                          THEN {u} || pre_prompt || {nl} || {a} || {_sql_hash('pa')} || {nl} ELSE '' END
+                     || {u} || concat_ws({nl} || {nl}, code, prompt) || {nl} AS body FROM ra),
+    rq AS (SELECT *, {_sql_hash(f"body || {a}")} AS question FROM rb)
+    SELECT code_id, category, question,
+           {_sql_hash(f"body || {a} || question || {nl} || {u} || {Q.lit(catalog.ANSWER_PROMPT)} || {nl} || {a}")} AS answer
+    FROM rq"""
+
+
+@query("generate_qa", sql=_sql_generate())
+def generate_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three chained completer stages per (code, category): context, question, answer."""
+    recs = FO.over_categories(corpus(spark, sf_dir))
+    out = G.generate_qa(recs, I.hash_completer)
+    return out.select("code_id", "category", "question", "answer")
+
+
+# --- primary rewrite with memo and chain -----------------------------------------------
+
+def _mark(instruction: str) -> str:
+    return hashlib.md5(instruction.encode()).hexdigest()[:6]
+
+
+def sql_echo_rewrite(code: str, instruction: str) -> str:
+    prompt = f"({code}) || chr(10) || chr(10) || {Q.lit(instruction)}"
+    part = f"regexp_extract({prompt}, '(?s)^(.*)\\n\\n', 1)"
+    text = (f"'Here is the code:' || chr(10) || {part} || chr(10) || '    pass  # {_mark(instruction)}'"
+            f" || chr(10) || 'The behaviour is unchanged.'")
+    return Q.keep_lines(text)
+
+
+def _sql_primary_codes(src: str) -> str:
+    """(code_id, code, refactor, dead_code, combined) for synthesised codes of ``src``."""
+    ref = sql_echo_rewrite("code", catalog.REFACTOR_PROMPT)
+    dead = sql_echo_rewrite("code", catalog.DEAD_CODE_PROMPT)
+    return f"""
+    SELECT *, {sql_echo_rewrite('refactor', catalog.DEAD_CODE_PROMPT)} AS combined
+    FROM (SELECT *, {ref} AS refactor, {dead} AS dead_code FROM {src} s0) s1"""
+
+
+def _sql_primary_long(src: str) -> str:
+    return f"""
+    SELECT code_id, 'Refactor' AS level, refactor AS obfuscated_code FROM ({_sql_primary_codes(src)}) a
+    UNION ALL SELECT code_id, 'Dead Code', dead_code FROM ({_sql_primary_codes(src)}) b
+    UNION ALL SELECT code_id, 'Refactor and Dead Code', combined FROM ({_sql_primary_codes(src)}) c"""
+
+
+def _doc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth_code(table(spark, sf_dir, "documents")).select("code_id", "code")
+
+
+def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.primary_rewrites(_doc_codes(spark, sf_dir), I.echo_code_completer)
+
+
+@query("memo_rewrite", sql=f"""
+    SELECT p.code_id, p.level AS primary_obfuscation, 9::BIGINT AS n_records, md5(p.obfuscated_code) AS code_md5
+    FROM ({_sql_primary_long(sql_synth_code())}) p""")
+def memo_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model call per distinct (code, level), shared by the code's nine records."""
+    recs = FO.over_categories(_doc_codes(spark, sf_dir).select("code_id"))
+    rewrites = _primary(spark, sf_dir)
+    uses = recs.groupBy("code_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"))
+    return rewrites.join(uses, "code_id").select(
+        "code_id", F.col("level").alias("primary_obfuscation"), "n_records",
+        F.md5("obfuscated_code").alias("code_md5"))
+
+
+@query("chained_rewrite", sql=f"""
+    SELECT code_id, md5(combined) AS code_md5, md5(refactor) AS first_stage_md5
+    FROM ({_sql_primary_codes(sql_synth_code())}) p""")
+def chained_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined level rewrites the cached first-stage (refactor) output."""
+    rw = _primary(spark, sf_dir)
+    first = rw.filter(F.col("level") == "Refactor").select("code_id", F.md5("obfuscated_code").alias("first_stage_md5"))
+    comb = rw.filter(F.col("level") == "Refactor and Dead Code").select(
+        "code_id", F.md5("obfuscated_code").alias("code_md5"))
+    return comb.join(first, "code_id")
+
+
+@query("primary_rewrite", sql=f"""
+    WITH s AS {sql_synth_code()},
+    p AS ({_sql_primary_long(sql_synth_code())}),
+    cats AS (SELECT unnest({Q.str_list(catalog.CATEGORIES)}) AS category),
+    lv AS (SELECT unnest({Q.str_list(catalog.PRIMARY_LEVELS)}) AS primary_obfuscation)
+    SELECT s.code_id, cats.category, lv.primary_obfuscation,
+           md5(CASE WHEN lv.primary_obfuscation = 'None' THEN s.code ELSE p.obfuscated_code END) AS code_md5
+    FROM s CROSS JOIN cats CROSS JOIN lv
+    LEFT JOIN p ON p.code_id = s.code_id AND p.level = lv.primary_obfuscation""")
+def primary_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records (code x category) x primary levels with their (memoised) code."""
+    codes = _doc_codes(spark, sf_dir)
+    recs = FO.over_categories(codes).select("code_id", "code", "category")
+    out = G.primary_records(recs, _primary(spark, sf_dir))
+    return out.select("code_id", "category", "primary_obfuscation", F.md5("obfuscated_code").alias("code_md5"))
+
+
+# --- resume and replay -----------------------------------------------------------------
+
+@query("resume_pending", sql="""
+    SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a written result: documents anti-join the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    done = table(spark, sf_dir, "labels").select("doc_id")
+    return I.pending(docs, done, ["doc_id"])
+
+
+@query("pending_rows", sql="""
+    SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL""")
+def pending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose output column is still NULL after attaching results."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    out = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return I.pending_rows(out, "quality").select("doc_id")
+
+
+@query("replay_outputs", sql=f"""
+    WITH rec AS (SELECT md5(question) AS k, min([answer]) AS texts FROM ({Q.qa_pairs()}) q GROUP BY md5(question))
+    SELECT c.conv_id, c.turn, rec.texts[1] AS replayed
+    FROM conversations c LEFT JOIN rec ON rec.k = md5(c.text) WHERE c.role = 'user'""")
+def replay_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded answers attached to user turns by prompt text, not by position."""
+    msgs = table(spark, sf_dir, "conversations")
+    recorded = C.qa_pairs(msgs).select(F.col("question").alias("prompt"), F.array("answer").alias("texts"))
+    users = msgs.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    out = I.replay(users, "text", recorded)
+    return out.select("conv_id", "turn", F.get(F.col("generated_answer"), 0).alias("replayed"))

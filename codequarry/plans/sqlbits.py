@@ -72,3 +72,9 @@ def greedy(src: str, keys: list[str], pred: str, ref: str, buckets: int = 500) -
 
 def f1(p: str = "precision", r: str = "recall") -> str:
     return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+
+
+def keep_lines(expr: str) -> str:
+    """SQL twin of ``keep_code_lines``."""
+    return (f"array_to_string(list_filter(string_split({expr}, chr(10)), lambda l: starts_with(l, chr(9))"
+            f" OR starts_with(l, ' ') OR starts_with(l, 'def ') OR starts_with(l, 'class ')), chr(10))")

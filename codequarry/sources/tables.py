@@ -24,37 +24,51 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.col("text").alias("code"))
 
 
-def synth_code(docs: DataFrame) -> DataFrame:
+def synth_code(docs: DataFrame, key: str = "doc_id", text: str = "text", name=None,
+               out_key: str = "code_id") -> DataFrame:
     """Python functions synthesised from prose: (code_id, code, docstring).
 
-    ``def f_<id>(<w1>, <w2>):`` with the first sentence as docstring, a
-    local built from a builtin call and a return.  Words are the first three
-    lower-case ASCII words, so some rows are keywords or repeat a name and do
+    ``def f_<id>(<w1>, <w2>):`` with the first sentence (one line) as
+    docstring, a local built from a builtin call and a return.  Words are
+    the first three lower-case ASCII words, so some rows use keywords and do
     not parse; the rewrite jobs' fallback handles them.
     """
-    words = T.word_tokens("text")
+    words = T.word_tokens(text)
     w1, w2, w3 = (F.coalesce(F.try_element_at(words, F.lit(i)), F.lit("x")) for i in (1, 2, 3))
-    doc = F.replace(T.first_sentence("text"), F.lit("\\"), F.lit(""))
-    doc = F.replace(doc, F.lit('"'), F.lit("'"))
+    doc = F.replace(T.first_sentence(text), F.lit("\\"), F.lit(""))
+    doc = F.replace(F.replace(doc, F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
+    ident = name if name is not None else F.col(key).cast("string")
     code = F.concat(
-        F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("("), w1, F.lit(", "), w2, F.lit("):\n"),
+        F.lit("def f_"), ident, F.lit("("), w1, F.lit(", "), w2, F.lit("):\n"),
         F.lit('    """'), doc, F.lit('"""\n'),
         F.lit("    "), w3, F.lit(" = len("), w1, F.lit(") + "), w2, F.lit("  # total\n"),
         F.lit("    return "), w3, F.lit("\n"))
-    return docs.select(F.col("doc_id").alias("code_id"), code.alias("code"), doc.alias("docstring"))
-
-
-SQL_SYNTH_CODE = r"""
-(SELECT doc_id AS code_id,
-        'def f_' || CAST(doc_id AS VARCHAR) || '(' || w1 || ', ' || w2 || '):' || chr(10)
-        || '    ' || repeat(chr(34), 3) || doc || repeat(chr(34), 3) || chr(10)
-        || '    ' || w3 || ' = len(' || w1 || ') + ' || w2 || '  # total' || chr(10)
-        || '    return ' || w3 || chr(10) AS code,
-        doc AS docstring
- FROM (SELECT doc_id,
-              coalesce(toks[1], 'x') AS w1, coalesce(toks[2], 'x') AS w2, coalesce(toks[3], 'x') AS w3,
-              replace(replace(CASE WHEN fs = '' THEN regexp_replace(text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') ELSE fs END, '\', ''), '"', '''') AS doc
-       FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks,
-                    regexp_extract(text, '(?s)^[ \t\n\r\f\x0B]*(.*?[.!?])(?:[ \t\n\r\f\x0B]|$)', 1) AS fs
-             FROM documents) s0) s1)
-"""
+    return docs.select(F.col(key).alias(out_key), code.alias("code"), doc.alias("docstring"),
+                       w1.alias("w1"), w2.alias("w2"), w3.alias("w3"))
+
+
+_WSC = "[ \\t\\n\\r\\f\\x0B]"
+
+
+def sql_synth_code(src: str = "documents", key: str = "doc_id", text: str = "text",
+                   name: str | None = None, out_key: str = "code_id", extra: str = "") -> str:
+    """SQL twin of :func:`synth_code` as a parenthesised subquery."""
+    ident = name or f"CAST({key} AS VARCHAR)"
+    q3 = "repeat(chr(34), 3)"
+    return (
+        f"(SELECT {out_key}, {extra}"
+        f" 'def f_' || ident || '(' || w1 || ', ' || w2 || '):' || chr(10)"
+        f" || '    ' || {q3} || doc || {q3} || chr(10)"
+        f" || '    ' || w3 || ' = len(' || w1 || ') + ' || w2 || '  # total' || chr(10)"
+        f" || '    return ' || w3 || chr(10) AS code, doc AS docstring, w1, w2, w3"
+        f" FROM (SELECT *, coalesce(toks[1], 'x') AS w1, coalesce(toks[2], 'x') AS w2,"
+        f" coalesce(toks[3], 'x') AS w3,"
+        f" replace(replace(replace(CASE WHEN fs = '' THEN regexp_replace({text}, '^{_WSC}+|{_WSC}+$', '', 'g')"
+        f" ELSE fs END, chr(92), ''), chr(34), chr(39)), chr(10), ' ') AS doc"
+        f" FROM (SELECT *, {key} AS {out_key}, {ident} AS ident,"
+        f" regexp_extract_all(lower({text}), '[a-z0-9]+') AS toks,"
+        f" regexp_extract({text}, '(?s)^{_WSC}*(.*?[.!?])(?:{_WSC}|$)', 1) AS fs"
+        f" FROM {src}) s0) s1)")
+
+
+SQL_SYNTH_CODE = sql_synth_code()
