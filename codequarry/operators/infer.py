@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..plans import catalog
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 
 
 @dataclass(frozen=True)
@@ -125,21 +125,29 @@ def _run_batches(factory: CompleterFactory, config: GenerationConfig, batch_size
 def complete_distinct(prompts: DataFrame, prompt_col: str, factory: CompleterFactory,
                       config: GenerationConfig = GenerationConfig(),
                       batch_size: int = catalog.DEFAULT_BATCH_SIZE,
-                      partitions: int | None = None, salt_col: str | None = None) -> DataFrame:
+                      partitions: int | None = None, salt_col: str | None = None,
+                      stable: bool = True) -> DataFrame:
     """(prompt_key, completions) for every distinct prompt text in ``prompts``.
 
     ``salt_col`` makes the key per (salt, prompt): rows that must each get
     their own sample (a sampling model) are not merged even when their
     prompt texts are equal.  ``partitions`` spreads the distinct prompts
     evenly over that many tasks (round robin) so that model time, not prompt
-    skew, sets the task size.
+    skew, sets the task size.  ``stable`` (default) checkpoints the
+    completions into the shared checkpoint folder: a sampling model is then
+    called exactly once per key even when the result feeds several branches
+    of the plan or a task is retried after an executor loss.
     """
     distinct = (prompts.select(prompt_key(prompt_col, salt_col).alias("prompt_key"),
                                F.col(prompt_col).alias("prompt"))
                        .dropDuplicates(["prompt_key"]))
     if partitions:
         distinct = distinct.repartition(partitions)
-    return distinct.mapInPandas(_run_batches(factory, config, batch_size), OUT_SCHEMA)
+    out = distinct.mapInPandas(_run_batches(factory, config, batch_size), OUT_SCHEMA)
+    if stable:
+        checkpoint_dir(out.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..plans import catalog
+from ..session import checkpoint_dir
 from . import fanout as FO
 
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -214,7 +215,7 @@ def substitute(text, mapping) -> Column:
 
 
 def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog.DEFAULT_SEED,
-                   consistent: bool = True) -> DataFrame:
+                   consistent: bool = True, extra: Sequence[str] = ("category",)) -> DataFrame:
     """variants (keys, original_code, obfuscated_code, primary_obfuscation,
     category, question, answer) x secondary levels -> secondary records with
     ``error`` (fallback taken) and renamed question/answer."""
@@ -224,6 +225,9 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
     codes = (v.select(F.col("obfuscated_code").alias("code"))
               .unionByName(v.select(F.col("original_code").alias("code"))))
     res = rewrite_distinct(codes, "code", seed, consistent)
+    # both join sides read the per-code results: parse each code once
+    checkpoint_dir(res.sparkSession)
+    res = res.checkpoint(eager=True)
     pairs = v.select("p_key", "o_key").dropDuplicates()
     pr = res.select(*[F.col(c).alias(f"p_{c}") for c in res.columns])
     orr = res.select(*[F.col(c).alias(f"o_{c}") for c in res.columns])
@@ -250,6 +254,6 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
     return out.select(
         *keys, "original_code", F.col("obfuscated_code").alias("primary_obfuscated_code"),
         F.coalesce(F.col("_code"), F.col("obfuscated_code")).alias("secondary_obfuscated_code"),
-        "primary_obfuscation", "secondary_obfuscation", "category",
+        "primary_obfuscation", "secondary_obfuscation", *extra,
         substitute("question", "_map").alias("question"), substitute("answer", "_map").alias("answer"),
         "error")

@@ -25,7 +25,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synth_code(docs: DataFrame, key: str = "doc_id", text: str = "text", name=None,
-               out_key: str = "code_id") -> DataFrame:
+               out_key: str = "code_id", keep: tuple = ()) -> DataFrame:
     """Python functions synthesised from prose: (code_id, code, docstring).
 
     ``def f_<id>(<w1>, <w2>):`` with the first sentence (one line) as
@@ -43,7 +43,7 @@ def synth_code(docs: DataFrame, key: str = "doc_id", text: str = "text", name=No
         F.lit('    """'), doc, F.lit('"""\n'),
         F.lit("    "), w3, F.lit(" = len("), w1, F.lit(") + "), w2, F.lit("  # total\n"),
         F.lit("    return "), w3, F.lit("\n"))
-    return docs.select(F.col(key).alias(out_key), code.alias("code"), doc.alias("docstring"),
+    return docs.select(*keep, F.col(key).alias(out_key), code.alias("code"), doc.alias("docstring"),
                        w1.alias("w1"), w2.alias("w2"), w3.alias("w3"))
 
 
