@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..plans import catalog
-from ..session import checkpoint_dir, scratch_path
+from ..session import checkpoint_dir, scratch_path, ship_package
 
 
 @dataclass(frozen=True)
@@ -138,6 +138,7 @@ def complete_distinct(prompts: DataFrame, prompt_col: str, factory: CompleterFac
     called exactly once per key even when the result feeds several branches
     of the plan or a task is retried after an executor loss.
     """
+    ship_package(prompts.sparkSession)
     distinct = (prompts.select(prompt_key(prompt_col, salt_col).alias("prompt_key"),
                                F.col(prompt_col).alias("prompt"))
                        .dropDuplicates(["prompt_key"]))

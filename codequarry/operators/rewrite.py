@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..plans import catalog
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 from . import fanout as FO
 
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -182,6 +182,7 @@ def _job(seed: int, consistent: bool):
 def rewrite_distinct(codes: DataFrame, code_col: str = "code", seed: int = catalog.DEFAULT_SEED,
                      consistent: bool = True) -> DataFrame:
     """Parse every distinct code once: (code_key, ok, undocumented, renamed, both, idents)."""
+    ship_package(codes.sparkSession)
     distinct = (codes.select(H.content_key(F.col(code_col)).alias("code_key"), F.col(code_col).alias("code"))
                      .dropDuplicates(["code_key"]))
     return distinct.mapInPandas(_job(seed, consistent), JOB_SCHEMA)

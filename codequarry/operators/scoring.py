@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..functions import hashing as H
 from ..functions import text as TX
 from ..functions import tokens as K
+from ..session import ship_package
 from . import util
 
 DEFAULT_VOCAB_BUCKETS = 500  # FIXED VALUE: token -> vector row = md5 bucket mod 500
@@ -103,6 +104,7 @@ def greedy_match(df: DataFrame, keys: Sequence[str], pred: str, ref: str, vector
     (levels, flags) to carry them through.
     """
     keys = list(keys)
+    ship_package(df.sparkSession)
     item = "struct<side:string,tok:string>"
     empty = F.array().cast(f"array<{item}>")
 
@@ -151,6 +153,7 @@ def encoder_udf(encode: Callable[[list[str]], list[list[list[float]]]]):
 
 def greedy_match_encoded(df: DataFrame, keys: Sequence[str], pred: str, ref: str, encode_udf) -> DataFrame:
     """Greedy match with a contextual encoder producing token vectors per text."""
+    ship_package(df.sparkSession)
     pv = F.transform(encode_udf(F.col(pred)), K.unit_vector)
     rv = F.transform(encode_udf(F.col(ref)), K.unit_vector)
     staged = df.select(*keys, pv.alias("pv"), rv.alias("rv"))
