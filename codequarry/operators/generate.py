@@ -23,13 +23,6 @@ from ..plans import catalog
 from . import fanout as FO
 from . import infer as I
 
-MSG = "array<struct<role:string,content:string>>"
-
-
-def _msg(role: str, content: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), content.alias("content"))
-
-
 def _first(col: str) -> Column:
     return F.get(F.col(col), 0)
 
@@ -39,38 +32,26 @@ def generate_qa(records: DataFrame, factory: I.CompleterFactory,
                 answer_prompt: str = catalog.ANSWER_PROMPT) -> DataFrame:
     """records (code_id, code, category, pre_prompt, prompt) -> + question, answer.
 
-    Prompts are salted with the record key so that every record gets its own
-    model call, as sampling requires (identical rows of one record still share).
+    Every record gets its own calls (as sampling requires).  The transcript
+    is carried as rendered text: each turn appends its chat segment, and a
+    prompt is the transcript so far plus the generation prompt.
     """
-    empty = F.array().cast(MSG)
-    r = records.withColumn("_rk", F.concat_ws("|", F.col("code_id").cast("string"), F.col("category")))
-
-    # stage A: context turn for categories that have one
-    a_msgs = F.when(F.col("pre_prompt").isNotNull(), F.array(_msg("user", F.col("pre_prompt")))).otherwise(empty)
-    r = r.withColumn("_a", a_msgs).withColumn("_pa", F.when(F.size("_a") > 0, P.render_messages("_a")))
-    r = _stage(r, "_pa", "_ca", factory, config)
-
-    # stage B: question turn
-    ctx = F.when(F.size("_a") > 0, F.concat("_a", F.array(_msg("assistant", _first("_ca"))))).otherwise(empty)
-    b_msgs = F.concat(ctx, F.array(_msg("user", P.question_turn("code", "prompt"))))
-    r = r.withColumn("_b", b_msgs).withColumn("_pb", P.render_messages("_b"))
-    r = _stage(r, "_pb", "_cb", factory, config)
-
-    # stage C: answer turn
-    c_msgs = F.concat("_b", F.array(_msg("assistant", _first("_cb")), _msg("user", F.lit(answer_prompt))))
-    r = r.withColumn("_pc", P.render_messages(c_msgs))
-    r = _stage(r, "_pc", "_cc", factory, config)
+    gen = F.lit(P.GENERATION_PROMPT)
+    seeds = ("code_id", "category")
+    r = records.withColumn("_pa", F.when(F.col("pre_prompt").isNotNull(),
+                                         F.concat(P.chat_segment(F.lit("user"), F.col("pre_prompt")), gen)))
+    r = I.complete_rows(r, "_pa", factory, config, "_ca", seed_cols=seeds)
+    context = F.when(F.col("pre_prompt").isNotNull(), F.concat(
+        P.chat_segment(F.lit("user"), F.col("pre_prompt")),
+        P.chat_segment(F.lit("assistant"), _first("_ca")))).otherwise(F.lit(""))
+    r = r.withColumn("_body", F.concat(context, P.chat_segment(F.lit("user"), P.question_turn("code", "prompt"))))
+    r = I.complete_rows(r.withColumn("_pb", F.concat("_body", gen)), "_pb", factory, config, "_cb", seed_cols=seeds)
+    r = r.withColumn("_pc", F.concat("_body", P.chat_segment(F.lit("assistant"), _first("_cb")),
+                                     P.chat_segment(F.lit("user"), F.lit(answer_prompt)), gen))
+    r = I.complete_rows(r.select(*records.columns, "_cb", "_pc"), "_pc", factory, config, "_cc", seed_cols=seeds)
     return r.select(*records.columns, _first("_cb").alias("question"), _first("_cc").alias("answer"))
 
 
-def _stage(df: DataFrame, prompt_col: str, out_col: str, factory, config) -> DataFrame:
-    done = I.complete_distinct(df.filter(F.col(prompt_col).isNotNull()), prompt_col, factory, config,
-                               salt_col="_rk")
-    keyed = df.withColumn("_pk", I.prompt_key(prompt_col, "_rk"))
-    return (keyed.join(done.withColumnRenamed("prompt_key", "_pk"), "_pk", "left")
-                 .withColumnRenamed("completions", out_col).drop("_pk"))
-
-
 # --- primary rewrite ---------------------------------------------------------------
 
 def primary_rewrites(codes: DataFrame, factory: I.CompleterFactory,

@@ -151,6 +151,46 @@ def complete_distinct(prompts: DataFrame, prompt_col: str, factory: CompleterFac
     return out
 
 
+def _run_rows(factory: CompleterFactory, config: GenerationConfig, batch_size: int,
+              prompt_col: str, out_col: str, seed_cols: Sequence[str]):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        completer = factory()
+        for pdf in it:
+            prompts = pdf[prompt_col].tolist()
+            salts = pdf[list(seed_cols)].astype(str).agg("|".join, axis=1).tolist() if seed_cols else None
+            outs: list = [None] * len(prompts)
+            todo = [i for i, p in enumerate(prompts) if p is not None]
+            for s in range(0, len(todo), batch_size):
+                idx = todo[s:s + batch_size]
+                chunk = [prompts[i] for i in idx]
+                keys = [(salts[i] + "|" if salts else "") + prompts[i] for i in idx]
+                seeds = [prompt_seed(config.seed, hashlib.md5(k.encode()).hexdigest()) for k in keys]
+                got = completer(chunk, config.n, seeds, config)
+                if len(got) != len(chunk):
+                    raise ValueError("completer returned a different number of prompts")
+                for i, g in zip(idx, got):
+                    outs[i] = list(g) if g is not None else []
+            pdf[out_col] = outs
+            yield pdf
+    return run
+
+
+def complete_rows(df: DataFrame, prompt_col: str, factory: CompleterFactory,
+                  config: GenerationConfig = GenerationConfig(), out_col: str = "completions",
+                  batch_size: int = catalog.DEFAULT_BATCH_SIZE, seed_cols: Sequence[str] = ()) -> DataFrame:
+    """Call the completer for every row (each row its own sample), in place.
+
+    A narrow stage: no dedupe shuffle and no join back.  Chains of such
+    stages consume each output once, so a retried task recomputes its whole
+    chain and stays self-consistent; persist the final result before reusing
+    it.  NULL prompts get NULL output.  Seeds derive from ``seed_cols`` and
+    the prompt.
+    """
+    ship_package(df.sparkSession)
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.StringType()))])
+    return df.mapInPandas(_run_rows(factory, config, batch_size, prompt_col, out_col, tuple(seed_cols)), schema)
+
+
 def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,
                 config: GenerationConfig = GenerationConfig(), out_col: str = "generated_answer",
                 batch_size: int = catalog.DEFAULT_BATCH_SIZE, partitions: int | None = None) -> DataFrame:

@@ -5,12 +5,14 @@ vectors, precision is the mean over prediction tokens of the best cosine to
 any reference token, recall the same the other way, F1 their harmonic mean.
 An example with no known tokens on a side scores 0.
 
-Plan: tokens are exploded per example and joined to the vector table once
-(broadcast only when its row count is proven small, otherwise a shuffled
-join; AQE splits skewed hot tokens), then each example's vectors are
-gathered into one row and the pairwise maximum is computed with array
-functions inside that row.  No pair rows are ever emitted; the work per
-example is |pred| x |ref| x dim, the metric's own cost.
+Plan (vocabulary proven small, the usual case): token ids are computed per
+row in the JVM, the unit-vector matrix is broadcast once, and each Arrow
+batch of examples is scored by a numpy matrix product per example: one
+narrow stage, no shuffle.  Otherwise the tokens are exploded and joined to
+the vectors (AQE splits hot tokens), each example's vectors gathered into
+one row (bounded by its text) and scored by the same kernel.  No pair rows
+are ever emitted; the work per example is |pred| x |ref| x dim, the
+metric's own cost.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from ..functions import hashing as H
 from ..functions import text as TX
 from ..functions import tokens as K
 from ..session import ship_package
-from . import util
 
 DEFAULT_VOCAB_BUCKETS = 500  # FIXED VALUE: token -> vector row = md5 bucket mod 500
 
@@ -73,7 +74,7 @@ SCORE_STRUCT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("precisi
 def _greedy_np(a, b) -> tuple[float, float, float]:
     if a is None or b is None or len(a) == 0 or len(b) == 0:
         return 0.0, 0.0, 0.0
-    sim = np.stack(a) @ np.stack(b).T
+    sim = np.stack(list(a)) @ np.stack(list(b)).T
     p = float(sim.max(axis=1).mean())
     r = float(sim.max(axis=0).mean())
     return p, r, (2 * p * r / (p + r) if p + r > 0 else 0.0)
@@ -91,20 +92,83 @@ def greedy_scores_np(pv: pd.Series, rv: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["precision", "recall", "f1"])
 
 
+def _greedy_ids(ids: np.ndarray, mat: np.ndarray, a, b) -> tuple[float, float, float]:
+    def rows(x):
+        if x is None or len(x) == 0:
+            return None
+        x = np.asarray(x, dtype=np.int64)
+        pos = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+        hit = ids[pos] == x
+        return mat[pos[hit]] if hit.any() else None
+    return _greedy_np(rows(a), rows(b))
+
+
+def _id_scorer(bc):
+    @F.pandas_udf(SCORE_STRUCT)
+    def score(p: pd.Series, r: pd.Series) -> pd.DataFrame:
+        ids, mat = bc.value
+        return pd.DataFrame([_greedy_ids(ids, mat, a, b) for a, b in zip(p, r)],
+                            columns=["precision", "recall", "f1"])
+    return score
+
+
+def bounded_vocab(vocab: DataFrame, max_rows: int, max_bytes: int):
+    """(sorted ids, unit-vector matrix) when the vocabulary is proven small, else None.
+
+    One short-circuiting job reads at most ``max_rows + 1`` rows to count
+    them and measure the width; only then is the table collected.
+    """
+    probe = vocab.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, d = probe["n"], probe["d"] or 0
+    if n > max_rows or n * d * 8 > max_bytes:
+        return None
+    pdf = vocab.toPandas()
+    ids = pdf["vec_id"].to_numpy(dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])[order] if n else np.zeros((0, d))
+    return ids[order], mat
+
+
+def token_ids(text: Column, buckets: int, tokenizer: Callable[[Column], Column]) -> Column:
+    """Vector ids of a text's tokens, computed per row (no explode)."""
+    return F.coalesce(F.transform(tokenizer(text), lambda t: H.md5_bucket(t, buckets)),
+                      F.array().cast("array<bigint>"))
+
+
 def greedy_match(df: DataFrame, keys: Sequence[str], pred: str, ref: str, vectors: DataFrame,
                  buckets: int = DEFAULT_VOCAB_BUCKETS,
                  tokenizer: Callable[[Column], Column] = TX.word_tokens,
-                 broadcast_max_rows: int = 200_000) -> DataFrame:
-    """Per example: keys + precision, recall, f1 (doubles).
+                 broadcast_max_rows: int = 200_000, broadcast_max_bytes: int = 256 << 20) -> DataFrame:
+    """Per example (one row of ``df``): keys + precision, recall, f1 (doubles).
+
+    Bounded vocabulary (the usual case; checked): token ids are computed per
+    row in the JVM and scored against the broadcast matrix in Arrow batches;
+    the plan is one narrow stage with no shuffle.  Otherwise: the
+    join-and-gather plan (:func:`greedy_match_joined`).
+    """
+    keys = list(keys)
+    ship_package(df.sparkSession)
+    vocab = token_vectors(vectors)
+    arrays = bounded_vocab(vocab, broadcast_max_rows, broadcast_max_bytes)
+    if arrays is None:
+        return greedy_match_joined(df, keys, pred, ref, vocab, buckets, tokenizer)
+    bc = df.sparkSession.sparkContext.broadcast(arrays)
+    sc = _id_scorer(bc)(token_ids(F.col(pred), buckets, tokenizer), token_ids(F.col(ref), buckets, tokenizer))
+    return df.select(*keys, sc.alias("_s")).select(*keys, "_s.precision", "_s.recall", "_s.f1")
+
+
+def greedy_match_joined(df: DataFrame, keys: Sequence[str], pred: str, ref: str, vocab: DataFrame,
+                        buckets: int = DEFAULT_VOCAB_BUCKETS,
+                        tokenizer: Callable[[Column], Column] = TX.word_tokens) -> DataFrame:
+    """Greedy match for a vocabulary too large to broadcast.
 
     One pass over ``df``: a single explode emits prediction tokens,
     reference tokens and one sentinel per example (so token-less examples
-    survive the group-by and score 0 without a join back).  ``keys`` may
-    include columns that are functionally dependent on the example id
-    (levels, flags) to carry them through.
+    survive the group-by and score 0 without a join back); one shuffled join
+    to the vectors (AQE splits hot tokens); the example's vectors gathered in
+    one row (bounded by the example's text) and scored by the same kernel.
     """
     keys = list(keys)
-    ship_package(df.sparkSession)
     item = "struct<side:string,tok:string>"
     empty = F.array().cast(f"array<{item}>")
 
@@ -116,7 +180,6 @@ def greedy_match(df: DataFrame, keys: Sequence[str], pred: str, ref: str, vector
     items = F.concat(tagged(pred, "p"), tagged(ref, "r"), sentinel)
     toks = (df.select(*keys, F.explode(items).alias("it"))
               .select(*keys, F.col("it.side").alias("side"), H.md5_bucket(F.col("it.tok"), buckets).alias("vec_id")))
-    vocab = util.broadcast_if_bounded(token_vectors(vectors), broadcast_max_rows)
     vecs = toks.join(vocab, "vec_id", "left")
     gathered = vecs.groupBy(*keys).agg(
         F.collect_list(F.when(F.col("side") == "p", F.col("v"))).alias("pv"),

@@ -20,3 +20,17 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
 def with_defaults(df: DataFrame, **defaults) -> DataFrame:
     """Fill NULLs of the named columns with constants."""
     return df.fillna(defaults)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` tasks when it has fewer.
+
+    A scan gets one task per file split; a small table stored as one row
+    group is read by one task, which leaves cores idle under CPU-heavy
+    per-row work (regex, parsing, model calls).  Large inputs already have
+    many splits, so this is a no-op at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -11,11 +11,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``spark.read.parquet`` of one table; Catalyst prunes columns and pushes filters."""
+# Tables whose rows carry texts or vectors processed per row (CPU-bound).
+WIDE_ROWS = {"documents", "conversations", "embeddings", "pages", "benchmark"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """``spark.read.parquet`` of one table; Catalyst prunes columns and pushes filters.
+
+    Text/vector tables read by fewer tasks than the cluster has cores are
+    spread round-robin (see ``operators.util.spread``); wide inputs are left
+    as scanned.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread if spread is not None else name in WIDE_ROWS:
+        from ..operators.util import spread as _spread
+        df = _spread(df)
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
