@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from ..functions import hashing as H
 from ..plans import catalog
 from ..session import checkpoint_dir, scratch_path, ship_package
+from .util import distinct_by_key, join_on_key
 
 
 @dataclass(frozen=True)
@@ -139,11 +140,8 @@ def complete_distinct(prompts: DataFrame, prompt_col: str, factory: CompleterFac
     of the plan or a task is retried after an executor loss.
     """
     ship_package(prompts.sparkSession)
-    distinct = (prompts.select(prompt_key(prompt_col, salt_col).alias("prompt_key"),
-                               F.col(prompt_col).alias("prompt"))
-                       .dropDuplicates(["prompt_key"]))
-    if partitions:
-        distinct = distinct.repartition(partitions)
+    distinct = distinct_by_key(prompts.select(prompt_key(prompt_col, salt_col).alias("prompt_key"),
+                                              F.col(prompt_col).alias("prompt")), "prompt_key", partitions)
     out = distinct.mapInPandas(_run_batches(factory, config, batch_size), OUT_SCHEMA)
     if stable:
         checkpoint_dir(out.sparkSession)
@@ -195,9 +193,10 @@ def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,
                 config: GenerationConfig = GenerationConfig(), out_col: str = "generated_answer",
                 batch_size: int = catalog.DEFAULT_BATCH_SIZE, partitions: int | None = None) -> DataFrame:
     """Attach ``out_col`` (n completions) to every row; identical prompts share one call."""
-    done = complete_distinct(df, prompt_col, factory, config, batch_size, partitions)
-    keyed = df.withColumn("prompt_key", H.content_key(F.col(prompt_col)))
-    return keyed.join(done, "prompt_key", "left").withColumnRenamed("completions", out_col)
+    done = complete_distinct(df.filter(F.col(prompt_col).isNotNull()), prompt_col, factory, config,
+                             batch_size, partitions)
+    return join_on_key(df, done.withColumnRenamed("prompt_key", "_pk"), H.content_key(F.col(prompt_col)),
+                       "_pk", "left").withColumnRenamed("completions", out_col)
 
 
 def persist_completions(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -260,6 +259,7 @@ def replay(df: DataFrame, prompt_col: str, recorded: DataFrame, out_col: str = "
     A prompt recorded more than once keeps its smallest output list, so the
     result does not depend on which copy a task sees first.
     """
-    rec = (recorded.select(H.content_key(F.col("prompt")).alias("prompt_key"), F.col("texts"))
-                   .groupBy("prompt_key").agg(F.min("texts").alias(out_col)))
-    return df.withColumn("prompt_key", H.content_key(F.col(prompt_col))).join(rec, "prompt_key", "left")
+    rec = (recorded.filter(F.col("prompt").isNotNull())
+                   .select(H.content_key(F.col("prompt")).alias("_pk"), F.col("texts"))
+                   .groupBy("_pk").agg(F.min("texts").alias(out_col)))
+    return join_on_key(df, rec, H.content_key(F.col(prompt_col)), "_pk", "left")

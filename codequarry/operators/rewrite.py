@@ -27,6 +27,7 @@ from ..functions import hashing as H
 from ..plans import catalog
 from ..session import checkpoint_dir, ship_package
 from . import fanout as FO
+from .util import distinct_by_key, join_on_key
 
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
@@ -183,8 +184,8 @@ def rewrite_distinct(codes: DataFrame, code_col: str = "code", seed: int = catal
                      consistent: bool = True) -> DataFrame:
     """Parse every distinct code once: (code_key, ok, undocumented, renamed, both, idents)."""
     ship_package(codes.sparkSession)
-    distinct = (codes.select(H.content_key(F.col(code_col)).alias("code_key"), F.col(code_col).alias("code"))
-                     .dropDuplicates(["code_key"]))
+    distinct = distinct_by_key(
+        codes.select(H.content_key(F.col(code_col)).alias("code_key"), F.col(code_col).alias("code")), "code_key")
     return distinct.mapInPandas(_job(seed, consistent), JOB_SCHEMA)
 
 
@@ -232,8 +233,7 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
     pairs = v.select("p_key", "o_key").dropDuplicates()
     pr = res.select(*[F.col(c).alias(f"p_{c}") for c in res.columns])
     orr = res.select(*[F.col(c).alias(f"o_{c}") for c in res.columns])
-    decided = (pairs.join(pr, pairs.p_key == pr.p_code_key, "left")
-                    .join(orr, pairs.o_key == orr.o_code_key, "left"))
+    decided = join_on_key(join_on_key(pairs, pr, "p_key", "p_code_key", "left"), orr, "o_key", "o_code_key", "left")
     decided = FO.over_secondary(decided)
     lvl = F.col("secondary_obfuscation")
 

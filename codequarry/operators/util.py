@@ -34,3 +34,28 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def distinct_by_key(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Rows unique by ``key``, hash-partitioned on it over a fixed task count.
+
+    The explicit repartition is the only shuffle (the dedupe reuses its
+    partitioning) and, being user-sized, is not coalesced by AQE: the
+    CPU-heavy Python step that follows keeps one task per partition.
+    Defaults to ``spark.sql.shuffle.partitions``, which is sized to the data.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).dropDuplicates([key])
+
+
+def join_on_key(left: DataFrame, right: DataFrame, left_key, right_key: str, how: str = "inner") -> DataFrame:
+    """Equi-join on a key derived from an expression (e.g. md5 of a text).
+
+    A plain ``=`` makes the optimizer infer ``isnotnull(<expression>)`` and
+    push it below the projection, so the expression (often a rendered prompt
+    or a synthesised code) is computed twice, in the scan task.  A null-safe
+    ``<=>`` infers nothing; callers keep NULL keys out of ``right`` so NULL
+    inputs stay unmatched, as with ``=``.
+    """
+    lk = F.col(left_key) if isinstance(left_key, str) else left_key
+    return left.join(right, lk.eqNullSafe(right[right_key]), how).drop(right[right_key])

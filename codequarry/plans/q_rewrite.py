@@ -16,6 +16,7 @@ from ..operators import evaluate as E
 from ..operators import generate as G
 from ..operators import infer as I
 from ..operators import rewrite as RW
+from ..operators.util import join_on_key
 from ..sources.tables import sql_synth_code, synth_code, table
 from . import catalog
 from . import sqlbits as Q
@@ -75,7 +76,7 @@ _DOCS = sql_synth_code(extra="CAST(doc_id AS VARCHAR) AS ident_s,")
 def _doc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = synth_code(table(spark, sf_dir, "documents"))
     res = RW.rewrite_distinct(code, "code", SEED)
-    return code.join(res.withColumnRenamed("code_key", "k"), F.md5("code") == F.col("k"))
+    return join_on_key(code, res, F.md5("code"), "code_key")
 
 
 @query("undocument", sql=f"""
@@ -145,7 +146,7 @@ def substitute_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question and answer renamed with the alias map of the code they ask about."""
     codes = _qa_codes(spark, sf_dir)
     res = RW.rewrite_distinct(codes, "code", SEED)
-    j = codes.join(res.select("code_key", RW.alias_map(F.col("idents")).alias("m")), F.md5("code") == F.col("code_key"))
+    j = join_on_key(codes, res.select("code_key", RW.alias_map(F.col("idents")).alias("m")), F.md5("code"), "code_key")
     return j.select("conv_id", "turn", RW.substitute("question", "m").alias("question"),
                     RW.substitute("answer", "m").alias("answer"))
 

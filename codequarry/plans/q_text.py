@@ -45,8 +45,7 @@ def leak_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY d.source""")
 def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose docstring survives stripping, counted by source."""
-    docs = table(spark, sf_dir, "documents")
-    code = synth_code(docs).join(docs.select(F.col("doc_id").alias("code_id"), "source"), "code_id")
+    code = synth_code(table(spark, sf_dir, "documents"), keep=("source",))
     leaked = code.filter(TX.leak_flag(TX.strip_docstring("code", "docstring"), "docstring"))
     return leaked.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n_leaked"))
 
@@ -118,8 +117,7 @@ def entry_point_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s JOIN n ON n.doc_id = s.code_id""")
 def replace_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent-style examples: head renamed from the text, body and an empty suffix appended."""
-    docs = table(spark, sf_dir, "documents")
-    code = synth_code(docs).join(docs.select(F.col("doc_id").alias("code_id"), "text"), "code_id")
+    code = synth_code(table(spark, sf_dir, "documents"), keep=("text",))
     head = F.substring_index("code", "\n", 1)
     body = F.col("code").substr(F.locate("\n", F.col("code")), F.length("code"))
     new_head = TX.rename_head(head, TX.entry_point_name("text"))

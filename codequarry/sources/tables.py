@@ -46,17 +46,21 @@ def synth_code(docs: DataFrame, key: str = "doc_id", text: str = "text", name=No
     the first three lower-case ASCII words, so some rows use keywords and do
     not parse; the rewrite jobs' fallback handles them.
     """
-    words = T.word_tokens(text)
-    w1, w2, w3 = (F.coalesce(F.try_element_at(words, F.lit(i)), F.lit("x")) for i in (1, 2, 3))
-    doc = F.replace(T.first_sentence(text), F.lit("\\"), F.lit(""))
-    doc = F.replace(F.replace(doc, F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
+    # Stage the whole-text regex results once; later expressions refer to
+    # them several times and Catalyst keeps such non-cheap columns shared.
     ident = name if name is not None else F.col(key).cast("string")
+    staged = docs.select(*keep, F.col(key).alias("_key"), ident.alias("_ident"),
+                         F.slice(T.word_tokens(text), 1, 3).alias("_w"), T.first_sentence(text).alias("_fs"))
+    w1, w2, w3 = (F.coalesce(F.try_element_at(F.col("_w"), F.lit(i)), F.lit("x")) for i in (1, 2, 3))
+    doc = F.replace(F.col("_fs"), F.lit("\\"), F.lit(""))
+    doc = F.replace(F.replace(doc, F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
+    ident = F.col("_ident")
     code = F.concat(
         F.lit("def f_"), ident, F.lit("("), w1, F.lit(", "), w2, F.lit("):\n"),
         F.lit('    """'), doc, F.lit('"""\n'),
         F.lit("    "), w3, F.lit(" = len("), w1, F.lit(") + "), w2, F.lit("  # total\n"),
         F.lit("    return "), w3, F.lit("\n"))
-    return docs.select(*keep, F.col(key).alias(out_key), code.alias("code"), doc.alias("docstring"),
+    return staged.select(*keep, F.col("_key").alias(out_key), code.alias("code"), doc.alias("docstring"),
                        w1.alias("w1"), w2.alias("w2"), w3.alias("w3"))
 
 
