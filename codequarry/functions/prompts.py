@@ -90,6 +90,11 @@ def fewshot_prompt(code, examples_text) -> Column:
     return fill(catalog.FEWSHOT_SUMMARIZE_TEMPLATE, fewshot_examples=examples_text, code=code)
 
 
+def edge_case_prompt(code) -> Column:
+    """One-shot prompt asking for three edge-case questions with answers."""
+    return fill(catalog.EDGE_CASE_TEMPLATE, code=code)
+
+
 def question_turn(code, instruction) -> Column:
     """User turn asking for a question/rewrite: code, blank line, instruction."""
     return F.concat_ws("\n\n", _c(code), _c(instruction))

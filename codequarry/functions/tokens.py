@@ -65,7 +65,7 @@ def eos_trim(tokens, eos) -> Column:
 
 def token_score(tok) -> Column:
     """Score of the chosen token: top_scores[token]."""
-    return F.element_at(tok["top_scores"], tok["token"])
+    return F.try_element_at(tok["top_scores"], tok["token"])
 
 
 def sequence_logprob(tokens) -> Column:
@@ -73,6 +73,13 @@ def sequence_logprob(tokens) -> Column:
     return array_sum(F.transform(_c(tokens), token_score))
 
 
+def score_diff(a, b) -> Column:
+    """Difference of two chosen-token scores (token - token or token - number)."""
+    left = token_score(_c(a))
+    right = token_score(_c(b)) if not isinstance(b, (int, float)) else F.lit(float(b))
+    return left - right
+
+
 def sequence_text(tokens) -> Column:
     """Concatenated token strings of a sequence."""
     return F.array_join(F.transform(_c(tokens), lambda t: t["token"]), "")
@@ -105,5 +112,4 @@ def dot(a, b) -> Column:
 
 def unit_vector(vec) -> Column:
     v = F.transform(_c(vec), lambda x: x.cast("double"))
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / norm)
+    return with_scalar(v, F.sqrt(dot(v, v)), lambda x, norm: x / norm)

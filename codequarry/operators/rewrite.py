@@ -136,6 +136,23 @@ def rename_tree(code: str, tree: ast.AST, alias, consistent: bool = True) -> tup
     return out, idents
 
 
+def rename_ordinal(code: str) -> tuple[str, list] | None:
+    """Older scheme: every name (arguments, names, definitions, builtins
+    included) becomes ``_<n>`` in first-visit order; None when unparsable."""
+    try:
+        tree = ast.parse(code)
+    except Exception:  # noqa: BLE001
+        return None
+    counter: dict[str, str] = {}
+
+    def alias(name: str) -> str:
+        return counter.setdefault(name, f"_{len(counter)}")
+
+    r = _Renamer(set(), set(), set(), alias, consistent=True)
+    out = r.visit(tree)
+    return ast.unparse(out), [(n, a, d, i) for n, (a, d, i) in r.order.items()]
+
+
 def rewrite_code(code: str, code_key: str, seed: int = catalog.DEFAULT_SEED,
                  consistent: bool = True) -> dict:
     """All secondary rewrites of one code, or ok=False when it does not parse."""
@@ -180,6 +197,23 @@ def _job(seed: int, consistent: bool):
     return run
 
 
+ORDINAL_SCHEMA = T.StructType([T.StructField("code_key", T.StringType()), T.StructField("renamed", T.StringType())])
+
+
+def _ordinal_job(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        outs = [rename_ordinal(c if c is not None else "") for c in pdf["code"]]
+        yield pd.DataFrame({"code_key": pdf["code_key"], "renamed": [o[0] if o else None for o in outs]})
+
+
+def rename_ordinal_distinct(codes: DataFrame, code_col: str = "code") -> DataFrame:
+    """(code_key, renamed) with the ordinal scheme, one parse per distinct code."""
+    ship_package(codes.sparkSession)
+    distinct = distinct_by_key(
+        codes.select(H.content_key(F.col(code_col)).alias("code_key"), F.col(code_col).alias("code")), "code_key")
+    return distinct.mapInPandas(_ordinal_job, ORDINAL_SCHEMA)
+
+
 def rewrite_distinct(codes: DataFrame, code_col: str = "code", seed: int = catalog.DEFAULT_SEED,
                      consistent: bool = True) -> DataFrame:
     """Parse every distinct code once: (code_key, ok, undocumented, renamed, both, idents)."""

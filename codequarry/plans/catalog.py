@@ -123,6 +123,13 @@ FEWSHOT_SUMMARIZE_TEMPLATE = (
 )
 FEWSHOT_EXAMPLE_TEMPLATE = "Input:\n```python\n{input}\n```\nOutput: {output}"
 
+# FIXED VALUES — one-shot edge-case prompt with fenced code tags.
+EDGE_CASE_TEMPLATE = (
+    "<start of code> {code}\n\n<end of code>\n\n\nGiven the above code enclosed within <start of code> "
+    "and <end of code> tags, generate 3 questions based on it on possible edge cases that could be "
+    "encountered. Then, answer the questions."
+)
+
 # FIXED VALUES — default few-shot pairs (code -> one-sentence summary).
 DEFAULT_FEWSHOT = [
     (

@@ -13,7 +13,6 @@ from . import sqlbits as Q
 from .registry import query
 
 BATCH_SIZE = 8
-BATCH_BUCKETS = 16
 EXAMPLES_PER_BATCH = 2
 
 
@@ -42,15 +41,21 @@ def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chat_segments(table(spark, sf_dir, "conversations"))
 
 
-@query("batch_assign", sql=f"""
-    SELECT conv_id, turn, bucket,
+_SQL_BUCKETS = f"(SELECT greatest(1, ceil(count(*) / {B.ROWS_PER_BUCKET}.0))::BIGINT FROM conversations)"
+_SQL_BATCHES = f"""
+    SELECT conv_id, turn, text, bucket,
            ((row_number() OVER (PARTITION BY bucket ORDER BY conv_id, turn) - 1) // {BATCH_SIZE})::BIGINT AS batch_no
-    FROM (SELECT conv_id, turn,
-                 {Q.bucket("CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)", BATCH_BUCKETS)} AS bucket
-          FROM conversations) c""")
+    FROM (SELECT conv_id, turn, text,
+                 (('0x' || substr(md5(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)), 1, 8))::BIGINT
+                  % {_SQL_BUCKETS}) AS bucket
+          FROM conversations) c"""
+
+
+@query("batch_assign", sql=f"SELECT conv_id, turn, bucket, batch_no FROM ({_SQL_BATCHES}) b")
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 8 records, numbered densely per md5 bucket of the record key."""
     recs = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    return B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE, BATCH_BUCKETS)
+    return B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE)
 
 
 @query("split_batch", sql=f"""
@@ -67,18 +72,19 @@ def split_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "example_no", "sample_no", "text")
 
 
-@query("merge_batch", sql="""
-    SELECT conv_id, count(*)::BIGINT AS n_texts,
-           string_agg(text, chr(10) ORDER BY turn) AS merged
-    FROM conversations GROUP BY conv_id""")
+@query("merge_batch", sql=f"""
+    SELECT bucket, batch_no, count(*)::BIGINT AS n_texts, string_agg(text, chr(10) ORDER BY conv_id, turn) AS merged
+    FROM ({_SQL_BATCHES}) b GROUP BY bucket, batch_no""")
 def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-example outputs (one per turn) merged back into one batch list."""
-    parts = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("batch_id"), F.col("turn").alias("example_no"),
-        F.array("text").alias("texts"))
+    """Per-example outputs of each batch (at most 8) merged back into one list in order."""
+    recs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    batched = B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE)
+    w = Window.partitionBy("bucket", "batch_no").orderBy("conv_id", "turn")
+    parts = batched.select(F.struct("bucket", "batch_no").alias("batch_id"),
+                           (F.row_number().over(w) - 1).alias("example_no"), F.array("text").alias("texts"))
     merged = B.merge_outputs(parts)
-    return merged.select(F.col("batch_id").alias("conv_id"), F.size("texts").cast("bigint").alias("n_texts"),
-                         F.array_join("texts", "\n").alias("merged"))
+    return merged.select(F.col("batch_id.bucket").alias("bucket"), F.col("batch_id.batch_no").alias("batch_no"),
+                         F.size("texts").cast("bigint").alias("n_texts"), F.array_join("texts", "\n").alias("merged"))
 
 
 @query("completions_align", sql="""

@@ -148,3 +148,11 @@ def render_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = fewshot_text(ex, N_FEWSHOT).scalar()
     docs = corpus(spark, sf_dir)
     return docs.select("code_id", F.md5(P.fewshot_prompt("code", block)).alias("prompt_md5"))
+
+
+@query("render_edge_case", sql=f"""
+    SELECT doc_id AS code_id, md5({P.sql_fill(catalog.EDGE_CASE_TEMPLATE, code='text')}) AS prompt_md5
+    FROM documents""")
+def render_edge_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-shot edge-case prompt with fenced code tags, per corpus row."""
+    return corpus(spark, sf_dir).select("code_id", F.md5(P.edge_case_prompt("code")).alias("prompt_md5"))

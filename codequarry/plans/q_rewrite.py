@@ -210,3 +210,29 @@ def secondary_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fallback_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of variants whose rewrite fell back, per level cell."""
     return E.fallback_rate(qa_secondary_grid(spark, sf_dir))
+
+
+def _sql_ordinal() -> str:
+    o2 = "CASE WHEN w2 = w1 THEN 1 ELSE 2 END"
+    o3 = f"CASE WHEN w3 = w1 THEN 1 WHEN w3 = w2 THEN {o2} ELSE 2 + (w2 <> w1)::INT END"
+    n_distinct = "1 + (1 + (w2 <> w1)::INT + (w3 <> w1 AND w3 <> w2)::INT)"
+    ol = f"CASE WHEN w1 = 'len' THEN 1 WHEN w2 = 'len' THEN {o2} WHEN w3 = 'len' THEN {o3} ELSE {n_distinct} END"
+
+    def a(o: str) -> str:
+        return f"('_' || CAST({o} AS VARCHAR))"
+    nl = "chr(10)"
+    body = (f"'def ' || {a('0')} || '(' || {a('1')} || ', ' || {a(o2)} || '):' || {nl}"
+            f" || '    ' || repeat(chr(34), 3) || docstring || repeat(chr(34), 3) || {nl}"
+            f" || '    ' || {a(o3)} || ' = ' || {a(ol)} || '(' || {a('1')} || ') + ' || {a(o2)} || {nl}"
+            f" || '    return ' || {a(o3)}")
+    return f"""
+    SELECT code_id, CASE WHEN {_sql_ok('w1', 'w2', 'w3')} THEN {body} END AS renamed
+    FROM {_DOCS} s"""
+
+
+@query("rename_ordinal", sql=_sql_ordinal())
+def rename_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Older rename scheme: every name becomes _0, _1, ... in first-visit order."""
+    code = synth_code(table(spark, sf_dir, "documents"))
+    res = RW.rename_ordinal_distinct(code, "code")
+    return join_on_key(code, res, F.md5("code"), "code_key").select("code_id", "renamed")

@@ -96,6 +96,21 @@ def seeded_slice(df: DataFrame, key: str, seed: int, start: int = 0, end: int =
     return ordered
 
 
+def seeded_sample(df: DataFrame, key: str, seed: int, n: int | None) -> DataFrame:
+    """First n rows of the seeded shuffle (n=None keeps every row)."""
+    if n is None:
+        return df
+    return df.orderBy(H.seeded_order_key(seed, key), F.col(key)).limit(n)
+
+
+def check_size(df: DataFrame, n: int) -> DataFrame:
+    """Fail the job when ``df`` does not hold exactly n rows (one count)."""
+    got = df.count()
+    if got != n:
+        raise ValueError(f"expected {n} rows, got {got}")
+    return df
+
+
 Loader = Callable[..., DataFrame]
 _LOADERS: dict[str, Loader] = {}
 

@@ -86,3 +86,10 @@ def test_fallback_rules(spark):
     # level None never errors
     assert not out[(2, "None")]["error"] and out[(2, "None")]["secondary_obfuscated_code"] == "def a(:"
     assert len(out) == 8
+
+
+def test_ordinal_scheme_renames_everything():
+    out, idents = RW.rename_ordinal("def f(a, b):\n    c = len(a) + b\n    return c\n")
+    assert out == "def _0(_1, _2):\n    _3 = _4(_1) + _2\n    return _3"
+    assert [i[0] for i in idents] == ["f", "a", "b", "c", "len"]
+    assert RW.rename_ordinal("def (:") is None

@@ -71,3 +71,21 @@ def test_nested_report_roundtrip(spark):
     row = nested.first()
     assert row["overall"] == 2.0 and row["by_primary"] == {"A": {"x": 1.0, "y": 3.0}, "B": {"x": 2.0}}
     assert '"overall":2.0' in E.nested_report_json(nested).first()["report"]
+
+
+def test_encoder_hook(spark):
+    def encode(texts):
+        # stub contextual encoder: one 2-d vector per character class of each word
+        return [[[1.0, 0.0] if w[0] < "n" else [0.0, 1.0] for w in t.split()] or [[0.0, 0.0]] for t in texts]
+    enc = S.encoder_udf(encode)
+    df = spark.createDataFrame([(1, "alpha zulu", "apple zebra")], "id bigint, p string, r string")
+    row = S.greedy_match_encoded(df, ["id"], "p", "r", enc).first()
+    assert (row["precision"], row["recall"], row["f1"]) == (1.0, 1.0, 1.0)
+
+
+def test_bounded_vocab_falls_back_to_join(spark):
+    vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id bigint, embedding array<float>")
+    df = spark.createDataFrame([(1, "a b c", "c d e")], "id bigint, p string, r string")
+    small = S.greedy_match(df, ["id"], "p", "r", vecs, buckets=5).first()
+    joined = S.greedy_match(df, ["id"], "p", "r", vecs, buckets=5, broadcast_max_rows=2).first()
+    assert [round(x, 9) for x in small[1:]] == [round(x, 9) for x in joined[1:]]

@@ -60,3 +60,19 @@ def test_docstring_examples(spark):
     row = R.clean_docstring_examples(df).first()
     assert row["input"] == "def f():\n    return 1" and row["output"] == "Doc. x" and row["path"] == "p"
     assert row["leaked"] is False
+
+
+def test_sample_and_size_check(spark):
+    d = spark.range(50).withColumnRenamed("id", "k")
+    s = R.seeded_sample(d, "k", 11797, 10)
+    assert R.check_size(s, 10) is s
+    with pytest.raises(ValueError):
+        R.check_size(s, 11)
+    assert R.seeded_sample(d, "k", 1, None).count() == 50
+
+
+def test_write_records_partitioned(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "None", "x"), (2, "Rename", "y")], "qa_id bigint, level string, code string")
+    sinks.write_records(df, tmp_dir, partition_by=["level"])
+    back = spark.read.parquet(tmp_dir)
+    assert back.filter(F.col("level") == "Rename").count() == 1

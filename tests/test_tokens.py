@@ -51,3 +51,11 @@ def test_with_scalar_is_linear_and_correct(spark):
     df = spark.createDataFrame([([1.0, 2.0, 4.0],)], "v array<double>")
     got = df.select(K.with_scalar("v", F.array_max("v"), lambda x, m: x / m).alias("r")).first()["r"]
     assert got == [0.25, 0.5, 1.0]
+
+
+def test_score_diff(spark):
+    df = spark.createDataFrame([(("a", {"a": 0.2}), ("b", {"b": 0.1}))],
+                               "x struct<token:string,top_scores:map<string,double>>, "
+                               "y struct<token:string,top_scores:map<string,double>>")
+    row = df.select(K.score_diff("x", "y").alias("d"), K.score_diff("x", 5).alias("e")).first()
+    assert math.isclose(row["d"], 0.1) and math.isclose(row["e"], -4.8)
