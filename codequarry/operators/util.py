@@ -37,15 +37,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def distinct_by_key(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Rows unique by ``key``, hash-partitioned on it over a fixed task count.
-
-    The explicit repartition is the only shuffle (the dedupe reuses its
-    partitioning) and, being user-sized, is not coalesced by AQE: the
-    CPU-heavy Python step that follows keeps one task per partition.
-    Defaults to ``spark.sql.shuffle.partitions``, which is sized to the data.
+    """Rows unique by ``key``, spread over a fixed number of tasks.
+
+    The dedupe runs first, with a map-side partial aggregate, so a key
+    repeated on a third of the rows is one row per map task before any
+    shuffle.  The distinct rows are then spread round-robin over an
+    explicit task count, which AQE does not coalesce: the CPU-heavy Python
+    step that follows keeps one task per partition.  Defaults to
+    ``spark.sql.shuffle.partitions``, which is sized to the data.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).dropDuplicates([key])
+    return df.dropDuplicates([key]).repartition(n)
 
 
 def join_on_key(left: DataFrame, right: DataFrame, left_key, right_key: str, how: str = "inner") -> DataFrame:
