@@ -15,6 +15,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Static broadcast only when the estimate, taken as 4x the compressed
+    # file size, is under 10MB; AQE may also broadcast a side whose shuffle
+    # was measured under 32MB.  Large tables never qualify.
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
+    "spark.sql.sources.fileCompressionFactor": "4.0",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
