@@ -156,3 +156,22 @@ def render_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_edge_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-shot edge-case prompt with fenced code tags, per corpus row."""
     return corpus(spark, sf_dir).select("code_id", F.md5(P.edge_case_prompt("code")).alias("prompt_md5"))
+
+
+@query("render_summarize", sql=f"""
+    SELECT doc_id AS code_id, md5({P.sql_fill(catalog.SUMMARIZE_TEMPLATE, code='text')}) AS prompt_md5
+    FROM documents""")
+def render_summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-shot one-sentence summary prompt per corpus row."""
+    return corpus(spark, sf_dir).select("code_id", F.md5(P.summarize_prompt("code")).alias("prompt_md5"))
+
+
+@query("render_codegen", sql=f"""
+    SELECT doc_id AS code_id,
+           md5({P.sql_fill(catalog.CODEGEN_TEMPLATE, prompt='text',
+                           summary=f"CASE WHEN fs = '' THEN {Q.strip('text')} ELSE fs END")}) AS prompt_md5
+    FROM (SELECT doc_id, text, regexp_extract(text, '(?s)^{Q.WS}*(.*?[.!?])(?:{Q.WS}|$)', 1) AS fs FROM documents) d""")
+def render_codegen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code-completion prompt: the code and its summary (first sentence)."""
+    c = corpus(spark, sf_dir)
+    return c.select("code_id", F.md5(P.codegen_prompt("code", TX.first_sentence("code"))).alias("prompt_md5"))
