@@ -96,10 +96,10 @@ def completions_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = table(spark, sf_dir, "conversations")
     flat = msgs.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"),
                        F.col("text").alias("completion"))
-    aligned = B.align_completions(flat, 2)
-    prompts = msgs.select(F.col("conv_id").alias("batch_id"), (F.floor(F.col("turn") / 2)).alias("prompt_no"),
-                          F.col("text").alias("prompt"), (F.col("turn") % 2 == 0).alias("_is_prompt"))
-    prompts = prompts.filter("_is_prompt").drop("_is_prompt")
-    return (aligned.join(prompts, ["batch_id", "prompt_no"])
+    aligned = B.align_completions(flat, 2).withColumn("first_pos", F.col("prompt_no") * 2)
+    # prompt i is the message at the first position of its slice
+    prompts = msgs.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("first_pos"),
+                          F.col("text").alias("prompt"))
+    return (aligned.join(prompts, ["batch_id", "first_pos"])
                    .select(F.col("batch_id").alias("conv_id"), F.col("prompt_no").cast("bigint").alias("prompt_no"),
                            F.col("sample_no").cast("bigint").alias("sample_no"), "prompt", "completion"))
