@@ -20,6 +20,7 @@ from ..functions import hashing as H
 from ..functions import prompts as P
 from ..functions import text as TX
 from ..plans import catalog
+from ..session import checkpoint_dir
 from . import fanout as FO
 from . import infer as I
 
@@ -67,18 +68,21 @@ def primary_rewrites(codes: DataFrame, factory: I.CompleterFactory,
     single = [("Refactor", catalog.REFACTOR_PROMPT), ("Dead Code", catalog.DEAD_CODE_PROMPT)]
     s1 = FO.fan_out(codes, single, ["level", "instruction"])
     s1 = s1.withColumn("_prompt", P.question_turn("code", "instruction"))
-    s1 = _rewrite(s1, factory, config).select("code_id", "level", "obfuscated_code")
+    # the first stage feeds both the result and the chained stage: written
+    # once (reliable checkpoint), so the model is called once per code/level
+    checkpoint_dir(codes.sparkSession)
+    s1 = _rewrite(s1, factory, config).select("code_id", "level", "obfuscated_code").checkpoint(eager=True)
 
     second = catalog.REFACTOR_PROMPT if double_refactor else catalog.DEAD_CODE_PROMPT
     refactored = s1.filter(F.col("level") == "Refactor").select("code_id", F.col("obfuscated_code").alias("_r"))
     s2 = refactored.select("code_id", F.lit("Refactor and Dead Code").alias("level"),
                            P.question_turn(F.col("_r"), F.lit(second)).alias("_prompt"))
     s2 = _rewrite(s2, factory, config).select("code_id", "level", "obfuscated_code")
-    return s1.unionByName(s2)
+    return s1.unionByName(s2).checkpoint(eager=True)
 
 
 def _rewrite(df: DataFrame, factory, config) -> DataFrame:
-    out = I.batch_infer(df, "_prompt", factory, config, out_col="_out")
+    out = I.batch_infer(df, "_prompt", factory, config, out_col="_out", stable=False)
     return out.withColumn("obfuscated_code", TX.keep_code_lines(_first("_out")))
 
 

@@ -191,10 +191,15 @@ def complete_rows(df: DataFrame, prompt_col: str, factory: CompleterFactory,
 
 def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,
                 config: GenerationConfig = GenerationConfig(), out_col: str = "generated_answer",
-                batch_size: int = catalog.DEFAULT_BATCH_SIZE, partitions: int | None = None) -> DataFrame:
-    """Attach ``out_col`` (n completions) to every row; identical prompts share one call."""
+                batch_size: int = catalog.DEFAULT_BATCH_SIZE, partitions: int | None = None,
+                stable: bool = True) -> DataFrame:
+    """Attach ``out_col`` (n completions) to every row; identical prompts share one call.
+
+    ``stable=False`` skips the checkpoint of the completions when the caller
+    materialises the result itself.
+    """
     done = complete_distinct(df.filter(F.col(prompt_col).isNotNull()), prompt_col, factory, config,
-                             batch_size, partitions)
+                             batch_size, partitions, stable=stable)
     return join_on_key(df, done.withColumnRenamed("prompt_key", "_pk"), H.content_key(F.col(prompt_col)),
                        "_pk", "left").withColumnRenamed("completions", out_col)
 

@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Key state of streaming dedupe lives on disk (RocksDB), not on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Python rewrite / completer jobs are fed in Arrow batches of this size.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
