@@ -17,6 +17,7 @@ them write them first (``persist_completions``) instead of recomputing.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -207,7 +208,7 @@ def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,
 def persist_completions(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write completions under the shared folder and read them back, so a
     sampling model is never re-run by a later stage or a retried task."""
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
