@@ -256,8 +256,11 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
     category, question, answer) x secondary levels -> secondary records with
     ``error`` (fallback taken) and renamed question/answer."""
     keys = list(keys)
+    # the variants feed three branches (distinct codes, distinct key pairs,
+    # the join back): written once so their upstream runs once
+    checkpoint_dir(variants.sparkSession)
     v = (variants.withColumn("p_key", H.content_key(F.col("obfuscated_code")))
-                 .withColumn("o_key", H.content_key(F.col("original_code"))))
+                 .withColumn("o_key", H.content_key(F.col("original_code")))).checkpoint(eager=True)
     codes = (v.select(F.col("obfuscated_code").alias("code"))
               .unionByName(v.select(F.col("original_code").alias("code"))))
     res = rewrite_distinct(codes, "code", seed, consistent)
