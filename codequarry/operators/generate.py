@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing as H
 from ..functions import prompts as P
 from ..functions import text as TX
 from ..plans import catalog

@@ -6,22 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a short-circuiting
-    limit); beyond the bound the frame is returned as is and the planner
-    picks a shuffled join (AQE may still broadcast from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def with_defaults(df: DataFrame, **defaults) -> DataFrame:
-    """Fill NULLs of the named columns with constants."""
-    return df.fillna(defaults)
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least ``min_partitions`` tasks when it has fewer.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing as H
 from ..operators import batches as B
 from ..operators import conversation as C
 from ..sources.tables import table

@@ -76,3 +76,12 @@ def test_write_records_partitioned(spark, tmp_dir):
     sinks.write_records(df, tmp_dir, partition_by=["level"])
     back = spark.read.parquet(tmp_dir)
     assert back.filter(F.col("level") == "Rename").count() == 1
+
+
+def test_intent_examples(spark):
+    df = spark.createDataFrame(
+        [("def f_3844801(myList):\n", "check if all elements in list are identical", "\treturn len(set(myList)) == 1", "\n")],
+        "prompt string, intent string, canonical_solution string, suffix string")
+    row = R.intent_examples(df).first()
+    assert row["input"] == "def check_if_all_elements(myList):\n    return len(set(myList)) == 1"
+    assert row["output"] == "check if all elements in list are identical"
