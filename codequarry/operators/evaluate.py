@@ -58,8 +58,8 @@ def nested_report(report: DataFrame, levels: Sequence[str] = LEVEL_COLS) -> Data
         F.struct(F.col(s).alias("k"), F.col("mean_f1").alias("v"))))).alias("by_secondary"))
     outer = inner.agg(F.map_from_entries(_by_key(F.collect_list(
         F.struct(F.col(p).alias("k"), F.col("by_secondary").alias("v"))))).alias("by_primary"))
-    overall = report.filter(F.col("scope") == "overall").select(F.col("mean_f1").alias("overall"))
-    return overall.crossJoin(outer)
+    overall = report.filter(F.col("scope") == "overall").select("mean_f1").scalar()
+    return outer.select(overall.alias("overall"), "by_primary")
 
 
 def nested_report_json(nested: DataFrame) -> DataFrame:

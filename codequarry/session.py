@@ -58,8 +58,9 @@ def build_session(master: str | None = None, app: str = "codequarry",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set; otherwise (local
-    tests only) creates a fresh scratch folder and registers it.
+    Uses the cluster's ``spark.checkpoint.dir`` when set; otherwise, and only
+    for a local master (tests), creates a fresh scratch folder; a cluster
+    without the setting is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -69,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="cq-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
