@@ -236,3 +236,19 @@ def rename_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = synth_code(table(spark, sf_dir, "documents"))
     res = RW.rename_ordinal_distinct(code, "code")
     return join_on_key(code, res, F.md5("code"), "code_key").select("code_id", "renamed")
+
+
+@query("identifier_stats", sql=f"""
+    WITH s AS (SELECT * FROM {_DOCS} x WHERE {_sql_ok('w1', 'w2', 'w3')}),
+    n AS ({_sql_names('ident_s', 'md5(code)')})
+    SELECT code_id, count(*)::BIGINT AS n_names, count(DISTINCT alias)::BIGINT AS n_aliases,
+           count_if(is_def)::BIGINT AS n_defs, count(DISTINCT alias) = count(*) AS aliases_unique
+    FROM n GROUP BY code_id""")
+def identifier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per code: renamed names, distinct aliases (must equal names), definitions."""
+    ids = identifier_table(spark, sf_dir)
+    return ids.groupBy("code_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_names"),
+        F.countDistinct("alias").cast("bigint").alias("n_aliases"),
+        F.count_if("is_def").cast("bigint").alias("n_defs"),
+        (F.countDistinct("alias") == F.count(F.lit(1))).alias("aliases_unique"))
