@@ -39,8 +39,8 @@ def answered(spark: SparkSession, sf_dir: str, n_samples: int = catalog.DEFAULT_
     echo = F.when(TX.strip_ws("question") == "", F.array().cast("array<string>")).otherwise(
         F.array_repeat(F.col("question"), n_samples))
     return (pairs.join(labels, "conv_id", "left")
-                 .select(*KEYS, F.element_at(primary, (p_idx + 1).cast("int")).alias(LEVELS[0]),
-                         F.element_at(secondary, (s_idx + 1).cast("int")).alias(LEVELS[1]),
+                 .select(*KEYS, F.try_element_at(primary, (p_idx + 1).cast("int")).alias(LEVELS[0]),
+                         F.try_element_at(secondary, (s_idx + 1).cast("int")).alias(LEVELS[1]),
                          "question", "answer", echo.alias("generated_answer")))
 
 
