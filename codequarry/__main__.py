@@ -5,7 +5,7 @@
     python -m codequarry answer   --records DIR --out ROOT --model NAME
                                   --prompt-mode with_code|question_only [--completer hash] [--n-samples 5]
     python -m codequarry evaluate --answers ROOT --model NAME --prompt-mode MODE
-                                  --vectors PARQUET --out DIR [--baseline B]
+                                  --vectors PARQUET --out DIR [--baseline B] [--samples first|best|mean]
 
 A completer is a built-in stub name (``hash``, ``echo_code``) or
 ``package.module:factory`` returning a completer.  The corpus needs
@@ -59,6 +59,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     e.add_argument("--vectors", required=True)
     e.add_argument("--out", required=True)
     e.add_argument("--baseline", type=float, default=None)
+    e.add_argument("--samples", default="first", choices=["first", "best", "mean"])
     args = ap.parse_args(argv)
 
     spark = spark or build_session()
@@ -75,7 +76,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     else:
         answers = spark.read.parquet(f"{args.answers.rstrip('/')}/prompt_mode={args.prompt_mode}/model={args.model}")
         vectors = spark.read.parquet(args.vectors)
-        _, report = jobs.score_answers(spark, answers, vectors, args.out, args.baseline)
+        _, report = jobs.score_answers(spark, answers, vectors, args.out, args.baseline, args.samples)
         print(E.nested_report_json(E.nested_report(report)).first()["report"])
     return 0
 

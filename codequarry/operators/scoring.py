@@ -222,3 +222,28 @@ def greedy_match_encoded(df: DataFrame, keys: Sequence[str], pred: str, ref: str
     staged = df.select(*keys, pv.alias("pv"), rv.alias("rv"))
     p, r, f = greedy_scores(F.col("pv"), F.col("rv"))
     return staged.select(*keys, p.alias("precision"), r.alias("recall"), f.alias("f1"))
+
+
+def score_samples(df: DataFrame, keys: Sequence[str], samples: str, ref: str, vectors: DataFrame,
+                  mode: str = "first", **kw) -> DataFrame:
+    """Score generated samples against the cleaned reference, per example.
+
+    ``first`` scores sample 0 only (the original evaluation); ``best`` keeps
+    the sample with the highest F1 and ``mean`` averages P/R/F1 over the
+    samples.  An example holds at most n samples, so the per-example
+    aggregate is bounded.  Examples without samples get no row.
+    """
+    keys = list(keys)
+    if mode not in ("first", "best", "mean"):
+        raise ValueError("mode must be first, best or mean")
+    base = df.select(*keys, F.col(samples).alias("_s"), clean_reference(ref).alias("reference"))
+    if mode == "first":
+        one = base.filter(F.size("_s") > 0).select(*keys, first_prediction("_s").alias("prediction"), "reference")
+        return greedy_match(one, keys, "prediction", "reference", vectors, **kw)
+    many = base.select(*keys, F.posexplode("_s").alias("sample_no", "_p"), "reference")
+    many = many.select(*keys, "sample_no", TX.strip_ws("_p").alias("prediction"), "reference")
+    scored = greedy_match(many, keys + ["sample_no"], "prediction", "reference", vectors, **kw)
+    if mode == "mean":
+        return scored.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    best = F.max_by(F.struct("precision", "recall", "f1"), F.struct("f1", (-F.col("sample_no")).alias("_o")))
+    return scored.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.precision", "_b.recall", "_b.f1")

@@ -63,14 +63,20 @@ def answer_records(spark: SparkSession, records: DataFrame, completer: I.Complet
 
 
 def score_answers(spark: SparkSession, answered: DataFrame, vectors: DataFrame, out_path: str,
-                  baseline: float | None = None) -> tuple[DataFrame, DataFrame]:
+                  baseline: float | None = None, sample_mode: str = "first") -> tuple[DataFrame, DataFrame]:
     """Per-record scores (written) and the grouped report (cells + overall).
 
-    The first sample is scored against the cleaned reference answer; records
-    without a sample count as errors and are not scored.
+    The first sample (or the best / mean over samples) is scored against the
+    cleaned reference answer; records without a sample count as errors and
+    are not scored.
     """
-    cleaned = S.clean_answers(answered)
-    scored = S.greedy_match(cleaned, VARIANT_KEYS + ["is_error"], "prediction", "reference", vectors)
+    if sample_mode == "first":
+        cleaned = S.clean_answers(answered)
+        scored = S.greedy_match(cleaned, VARIANT_KEYS + ["is_error"], "prediction", "reference", vectors)
+    else:
+        flags = answered.select(*VARIANT_KEYS, F.coalesce(F.size("generated_answer") == 0, F.lit(True)).alias("is_error"))
+        per = S.score_samples(answered, VARIANT_KEYS, "generated_answer", "answer", vectors, sample_mode)
+        scored = flags.join(per, VARIANT_KEYS, "left")
     if baseline is not None:
         scored = scored.withColumn("f1", S.rescale("f1", baseline))
     sinks.write_records(scored, out_path)

@@ -16,6 +16,6 @@ def test_cli_stages(spark, tmp_dir, capsys):
     assert main(["answer", "--records", ds, "--out", ans, "--model", "stub", "--prompt-mode", "question_only"],
                 spark) == 0
     assert main(["evaluate", "--answers", ans, "--model", "stub", "--prompt-mode", "question_only",
-                 "--vectors", f"{SF}/embeddings.parquet", "--out", sc], spark) == 0
+                 "--vectors", f"{SF}/embeddings.parquet", "--out", sc, "--samples", "best"], spark) == 0
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert set(report) == {"overall", "by_primary"} and len(report["by_primary"]) == 4

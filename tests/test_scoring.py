@@ -89,3 +89,34 @@ def test_bounded_vocab_falls_back_to_join(spark):
     small = S.greedy_match(df, ["id"], "p", "r", vecs, buckets=5).first()
     joined = S.greedy_match(df, ["id"], "p", "r", vecs, buckets=5, broadcast_max_rows=2).first()
     assert [round(x, 9) for x in small[1:]] == [round(x, 9) for x in joined[1:]]
+
+
+def _brute_f1(pred, ref, nb=2):
+    import hashlib
+    import re
+
+    def b(t):
+        return int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % nb
+    p = [b(t) for t in re.findall("[a-z0-9]+", pred.lower())]
+    r = [b(t) for t in re.findall("[a-z0-9]+", ref.lower())]
+    if not p or not r:
+        return 0.0
+    prec = sum(max(float(x == y) for y in r) for x in p) / len(p)
+    rec = sum(max(float(x == y) for y in p) for x in r) / len(r)
+    return 2 * prec * rec / (prec + rec) if prec + rec else 0.0
+
+
+def test_score_samples_modes(spark):
+    vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    gens = {1: ["alpha", "alpha beta gamma", "zzz qq"], 2: ["one two", "three"], 3: []}
+    refs = {1: "alpha beta", 2: "four five six", 3: "x"}
+    df = spark.createDataFrame([(k, gens[k], refs[k]) for k in gens], "id bigint, gen array<string>, ans string")
+    got = {m: {r["id"]: round(r["f1"], 9) for r in
+               S.score_samples(df, ["id"], "gen", "ans", vecs, m, buckets=2).collect()}
+           for m in ("first", "best", "mean")}
+    for k in (1, 2):
+        f = [_brute_f1(g, refs[k]) for g in gens[k]]
+        assert got["first"][k] == round(f[0], 9)
+        assert got["best"][k] == round(max(f), 9)
+        assert got["mean"][k] == round(sum(f) / len(f), 9)
+    assert 3 not in got["first"] and 3 not in got["best"]
