@@ -197,13 +197,18 @@ def _job(seed: int, consistent: bool):
     return run
 
 
-ORDINAL_SCHEMA = T.StructType([T.StructField("code_key", T.StringType()), T.StructField("renamed", T.StringType())])
+ORDINAL_SCHEMA = T.StructType([T.StructField("code_key", T.StringType()), T.StructField("renamed", T.StringType()),
+                               T.StructField("idents", T.ArrayType(IDENT))])
 
 
 def _ordinal_job(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         outs = [rename_ordinal(c if c is not None else "") for c in pdf["code"]]
-        yield pd.DataFrame({"code_key": pdf["code_key"], "renamed": [o[0] if o else None for o in outs]})
+        yield pd.DataFrame({
+            "code_key": pdf["code_key"],
+            "renamed": [o[0] if o else None for o in outs],
+            "idents": [[{"name": n, "alias": a, "is_def": d, "first_pos": p} for n, a, d, p in o[1]] if o else []
+                       for o in outs]})
 
 
 def rename_ordinal_distinct(codes: DataFrame, code_col: str = "code") -> DataFrame:
@@ -295,3 +300,34 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
         "primary_obfuscation", "secondary_obfuscation", *extra,
         substitute("question", "_map").alias("question"), substitute("answer", "_map").alias("answer"),
         "error")
+
+
+def older_grid(records: DataFrame, keys: Sequence[str], rewrites: DataFrame) -> DataFrame:
+    """Older five-level variant: records x (None, Undocument, Rename, Refactor, Dead Code).
+
+    Rename gives every name an ordinal alias and renames question and answer
+    with the same map; Refactor and Dead Code take the model rewrites
+    (``rewrites``: code_id, level, obfuscated_code).  A code that does not
+    parse keeps its text at the parser levels and is flagged ``error``.
+    """
+    keys = list(keys)
+    res = rewrite_distinct(records, "code")
+    ords = rename_ordinal_distinct(records, "code")
+    per_code = join_on_key(res.select("code_key", "ok", "undocumented"), ords.select(
+        F.col("code_key").alias("k2"), F.col("renamed").alias("ordinal"), alias_map(F.col("idents")).alias("m")),
+        "code_key", "k2", "left")
+    fan = FO.over_primary(records.select(*keys, "code_id", "code", "question", "answer"), catalog.PRIMARY_LEVELS_V1)
+    j = join_on_key(fan, per_code, H.content_key(F.col("code")), "code_key", "left")
+    j = j.join(rewrites.withColumnRenamed("level", "primary_obfuscation"), ["code_id", "primary_obfuscation"], "left")
+    lvl = F.col("primary_obfuscation")
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    code = (F.when(lvl == "None", F.col("code"))
+             .when(lvl == "Undocument", F.when(ok, F.col("undocumented")).otherwise(F.col("code")))
+             .when(lvl == "Rename", F.when(ok, F.col("ordinal")).otherwise(F.col("code")))
+             .otherwise(F.col("obfuscated_code")))
+    renames = (lvl == "Rename") & ok
+    return j.select(*keys, F.col("primary_obfuscation").alias("obfuscation"),
+                    code.alias("obfuscated_code"),
+                    (lvl.isin("Undocument", "Rename") & ~ok).alias("error"),
+                    F.when(renames, substitute("question", "m")).otherwise(F.col("question")).alias("question"),
+                    F.when(renames, substitute("answer", "m")).otherwise(F.col("answer")).alias("answer"))

@@ -252,3 +252,51 @@ def identifier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.countDistinct("alias").cast("bigint").alias("n_aliases"),
         F.count_if("is_def").cast("bigint").alias("n_defs"),
         (F.countDistinct("alias") == F.count(F.lit(1))).alias("aliases_unique"))
+
+
+_O2 = "CASE WHEN w2 = w1 THEN 1 ELSE 2 END"
+_O3 = f"CASE WHEN w3 = w1 THEN 1 WHEN w3 = w2 THEN {_O2} ELSE 2 + (w2 <> w1)::INT END"
+_OL = (f"CASE WHEN w1 = 'len' THEN 1 WHEN w2 = 'len' THEN {_O2} WHEN w3 = 'len' THEN {_O3} "
+       f"ELSE 1 + (1 + (w2 <> w1)::INT + (w3 <> w1 AND w3 <> w2)::INT) END")
+
+
+def _sql_ordinal_code() -> str:
+    def a(o: str) -> str:
+        return f"('_' || CAST({o} AS VARCHAR))"
+    nl = "chr(10)"
+    return (f"('def ' || {a('0')} || '(' || {a('1')} || ', ' || {a(_O2)} || '):' || {nl}"
+            f" || '    ' || repeat(chr(34), 3) || docstring || repeat(chr(34), 3) || {nl}"
+            f" || '    ' || {a(_O3)} || ' = ' || {a(_OL)} || '(' || {a('1')} || ') + ' || {a(_O2)} || {nl}"
+            f" || '    return ' || {a(_O3)})")
+
+
+def _sql_sub_ordinal(text: str) -> str:
+    whens = (f"WHEN r = 'f_' || ident_s THEN '_0' WHEN r = w1 THEN '_1' WHEN r = w2 THEN '_' || CAST({_O2} AS VARCHAR) "
+             f"WHEN r = w3 THEN '_' || CAST({_O3} AS VARCHAR) WHEN r = 'len' THEN '_' || CAST({_OL} AS VARCHAR)")
+    return (f"array_to_string(list_transform(regexp_extract_all({text}, {_RUNS}, 1),"
+            f" lambda r: CASE {whens} ELSE r END), '')")
+
+
+def _sql_older_grid() -> str:
+    ok = _sql_ok("w1", "w2", "w3")
+    code = (f"CASE lv WHEN 'None' THEN code"
+            f" WHEN 'Undocument' THEN CASE WHEN {ok} THEN {_sql_unparse('ident_s', 'docstring', 'k', '0', False, True)} ELSE code END"
+            f" WHEN 'Rename' THEN CASE WHEN {ok} THEN {_sql_ordinal_code()} ELSE code END"
+            f" WHEN 'Refactor' THEN {_PCODE['Refactor']} WHEN 'Dead Code' THEN {_PCODE['Dead Code']} END")
+    return f"""
+    SELECT conv_id, turn, lv AS obfuscation, md5({code}) AS code_md5,
+           (lv IN ('Undocument', 'Rename') AND NOT ({ok})) AS error,
+           CASE WHEN lv = 'Rename' AND {ok} THEN {_sql_sub_ordinal('question')} ELSE question END AS question,
+           CASE WHEN lv = 'Rename' AND {ok} THEN {_sql_sub_ordinal('answer')} ELSE answer END AS answer
+    FROM (SELECT *, md5(code) AS k FROM {_QA} s0) s,
+         (SELECT unnest({Q.str_list(catalog.PRIMARY_LEVELS_V1)}) AS lv) l"""
+
+
+@query("older_grid", sql=_sql_older_grid())
+def older_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Older five-level variant over transcript Q/A with code made from each question."""
+    codes = _qa_codes(spark, sf_dir)
+    rewrites = G.primary_rewrites(codes.select("code_id", "code"), I.echo_code_completer)
+    g = RW.older_grid(codes, ["conv_id", "turn"], rewrites)
+    return g.select("conv_id", "turn", "obfuscation", F.md5("obfuscated_code").alias("code_md5"), "error",
+                    "question", "answer")

@@ -93,3 +93,20 @@ def test_ordinal_scheme_renames_everything():
     assert out == "def _0(_1, _2):\n    _3 = _4(_1) + _2\n    return _3"
     assert [i[0] for i in idents] == ["f", "a", "b", "c", "len"]
     assert RW.rename_ordinal("def (:") is None
+
+
+def test_older_grid(spark):
+    recs = spark.createDataFrame(
+        [(1, 1, "def f(a):\n    return len(a)\n", "What does f do with a?", "It counts a."),
+         (2, 2, "def g(:\n", "q", "a")],
+        "qa_id bigint, code_id bigint, code string, question string, answer string")
+    rewrites = spark.createDataFrame([(1, "Refactor", "R1"), (1, "Dead Code", "D1")],
+                                     "code_id bigint, level string, obfuscated_code string")
+    out = {(r["qa_id"], r["obfuscation"]): r for r in RW.older_grid(recs, ["qa_id"], rewrites).collect()}
+    assert len(out) == 10
+    assert out[(1, "Rename")]["obfuscated_code"] == "def _0(_1):\n    return _2(_1)"
+    assert out[(1, "Rename")]["question"] == "What does _0 do with _1?"
+    assert out[(1, "Undocument")]["obfuscated_code"] == "def f(a):\n    return len(a)"
+    assert out[(1, "Refactor")]["obfuscated_code"] == "R1" and out[(1, "None")]["question"] == "What does f do with a?"
+    assert out[(2, "Rename")]["error"] and out[(2, "Rename")]["obfuscated_code"] == "def g(:\n"
+    assert not out[(2, "None")]["error"]
