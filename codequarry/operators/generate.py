@@ -105,3 +105,46 @@ def chain_missing(codes: DataFrame, rewrites: DataFrame) -> DataFrame:
 
 
 SQL_ECHO_MARK = "substr(md5({instr}), 1, 6)"
+
+
+FOLLOWUP_ROWS = [(c, f, n, c == "extractive") for c, f, n in zip(
+    catalog.FOLLOWUP_CATEGORIES, catalog.FOLLOWUP_FIRST_PROMPTS, catalog.FOLLOWUP_NEXT_PROMPTS)]
+
+
+def generate_followups(codes: DataFrame, factory: I.CompleterFactory,
+                       config: I.GenerationConfig = I.GenerationConfig(n=1),
+                       n: int = catalog.FOLLOWUP_N) -> DataFrame:
+    """codes (code_id, code) -> (code_id, category, q_no, question, answer).
+
+    Per category one transcript: an optional context turn (extractive
+    category), then n rounds of question turn + answer turn (a span for the
+    extractive category); every call sees the whole transcript so far,
+    which holds at most 2n + 3 messages.
+    """
+    from . import fanout as FO
+    gen = F.lit(P.GENERATION_PROMPT)
+    seeds = ("code_id", "category")
+
+    def seg(role: str, text) -> Column:
+        return P.chat_segment(F.lit(role), text)
+
+    r = FO.fan_out(codes.select("code_id", "code"), FOLLOWUP_ROWS, ["category", "first_prompt", "next_prompt", "extractive"])
+    ctx_user = seg("user", F.lit(catalog.FOLLOWUP_EXTRACTIVE_CONTEXT))
+    r = r.withColumn("_p", F.when(F.col("extractive"), F.concat(ctx_user, gen)))
+    r = I.complete_rows(r, "_p", factory, config, "_c", seed_cols=seeds)
+    r = r.withColumn("_t", F.when(F.col("extractive"), F.concat(ctx_user, seg("assistant", _first("_c"))))
+                     .otherwise(F.lit(""))).drop("_p", "_c")
+    answer_turn = F.when(F.col("extractive"), F.lit(catalog.FOLLOWUP_SPAN_PROMPT)).otherwise(
+        F.lit(catalog.FOLLOWUP_ANSWER_PROMPT))
+    for i in range(n):
+        ask = P.question_turn("code", "first_prompt") if i == 0 else F.col("next_prompt")
+        r = r.withColumn("_t", F.concat("_t", seg("user", ask))).withColumn("_p", F.concat("_t", gen))
+        r = I.complete_rows(r, "_p", factory, config, f"_q{i}", seed_cols=seeds).drop("_p")
+        r = r.withColumn("_t", F.concat("_t", seg("assistant", _first(f"_q{i}")), seg("user", answer_turn)))
+        r = I.complete_rows(r.withColumn("_p", F.concat("_t", gen)), "_p", factory, config, f"_a{i}",
+                            seed_cols=seeds).drop("_p")
+        r = r.withColumn("_t", F.concat("_t", seg("assistant", _first(f"_a{i}"))))
+    rounds = F.array(*[F.struct(F.lit(i).cast("bigint").alias("q_no"), _first(f"_q{i}").alias("question"),
+                                _first(f"_a{i}").alias("answer")) for i in range(n)])
+    return r.select("code_id", "category", F.explode(rounds).alias("x")).select(
+        "code_id", "category", "x.q_no", "x.question", "x.answer")

@@ -181,3 +181,40 @@ def replay_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = msgs.filter(F.col("role") == "user").select("conv_id", "turn", "text")
     out = I.replay(users, "text", recorded)
     return out.select("conv_id", "turn", F.get(F.col("generated_answer"), 0).alias("replayed"))
+
+
+def _sql_followups(n: int = catalog.FOLLOWUP_N) -> str:
+    nl = "chr(10)"
+
+    def u(x: str) -> str:
+        return f"('<|user|>' || {nl} || {x} || {nl})"
+
+    def a(x: str) -> str:
+        return f"('<|assistant|>' || {nl} || {x} || {nl})"
+    gen = f"('<|assistant|>' || {nl})"
+    rows = ", ".join(f"({Q.lit(c)}, {Q.lit(f)}, {Q.lit(nx)}, {'true' if c == 'extractive' else 'false'})"
+                     for c, f, nx in zip(catalog.FOLLOWUP_CATEGORIES, catalog.FOLLOWUP_FIRST_PROMPTS,
+                                         catalog.FOLLOWUP_NEXT_PROMPTS))
+    ctx = u(Q.lit(catalog.FOLLOWUP_EXTRACTIVE_CONTEXT))
+    ans = (f"CASE WHEN extractive THEN {Q.lit(catalog.FOLLOWUP_SPAN_PROMPT)} "
+           f"ELSE {Q.lit(catalog.FOLLOWUP_ANSWER_PROMPT)} END")
+    ctes = [f"""r AS (SELECT d.doc_id AS code_id, d.text AS code, f.* FROM documents d,
+                (VALUES {rows}) AS f(category, first_prompt, next_prompt, extractive))""",
+            f"t0 AS (SELECT *, CASE WHEN extractive THEN {ctx} || {a(_sql_hash(ctx + ' || ' + gen))} ELSE '' END AS t FROM r)"]
+    for i in range(n):
+        ask = "concat_ws(chr(10) || chr(10), code, first_prompt)" if i == 0 else "next_prompt"
+        ctes.append(f"q{i} AS (SELECT *, {_sql_hash(f't || {u(ask)} || {gen}')} AS question{i},"
+                    f" t || {u(ask)} AS tq FROM t{i})")
+        ctes.append(f"a{i} AS (SELECT *, tq || {a(f'question{i}')} || {u(ans)} AS ta FROM q{i})")
+        ctes.append(f"t{i + 1} AS (SELECT * EXCLUDE (t, tq, ta), {_sql_hash(f'ta || {gen}')} AS answer{i},"
+                    f" ta || {a(_sql_hash(f'ta || {gen}'))} AS t FROM a{i})")
+    union = " UNION ALL ".join(
+        f"SELECT code_id, category, {i}::BIGINT AS q_no, question{i} AS question, answer{i} AS answer FROM t{n}"
+        for i in range(n))
+    return "WITH " + ",\n".join(ctes) + "\n" + union
+
+
+@query("generate_followups", sql=_sql_followups())
+def generate_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n follow-up question/answer rounds per category in one growing transcript."""
+    return G.generate_followups(corpus(spark, sf_dir), I.hash_completer)
