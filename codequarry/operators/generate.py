@@ -104,8 +104,6 @@ def chain_missing(codes: DataFrame, rewrites: DataFrame) -> DataFrame:
     return codes.select("code_id").join(have, "code_id", "left_anti")
 
 
-SQL_ECHO_MARK = "substr(md5({instr}), 1, 6)"
-
 
 FOLLOWUP_ROWS = [(c, f, n, c == "extractive") for c, f, n in zip(
     catalog.FOLLOWUP_CATEGORIES, catalog.FOLLOWUP_FIRST_PROMPTS, catalog.FOLLOWUP_NEXT_PROMPTS)]

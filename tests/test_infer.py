@@ -69,3 +69,10 @@ def test_pending(spark):
     recs = spark.range(5).withColumnRenamed("id", "k")
     done = spark.createDataFrame([(1,), (3,)], "k bigint")
     assert sorted(r["k"] for r in I.pending(recs, done, ["k"]).collect()) == [0, 2, 4]
+
+
+def test_replay_completer_by_text(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c")], "id bigint, prompt string")
+    rec = {"a": ["A"], "b": ["B"]}
+    out = I.batch_infer(df, "prompt", lambda: I.replay_completer(rec), I.GenerationConfig(n=1))
+    assert {r["id"]: r["generated_answer"] for r in out.collect()} == {1: ["B"], 2: ["A"], 3: []}
