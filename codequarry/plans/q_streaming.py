@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
+from ..operators import infer as I
 from ..session import scratch_path
+from . import catalog
 from ..sources import readers as R
 from ..streaming.ingest import run_incremental
 from .q_sources import PROPS_SCHEMA
@@ -34,3 +37,32 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = run_incremental(spark, src, schema, ["event_id"], parse, sink, ckpt)
     return out.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n_events"),
                                          F.sum("k").cast("bigint").alias("sum_k"))
+
+
+_QO = P.sql_fill(catalog.QA_TEMPLATE_QUESTION_ONLY, question="text")
+
+
+@query("incremental_answers", sql=f"""
+    SELECT conv_id, turn, {I.sql_hash_completion(_QO)} AS answer
+    FROM conversations WHERE role = 'user'""")
+def incremental_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving transcript turns answered micro-batch by micro-batch.
+
+    Each micro-batch renders question-only prompts for its user turns, calls
+    the batched completer (identical prompts once) and writes its own batch
+    partition; a second run finds nothing new.
+    """
+    src = f"{sf_dir.rstrip('/')}/conversations*.parquet"
+    schema = spark.read.parquet(src).schema
+    run = uuid.uuid4().hex[:12]
+    sink, ckpt = scratch_path(spark, f"answers-{run}/sink"), scratch_path(spark, f"answers-{run}/checkpoint")
+
+    def answer(batch: DataFrame) -> DataFrame:
+        users = batch.filter(F.col("role") == "user").select(
+            "conv_id", "turn", P.qa_prompt("", "text", "question_only").alias("prompt"))
+        out = I.batch_infer(users, "prompt", I.hash_completer, I.GenerationConfig(n=1))
+        return out.select("conv_id", "turn", F.get(F.col("generated_answer"), 0).alias("answer"))
+
+    for _ in range(2):
+        out = run_incremental(spark, src, schema, ["conv_id", "turn"], answer, sink, ckpt)
+    return out.select("conv_id", "turn", "answer")
