@@ -58,3 +58,11 @@ def test_fanout_cardinality(spark):
     assert FO.over_categories(df).count() == 63
     assert FO.over_grid(FO.over_categories(df)).count() == 7 * 9 * 16
     assert FO.numbered(df, 3).count() == 21
+
+
+def test_single_user_message_render(spark):
+    from codequarry.functions import prompts as P
+    df = spark.createDataFrame([("Explain x.",)], "p string")
+    got = df.select(P.render_messages(P.user_message("p")).alias("r")).first()["r"]
+    assert got == "<|user|>\nExplain x.\n<|assistant|>\n"
+    assert df.select(P.qa_prompt("p", "p", "raw").alias("r")).first()["r"] == "Explain x."
