@@ -30,11 +30,13 @@ def _first(col: str) -> Column:
 def generate_qa(records: DataFrame, factory: I.CompleterFactory,
                 config: I.GenerationConfig = I.GenerationConfig(n=1),
                 answer_prompt: str = catalog.ANSWER_PROMPT) -> DataFrame:
-    """records (code_id, code, category, pre_prompt, prompt) -> + question, answer.
+    """records (code_id, code, category, pre_prompt, prompt) -> (code_id, category, question, answer).
 
     Every record gets its own calls (as sampling requires).  The transcript
     is carried as rendered text: each turn appends its chat segment, and a
-    prompt is the transcript so far plus the generation prompt.
+    prompt is the transcript so far plus the generation prompt.  Columns are
+    dropped as soon as the transcript holds them, so the Arrow stages ship
+    only what later turns need.
     """
     gen = F.lit(P.GENERATION_PROMPT)
     seeds = ("code_id", "category")
@@ -44,12 +46,14 @@ def generate_qa(records: DataFrame, factory: I.CompleterFactory,
     context = F.when(F.col("pre_prompt").isNotNull(), F.concat(
         P.chat_segment(F.lit("user"), F.col("pre_prompt")),
         P.chat_segment(F.lit("assistant"), _first("_ca")))).otherwise(F.lit(""))
-    r = r.withColumn("_body", F.concat(context, P.chat_segment(F.lit("user"), P.question_turn("code", "prompt"))))
+    r = r.select("code_id", "category", F.concat(context, P.chat_segment(F.lit("user"),
+                                                                        P.question_turn("code", "prompt"))).alias("_body"))
     r = I.complete_rows(r.withColumn("_pb", F.concat("_body", gen)), "_pb", factory, config, "_cb", seed_cols=seeds)
-    r = r.withColumn("_pc", F.concat("_body", P.chat_segment(F.lit("assistant"), _first("_cb")),
-                                     P.chat_segment(F.lit("user"), F.lit(answer_prompt)), gen))
-    r = I.complete_rows(r.select(*records.columns, "_cb", "_pc"), "_pc", factory, config, "_cc", seed_cols=seeds)
-    return r.select(*records.columns, _first("_cb").alias("question"), _first("_cc").alias("answer"))
+    r = r.select("code_id", "category", "_cb",
+                 F.concat("_body", P.chat_segment(F.lit("assistant"), _first("_cb")),
+                          P.chat_segment(F.lit("user"), F.lit(answer_prompt)), gen).alias("_pc"))
+    r = I.complete_rows(r, "_pc", factory, config, "_cc", seed_cols=seeds)
+    return r.select("code_id", "category", _first("_cb").alias("question"), _first("_cc").alias("answer"))
 
 
 # --- primary rewrite ---------------------------------------------------------------
@@ -137,6 +141,9 @@ def generate_followups(codes: DataFrame, factory: I.CompleterFactory,
     for i in range(n):
         ask = P.question_turn("code", "first_prompt") if i == 0 else F.col("next_prompt")
         r = r.withColumn("_t", F.concat("_t", seg("user", ask))).withColumn("_p", F.concat("_t", gen))
+        if i == 0:
+            # the code now lives in the transcript; stop shipping it through Arrow
+            r = r.drop("code", "first_prompt")
         r = I.complete_rows(r, "_p", factory, config, f"_q{i}", seed_cols=seeds).drop("_p")
         r = r.withColumn("_t", F.concat("_t", seg("assistant", _first(f"_q{i}")), seg("user", answer_turn)))
         r = I.complete_rows(r.withColumn("_p", F.concat("_t", gen)), "_p", factory, config, f"_a{i}",

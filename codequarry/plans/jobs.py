@@ -39,7 +39,7 @@ def build_qa_dataset(spark: SparkSession, corpus: DataFrame, completer: I.Comple
     if n is not None:
         R.check_size(sample, min(n, corpus.count()))
     qa = G.generate_qa(FO.over_categories(sample), completer)
-    qa = I.persist_completions(spark, qa.select("code_id", "code", "category", "question", "answer"), "qa")
+    qa = I.persist_completions(spark, qa, "qa").join(sample, "code_id")
     rewrites = G.primary_rewrites(sample, rewriter)
     variants = G.primary_records(qa.withColumnRenamed("code", "original_code")
                                    .withColumn("code", F.col("original_code")), rewrites)
