@@ -133,9 +133,10 @@ def complete_distinct(prompts: DataFrame, prompt_col: str, factory: CompleterFac
 
     ``salt_col`` makes the key per (salt, prompt): rows that must each get
     their own sample (a sampling model) are not merged even when their
-    prompt texts are equal.  ``partitions`` spreads the distinct prompts
-    evenly over that many tasks (round robin) so that model time, not prompt
-    skew, sets the task size.  ``stable`` (default) checkpoints the
+    prompt texts are equal.  ``partitions`` (default
+    ``spark.sql.shuffle.partitions``) spreads the distinct prompts evenly over
+    that many tasks (round robin) so that model time, not prompt skew, sets
+    the task size.  ``stable`` (default) checkpoints the
     completions into the shared checkpoint folder: a sampling model is then
     called exactly once per key even when the result feeds several branches
     of the plan or a task is retried after an executor loss.
