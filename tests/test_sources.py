@@ -85,3 +85,24 @@ def test_intent_examples(spark):
     row = R.intent_examples(df).first()
     assert row["input"] == "def check_if_all_elements(myList):\n    return len(set(myList)) == 1"
     assert row["output"] == "check if all elements in list are identical"
+
+
+def test_load_data_csn(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "csn.jsonl")
+    rows = [{"row_id": i, "code": f'def f{i}():\n    """Doc {i} ."""\n    return {i}',
+             "docstring": f"Doc {i} .", "docstring_tokens": ["Doc", str(i), "."], "path": f"p{i}"}
+            for i in range(6)]
+    with open(p, "w") as f:
+        for r in rows[:3]:
+            f.write(json.dumps(r) + "\n")
+        f.write("{broken\n")
+        for r in rows[3:]:
+            f.write(json.dumps(r) + "\n")
+    out = R.load_data(spark, "csn", path=p, seed=14, start=1, end=4)
+    got = out.collect()
+    assert len(got) == 3
+    for r in got:
+        i = r["row_id"]
+        assert r["input"] == f"def f{i}():\n    return {i}" and r["output"] == f"Doc {i}." and not r["leaked"]
+    full = R.load_data(spark, "csn", path=p, seed=14)
+    assert full.count() == 6
