@@ -106,3 +106,26 @@ def test_load_data_csn(spark, tmp_dir):
         assert r["input"] == f"def f{i}():\n    return {i}" and r["output"] == f"Doc {i}." and not r["leaked"]
     full = R.load_data(spark, "csn", path=p, seed=14)
     assert full.count() == 6
+
+
+def test_answer_layout_prunes_partitions(spark, tmp_dir):
+    import contextlib
+    import io
+    df = spark.createDataFrame([(1, "m1", "with_code", 0.5), (2, "m2", "question_only", 0.7)],
+                               "qa_id bigint, model string, prompt_mode string, f1 double")
+    sinks.write_answers(df, tmp_dir, mode="overwrite")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        sinks.read_answers(spark, tmp_dir, model="m1", prompt_mode="with_code").explain()
+    plan = buf.getvalue()
+    assert "PartitionFilters: [" in plan and "(model#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_corpus_scan_reads_two_columns(spark):
+    import contextlib
+    import io
+    from codequarry.sources.tables import corpus
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        corpus(spark, "/root/testdata/sf0.001").explain()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in buf.getvalue()
