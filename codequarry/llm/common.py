@@ -110,24 +110,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _POW = np.multiply.accumulate(np.array([1] + [_P] * 63, dtype=np.uint64))
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each byte span [start, end) of ``data`` (spans ascending).
 
-    A polynomial over the bytes, summed by span; the power restarts every 64
-    bytes and the block number is mixed into the byte, so long spans stay cheap.
+    A polynomial over the bytes, summed by span.  Spans are worked off in
+    blocks of about ``block`` bytes, so memory does not follow the text.
     """
-    n = end - start
-    if len(n) == 0:
-        return np.empty(0, dtype=np.uint64)
-    off = np.cumsum(n) - n
-    total = int(n.sum())
-    idx = np.arange(total, dtype=np.int64)
-    pos = idx - np.repeat(off, n)
-    b = data[np.repeat(start, n) + pos].astype(np.uint64) + np.uint64(1)
-    if int(n.max()) > 64:
-        b = b + (pos >> 6).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-    h = np.add.reduceat(b * _POW[pos & 63], off)
-    return mix64(h + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    out = np.empty(len(start), dtype=np.uint64)
+    upto = np.cumsum(end - start)
+    i = 0
+    while i < len(start):
+        done = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, done + block, side="right")))
+        n = end[i:j] - start[i:j]
+        off = np.cumsum(n) - n
+        pos = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(off, n)
+        b = data[np.repeat(start[i:j], n) + pos].astype(np.uint64) + np.uint64(1)
+        if int(n.max()) > 64:  # the powers repeat; the place in a long span still counts
+            b = mix64(b + (pos >> 6).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        h = np.add.reduceat(b * _POW[pos & 63], off)
+        out[i:j] = mix64(h + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        i = j
+    return out
 
 
 def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, mixing, quality, sharding, toxicity
 
 
 def _shipped(fn):
@@ -15,8 +15,11 @@ def _shipped(fn):
 
 
 QUERIES = {
+    "op1_toxicity": _shipped(toxicity.op1),
+    "op3_quality": _shipped(quality.op3),
     "op4_reshard": _shipped(sharding.op4),
     "op7_mix": mixing.op7,
+    "op9_bpe": _shipped(bpe.op9),
     "op10_exact_dedup": exact_dedup.op10,
 }
 
