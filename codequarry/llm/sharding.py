@@ -35,7 +35,7 @@ from ..session import scratch_path
 from .common import staged
 
 N_SHARDS = 24
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 LARGE = 64  # a row above 1/64 of a shard is placed by itself
 ROW_BYTES = 8
 OLD, OLD_FILE = "__old_shard", "__old_file"
@@ -191,17 +191,32 @@ def place_large(large: list[tuple[int, str, int]], sizes: list[int], n_new: int)
 # --- the rows ---------------------------------------------------------------
 
 class Resharding:
-    """A solved resharding: ``transfers`` (old, new, bytes), ``path`` of the rewritten
-    shards (``shard=k`` folders) and ``rows``, the whole new layout."""
+    """A solved resharding: ``transfers`` (old, new, bytes), ``path`` of the rewritten shards
+    (``shard=k`` folders), ``untouched`` shards, and ``layout``, all rows as struct ``_row`` with
+    shard, old, block and rn."""
 
-    def __init__(self, moves, path, rows, untouched):
-        self.transfers, self.path, self.rows, self.untouched = moves, path, rows, untouched
+    def __init__(self, moves, path, layout, untouched):
+        self.transfers, self.path, self.layout, self.untouched = moves, path, layout, untouched
+
+    def rows(self, *cols: Column) -> DataFrame:
+        """``cols`` (of ``_row``) with shard and slot; slots run from 0 without gaps in each shard.
+
+        A shard holds its blocks in order, so a row's slot is its block's start plus its place in
+        the block.  Only ``cols`` are shuffled, not the texts.
+        """
+        group = ["shard", "old", "block"]
+        counts = self.layout.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first"))
+        earlier = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
+        base = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+        slim = self.layout.select(F.struct(*cols).alias("_out"), "rn", *group)
+        slot = (F.col("base") + F.col("rn") - F.col("first")).cast("long")
+        return slim.join(base, group).select("_out.*", "shard", slot.alias("slot"))
 
 
 def reshard(spark: SparkSession, docs: DataFrame, old: str, n_new: int = N_SHARDS) -> Resharding:
     """Move ``docs`` from the shards numbered in column ``old`` (0, 1, ...) into ``n_new`` shards.
 
-    ``rows`` has the columns ``_row`` (all columns of ``docs``), shard and slot.
+    The rows cross one shuffle, by (old shard, block), and are written once.
     """
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("string")
     key = F.md5(F.concat_ws(":", F.lit("shard-1"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), crc)
@@ -274,13 +289,7 @@ def reshard(spark: SparkSession, docs: DataFrame, old: str, n_new: int = N_SHARD
     if untouched:
         layout = layout.unionByName(rows.filter(F.col("old").isin(untouched)))
 
-    group = ["shard", "old", "block"]
-    counts = layout.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first"))
-    earlier = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    placed_rows = layout.join(base, group).select(
-        "_row", "shard", (F.col("base") + F.col("rn") - F.col("first")).cast("long").alias("slot"))
-    return Resharding(moves, path, placed_rows, untouched)
+    return Resharding(moves, path, layout, untouched)
 
 
 def by_file(spark: SparkSession, path: str) -> DataFrame:
@@ -295,6 +304,7 @@ def by_file(spark: SparkSession, path: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reshard(spark, by_file(spark, f"{sf_dir}/documents.parquet"), OLD, N_SHARDS)
     text = F.coalesce(F.col("_row.text"), F.lit(""))
-    return r.rows.select(F.col("_row.doc_id").alias("doc_id"), row_size(F.col("_row.text")).alias("size"),
-                         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-                         "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = r.rows(F.col("_row.doc_id").alias("doc_id"), row_size(F.col("_row.text")).alias("size"),
+                 F.crc32(text.cast("binary")).alias("text_crc32"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
