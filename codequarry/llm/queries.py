@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import bpe, exact_dedup, mixing, quality, sharding, toxicity
+from . import bpe, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 
 def _shipped(fn):
@@ -16,6 +16,7 @@ def _shipped(fn):
 
 QUERIES = {
     "op1_toxicity": _shipped(toxicity.op1),
+    "op2_near_dedup": _shipped(near_dedup.op2),
     "op3_quality": _shipped(quality.op3),
     "op4_reshard": _shipped(sharding.op4),
     "op7_mix": mixing.op7,
