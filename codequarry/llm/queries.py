@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import bpe, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
+from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 
 def _shipped(fn):
@@ -19,6 +19,7 @@ QUERIES = {
     "op2_near_dedup": _shipped(near_dedup.op2),
     "op3_quality": _shipped(quality.op3),
     "op4_reshard": _shipped(sharding.op4),
+    "op6_embedding_dedup": _shipped(embedding_dedup.op6),
     "op7_mix": mixing.op7,
     "op9_bpe": _shipped(bpe.op9),
     "op10_exact_dedup": exact_dedup.op10,
