@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
+from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def _shipped(fn):
@@ -21,6 +21,7 @@ QUERIES = {
     "op4_reshard": _shipped(sharding.op4),
     "op6_embedding_dedup": _shipped(embedding_dedup.op6),
     "op7_mix": mixing.op7,
+    "op8_pii": pii.op8,
     "op9_bpe": _shipped(bpe.op9),
     "op10_exact_dedup": exact_dedup.op10,
 }
