@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
+from . import bpe, chat, embedding_dedup, exact_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def _shipped(fn):
@@ -19,6 +19,7 @@ QUERIES = {
     "op2_near_dedup": _shipped(near_dedup.op2),
     "op3_quality": _shipped(quality.op3),
     "op4_reshard": _shipped(sharding.op4),
+    "op5_chat": _shipped(chat.op5),
     "op6_embedding_dedup": _shipped(embedding_dedup.op6),
     "op7_mix": mixing.op7,
     "op8_pii": pii.op8,
