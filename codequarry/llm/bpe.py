@@ -473,22 +473,36 @@ def _ids_of(codec: WordBpe, texts: list[str]) -> Iterator[tuple[int, list[np.nda
         i = j
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``ids`` (array of int): every whole text encoded."""
+def tokenised(spark: SparkSession, docs: DataFrame, path: str | None = None, keep: tuple = ("doc_id",),
+              ids: bool = True) -> DataFrame:
+    """``keep`` columns with n_tokens, ids_sha256, decoded_sha256 and, if wanted, ``ids``.
+
+    Every whole text is encoded, and the digest of its decoded text is that of its ids decoded.
+    """
     file = _file(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(file)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
-            out: list = [None] * len(texts)
+            rows: list = [None] * len(texts)
             for i, parts in _ids_of(codec, texts):
-                out[i] = np.concatenate(parts) if len(parts) > 1 else parts[0]
-            yield pdf.drop(columns="_text").assign(ids=out)
-
-    src = docs.select(*[docs[f"`{c}`"] for c in keep], docs["text"].alias("_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>"
-    return src.mapInPandas(run, schema)
+                a, b, n = hashlib.sha256(), hashlib.sha256(), 0
+                for part in parts:
+                    if len(part):
+                        a.update(part.astype("<u4").tobytes())
+                        b.update((" " if n else "").encode() + codec.decode(part).encode("utf-8"))
+                        n += len(part)
+                rows[i] = (n, a.hexdigest(), b.hexdigest(), np.concatenate(parts) if ids else None)
+            got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"], index=pdf.index)
+            if not ids:
+                got = got.drop(columns="ids")
+            yield pd.concat([pdf.drop(columns="_text"), got], axis=1)
+
+    src = docs.select(*[docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(keep)], docs["text"].alias("_text"))
+    schema = [f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    schema += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * ids
+    return src.mapInPandas(run, ", ".join(schema)).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
 def decode(spark: SparkSession, tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -503,30 +517,5 @@ def decode(spark: SparkSession, tokens: DataFrame, path: str | None = None) -> D
     return tokens.withColumn("decoded", text(F.col("ids")))
 
 
-def digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, and its ids decoded."""
-    file = _file(spark, path)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(file)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            rows: list = [None] * len(texts)
-            for i, parts in _ids_of(codec, texts):
-                a, b, n = hashlib.sha256(), hashlib.sha256(), 0
-                for ids in parts:
-                    if len(ids):
-                        a.update(ids.astype("<u4").tobytes())
-                        b.update((" " if n else "").encode() + codec.decode(ids).encode("utf-8"))
-                        n += len(ids)
-                rows[i] = (n, a.hexdigest(), b.hexdigest())
-            got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), got], axis=1)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tokenised(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
