@@ -126,8 +126,9 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int
         off = np.cumsum(n) - n
         pos = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(off, n)
         b = data[np.repeat(start[i:j], n) + pos].astype(np.uint64) + np.uint64(1)
-        if int(n.max()) > 64:  # the powers repeat; the place in a long span still counts
-            b = mix64(b + (pos >> 6).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        far = np.flatnonzero(pos >= 64)
+        if len(far):  # the powers repeat; the place in a long span still counts
+            b[far] = mix64(b[far] + (pos[far] >> 6).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
         h = np.add.reduceat(b * _POW[pos & 63], off)
         out[i:j] = mix64(h + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         i = j
