@@ -31,6 +31,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count, repeat
 
 import numpy as np
@@ -51,6 +52,27 @@ _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
 
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Characters that Python's Unicode tables do not know; others may class them otherwise."""
+    code = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    cuts = [0] + [i for i in range(1, len(code)) if code[i] != code[i - 1] + 1] + [len(code)]
+    return re.compile("[" + "".join(f"\\U{code[a]:08x}-\\U{code[b - 1]:08x}" for a, b in zip(cuts, cuts[1:])) + "]")
+
+
+@lru_cache(maxsize=1)
+def _library_split():
+    from tokenizers import Regex, normalizers, pre_tokenizers
+    return normalizers.Lowercase(), pre_tokenizers.Split(Regex(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
+
+
+def _library_words(text: str) -> list[str]:
+    """Words of a text with characters newer than Python's tables, by the tables of the file's library."""
+    lower, split = _library_split()
+    return [w for w, _ in split.pre_tokenize_str(lower.normalize_str(text))]
+
+
 class IntTable:
     """Exact open-addressing map from non-negative int64 keys to ints, for arrays of keys."""
 
@@ -360,6 +382,8 @@ class WordBpe:
         if text.isascii():
             return _ASCII_WORDS.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
+        if _unassigned().search(text):
+            return _library_words(text)
         # lower case character by character: a final sigma is like any other
         return _WORDS.findall(text.replace("Σ", "σ").lower())
 
