@@ -8,8 +8,9 @@ decision (rewritten code -> original -> unchanged) is a CASE over two joins
 against the per-code results, the alias map is built from the identifier
 rows, and question/answer renaming is a per-row run mapping.
 
-The Python helper is small and per code: stdlib ``ast`` parse/unparse and
-``symtable`` for the global names that must stay unrenamed.
+The Python helper is small and per code: bindings are read once from the
+symbol tables, a table name -> alias is settled from them, and one pass over
+the tree applies it; any failure of one code is that code's fallback.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import ast
 import symtable
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,148 +36,175 @@ DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 # --- per-code helpers (run inside the Arrow job) ----------------------------------
 
-def undocument_tree(tree: ast.AST) -> int:
+def undocument_tree(tree: ast.AST) -> list[tuple[ast.AST, list]]:
     """Drop the leading string statement of every function/class body.
 
     A body left empty gets ``pass`` (an empty body would print invalid
-    code).  Returns the number of strings removed.
+    code).  Returns the changed nodes with the bodies they had.
     """
-    removed = 0
+    changed = []
     for node in ast.walk(tree):
         if not isinstance(node, DEFS) or not node.body:
             continue
         first = node.body[0]
         if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) \
                 and isinstance(first.value.value, str):
+            changed.append((node, node.body))
             node.body = node.body[1:] or [ast.Pass()]
-            removed += 1
-    return removed
+    return changed
 
 
-def _bound_names(tree: ast.AST) -> set[str]:
-    bound = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Name) and isinstance(node.ctx, (ast.Store, ast.Del)):
-            bound.add(node.id)
-        elif isinstance(node, ast.arg):
-            bound.add(node.arg)
-        elif isinstance(node, DEFS):
-            bound.add(node.name)
-    return bound | import_names(tree)
+# The fields of each node type that hold an identifier of some scope.
+IDENTIFIERS = {"arg": "arg", "Name": "id", "FunctionDef": "name", "AsyncFunctionDef": "name", "ClassDef": "name",
+               "ExceptHandler": "name", "MatchAs": "name", "MatchStar": "name", "MatchMapping": "rest",
+               "Global": "names", "Nonlocal": "names", "TypeVar": "name", "ParamSpec": "name", "TypeVarTuple": "name"}
+
+
+@dataclass(frozen=True)
+class Bindings:
+    """How a code binds each name, read once from its symbol tables."""
+
+    imported: frozenset[str]
+    defined: frozenset[str]      # functions and classes
+    outer: frozenset[str]        # resolved in the module or beyond it by some scope
+    keywords: frozenset[str]     # parameter names that calls to the code's own functions may spell out
 
 
-def global_names(code: str, tree: ast.AST) -> set[str]:
-    """Names resolved in the module scope: module-level symbols plus names
-    that nested scopes treat as global (builtins, module variables)."""
+def nodes_in_order(tree: ast.AST) -> Iterator[ast.AST]:
+    """Depth-first, parents before children, without recursion."""
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(reversed(list(ast.iter_child_nodes(node))))
+
+
+def bindings(code: str, tree: ast.AST) -> Bindings:
+    imported, defined, stored, used, keywords = set(), set(), set(), set(), set()
+    for node in nodes_in_order(tree):
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            imported.update((a.asname or a.name).partition(".")[0] for a in node.names)
+        elif isinstance(node, DEFS):
+            defined.add(node.name)
+            if not isinstance(node, ast.ClassDef):
+                keywords.update(a.arg for a in (*node.args.args, *node.args.kwonlyargs))
+        elif isinstance(node, ast.Name):
+            (used if isinstance(node.ctx, ast.Load) else stored).add(node.id)
+        elif isinstance(node, ast.arg):
+            stored.add(node.arg)
     try:
-        top = symtable.symtable(code, "<code>", "exec")
+        scopes = [symtable.symtable(code, "<code>", "exec")]
+        outer = set(scopes[0].get_identifiers())
+        for scope in scopes:  # grows while it is read: every nested scope
+            scopes.extend(scope.get_children())
+            outer.update(x.get_name() for x in scope.get_symbols() if x.is_global())
     except (SyntaxError, ValueError):
-        # symtable rejects some parseable code (e.g. repeated argument names);
-        # then every name that is never bound counts as global.
-        used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)}
-        return used - _bound_names(tree)
-    names = set(top.get_identifiers())
-    stack = list(top.get_children())
-    while stack:
-        t = stack.pop()
-        names.update(s.get_name() for s in t.get_symbols() if s.is_global())
-        stack.extend(t.get_children())
-    return names
-
-
-def import_names(tree: ast.AST) -> set[str]:
-    out = set()
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            for a in node.names:
-                out.add((a.asname or a.name).split(".")[0])
-    return out
-
+        # parseable, but no program (a repeated argument name): what nothing binds lies outside
+        outer = used - stored - defined
+    return Bindings(frozenset(imported), frozenset(defined), frozenset(outer), frozenset(keywords))
 
-class _Renamer(ast.NodeTransformer):
-    """Rename arguments, names and def/class names; keep globals (unless they
-    are defined here and ``consistent``) and names bound by imports."""
 
-    def __init__(self, keep: set[str], defined: set[str], imported: set[str], alias, consistent: bool):
-        self.keep, self.defined, self.imported = keep, defined, imported
-        self.alias, self.consistent = alias, consistent
-        self.order: dict[str, tuple[str, bool, int]] = {}
+def renames(tree: ast.AST, known: Bindings, alias, consistent: bool) -> dict[str, tuple[str, bool, int]]:
+    """name -> (alias, first met as a definition, place), in order of first meeting.
 
-    def sub(self, name: str, defn: bool = False) -> str:
-        if name in self.imported:
-            return name
-        if not defn and name in self.keep and not (self.consistent and name in self.defined):
+    Kept: imported names, and outer names that the code does not define itself.  With
+    ``consistent`` off, uses of a function or class that lies in the module keep its name.
+    """
+    table: dict[str, tuple[str, bool, int]] = {}
+    for node in nodes_in_order(tree):
+        kind = type(node).__name__
+        if kind not in IDENTIFIERS:
+            continue
+        found = getattr(node, IDENTIFIERS[kind])
+        for name in found if isinstance(found, list) else [found]:
+            if name is None or name in known.imported or name in table:
+                continue
+            is_def = isinstance(node, DEFS)
+            if is_def or name not in known.outer or (consistent and name in known.defined):
+                table[name] = (alias(name), is_def, len(table))
+    return table
+
+
+def apply_renames(tree: ast.AST, table: dict, known: Bindings, consistent: bool) -> None:
+    """Every identifier in ``table`` becomes its alias, in place."""
+    def new(name, is_def=False):
+        if name not in table or not (consistent or is_def or name not in known.outer):
             return name
-        if name not in self.order:
-            self.order[name] = (self.alias(name), defn, len(self.order))
-        return self.order[name][0]
-
-    def visit_arg(self, node):
-        node.arg = self.sub(node.arg)
-        self.generic_visit(node)
-        return node
+        return table[name][0]
 
-    def visit_Name(self, node):
-        node.id = self.sub(node.id)
-        return node
+    for node in nodes_in_order(tree):
+        kind = type(node).__name__
+        if kind in IDENTIFIERS:
+            field = IDENTIFIERS[kind]
+            found = getattr(node, field)
+            value = [new(x) for x in found] if isinstance(found, list) else new(found, isinstance(node, DEFS))
+            setattr(node, field, value)
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in known.defined:
+            for k in node.keywords:
+                if k.arg in known.keywords:
+                    k.arg = new(k.arg)
 
-    def _visit_def(self, node):
-        node.name = self.sub(node.name, defn=True)
-        self.generic_visit(node)
-        return node
 
-    visit_FunctionDef = visit_AsyncFunctionDef = visit_ClassDef = _visit_def
+def _idents(table: dict) -> list[dict]:
+    return [{"name": n, "alias": a, "is_def": d, "first_pos": p} for n, (a, d, p) in table.items()]
 
 
-def rename_tree(code: str, tree: ast.AST, alias, consistent: bool = True) -> tuple[ast.AST, list]:
-    keep = global_names(code, tree)
-    defined = {n.name for n in ast.walk(tree) if isinstance(n, DEFS)}
-    r = _Renamer(keep, defined, import_names(tree), alias, consistent)
-    out = r.visit(tree)
-    idents = [(name, a, d, i) for name, (a, d, i) in r.order.items()]
-    return out, idents
+def _runs(code: str) -> bool:
+    try:
+        compile(code, "<code>", "exec", dont_inherit=True)
+        return True
+    except (SyntaxError, ValueError):
+        return False
 
 
 def rename_ordinal(code: str) -> tuple[str, list] | None:
     """Older scheme: every name (arguments, names, definitions, builtins
-    included) becomes ``_<n>`` in first-visit order; None when unparsable."""
+    included) becomes ``_<n>`` in first-visit order; None when that fails."""
     try:
         tree = ast.parse(code)
-    except Exception:  # noqa: BLE001
+        everything = Bindings(*[frozenset()] * 4)
+        seen: dict[str, int] = {}
+        table = renames(tree, everything, lambda name: f"_{seen.setdefault(name, len(seen))}", True)
+        known = bindings(code, tree)
+        apply_renames(tree, table, known, True)
+        return ast.unparse(tree), _idents(table)
+    except Exception:  # noqa: BLE001 - one odd code must not end the job
         return None
-    counter: dict[str, str] = {}
 
-    def alias(name: str) -> str:
-        return counter.setdefault(name, f"_{len(counter)}")
 
-    r = _Renamer(set(), set(), set(), alias, consistent=True)
-    out = r.visit(tree)
-    return ast.unparse(out), [(n, a, d, i) for n, (a, d, i) in r.order.items()]
+WANTED = ("undocumented", "renamed", "both")
+FAILED = {"ok": False, "undocumented": None, "renamed": None, "both": None, "idents": []}
+
 
+def rewrite_code(code: str, code_key: str, seed: int = catalog.DEFAULT_SEED, consistent: bool = True,
+                 wanted: Sequence[str] = WANTED) -> dict:
+    """The ``wanted`` secondary rewrites of one code, parsed once.
 
-def rewrite_code(code: str, code_key: str, seed: int = catalog.DEFAULT_SEED,
-                 consistent: bool = True) -> dict:
-    """All secondary rewrites of one code, or ok=False when it does not parse."""
+    ok=False when the code does not parse, is too deep to print, or a rewrite
+    of a code that compiles would not compile itself.
+    """
     try:
-        ast.parse(code)
-    except Exception:  # noqa: BLE001 - any parse failure (syntax, null bytes) falls back
-        return {"ok": False, "undocumented": None, "renamed": None, "both": None, "idents": []}
-
-    def alias(name: str) -> str:
-        return H.py_alias_name(seed, code_key, name)
-
-    t1 = ast.parse(code)
-    undocument_tree(t1)
-    undocumented = ast.unparse(t1)
-    t2 = ast.parse(code)
-    renamed_tree, idents = rename_tree(code, t2, alias, consistent)
-    renamed = ast.unparse(renamed_tree)
-    t3 = ast.parse(code)
-    undocument_tree(t3)
-    both_tree, _ = rename_tree(code, t3, alias, consistent)
-    both = ast.unparse(both_tree)
-    return {"ok": True, "undocumented": undocumented, "renamed": renamed, "both": both,
-            "idents": [{"name": n, "alias": a, "is_def": d, "first_pos": p} for n, a, d, p in idents]}
+        tree = ast.parse(code)
+        known = bindings(code, tree)
+        out = dict(FAILED, ok=True)
+        if "undocumented" in wanted:
+            dropped = undocument_tree(tree)
+            out["undocumented"] = ast.unparse(tree)
+            for node, body in dropped:
+                node.body = body
+        table = renames(tree, known, lambda name: H.py_alias_name(seed, code_key, name), consistent)
+        out["idents"] = _idents(table)
+        if "renamed" in wanted or "both" in wanted:
+            apply_renames(tree, table, known, consistent)
+            out["renamed"] = ast.unparse(tree) if "renamed" in wanted else None
+        if "both" in wanted:
+            undocument_tree(tree)
+            out["both"] = ast.unparse(tree)
+        if _runs(code) and not all(_runs(out[w]) for w in wanted):
+            return dict(FAILED)
+        return out
+    except Exception:  # noqa: BLE001 - syntax, null bytes, recursion: the fallback applies
+        return dict(FAILED)
 
 
 # --- the Spark job ----------------------------------------------------------------
@@ -207,8 +236,7 @@ def _ordinal_job(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "code_key": pdf["code_key"],
             "renamed": [o[0] if o else None for o in outs],
-            "idents": [[{"name": n, "alias": a, "is_def": d, "first_pos": p} for n, a, d, p in o[1]] if o else []
-                       for o in outs]})
+            "idents": [o[1] if o else [] for o in outs]})
 
 
 def rename_ordinal_distinct(codes: DataFrame, code_col: str = "code") -> DataFrame:

@@ -1,8 +1,4 @@
-"""Spark column functions against plain-Python statements of the same rules,
-on random strings (hypothesis)."""
-
-import re
-import string
+"""Text rules by hand-worked tables, and by properties on random strings (hypothesis)."""
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,67 +6,58 @@ from hypothesis import strategies as st
 from codequarry.functions import text as TX
 from codequarry.operators import rewrite as RW
 
-ALPHABET = st.sampled_from(list("ab xyz.?!\"-`'\t\n_1é¿") + ["in", "of", "to", " - "])
-TEXTS = st.lists(ALPHABET, max_size=25).map("".join)
+ALPHABET = st.sampled_from(list("ab xyz.?!\"-`'\t\n_1é¿") + ["in", "of", "to", " - ", "def ", "class "])
+TEXTS = st.lists(st.lists(ALPHABET, max_size=25).map("".join), min_size=5, max_size=5)
 
 
-def py_keep_lines(s):
-    return "\n".join(l for l in s.split("\n") if l.startswith(("\t", " ", "def ", "class ")))
+def run(spark, col, values):
+    df = spark.createDataFrame([(v,) for v in values], "c0 string")
+    return [r[0] for r in df.select(col).collect()]
 
 
-def py_fix(s):
-    return re.sub(r'\s([?.!"](?:\s|$))', r"\1", s).replace(" - ", "-")
+def test_keep_code_lines_by_hand(spark):
+    cases = {"def f():\n    return 1\nprint(2)\n": "def f():\n    return 1", "x\n y\n\tz": " y\n\tz",
+             "class A:\nclassy\ndefine\ndef g": "class A:\ndef g", "": "", "\n\n": "", "import os": ""}
+    assert run(spark, TX.keep_code_lines("c0"), list(cases)) == list(cases.values())
 
 
-def py_entry(intent, n=4, stops=("in", "of", "a", "to", "and", "for", "with", "that"), delims=("`", "'")):
-    words = [w.lower() for w in intent.split()[:n]]
+def test_fix_punctuation_by_hand(spark):
+    cases = {"Is it ?": "Is it?", "so ! yes": "so! yes", "a . b": "a. b", 'he said " ok': 'he said" ok',
+             "well - known": "well-known", "no ?x": "no ?x", "tab\t.": "tab.", "": "", "a  .": "a ."}
+    assert run(spark, TX.fix_punctuation("c0"), list(cases)) == list(cases.values())
 
-    def numeric(w):
-        try:
-            float(w)
-            return True
-        except ValueError:
-            return False
-    cut = len(words)
-    for i, w in enumerate(words):
-        if numeric(w) or (i > 1 and w in stops) or w.startswith(delims):
-            cut = i
-            break
-    words = ["".join(c for c in w if c not in string.punctuation) for w in words[:cut]]
-    words = [w for w in words if w.strip()]
-    if len(words) < 2:
-        words = ["f"] + words
-    if words[0].startswith("¿"):
-        words[0] = words[0][1:]
-    return "_".join(words)
 
+def test_entry_point_name_by_hand(spark):
+    cases = {"sort a list in place": "sort_a_list", "Convert string to int": "convert_string", "hello": "f_hello",
+             "": "f", "split `x` by comma": "f_split", "get 3 items": "f_get", "¿cómo abrir archivos grandes?":
+             "cómo_abrir_archivos_grandes", "read-only file, please now": "readonly_file_please_now",
+             "of to in and": "of_to"}
+    assert run(spark, TX.entry_point_name("c0"), list(cases)) == list(cases.values())
 
-def run(spark, col, values):
-    df = spark.createDataFrame([(v,) for v in values], "c0 string")
-    return [r[0] for r in df.select(col).collect()]
 
-
-@settings(max_examples=1, deadline=None)
-@given(st.lists(TEXTS, min_size=40, max_size=40))
-def test_text_rules_match_python(spark, texts):
-    assert run(spark, TX.keep_code_lines("c0"), texts) == [py_keep_lines(t) for t in texts]
-    assert run(spark, TX.fix_punctuation("c0"), texts) == [py_fix(t) for t in texts]
-    assert run(spark, TX.entry_point_name("c0"), texts) == [py_entry(t) for t in texts]
+@settings(max_examples=25, deadline=None)
+@given(TEXTS)
+def test_text_rules_hold_their_properties(spark, texts):
+    for t, kept in zip(texts, run(spark, TX.keep_code_lines("c0"), texts)):
+        lines = kept.split("\n") if kept else []
+        assert all(x[:1] in (" ", "\t") or x.startswith(("def ", "class ")) for x in lines)
+        rest = iter(t.split("\n"))
+        assert all(x in rest for x in lines)  # a subsequence of the text's lines
+    fixed = run(spark, TX.fix_punctuation("c0"), texts)
+    assert all(" - " not in x and len(x) <= len(t) for t, x in zip(texts, fixed))
+    assert not any(x.endswith((" ?", " .", " !")) and not x[:-2].endswith((" ", "\t", "\n")) for x in fixed)
+    for name in run(spark, TX.entry_point_name("c0"), texts):
+        assert name == name.lower() and not set(name) & set("`'.?!\"- \t\n")
 
 
 WORDS = st.lists(st.sampled_from(["foo", "bar", "foobar", "x", "_y", "é", " ", ".", "-", "foo_bar"]), max_size=12)
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(WORDS.map("".join), min_size=30, max_size=30))
-def test_substitute_matches_regex_loop(spark, texts):
+@settings(max_examples=25, deadline=None)
+@given(st.lists(WORDS, min_size=5, max_size=5))
+def test_substitute_changes_mapped_words_only(spark, lists):
     m = {"foo": "_A1", "bar": "_B2", "x": "_C3"}
-
-    def brute(s):
-        for tok in re.split(r"\W+", s):
-            if tok in m:
-                s = re.sub(rf"\b{tok}\b", m[tok], s)
-        return s
+    texts = ["|".join(w) for w in lists]  # bars stand between the words
     df = spark.createDataFrame([(t, m) for t in texts], "t string, m map<string,string>")
     got = [r[0] for r in df.select(RW.substitute("t", "m")).collect()]
-    assert got == [brute(t) for t in texts]
+    assert got == ["|".join(m.get(w, w) for w in words) for words in lists]

@@ -1,5 +1,3 @@
-import re
-
 from codequarry.functions.hashing import py_alias_name
 from codequarry.operators import rewrite as RW
 
@@ -50,20 +48,56 @@ def test_unparsable():
     assert RW.rewrite_code("def a(:", "k")["ok"] is False
 
 
-def _brute_substitute(s, d):
-    for tok in re.split(r"\W+", s):
-        if tok in d:
-            s = re.sub(rf"\b{tok}\b", d[tok], s)
-    return s
-
-
-def test_substitute_fixture_and_brute_force(spark):
+def test_substitute_by_hand(spark):
     m = {"foo": "_A1", "bar": "_B2"}
-    texts = ["What does foo do with bar and foobar?", "foo_bar foo-bar bar.foo", "", "ünïcode foo bar"]
-    df = spark.createDataFrame([(t, m) for t in texts], "t string, m map<string,string>")
-    got = [r["r"] for r in df.select(RW.substitute("t", "m").alias("r")).collect()]
-    assert got[0] == "What does _A1 do with _B2 and foobar?"
-    assert got == [_brute_substitute(t, m) for t in texts]
+    cases = {"What does foo do with bar and foobar?": "What does _A1 do with _B2 and foobar?",
+             "foo_bar foo-bar bar.foo": "foo_bar _A1-_B2 _B2._A1", "": "", "ünïcode foo bar": "ünïcode _A1 _B2",
+             "foo": "_A1", " foo\nfoo ": " _A1\n_A1 ", "FOO Bar": "FOO Bar", "éfoo fooé foo2": "éfoo fooé foo2"}
+    df = spark.createDataFrame([(t, m) for t in cases], "t string, m map<string,string>")
+    got = {r["t"]: r["r"] for r in df.select("t", RW.substitute("t", "m").alias("r")).collect()}
+    assert got == cases
+
+
+ODD_CODES = [
+    "def count():\n    total = 0\n    def add(k):\n        nonlocal total\n        total += k\n        return total\n    return add\n",
+    "def f(x):\n    try:\n        return 1 / x\n    except ZeroDivisionError as e:\n        print(e)\n        raise\n",
+    "def area(width, height=2):\n    return width * height\ndef g():\n    return area(width=3, height=4)\n",
+    "def f(x):\n    match x:\n        case [first, *rest]:\n            return first, rest\n        case {'a': b, **more}:\n            return b, more\n        case other:\n            return other\n",
+    "SEEN = 0\ndef f():\n    global SEEN\n    SEEN += 1\n    return [y for y in range(SEEN) if (z := y)]\n",
+    "class A[T]:\n    def m[U](self, u: U) -> T:\n        return u\n",
+    "async def f(xs):\n    import os.path as p\n    async for x in xs:\n        yield p.join(x)\n",
+]
+
+
+def test_renamed_codes_compile_and_behave():
+    for code in ODD_CODES:
+        r = RW.rewrite_code(code, "k")
+        assert r["ok"], code
+        for w in RW.WANTED:
+            compile(r[w], "<t>", "exec")
+    r = RW.rewrite_code(ODD_CODES[0], "k")
+    names = {i["name"]: i["alias"] for i in r["idents"]}
+    space = {}
+    exec(r["renamed"], space)
+    add = space[names["count"]]()
+    assert (add(2), add(3)) == (2, 5)
+    r = RW.rewrite_code(ODD_CODES[2], "k")
+    space = {}
+    exec(r["renamed"], space)
+    assert space[{i["name"]: i["alias"] for i in r["idents"]}["g"]]() == 12
+
+
+def test_one_odd_code_does_not_end_the_job():
+    deep = "x = " + "+".join(["1"] * 6000) + "\n"
+    for code in (deep, "x = " + "(" * 400 + ")" * 400, "a\x00b", "def f(a, a): pass\n", "return\n", ""):
+        r = RW.rewrite_code(code, "k")
+        assert r["ok"] in (True, False) and set(r) == set(RW.FAILED)
+        RW.rename_ordinal(code)
+
+
+def test_only_the_wanted_rewrites_are_made():
+    r = RW.rewrite_code("def f(a):\n    'd'\n    return a\n", "k", wanted=("undocumented",))
+    assert r["ok"] and r["undocumented"] == "def f(a):\n    return a" and r["renamed"] is None and r["both"] is None
 
 
 def _variants(spark, rows):
@@ -91,7 +125,7 @@ def test_fallback_rules(spark):
 def test_ordinal_scheme_renames_everything():
     out, idents = RW.rename_ordinal("def f(a, b):\n    c = len(a) + b\n    return c\n")
     assert out == "def _0(_1, _2):\n    _3 = _4(_1) + _2\n    return _3"
-    assert [i[0] for i in idents] == ["f", "a", "b", "c", "len"]
+    assert [i["name"] for i in idents] == ["f", "a", "b", "c", "len"]
     assert RW.rename_ordinal("def (:") is None
 
 
