@@ -23,14 +23,10 @@ def content_key(col) -> Column:
     return F.md5(_c(col))
 
 
-def md5_bucket(col, n: int) -> Column:
-    """Bucket in [0, n) from the first 32 bits of md5(text(col))."""
+def md5_bucket(col, n) -> Column:
+    """Bucket in [0, n) from the first 32 bits of md5(text(col)); ``n`` a number or a column."""
     h = F.conv(F.substring(F.md5(_c(col).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return h % F.lit(n)
-
-
-def sql_md5_bucket(expr: str, n: int) -> str:
-    return f"(('0x' || substr(md5(CAST({expr} AS VARCHAR)), 1, 8))::BIGINT % {n})"
+    return h % (n if isinstance(n, Column) else F.lit(n))
 
 
 def seeded_order_key(seed, *cols) -> Column:
@@ -48,6 +44,3 @@ def py_alias_name(seed, code_key: str, name: str) -> str:
     """Python twin of :func:`alias_name` (used inside rewrite jobs)."""
     return "_" + hashlib.md5(f"{seed}|{code_key}|{name}".encode("utf-8")).hexdigest()[:16]
 
-
-def py_md5(text: str) -> str:
-    return hashlib.md5(text.encode("utf-8")).hexdigest()

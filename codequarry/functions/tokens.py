@@ -46,14 +46,17 @@ def log_softmax(arr) -> Column:
     return with_scalar(a, m + F.log(s), lambda x, lse: x - lse)
 
 
-def top_k(arr, k: int) -> Column:
-    """Top-k (score, idx) structs, score descending, ties by lower index."""
+def ranked(arr) -> Column:
+    """All (score, idx) structs, score descending, ties by lower index."""
     tagged = F.transform(_c(arr), lambda x, i: F.struct((-x.cast("double")).alias("neg"),
                                                          i.alias("idx"),
                                                          x.cast("double").alias("score")))
-    ranked = F.sort_array(tagged)
-    return F.slice(F.transform(ranked, lambda s: F.struct(s["score"].alias("score"),
-                                                          s["idx"].alias("idx"))), 1, k)
+    return F.transform(F.sort_array(tagged), lambda s: F.struct(s["score"].alias("score"), s["idx"].alias("idx")))
+
+
+def top_k(arr, k: int) -> Column:
+    """The first k of :func:`ranked`."""
+    return F.slice(ranked(arr), 1, k)
 
 
 def eos_trim(tokens, eos) -> Column:
@@ -74,9 +77,8 @@ def sequence_logprob(tokens) -> Column:
 
 
 def score_diff(a, b) -> Column:
-    """Difference of two chosen-token scores (token - token or token - number)."""
-    left = token_score(_c(a))
-    right = token_score(_c(b)) if not isinstance(b, (int, float)) else F.lit(float(b))
+    """Difference of two scores, each a token or a number."""
+    left, right = (F.lit(float(x)) if isinstance(x, (int, float)) else token_score(_c(x)) for x in (a, b))
     return left - right
 
 

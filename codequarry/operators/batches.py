@@ -20,22 +20,15 @@ def bucket_of(keys: Sequence[str], n_buckets: int) -> Column:
     return H.md5_bucket(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), n_buckets)
 
 
-ROWS_PER_BUCKET = 1_000_000
+N_BUCKETS = 64  # FIXED VALUE: numbering buckets; raise it where a 64th of the rows is too much for one task
 
 
-def bucket_count(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Number of numbering buckets for ``df``: one per ~``rows_per_bucket`` rows."""
-    return max(1, -(-df.count() // rows_per_bucket))
-
-
-def assign_batches(df: DataFrame, keys: Sequence[str], batch_size: int, n_buckets: int | None = None) -> DataFrame:
+def assign_batches(df: DataFrame, keys: Sequence[str], batch_size: int, n_buckets: int = N_BUCKETS) -> DataFrame:
     """Add (bucket, batch_no): records of a bucket in key order, ``batch_size`` per batch.
 
-    ``n_buckets`` defaults to one bucket per million rows (one count), so a
-    window partition never exceeds about a million small rows.
+    The bucket is a hash of the key alone, so a row's bucket never depends on how many rows there are.
     """
     keys = list(keys)
-    n_buckets = n_buckets or bucket_count(df)
     w = Window.partitionBy("bucket").orderBy(*keys)
     return (df.withColumn("bucket", bucket_of(keys, n_buckets))
               .withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / batch_size).cast("bigint")))

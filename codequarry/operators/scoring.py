@@ -5,14 +5,14 @@ vectors, precision is the mean over prediction tokens of the best cosine to
 any reference token, recall the same the other way, F1 their harmonic mean.
 An example with no known tokens on a side scores 0.
 
-Plan (vocabulary proven small, the usual case): token ids are computed per
-row in the JVM, the unit-vector matrix is broadcast once, and each Arrow
-batch of examples is scored by a numpy matrix product per example: one
-narrow stage, no shuffle.  Otherwise the tokens are exploded and joined to
-the vectors (AQE splits hot tokens), each example's vectors gathered into
-one row (bounded by its text) and scored by the same kernel.  No pair rows
-are ever emitted; the work per example is |pred| x |ref| x dim, the
-metric's own cost.
+Plan, the same at every size: tokens are exploded, counted by (example,
+side, vector id), joined to the vectors on the id (Spark broadcasts a small
+vector table and splits hot ids of a large one) and gathered by example,
+where a numpy kernel scores distinct ids with their counts.  Equal tokens
+have equal vectors, so the means are those over all tokens, and an example
+holds at most one vector an id, however long its texts.  A token's id is its
+hash modulo the largest vector id plus one, read from the table as a scalar
+subquery, so every vector can be met.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from ..functions import text as TX
 from ..functions import tokens as K
 from ..session import ship_package
 
-DEFAULT_VOCAB_BUCKETS = 500  # FIXED VALUE: token -> vector row = md5 bucket mod 500
-
 
 def clean_reference(col) -> Column:
     """Reference answer: strip, then drop double quotes."""
@@ -52,8 +50,18 @@ def clean_answers(df: DataFrame, answer: str = "answer", generated: str = "gener
 
 
 def token_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Vector table normalised once to unit length: (vec_id, v array<double>)."""
-    return vectors.select(F.col(id_col).alias("vec_id"), K.unit_vector(vec_col).alias("v"))
+    """Vector table normalised once to unit length: (vec_id, v array<double>).
+
+    NULL ids and vectors are left out; a repeated id counts with the least of its vectors.
+    """
+    known = vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+    one = known.groupBy(F.col(id_col).alias("vec_id")).agg(F.min(vec_col).alias("_e"))
+    return one.select("vec_id", K.unit_vector("_e").alias("v"))
+
+
+def vocabulary_size(vectors: DataFrame, id_col: str = "vec_id") -> Column:
+    """Largest vector id plus one, as a scalar subquery."""
+    return vectors.agg((F.max(id_col) + 1).cast("long")).scalar()
 
 
 def greedy_scores(pv, rv) -> tuple[Column, Column, Column]:
@@ -71,122 +79,52 @@ def greedy_scores(pv, rv) -> tuple[Column, Column, Column]:
 SCORE_STRUCT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f1")])
 
 
-def _greedy_np(a, b) -> tuple[float, float, float]:
+def _greedy_np(a, b, na=None, nb=None) -> tuple[float, float, float]:
+    """P, R, F1 of two lists of unit vectors, each counted as often as ``na`` / ``nb`` say."""
     if a is None or b is None or len(a) == 0 or len(b) == 0:
         return 0.0, 0.0, 0.0
     sim = np.stack(list(a)) @ np.stack(list(b)).T
-    p = float(sim.max(axis=1).mean())
-    r = float(sim.max(axis=0).mean())
+    p = float(np.average(sim.max(axis=1), weights=na))
+    r = float(np.average(sim.max(axis=0), weights=nb))
     return p, r, (2 * p * r / (p + r) if p + r > 0 else 0.0)
 
 
 @F.pandas_udf(SCORE_STRUCT)
-def greedy_scores_np(pv: pd.Series, rv: pd.Series) -> pd.DataFrame:
-    """Arrow-batched twin of :func:`greedy_scores`: one matrix product per example.
-
-    Array higher-order functions are interpreted (no codegen) and box every
-    multiply; the numpy kernel is two orders of magnitude faster and sees
-    only the already-gathered vectors of one example at a time.
-    """
-    out = [_greedy_np(a, b) for a, b in zip(pv, rv)]
-    return pd.DataFrame(out, columns=["precision", "recall", "f1"])
-
-
-def _greedy_ids(ids: np.ndarray, mat: np.ndarray, a, b) -> tuple[float, float, float]:
-    def rows(x):
-        if x is None or len(x) == 0:
-            return None
-        x = np.asarray(x, dtype=np.int64)
-        pos = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-        hit = ids[pos] == x
-        return mat[pos[hit]] if hit.any() else None
-    return _greedy_np(rows(a), rows(b))
-
-
-def _id_scorer(bc):
-    @F.pandas_udf(SCORE_STRUCT)
-    def score(p: pd.Series, r: pd.Series) -> pd.DataFrame:
-        ids, mat = bc.value
-        return pd.DataFrame([_greedy_ids(ids, mat, a, b) for a, b in zip(p, r)],
-                            columns=["precision", "recall", "f1"])
-    return score
-
-
-def bounded_vocab(vocab: DataFrame, max_rows: int, max_bytes: int):
-    """(sorted ids, unit-vector matrix) when the vocabulary is proven small, else None.
-
-    One short-circuiting job reads at most ``max_rows + 1`` rows to count
-    them and measure the width; only then is the table collected.
-    """
-    probe = vocab.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    n, d = probe["n"], probe["d"] or 0
-    if n > max_rows or n * d * 8 > max_bytes:
-        return None
-    pdf = vocab.toPandas()
-    ids = pdf["vec_id"].to_numpy(dtype=np.int64)
-    order = np.argsort(ids, kind="stable")
-    mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])[order] if n else np.zeros((0, d))
-    return ids[order], mat
-
-
-def token_ids(text: Column, buckets: int, tokenizer: Callable[[Column], Column]) -> Column:
-    """Vector ids of a text's tokens, computed per row (no explode)."""
-    return F.coalesce(F.transform(tokenizer(text), lambda t: H.md5_bucket(t, buckets)),
-                      F.array().cast("array<bigint>"))
+def greedy_scores_np(pv: pd.Series, rv: pd.Series, pn: pd.Series, rn: pd.Series) -> pd.DataFrame:
+    """One matrix product per example over its distinct vectors and their counts."""
+    return pd.DataFrame([_greedy_np(*x) for x in zip(pv, rv, pn, rn)], columns=["precision", "recall", "f1"])
 
 
 def greedy_match(df: DataFrame, keys: Sequence[str], pred: str, ref: str, vectors: DataFrame,
-                 buckets: int = DEFAULT_VOCAB_BUCKETS,
-                 tokenizer: Callable[[Column], Column] = TX.word_tokens,
-                 broadcast_max_rows: int = 200_000, broadcast_max_bytes: int = 256 << 20) -> DataFrame:
+                 buckets: int | None = None,
+                 tokenizer: Callable[[Column], Column] = TX.word_tokens) -> DataFrame:
     """Per example (one row of ``df``): keys + precision, recall, f1 (doubles).
 
-    Bounded vocabulary (the usual case; checked): token ids are computed per
-    row in the JVM and scored against the broadcast matrix in Arrow batches;
-    the plan is one narrow stage with no shuffle.  Otherwise: the
-    join-and-gather plan (:func:`greedy_match_joined`).
+    ``buckets`` fixes the token-to-id modulus (default: from the vector
+    table).  A sentinel item keeps examples without tokens, which score 0.
     """
     keys = list(keys)
     ship_package(df.sparkSession)
-    vocab = token_vectors(vectors)
-    arrays = bounded_vocab(vocab, broadcast_max_rows, broadcast_max_bytes)
-    if arrays is None:
-        return greedy_match_joined(df, keys, pred, ref, vocab, buckets, tokenizer)
-    bc = df.sparkSession.sparkContext.broadcast(arrays)
-    sc = _id_scorer(bc)(token_ids(F.col(pred), buckets, tokenizer), token_ids(F.col(ref), buckets, tokenizer))
-    return df.select(*keys, sc.alias("_s")).select(*keys, "_s.precision", "_s.recall", "_s.f1")
-
-
-def greedy_match_joined(df: DataFrame, keys: Sequence[str], pred: str, ref: str, vocab: DataFrame,
-                        buckets: int = DEFAULT_VOCAB_BUCKETS,
-                        tokenizer: Callable[[Column], Column] = TX.word_tokens) -> DataFrame:
-    """Greedy match for a vocabulary too large to broadcast.
-
-    One pass over ``df``: a single explode emits prediction tokens,
-    reference tokens and one sentinel per example (so token-less examples
-    survive the group-by and score 0 without a join back); one shuffled join
-    to the vectors (AQE splits hot tokens); the example's vectors gathered in
-    one row (bounded by the example's text) and scored by the same kernel.
-    """
-    keys = list(keys)
-    item = "struct<side:string,tok:string>"
-    empty = F.array().cast(f"array<{item}>")
+    empty = F.array().cast("array<struct<side:string,tok:string>>")
 
     def tagged(col: str, side: str) -> Column:
         return F.coalesce(F.transform(tokenizer(F.col(col)),
                                       lambda t: F.struct(F.lit(side).alias("side"), t.alias("tok"))), empty)
 
     sentinel = F.array(F.struct(F.lit("k").alias("side"), F.lit(None).cast("string").alias("tok")))
-    items = F.concat(tagged(pred, "p"), tagged(ref, "r"), sentinel)
-    toks = (df.select(*keys, F.explode(items).alias("it"))
-              .select(*keys, F.col("it.side").alias("side"), H.md5_bucket(F.col("it.tok"), buckets).alias("vec_id")))
-    vecs = toks.join(vocab, "vec_id", "left")
-    gathered = vecs.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("side") == "p", F.col("v"))).alias("pv"),
-        F.collect_list(F.when(F.col("side") == "r", F.col("v"))).alias("rv"))
-    sc = greedy_scores_np(F.col("pv"), F.col("rv"))
-    return gathered.select(*keys, sc["precision"].alias("precision"), sc["recall"].alias("recall"),
-                           sc["f1"].alias("f1"))
+    size = F.lit(buckets) if buckets else vocabulary_size(vectors)
+    toks = (df.select(*keys, F.explode(F.concat(tagged(pred, "p"), tagged(ref, "r"), sentinel)).alias("_it"))
+              .select(*keys, F.col("_it.side").alias("_side"), H.md5_bucket(F.col("_it.tok"), size).alias("vec_id")))
+    counted = toks.groupBy(*keys, "_side", "vec_id").agg(F.count(F.lit(1)).alias("_n"))
+    met = counted.join(token_vectors(vectors), "vec_id", "left")
+
+    def gathered(side: str, value: str) -> Column:
+        return F.collect_list(F.when((F.col("_side") == side) & F.col("v").isNotNull(), F.col(value)))
+
+    g = met.groupBy(*keys).agg(gathered("p", "v").alias("_pv"), gathered("r", "v").alias("_rv"),
+                               gathered("p", "_n").alias("_pn"), gathered("r", "_n").alias("_rn"))
+    g = g.withColumn("_s", greedy_scores_np("_pv", "_rv", "_pn", "_rn"))
+    return g.select(*keys, "_s.precision", "_s.recall", "_s.f1")
 
 
 def rescale(col, baseline) -> Column:
@@ -217,11 +155,10 @@ def encoder_udf(encode: Callable[[list[str]], list[list[list[float]]]]):
 def greedy_match_encoded(df: DataFrame, keys: Sequence[str], pred: str, ref: str, encode_udf) -> DataFrame:
     """Greedy match with a contextual encoder producing token vectors per text."""
     ship_package(df.sparkSession)
-    pv = F.transform(encode_udf(F.col(pred)), K.unit_vector)
-    rv = F.transform(encode_udf(F.col(ref)), K.unit_vector)
-    staged = df.select(*keys, pv.alias("pv"), rv.alias("rv"))
-    p, r, f = greedy_scores(F.col("pv"), F.col("rv"))
-    return staged.select(*keys, p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    none = F.lit(None).cast("array<bigint>")
+    sc = greedy_scores_np(F.transform(encode_udf(F.col(pred)), K.unit_vector),
+                          F.transform(encode_udf(F.col(ref)), K.unit_vector), none, none)
+    return df.select(*keys, sc.alias("_s")).select(*keys, "_s.precision", "_s.recall", "_s.f1")
 
 
 def score_samples(df: DataFrame, keys: Sequence[str], samples: str, ref: str, vectors: DataFrame,

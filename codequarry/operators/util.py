@@ -6,32 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks when it has fewer.
+def distinct_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows unique by ``key``, clustered by it, after one exchange.
 
-    A scan gets one task per file split; a small table stored as one row
-    group is read by one task, which leaves cores idle under CPU-heavy
-    per-row work (regex, parsing, model calls).  Large inputs already have
-    many splits, so this is a no-op at scale.
+    The partial aggregate runs first: a key repeated on a third of the rows
+    is one row per map task before the shuffle.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-def distinct_by_key(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Rows unique by ``key``, spread over a fixed number of tasks.
-
-    The dedupe runs first, with a map-side partial aggregate, so a key
-    repeated on a third of the rows is one row per map task before any
-    shuffle.  The distinct rows are then spread round-robin over an
-    explicit task count, which AQE does not coalesce: the CPU-heavy Python
-    step that follows keeps one task per partition.  Defaults to
-    ``spark.sql.shuffle.partitions``, which is sized to the data.
-    """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.dropDuplicates([key]).repartition(n)
+    return df.dropDuplicates([key])
 
 
 def join_on_key(left: DataFrame, right: DataFrame, left_key, right_key: str, how: str = "inner") -> DataFrame:

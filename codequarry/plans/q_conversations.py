@@ -40,13 +40,12 @@ def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chat_segments(table(spark, sf_dir, "conversations"))
 
 
-_SQL_BUCKETS = f"(SELECT greatest(1, ceil(count(*) / {B.ROWS_PER_BUCKET}.0))::BIGINT FROM conversations)"
 _SQL_BATCHES = f"""
     SELECT conv_id, turn, text, bucket,
            ((row_number() OVER (PARTITION BY bucket ORDER BY conv_id, turn) - 1) // {BATCH_SIZE})::BIGINT AS batch_no
     FROM (SELECT conv_id, turn, text,
                  (('0x' || substr(md5(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)), 1, 8))::BIGINT
-                  % {_SQL_BUCKETS}) AS bucket
+                  % {B.N_BUCKETS}) AS bucket
           FROM conversations) c"""
 
 

@@ -17,7 +17,6 @@ from ..sources.tables import table
 from .registry import query
 
 TOP_K = 5
-SEQ_LEN = 8
 EOS = "<e>"
 
 
@@ -30,12 +29,6 @@ def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", K.log_softmax("embedding").alias("lp"))
 
 
-_SQL_LP = """
-    SELECT vec_id, label, idx, x - mx - ln(se) AS lp FROM (
-        SELECT vec_id, label, idx, x, max(x) OVER w AS mx, sum(exp(x - max(x) OVER w)) OVER w AS se FROM (
-            SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS idx FROM embeddings) a
-        WINDOW w AS (PARTITION BY vec_id)) b"""
-
 _SQL_LP = """
     SELECT a.vec_id, a.label, a.idx, a.x - m.mx - ln(m.se) AS lp
     FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS idx FROM embeddings) a
@@ -44,6 +37,9 @@ _SQL_LP = """
                   SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) u) v GROUP BY vec_id, mx) m
       ON m.vec_id = a.vec_id"""
 
+_SQL_RANKED = f"""
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY lp DESC, idx) AS rk FROM ({_SQL_LP}) l"""
+
 _SQL_TOPK = f"""
     SELECT vec_id, label, idx, lp, rk FROM (
         SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY lp DESC, idx) AS rk FROM ({_SQL_LP}) l) r
@@ -68,8 +64,8 @@ def topk_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequence_tokens(lp: Column) -> Column:
-    """A generated sequence per row: the top SEQ_LEN ids as strings, ids divisible by 10 end it."""
-    return F.transform(K.top_k(lp, SEQ_LEN), lambda s: F.when(s["idx"] % 10 == 0, F.lit(EOS))
+    """A generated sequence per row: all ids by score, as strings; ids divisible by 10 are end tokens."""
+    return F.transform(K.ranked(lp), lambda s: F.when(s["idx"] % 10 == 0, F.lit(EOS))
                        .otherwise(id2str(s["idx"])))
 
 
@@ -77,7 +73,7 @@ def _sequence_tokens(lp: Column) -> Column:
     SELECT vec_id, count(*)::BIGINT AS n_kept, string_agg(tok, ' ' ORDER BY rk) AS text FROM (
         SELECT vec_id, rk, tok, min(CASE WHEN tok = '{EOS}' THEN rk END) OVER (PARTITION BY vec_id) AS first_eos FROM (
             SELECT vec_id, rk, CASE WHEN idx % 10 = 0 THEN '{EOS}' ELSE 't' || CAST(idx % 50 AS VARCHAR) END AS tok
-            FROM ({_SQL_TOPK.format(k=SEQ_LEN)}) t) a) b
+            FROM ({_SQL_RANKED}) t) a) b
     WHERE first_eos IS NULL OR rk <= first_eos
     GROUP BY vec_id""")
 def eos_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +108,16 @@ def token_score_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "token", F.round("score", 6).alias("score"))
 
 
-def sequences(lg: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Model-output rows: tokens array<struct<token, top_scores>> per position row."""
-    toks = F.transform(K.top_k("lp", k), lambda s: F.struct(
+def sequences(lg: DataFrame) -> DataFrame:
+    """Model-output rows: tokens array<struct<token, top_scores>>, every id of the row by score."""
+    toks = F.transform(K.ranked("lp"), lambda s: F.struct(
         id2str(s["idx"]).alias("token"), F.create_map(id2str(s["idx"]), s["score"]).alias("top_scores")))
     return lg.select("vec_id", toks.alias("tokens"))
 
 
 @query("seq_logprob", sql=f"""
     SELECT vec_id, round(sum(lp), 6) AS logprob, string_agg('t' || CAST(idx % 50 AS VARCHAR), '' ORDER BY rk) AS text
-    FROM ({_SQL_TOPK.format(k=TOP_K)}) t GROUP BY vec_id""")
+    FROM ({_SQL_RANKED}) t GROUP BY vec_id""")
 def seq_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sequences(_logits(spark, sf_dir))
     return s.select("vec_id", F.round(K.sequence_logprob("tokens"), 6).alias("logprob"),
@@ -133,13 +129,31 @@ SCORES_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("top_scores", T.MapType(T.StringType(), T.DoubleType()))]))
 
 
-@query("scores_roundtrip", sql="SELECT vec_id, true AS same FROM embeddings")
+@query("scores_roundtrip", sql=f"""
+    SELECT vec_id, (rk - 1)::BIGINT AS pos, 't' || CAST(idx % 50 AS VARCHAR) AS token, round(lp, 6) AS score
+    FROM ({_SQL_RANKED}) t""")
 def scores_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token scores to JSON text and back (the dict form of model outputs)."""
+    """Token scores to JSON text and back (the dict form of model outputs): what is read back."""
+    s = sequences(_logits(spark, sf_dir))
+    back = s.select("vec_id", F.posexplode(F.from_json(F.to_json("tokens"), SCORES_SCHEMA)).alias("pos", "t"))
+    return back.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("t.token").alias("token"),
+                       F.round(K.token_score(F.col("t")), 6).alias("score"))
+
+
+@query("score_gaps", sql=f"""
+    SELECT vec_id, (rk - 1)::BIGINT AS pos, round(lp - nxt, 6) AS to_next, round(lp - 1.5, 6) AS to_number,
+           round(1.5 - lp, 6) AS from_number
+    FROM (SELECT *, lead(lp) OVER (PARTITION BY vec_id ORDER BY rk) AS nxt FROM ({_SQL_RANKED}) t) u
+    WHERE nxt IS NOT NULL""")
+def score_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score arithmetic: token minus next token, token minus number, number minus token."""
     s = sequences(_logits(spark, sf_dir))
-    back = F.from_json(F.to_json("tokens"), SCORES_SCHEMA)
-    same = F.to_json(back) == F.to_json("tokens")
-    return s.select("vec_id", same.alias("same"))
+    pairs = F.arrays_zip(F.col("tokens").alias("a"), F.slice("tokens", 2, 1 << 20).alias("b"))
+    rows = s.select("vec_id", F.posexplode(F.filter(pairs, lambda z: z["b"].isNotNull())).alias("pos", "z"))
+    a, b = F.col("z.a"), F.col("z.b")
+    return rows.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round(K.score_diff(a, b), 6).alias("to_next"),
+                       F.round(K.score_diff(a, 1.5), 6).alias("to_number"),
+                       F.round(K.score_diff(1.5, a), 6).alias("from_number"))
 
 
 @query("ordinal_alias", sql="""

@@ -9,7 +9,7 @@ def strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-def bucket(expr: str, n: int) -> str:
+def bucket(expr: str, n) -> str:
     return f"(('0x' || substr(md5(CAST({expr} AS VARCHAR)), 1, 8))::BIGINT % {n})"
 
 
@@ -40,7 +40,10 @@ def vocab() -> str:
           FROM embeddings) e"""
 
 
-def greedy(src: str, keys: list[str], pred: str, ref: str, buckets: int = 500) -> str:
+VOCABULARY = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+def greedy(src: str, keys: list[str], pred: str, ref: str, buckets: str = VOCABULARY) -> str:
     """SQL greedy match over CTE/table ``src``; returns keys + precision, recall, f1."""
     k = ", ".join(keys)
     kt = ", ".join(f"t.{c}" for c in keys)

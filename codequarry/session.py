@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small shuffles keep several tasks: CPU-heavy Python steps follow them.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # Static broadcast only when the estimate, taken as 4x the compressed
     # file size, is under 10MB; AQE may also broadcast a side whose shuffle
     # was measured under 32MB.  Large tables never qualify.

@@ -83,12 +83,22 @@ def test_encoder_hook(spark):
     assert (row["precision"], row["recall"], row["f1"]) == (1.0, 1.0, 1.0)
 
 
-def test_bounded_vocab_falls_back_to_join(spark):
-    vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id bigint, embedding array<float>")
-    df = spark.createDataFrame([(1, "a b c", "c d e")], "id bigint, p string, r string")
-    small = S.greedy_match(df, ["id"], "p", "r", vecs, buckets=5).first()
-    joined = S.greedy_match(df, ["id"], "p", "r", vecs, buckets=5, broadcast_max_rows=2).first()
-    assert [round(x, 9) for x in small[1:]] == [round(x, 9) for x in joined[1:]]
+def test_vocabulary_covers_the_whole_table(spark):
+    vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)] + [(9, None), (None, [1.0, 1.0])],
+                                 "vec_id bigint, embedding array<float>")
+    df = spark.createDataFrame([(1, "a b c a", "c d e")], "id bigint, p string, r string")
+    whole = S.greedy_match(df, ["id"], "p", "r", vecs).first()
+    fixed = S.greedy_match(df, ["id"], "p", "r", vecs, buckets=10).first()  # ids 0..9
+    assert whole[1:] == fixed[1:]
+
+
+def test_repeated_ids_use_one_vector(spark):
+    df = spark.createDataFrame([(1, "a b", "c d e")], "id bigint, p string, r string")
+    one = [(i, [1.0, float(i)]) for i in range(5)]
+    schema = "vec_id bigint, embedding array<float>"
+    got = [S.greedy_match(df, ["id"], "p", "r", spark.createDataFrame(v, schema), buckets=5).first()
+           for v in (one, one + [(2, [9.0, 0.0])], one + one)]
+    assert got[0][1:] == got[1][1:] == got[2][1:]
 
 
 def _brute_f1(pred, ref, nb=2):

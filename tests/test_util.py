@@ -3,18 +3,12 @@ from pyspark.sql import functions as F
 from codequarry.operators import util as U
 
 
-def test_spread_only_when_narrow(spark):
-    narrow = spark.range(0, 100, 1, 1)
-    assert U.spread(narrow, 4).rdd.getNumPartitions() == 4
-    wide = spark.range(0, 100, 1, 6)
-    assert U.spread(wide, 4) is wide
-
-
-def test_distinct_by_key_fixed_tasks(spark):
+def test_distinct_by_key_has_one_exchange(spark):
     df = spark.createDataFrame([(i % 3, f"t{i % 3}") for i in range(30)], "k bigint, v string")
-    out = U.distinct_by_key(df, "k", partitions=5)
-    assert out.rdd.getNumPartitions() == 5
+    out = U.distinct_by_key(df, "k")
     assert sorted((r["k"], r["v"]) for r in out.collect()) == [(0, "t0"), (1, "t1"), (2, "t2")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1
 
 
 def test_join_on_key_null_stays_unmatched(spark):
