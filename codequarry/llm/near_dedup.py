@@ -20,11 +20,12 @@ smaller counts over sum of larger ones) is at least ``SIMILARITY``.
 
 Equal texts (up to white space) are one node from the start.  A band shared
 by many documents is not expanded into pairs: its members are compared with
-one leader, components are formed, a second leader is compared with the
-members outside its component, and only members of one band that are still
-in different components are compared pair by pair, so no link between
-components is lost.  Texts of candidates alone are moved, picked out by a
-bitmap of fixed size.
+one leader, components are formed, and a second leader is compared with the
+members outside its component.  Where a band still holds several components,
+all members outside its largest one are compared with all others, in blocks
+of bounded size that return links of components only, so no link between
+components is lost and no pair rows are made.  Texts of candidates alone are
+moved, picked out by a bitmap of fixed size.
 
 Defined results: NULL counts as empty; texts without words are equal to each
 other and near nothing else; a text of under five words is one shingle; the
@@ -42,7 +43,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, joined_bytes, keep_rows, mix64, row_digest, slices, spans, staged, word_hashes
+from .common import (WS, joined_bytes, keep_rows, mix64, row_digest, shuffle_partitions, slices, spans, staged,
+                     word_hashes)
 from .components import components
 
 SHINGLE = 5
@@ -198,6 +200,101 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# --- what is left of a band, in blocks ----------------------------------------
+
+QUERY_BLOCK, TARGET_BLOCK = 256, 1024
+
+
+def _blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, qb, tb, query, node, label, text): the members of ``rest`` (band, node, label)
+    outside their band's largest component as queries, all as targets, dealt into blocks."""
+    sizes = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("k"))
+    sizes = sizes.select("band", F.col("main.label").alias("main"),
+                         F.ceil((F.col("k") - F.col("main.n")) / QUERY_BLOCK).cast("int").alias("nq"),
+                         F.ceil(F.col("k") / TARGET_BLOCK).cast("int").alias("nt"))
+    r = rest.join(sizes, "band")
+    q = F.pmod(F.xxhash64("node", F.lit(1)), F.col("nq")).cast("int")
+    t = F.pmod(F.xxhash64("node"), F.col("nt")).cast("int")
+    place = lambda qb, tb, query: F.struct(qb.alias("qb"), tb.alias("tb"), F.lit(query).alias("query"))
+    targets = F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda x: place(x, t, False))
+    queries = F.transform(F.sequence(F.lit(0), F.col("nt") - 1), lambda x: place(q, x, True))
+    at = F.when(F.col("label") == F.col("main"), targets).otherwise(F.concat(targets, queries))
+    return (r.join(texts, "node").select("band", F.explode(at).alias("p"), "node", "label", "text")
+             .select("band", "p.*", "node", "label", "text"))
+
+
+def _links_in_blocks(pdf: pd.DataFrame) -> set:
+    """(label, label) of the queries and targets of each block that are near copies."""
+    node, back = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+    first = np.zeros(len(node), dtype=np.int64)
+    first[back] = np.arange(len(pdf))
+    doc, s = shingle_hashes(pdf["text"].to_numpy()[first].tolist())
+    value, ids = np.unique(s, return_inverse=True)
+    key, count = np.unique(doc.astype(np.int64) * len(value) + ids, return_counts=True)
+    doc, ids = key // max(len(value), 1), key % max(len(value), 1)
+    begin = np.searchsorted(doc, np.arange(len(node) + 1))
+    size = np.bincount(doc, count, minlength=len(node))
+    label, query = pdf["label"].to_numpy(), pdf["query"].to_numpy()
+    block = pdf[["band", "qb", "tb"]].to_numpy()
+    cuts = np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1
+    have = np.zeros(len(value), dtype=np.int64)
+    links: set = set()
+    for rows in np.split(np.arange(len(pdf)), cuts):
+        t = rows[~query[rows]]
+        spans_ = [np.arange(begin[d], begin[d + 1]) for d in back[t]]
+        off = np.cumsum([0] + [len(x) for x in spans_[:-1]])
+        flat = np.concatenate(spans_)
+        t_ids, t_count, t_size, t_label = ids[flat], count[flat], size[back[t]], label[t]
+        for q in rows[query[rows]]:
+            d = back[q]
+            own = slice(begin[d], begin[d + 1])
+            have[ids[own]] = count[own]
+            shared = np.add.reduceat(np.minimum(have[t_ids], t_count), off)
+            have[ids[own]] = 0
+            near = (shared / np.maximum(t_size + size[d] - shared, 1) >= SIMILARITY) & (t_label != label[q])
+            links.update((int(label[q]), int(x)) for x in np.unique(t_label[near]))
+    return links
+
+
+def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted block rows -> links of components (a, b), as a forest for each batch.
+
+    A block that a batch cuts off is held back for the next one.
+    """
+    held = None
+    place = ["band", "qb", "tb"]
+
+    def out(pdf):
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        pairs = []
+        for a, b in sorted(_links_in_blocks(pdf)):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                up[max(ra, rb)] = min(ra, rb)
+                pairs.append((a, b))
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = (pdf[place] == pdf[place].iloc[-1]).all(axis=1).to_numpy()
+        held = pdf[last]
+        if not last.all():
+            yield out(pdf[~last])
+    if held is not None and len(held):
+        yield out(held)
+
+
+# --- the job --------------------------------------------------------------------
+
 def _bitmap(nodes: DataFrame) -> np.ndarray:
     """Bits of the nodes' digests: BITMAP_WORDS words at most come to the driver."""
     at = F.pmod(F.xxhash64("digest"), F.lit(BITMAP_WORDS * 64))
@@ -261,13 +358,12 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
                   .select(F.col("node").alias("a"), F.col("high").alias("b")).distinct())
     labels = staged(spark, _joined(spark, labels, _between(verified(other), labels)), "labels")
     named = _relabel(members, labels)
-    # the rest: members of one band that are still in different components
+    # the rest: bands whose members are still in different components
     mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
     rest = staged(spark, named.join(mixed.select("band"), "band", "left_semi").select("band", "node", "label"), "rest")
-    r = rest.withColumnsRenamed({"node": "b", "label": "b_label"})
-    apart = (rest.withColumnsRenamed({"node": "a", "label": "a_label"}).join(r, "band")
-                 .filter("a_label < b_label").select("a", "b").distinct())
-    labels = staged(spark, _joined(spark, labels, _between(verified(apart), labels)), "labels")
+    blocks = _blocks(rest, texts).repartition(shuffle_partitions(spark), "band", "qb", "tb")
+    links = blocks.sortWithinPartitions("band", "qb", "tb").mapInPandas(_compare_blocks, "a long, b long")
+    labels = staged(spark, _joined(spark, labels, links), "labels")
 
     # classes: each component's first row, then every row's class
     node_label = nodes.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label"))
