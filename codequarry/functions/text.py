@@ -1,8 +1,8 @@
 """Text cleaning as Column expressions (JVM-side, no Python per row).
 
 Regex notes: Python's ``\\s``/``\\w`` are Unicode; Java's need ``(?U)``.
-``strip_ws`` removes the ASCII whitespace set explicitly so that the same
-pattern means the same thing in Spark (Java) and in the DuckDB oracle (RE2).
+``strip_ws`` spells Python's white space out so that the same pattern means
+the same thing in Spark (Java) and in the DuckDB oracle (RE2).
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..plans import catalog
 
-WS = "[ \\t\\n\\r\\f\\x0B]"
+# FIXED VALUE: the white space of Python strings, spelled so that Java and RE2 read it alike.
+WS = ("[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}"
+      "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # FIXED VALUE: ASCII punctuation set
 
 
@@ -21,7 +23,7 @@ def _c(x) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Python ``str.strip()`` for the ASCII whitespace set."""
+    """Python ``str.strip()``."""
     return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
 
 
@@ -155,5 +157,5 @@ def word_tokens(text) -> Column:
 
 
 def whitespace_tokens(text) -> Column:
-    """Python ``str.split()`` tokens (ASCII whitespace)."""
+    """Python ``str.split()`` tokens."""
     return F.filter(F.split(_c(text), f"{WS}+"), lambda w: w != "")

@@ -50,6 +50,7 @@ def _sql_unparse(ident: str, doc: str, key: str, n_pass: str, rename: bool, undo
     parts = [f"'def ' || {a(f'(' + Q.lit('f_') + ' || ' + ident + ')')} || '(' || {a(w1)} || ', ' || {a(w2)} || '):'"]
     if not undoc:
         parts.append(f"{nl} || '    ' || repeat(chr(34), 3) || {doc} || repeat(chr(34), 3)")
+    parts.append("CASE WHEN notes = '' THEN '' ELSE chr(10) || rtrim(notes, chr(10)) END")
     parts.append(f"{nl} || '    ' || {a(w3)} || ' = ' || {ln} || '(' || {a(w1)} || ') + ' || {a(w2)}")
     parts.append(f"{nl} || '    return ' || {a(w3)}")
     parts.append(f"repeat({nl} || '    pass', {n_pass})")
@@ -212,21 +213,25 @@ def fallback_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fallback_rate(qa_secondary_grid(spark, sf_dir))
 
 
-def _sql_ordinal() -> str:
-    o2 = "CASE WHEN w2 = w1 THEN 1 ELSE 2 END"
-    o3 = f"CASE WHEN w3 = w1 THEN 1 WHEN w3 = w2 THEN {o2} ELSE 2 + (w2 <> w1)::INT END"
-    n_distinct = "1 + (1 + (w2 <> w1)::INT + (w3 <> w1 AND w3 <> w2)::INT)"
-    ol = f"CASE WHEN w1 = 'len' THEN 1 WHEN w2 = 'len' THEN {o2} WHEN w3 = 'len' THEN {o3} ELSE {n_distinct} END"
+_O2 = "CASE WHEN w2 = w1 THEN 1 ELSE 2 END"
+_O3 = f"CASE WHEN w3 = w1 THEN 1 WHEN w3 = w2 THEN {_O2} ELSE 2 + (w2 <> w1)::INT END"
+_OL = (f"CASE WHEN w1 = 'len' THEN 1 WHEN w2 = 'len' THEN {_O2} WHEN w3 = 'len' THEN {_O3} "
+       f"ELSE 1 + (1 + (w2 <> w1)::INT + (w3 <> w1 AND w3 <> w2)::INT) END")
+
 
+def _sql_ordinal_code() -> str:
     def a(o: str) -> str:
         return f"('_' || CAST({o} AS VARCHAR))"
     nl = "chr(10)"
-    body = (f"'def ' || {a('0')} || '(' || {a('1')} || ', ' || {a(o2)} || '):' || {nl}"
-            f" || '    ' || repeat(chr(34), 3) || docstring || repeat(chr(34), 3) || {nl}"
-            f" || '    ' || {a(o3)} || ' = ' || {a(ol)} || '(' || {a('1')} || ') + ' || {a(o2)} || {nl}"
-            f" || '    return ' || {a(o3)}")
+    return (f"('def ' || {a('0')} || '(' || {a('1')} || ', ' || {a(_O2)} || '):' || {nl}"
+            f" || '    ' || repeat(chr(34), 3) || docstring || repeat(chr(34), 3) || {nl} || notes"
+            f" || '    ' || {a(_O3)} || ' = ' || {a(_OL)} || '(' || {a('1')} || ') + ' || {a(_O2)} || {nl}"
+            f" || '    return ' || {a(_O3)})")
+
+
+def _sql_ordinal() -> str:
     return f"""
-    SELECT code_id, CASE WHEN {_sql_ok('w1', 'w2', 'w3')} THEN {body} END AS renamed
+    SELECT code_id, CASE WHEN {_sql_ok('w1', 'w2', 'w3')} THEN {_sql_ordinal_code()} END AS renamed
     FROM {_DOCS} s"""
 
 
@@ -254,22 +259,6 @@ def identifier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.countDistinct("alias") == F.count(F.lit(1))).alias("aliases_unique"))
 
 
-_O2 = "CASE WHEN w2 = w1 THEN 1 ELSE 2 END"
-_O3 = f"CASE WHEN w3 = w1 THEN 1 WHEN w3 = w2 THEN {_O2} ELSE 2 + (w2 <> w1)::INT END"
-_OL = (f"CASE WHEN w1 = 'len' THEN 1 WHEN w2 = 'len' THEN {_O2} WHEN w3 = 'len' THEN {_O3} "
-       f"ELSE 1 + (1 + (w2 <> w1)::INT + (w3 <> w1 AND w3 <> w2)::INT) END")
-
-
-def _sql_ordinal_code() -> str:
-    def a(o: str) -> str:
-        return f"('_' || CAST({o} AS VARCHAR))"
-    nl = "chr(10)"
-    return (f"('def ' || {a('0')} || '(' || {a('1')} || ', ' || {a(_O2)} || '):' || {nl}"
-            f" || '    ' || repeat(chr(34), 3) || docstring || repeat(chr(34), 3) || {nl}"
-            f" || '    ' || {a(_O3)} || ' = ' || {a(_OL)} || '(' || {a('1')} || ') + ' || {a(_O2)} || {nl}"
-            f" || '    return ' || {a(_O3)})")
-
-
 def _sql_sub_ordinal(text: str) -> str:
     whens = (f"WHEN r = 'f_' || ident_s THEN '_0' WHEN r = w1 THEN '_1' WHEN r = w2 THEN '_' || CAST({_O2} AS VARCHAR) "
              f"WHEN r = w3 THEN '_' || CAST({_O3} AS VARCHAR) WHEN r = 'len' THEN '_' || CAST({_OL} AS VARCHAR)")

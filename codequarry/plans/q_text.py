@@ -39,23 +39,18 @@ def leak_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("leak_report", sql=f"""
-    SELECT d.source, count(*)::BIGINT AS n_leaked
+    SELECT d.source, s.code_id
     FROM {SQL_SYNTH_CODE} s JOIN documents d ON d.doc_id = s.code_id
-    WHERE contains({_STRIP_DOC_SQL.replace('code,', 's.code,').replace('(docstring,', '(s.docstring,')}, s.docstring)
-    GROUP BY d.source""")
+    WHERE contains({_STRIP_DOC_SQL.replace('code,', 's.code,').replace('(docstring,', '(s.docstring,')}, s.docstring)""")
 def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose docstring survives stripping, counted by source."""
+    """Ids of the rows whose docstring survives stripping, with their source."""
     code = synth_code(table(spark, sf_dir, "documents"), keep=("source",))
-    # count_if + HAVING instead of a row filter: a filter on this expensive
-    # expression would be pushed below the scan spread into one task.
-    leaked = TX.leak_flag(TX.strip_docstring("code", "docstring"), "docstring")
-    counts = code.groupBy("source").agg(F.count_if(leaked).cast("bigint").alias("n_leaked"))
-    return counts.filter(F.col("n_leaked") > 0)
+    return code.filter(TX.leak_flag(TX.strip_docstring("code", "docstring"), "docstring")).select("source", "code_id")
 
 
 @query("strip_prefix", sql=f"""
     SELECT doc_id,
-           md5({_PREFIX_SQL.format(col="text")}) AS comment_md5,
+           md5({_PREFIX_SQL.replace("{col}", "text")}) AS comment_md5,
            md5(regexp_replace(text, '^[ru] {WS}*', '')) AS token_md5
     FROM documents""")
 def strip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +155,7 @@ def max_token_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("normalise_examples", sql=f"""
     WITH s0 AS {SQL_SYNTH_CODE},
     s AS (SELECT code_id, code, docstring AS raw_doc,
-                 {_PREFIX_SQL.format(col="docstring")} AS docstring FROM s0),
+                 {_PREFIX_SQL.replace("{col}", "docstring")} AS docstring FROM s0),
     c AS (SELECT code_id, docstring AS doc0, {_STRIP_DOC_SQL} AS code,
                  list_filter(regexp_split_to_array(raw_doc, '{WS}+'), lambda w: w <> '') AS toks
           FROM s)

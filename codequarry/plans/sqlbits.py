@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-WS = "[ \\t\\n\\r\\f\\x0B]"
+from ..functions.text import WS
 
 
 def strip(expr: str) -> str:
@@ -27,9 +27,11 @@ def lit(text: str) -> str:
 
 def qa_pairs() -> str:
     return """
-    SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer
-    FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
-    WHERE q.role = 'user' AND a.role = 'assistant'"""
+    SELECT conv_id, turn, question, answer FROM (
+        SELECT conv_id, turn, role, text AS question,
+               lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+               lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) n
+    WHERE role = 'user' AND next_role = 'assistant'"""
 
 
 def vocab() -> str:
