@@ -96,8 +96,8 @@ def edge_case_prompt(code) -> Column:
 
 
 def question_turn(code, instruction) -> Column:
-    """User turn asking for a question/rewrite: code, blank line, instruction."""
-    return F.concat_ws("\n\n", _c(code), _c(instruction))
+    """User turn asking for a question/rewrite: code, blank line, instruction; NULL without code."""
+    return F.concat(_c(code), F.lit("\n\n"), _c(instruction))
 
 
 # --- chat rendering ------------------------------------------------------------

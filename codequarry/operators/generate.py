@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..functions import text as TX
 from ..plans import catalog
-from ..session import checkpoint_dir
+from ..session import persisted
 from . import fanout as FO
 from . import infer as I
 
@@ -46,11 +46,12 @@ def generate_qa(records: DataFrame, factory: I.CompleterFactory,
     context = F.when(F.col("pre_prompt").isNotNull(), F.concat(
         P.chat_segment(F.lit("user"), F.col("pre_prompt")),
         P.chat_segment(F.lit("assistant"), _first("_ca")))).otherwise(F.lit(""))
-    r = r.select("code_id", "category", F.concat(context, P.chat_segment(F.lit("user"),
-                                                                        P.question_turn("code", "prompt"))).alias("_body"))
-    r = I.complete_rows(r.withColumn("_pb", F.concat("_body", gen)), "_pb", factory, config, "_cb", seed_cols=seeds)
+    r = r.select("code_id", "category", F.concat(context, P.chat_segment(F.lit("user"), P.question_turn("code", "prompt")),
+                                                 gen).alias("_pb"))
+    r = I.complete_rows(r, "_pb", factory, config, "_cb", seed_cols=seeds)
+    # a prompt ends with the mark of the coming message: answer and newline complete its segment
     r = r.select("code_id", "category", "_cb",
-                 F.concat("_body", P.chat_segment(F.lit("assistant"), _first("_cb")),
+                 F.concat("_pb", _first("_cb"), F.lit("\n"),
                           P.chat_segment(F.lit("user"), F.lit(answer_prompt)), gen).alias("_pc"))
     r = I.complete_rows(r, "_pc", factory, config, "_cc", seed_cols=seeds)
     return r.select("code_id", "category", _first("_cb").alias("question"), _first("_cc").alias("answer"))
@@ -65,23 +66,21 @@ def primary_rewrites(codes: DataFrame, factory: I.CompleterFactory,
 
     ``codes`` must hold each code once (the memo key).  Single-step levels
     rewrite the original; the chained level rewrites the refactored code
-    (inner join: a code without a first-stage output is left out and shows
-    up in ``chain_missing``).
+    (a code without a first-stage output has no chained row).
     """
     single = [("Refactor", catalog.REFACTOR_PROMPT), ("Dead Code", catalog.DEAD_CODE_PROMPT)]
     s1 = FO.fan_out(codes, single, ["level", "instruction"])
     s1 = s1.withColumn("_prompt", P.question_turn("code", "instruction"))
     # the first stage feeds both the result and the chained stage: written
-    # once (reliable checkpoint), so the model is called once per code/level
-    checkpoint_dir(codes.sparkSession)
-    s1 = _rewrite(s1, factory, config).select("code_id", "level", "obfuscated_code").checkpoint(eager=True)
+    # once, so the model is called once per code and level
+    s1 = persisted(_rewrite(s1, factory, config).select("code_id", "level", "obfuscated_code"), "first-stage")
 
     second = catalog.REFACTOR_PROMPT if double_refactor else catalog.DEAD_CODE_PROMPT
-    refactored = s1.filter(F.col("level") == "Refactor").select("code_id", F.col("obfuscated_code").alias("_r"))
+    refactored = s1.filter((F.col("level") == "Refactor") & F.col("obfuscated_code").isNotNull()).select("code_id", F.col("obfuscated_code").alias("_r"))
     s2 = refactored.select("code_id", F.lit("Refactor and Dead Code").alias("level"),
                            P.question_turn(F.col("_r"), F.lit(second)).alias("_prompt"))
     s2 = _rewrite(s2, factory, config).select("code_id", "level", "obfuscated_code")
-    return s1.unionByName(s2).checkpoint(eager=True)
+    return s1.unionByName(persisted(s2, "second-stage"))
 
 
 def _rewrite(df: DataFrame, factory, config) -> DataFrame:
@@ -92,21 +91,18 @@ def _rewrite(df: DataFrame, factory, config) -> DataFrame:
 def primary_records(records: DataFrame, rewrites: DataFrame) -> DataFrame:
     """records (qa keys, code_id, code) x primary levels with their code.
 
-    'None' keeps the original code; other levels join the memoised rewrite
-    on (code_id, level).
+    'None' keeps the original code; other levels take the memoised rewrite.
+    A code's rewrites (one for each level) are gathered first, records join
+    them once by ``code_id`` and only then fan out over the levels, in place.
     """
-    fan = FO.over_primary(records)
-    joined = fan.join(rewrites.withColumnRenamed("level", "primary_obfuscation"),
-                      ["code_id", "primary_obfuscation"], "left")
-    code = F.when(F.col("primary_obfuscation") == "None", F.col("code")).otherwise(F.col("obfuscated_code"))
-    return joined.withColumn("obfuscated_code", code)
+    by_code = rewrites.groupBy("code_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("level", "obfuscated_code"))).alias("_by_level"))
+    fan = FO.over_primary(records.join(by_code, "code_id", "left"))
+    level = F.col("primary_obfuscation")
+    code = F.when(level == "None", F.col("code")).otherwise(F.try_element_at("_by_level", level))
+    return fan.withColumn("obfuscated_code", code).drop("_by_level")
 
 
-def chain_missing(codes: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """Codes whose chained level could not find its first-stage output."""
-    have = rewrites.filter(F.col("level") == "Refactor").select("code_id")
-    return codes.select("code_id").join(have, "code_id", "left_anti")
-
 
 
 FOLLOWUP_ROWS = [(c, f, n, c == "extractive") for c, f, n in zip(
@@ -134,21 +130,20 @@ def generate_followups(codes: DataFrame, factory: I.CompleterFactory,
     ctx_user = seg("user", F.lit(catalog.FOLLOWUP_EXTRACTIVE_CONTEXT))
     r = r.withColumn("_p", F.when(F.col("extractive"), F.concat(ctx_user, gen)))
     r = I.complete_rows(r, "_p", factory, config, "_c", seed_cols=seeds)
-    r = r.withColumn("_t", F.when(F.col("extractive"), F.concat(ctx_user, seg("assistant", _first("_c"))))
-                     .otherwise(F.lit(""))).drop("_p", "_c")
+    r = r.withColumn("_p", F.when(F.col("extractive"), F.concat("_p", _first("_c"), F.lit("\n")))
+                     .otherwise(F.lit(""))).drop("_c")
     answer_turn = F.when(F.col("extractive"), F.lit(catalog.FOLLOWUP_SPAN_PROMPT)).otherwise(
         F.lit(catalog.FOLLOWUP_ANSWER_PROMPT))
     for i in range(n):
         ask = P.question_turn("code", "first_prompt") if i == 0 else F.col("next_prompt")
-        r = r.withColumn("_t", F.concat("_t", seg("user", ask))).withColumn("_p", F.concat("_t", gen))
+        r = r.withColumn("_p", F.concat("_p", seg("user", ask), gen))
         if i == 0:
             # the code now lives in the transcript; stop shipping it through Arrow
             r = r.drop("code", "first_prompt")
-        r = I.complete_rows(r, "_p", factory, config, f"_q{i}", seed_cols=seeds).drop("_p")
-        r = r.withColumn("_t", F.concat("_t", seg("assistant", _first(f"_q{i}")), seg("user", answer_turn)))
-        r = I.complete_rows(r.withColumn("_p", F.concat("_t", gen)), "_p", factory, config, f"_a{i}",
-                            seed_cols=seeds).drop("_p")
-        r = r.withColumn("_t", F.concat("_t", seg("assistant", _first(f"_a{i}"))))
+        r = I.complete_rows(r, "_p", factory, config, f"_q{i}", seed_cols=seeds)
+        r = r.withColumn("_p", F.concat("_p", _first(f"_q{i}"), F.lit("\n"), seg("user", answer_turn), gen))
+        r = I.complete_rows(r, "_p", factory, config, f"_a{i}", seed_cols=seeds)
+        r = r.withColumn("_p", F.concat("_p", _first(f"_a{i}"), F.lit("\n"))) if i + 1 < n else r.drop("_p")
     rounds = F.array(*[F.struct(F.lit(i).cast("bigint").alias("q_no"), _first(f"_q{i}").alias("question"),
                                 _first(f"_a{i}").alias("answer")) for i in range(n)])
     return r.select("code_id", "category", F.explode(rounds).alias("x")).select(

@@ -11,7 +11,7 @@ zero-argument factory and called with Arrow batches cut into
 * an equi-join back on the prompt key (AQE splits a hot prompt's rows).
 
 Completions of a sampling model are not reproducible, so jobs that reuse
-them write them first (``persist_completions``) instead of recomputing.
+them write them first (``session.persisted``) instead of recomputing.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..plans import catalog
-from ..session import checkpoint_dir, scratch_path, ship_package
+from ..session import path_has_data, persisted, scratch_path, ship_package
 from .util import distinct_by_key, join_on_key
 
 
@@ -63,6 +63,14 @@ def hash_completer() -> Completer:
     return run
 
 
+def seeded_hash_completer() -> Completer:
+    """Deterministic stand-in for sampling: sample i = first 16 hex of md5(prompt | seed | i)."""
+    def run(prompts, n, seeds, config):
+        return [[hashlib.md5(f"{p}|{s}|{i}".encode()).hexdigest()[:16] for i in range(n)]
+                for p, s in zip(prompts, seeds)]
+    return run
+
+
 def echo_code_completer() -> Completer:
     """Deterministic stub for rewrites: returns the code before the last blank
     line of the prompt inside chatty text, plus one marker statement derived
@@ -85,7 +93,7 @@ def replay_completer(recorded: dict[str, list[str]]) -> Completer:
     return run
 
 
-COMPLETERS: dict[str, CompleterFactory] = {"hash": hash_completer, "echo_code": echo_code_completer}
+COMPLETERS: dict[str, CompleterFactory] = {"hash": hash_completer, "seeded_hash": seeded_hash_completer, "echo_code": echo_code_completer}
 
 
 def sql_hash_completion(prompt_expr: str, i: int = 0) -> str:
@@ -126,29 +134,21 @@ def _run_batches(factory: CompleterFactory, config: GenerationConfig, batch_size
 
 def complete_distinct(prompts: DataFrame, prompt_col: str, factory: CompleterFactory,
                       config: GenerationConfig = GenerationConfig(),
-                      batch_size: int = catalog.DEFAULT_BATCH_SIZE,
-                      partitions: int | None = None, salt_col: str | None = None,
+                      batch_size: int = catalog.DEFAULT_BATCH_SIZE, salt_col: str | None = None,
                       stable: bool = True) -> DataFrame:
     """(prompt_key, completions) for every distinct prompt text in ``prompts``.
 
     ``salt_col`` makes the key per (salt, prompt): rows that must each get
     their own sample (a sampling model) are not merged even when their
-    prompt texts are equal.  ``partitions`` (default
-    ``spark.sql.shuffle.partitions``) spreads the distinct prompts evenly over
-    that many tasks (round robin) so that model time, not prompt skew, sets
-    the task size.  ``stable`` (default) checkpoints the
-    completions into the shared checkpoint folder: a sampling model is then
-    called exactly once per key even when the result feeds several branches
-    of the plan or a task is retried after an executor loss.
+    prompt texts are equal.  ``stable`` (default) writes the completions as a table
+    in the shared folder: a sampling model is then called once per key even
+    when the result feeds several branches of the plan.
     """
     ship_package(prompts.sparkSession)
     distinct = distinct_by_key(prompts.select(prompt_key(prompt_col, salt_col).alias("prompt_key"),
-                                              F.col(prompt_col).alias("prompt")), "prompt_key", partitions)
+                                              F.col(prompt_col).alias("prompt")), "prompt_key")
     out = distinct.mapInPandas(_run_batches(factory, config, batch_size), OUT_SCHEMA)
-    if stable:
-        checkpoint_dir(out.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    return persisted(out, "completions") if stable else out
 
 
 def _run_rows(factory: CompleterFactory, config: GenerationConfig, batch_size: int,
@@ -193,27 +193,23 @@ def complete_rows(df: DataFrame, prompt_col: str, factory: CompleterFactory,
 
 def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,
                 config: GenerationConfig = GenerationConfig(), out_col: str = "generated_answer",
-                batch_size: int = catalog.DEFAULT_BATCH_SIZE, partitions: int | None = None,
-                stable: bool = True) -> DataFrame:
-    """Attach ``out_col`` (n completions) to every row; identical prompts share one call.
-
-    ``stable=False`` skips the checkpoint of the completions when the caller
-    materialises the result itself.
+                batch_size: int = catalog.DEFAULT_BATCH_SIZE, stable: bool = True,
+                share: bool = True, seed_cols: Sequence[str] = ()) -> DataFrame:
+    """Attach ``out_col`` (n completions) to every row.
+
+    ``share`` lets identical prompts share one call (memoised rewrites);
+    otherwise each row, told apart by ``seed_cols``, gets its own samples and
+    nothing is shuffled.  ``stable=False`` skips writing the completions when
+    the caller materialises the result itself.
     """
+    if not share:
+        return complete_rows(df, prompt_col, factory, config, out_col, batch_size, seed_cols)
     done = complete_distinct(df.filter(F.col(prompt_col).isNotNull()), prompt_col, factory, config,
-                             batch_size, partitions, stable=stable)
+                             batch_size, stable=stable)
     return join_on_key(df, done.withColumnRenamed("prompt_key", "_pk"), H.content_key(F.col(prompt_col)),
                        "_pk", "left").withColumnRenamed("completions", out_col)
 
 
-def persist_completions(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write completions under the shared folder and read them back, so a
-    sampling model is never re-run by a later stage or a retried task."""
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 # --- resume ---------------------------------------------------------------------
 
 def pending(records: DataFrame, done: DataFrame | None, keys: Sequence[str]) -> DataFrame:
@@ -232,28 +228,28 @@ def run_resumable(spark: SparkSession, records: DataFrame, keys: Sequence[str],
                   factory: CompleterFactory, out_path: str,
                   config: GenerationConfig = GenerationConfig(), out_col: str = "generated_answer",
                   batch_size: int = catalog.DEFAULT_BATCH_SIZE,
-                  rows_per_commit: int | None = None) -> DataFrame:
+                  commits: int = 1, share: bool = False) -> DataFrame:
     """Answer every record not yet in ``out_path`` and append the results.
 
     Each append is a complete set of rows, so an interrupted run leaves only
     whole results and running again answers exactly the rest (idempotent).
-    ``rows_per_commit`` splits the pending rows into hash buckets written one
-    after another (the partial-save interval).
+    Only a missing output means that nothing is done; an output that cannot
+    be read is an error.  ``commits`` splits the pending rows by a hash of
+    their key into that many appends (the partial-save interval); they are
+    written once, partitioned by commit, so no commit scans the input again.
     """
-    try:
-        done = spark.read.parquet(out_path)
-    except Exception:  # noqa: BLE001 - no output yet
-        done = None
+    done = spark.read.parquet(out_path) if path_has_data(spark, out_path) else None
     todo = pending(records, done, keys)
-    if rows_per_commit:
-        n = todo.count()
-        n_parts = max(1, -(-n // rows_per_commit))
+    if commits > 1:
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        path = scratch_path(spark, f"pending-{uuid.uuid4().hex}")
+        todo.withColumn("_commit", H.md5_bucket(key, commits).cast("int")).write.partitionBy("_commit").parquet(path)
+        staged = spark.read.parquet(path) if path_has_data(spark, path) else todo.withColumn("_commit", F.lit(0))
+        parts = [staged.filter(F.col("_commit") == i).drop("_commit") for i in range(commits)]
     else:
-        n_parts = 1
-    key_expr = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    for part in range(n_parts):
-        chunk = todo if n_parts == 1 else todo.filter(H.md5_bucket(key_expr, n_parts) == part)
-        answered = batch_infer(chunk, prompt_col, factory, config, out_col, batch_size).drop("prompt_key")
+        parts = [todo]
+    for part in parts:
+        answered = batch_infer(part, prompt_col, factory, config, out_col, batch_size, share=share, seed_cols=keys)
         answered.write.mode("append").parquet(out_path)
     return spark.read.parquet(out_path)
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..plans import catalog
-from ..session import checkpoint_dir, ship_package
+from ..session import persisted, ship_package
 from . import fanout as FO
 from .util import distinct_by_key, join_on_key
 
@@ -217,10 +217,10 @@ JOB_SCHEMA = T.StructType([
     T.StructField("both", T.StringType()), T.StructField("idents", T.ArrayType(IDENT))])
 
 
-def _job(seed: int, consistent: bool):
+def _job(seed: int, consistent: bool, wanted: Sequence[str]):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [dict(code_key=k, **rewrite_code(c if c is not None else "", k, seed, consistent))
+            rows = [dict(code_key=k, **rewrite_code(c if c is not None else "", k, seed, consistent, wanted))
                     for k, c in zip(pdf["code_key"], pdf["code"])]
             yield pd.DataFrame(rows, columns=[f.name for f in JOB_SCHEMA.fields])
     return run
@@ -248,12 +248,13 @@ def rename_ordinal_distinct(codes: DataFrame, code_col: str = "code") -> DataFra
 
 
 def rewrite_distinct(codes: DataFrame, code_col: str = "code", seed: int = catalog.DEFAULT_SEED,
-                     consistent: bool = True) -> DataFrame:
-    """Parse every distinct code once: (code_key, ok, undocumented, renamed, both, idents)."""
+                     consistent: bool = True, wanted: Sequence[str] = WANTED) -> DataFrame:
+    """Parse every distinct code once: (code_key, ok, undocumented, renamed, both, idents);
+    rewrites that are not ``wanted`` are NULL."""
     ship_package(codes.sparkSession)
     distinct = distinct_by_key(
         codes.select(H.content_key(F.col(code_col)).alias("code_key"), F.col(code_col).alias("code")), "code_key")
-    return distinct.mapInPandas(_job(seed, consistent), JOB_SCHEMA)
+    return distinct.mapInPandas(_job(seed, consistent, tuple(wanted)), JOB_SCHEMA)
 
 
 def identifier_table(results: DataFrame) -> DataFrame:
@@ -291,15 +292,13 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
     keys = list(keys)
     # the variants feed three branches (distinct codes, distinct key pairs,
     # the join back): written once so their upstream runs once
-    checkpoint_dir(variants.sparkSession)
-    v = (variants.withColumn("p_key", H.content_key(F.col("obfuscated_code")))
-                 .withColumn("o_key", H.content_key(F.col("original_code")))).checkpoint(eager=True)
+    v = persisted(variants.withColumn("p_key", H.content_key(F.col("obfuscated_code")))
+                          .withColumn("o_key", H.content_key(F.col("original_code"))), "variants")
     codes = (v.select(F.col("obfuscated_code").alias("code"))
               .unionByName(v.select(F.col("original_code").alias("code"))))
     res = rewrite_distinct(codes, "code", seed, consistent)
     # both join sides read the per-code results: parse each code once
-    checkpoint_dir(res.sparkSession)
-    res = res.checkpoint(eager=True)
+    res = persisted(res, "rewrites")
     pairs = v.select("p_key", "o_key").dropDuplicates()
     pr = res.select(*[F.col(c).alias(f"p_{c}") for c in res.columns])
     orr = res.select(*[F.col(c).alias(f"o_{c}") for c in res.columns])
@@ -339,7 +338,7 @@ def older_grid(records: DataFrame, keys: Sequence[str], rewrites: DataFrame) ->
     parse keeps its text at the parser levels and is flagged ``error``.
     """
     keys = list(keys)
-    res = rewrite_distinct(records, "code")
+    res = rewrite_distinct(records, "code", wanted=("undocumented",))
     ords = rename_ordinal_distinct(records, "code")
     per_code = join_on_key(res.select("code_key", "ok", "undocumented"), ords.select(
         F.col("code_key").alias("k2"), F.col("renamed").alias("ordinal"), alias_map(F.col("idents")).alias("m")),

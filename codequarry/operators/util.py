@@ -22,7 +22,9 @@ def join_on_key(left: DataFrame, right: DataFrame, left_key, right_key: str, how
     push it below the projection, so the expression (often a rendered prompt
     or a synthesised code) is computed twice, in the scan task.  A null-safe
     ``<=>`` infers nothing; callers keep NULL keys out of ``right`` so NULL
-    inputs stay unmatched, as with ``=``.
+    inputs stay unmatched, as with ``=``.  The key is a column of its own, so
+    a text it is made from is shuffled only if the caller keeps that text.
     """
     lk = F.col(left_key) if isinstance(left_key, str) else left_key
-    return left.join(right, lk.eqNullSafe(right[right_key]), how).drop(right[right_key])
+    keyed = left.withColumn("_join_key", lk)
+    return keyed.join(right, keyed["_join_key"].eqNullSafe(right[right_key]), how).drop("_join_key", right_key)

@@ -18,6 +18,7 @@ from ..operators import generate as G
 from ..operators import infer as I
 from ..operators import rewrite as RW
 from ..operators import scoring as S
+from ..session import persisted
 from ..sources import readers as R
 from ..sources import sinks
 from . import catalog
@@ -35,11 +36,11 @@ def build_qa_dataset(spark: SparkSession, corpus: DataFrame, completer: I.Comple
     each code at the primary levels (one model call per code and level), then
     apply the parser-based levels with fallback and renamed Q/A.
     """
-    sample = R.seeded_sample(corpus.select("code_id", "code"), "code_id", seed, n)
-    if n is not None:
-        R.check_size(sample, min(n, corpus.count()))
+    sample = persisted(R.seeded_sample(corpus.select("code_id", "code"), "code_id", seed, n), "sample")
+    if n is not None and sample.count() < n:  # the whole corpus then, or an error
+        R.check_size(sample, corpus.count())
     qa = G.generate_qa(FO.over_categories(sample), completer)
-    qa = I.persist_completions(spark, qa, "qa").join(sample, "code_id")
+    qa = persisted(qa, "qa").join(sample, "code_id")
     rewrites = G.primary_rewrites(sample, rewriter)
     variants = G.primary_records(qa.withColumnRenamed("code", "original_code")
                                    .withColumn("code", F.col("original_code")), rewrites)

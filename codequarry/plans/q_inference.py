@@ -43,6 +43,23 @@ def batch_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("generated_answer", ",").alias("samples"))
 
 
+_SQL_SEED = (f"('0x' || substr(md5('{I.GenerationConfig().seed}|' || md5(CAST(conv_id AS VARCHAR) || '|' || "
+             "CAST(turn AS VARCHAR) || '|' || p)), 1, 8))::BIGINT")
+
+
+@query("batch_infer_per_record", sql=f"""
+    SELECT conv_id, turn, array_to_string([{', '.join(f"substr(md5(p || '|' || CAST(s AS VARCHAR) || '|{i}'), 1, 16)"
+                                                      for i in range(N_SAMPLES))}], ',') AS samples
+    FROM (SELECT *, {_SQL_SEED} AS s FROM (SELECT conv_id, turn, {_SQL_QO} AS p FROM ({Q.qa_pairs()}) q) x) y""")
+def batch_infer_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record its own samples (a seeded stand-in for sampling), equal prompts included; no shuffle for it."""
+    pairs = C.qa_pairs(table(spark, sf_dir, "conversations"))
+    prompts = pairs.select("conv_id", "turn", P.qa_prompt("", "question", "question_only").alias("prompt"))
+    out = I.batch_infer(prompts, "prompt", I.seeded_hash_completer, I.GenerationConfig(n=N_SAMPLES), share=False,
+                        seed_cols=("conv_id", "turn"))
+    return out.select("conv_id", "turn", F.array_join("generated_answer", ",").alias("samples"))
+
+
 def _sql_generate() -> str:
     nl = "chr(10)"
     cats = ", ".join(f"({i}, {Q.lit(c)}, {'NULL' if p is None else Q.lit(p)}, {Q.lit(q)})"

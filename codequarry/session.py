@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -85,6 +86,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back.
+
+    A stage that several branches read, or that holds sampled completions,
+    runs once; later scans prune columns and know their sizes.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_has_data(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists and holds something besides marker files; other errors are raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    return any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
+
+
 _SHIPPED: set[str] = set()
 
 

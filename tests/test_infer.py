@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from codequarry.operators import infer as I
@@ -44,7 +46,7 @@ def test_resume_is_idempotent(spark, tmp_dir):
     log = os.path.join(tmp_dir, "log")
     os.makedirs(log)
     first = I.run_resumable(spark, recs, ["id"], "prompt", counting_factory(log), out_path,
-                            I.GenerationConfig(n=1), rows_per_commit=7)
+                            I.GenerationConfig(n=1), commits=3)
     assert first.count() == 20
     n_calls = len(calls(log))
     again = I.run_resumable(spark, recs, ["id"], "prompt", counting_factory(log), out_path, I.GenerationConfig(n=1))
@@ -58,6 +60,34 @@ def test_resume_is_idempotent(spark, tmp_dir):
     assert len(calls(log)) == n_calls + 5
 
 
+def test_damaged_output_is_an_error_not_an_empty_start(spark, tmp_dir):
+    recs = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "id bigint, prompt string")
+    out = os.path.join(tmp_dir, "damaged")
+    os.makedirs(out)
+    with open(os.path.join(out, "part-00000.parquet"), "wb") as f:
+        f.write(b"PAR1 this is no footer")
+    with pytest.raises(Exception):
+        I.run_resumable(spark, recs, ["id"], "prompt", I.hash_completer, out, I.GenerationConfig(n=1)).collect()
+    assert os.listdir(out) == ["part-00000.parquet"]
+
+
+def test_records_with_equal_prompts_get_their_own_samples(spark):
+    recs = spark.createDataFrame([(i, "same") for i in range(6)], "id bigint, prompt string")
+    own = I.batch_infer(recs, "prompt", I.seeded_hash_completer, I.GenerationConfig(n=2), share=False, seed_cols=["id"])
+    assert len({tuple(r["generated_answer"]) for r in own.collect()}) == 6
+    shared = I.batch_infer(recs, "prompt", I.seeded_hash_completer, I.GenerationConfig(n=2))
+    assert len({tuple(r["generated_answer"]) for r in shared.collect()}) == 1
+
+
+def test_prompt_text_does_not_cross_the_join(spark):
+    recs = spark.createDataFrame([(i, f"q{i}") for i in range(6)], "id bigint, prompt string")
+    out = I.batch_infer(recs, "prompt", I.hash_completer, I.GenerationConfig(n=1)).select("id", "generated_answer")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        if "Exchange hashpartitioning" in line:
+            assert "prompt#" not in line
+
+
 def test_replay_by_prompt_not_position(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "zzz")], "id bigint, prompt string")
     rec = spark.createDataFrame([("a", ["A"]), ("b", ["B"]), ("b", ["B2"])], "prompt string, texts array<string>")
