@@ -1,9 +1,7 @@
 """Transcript operators over the long message table (conv_id, turn, role, text).
 
-Turns are dense (0..n-1 per conversation, as message lists grow by
-appending), so "next turn" is an equi-join on (conv_id, turn + 1).  The
-composite key is unique per row, so a conversation holding a third of all
-rows still spreads over every task, unlike a window partitioned by conv_id.
+Turns are in order but may have gaps, so the next message is found by
+``lead`` and earlier ones are counted, not computed from the turn number.
 """
 
 from __future__ import annotations
@@ -18,11 +16,11 @@ CHUNK_TURNS = 256
 
 def qa_pairs(messages: DataFrame, question_role: str = "user", answer_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, question, answer): a question turn and the answer right after it."""
-    q = messages.filter(F.col("role") == question_role).select(
-        "conv_id", "turn", F.col("text").alias("question"))
-    a = messages.filter(F.col("role") == answer_role).select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return q.join(a, ["conv_id", "turn"], "inner")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    nxt = messages.select("conv_id", "turn", "role", F.col("text").alias("question"),
+                          F.lead("role").over(w).alias("_next_role"), F.lead("text").over(w).alias("answer"))
+    return (nxt.filter((F.col("role") == question_role) & (F.col("_next_role") == answer_role))
+               .select("conv_id", "turn", "question", "answer"))
 
 
 def running_context(messages: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
@@ -35,14 +33,17 @@ def running_context(messages: DataFrame, chunk_turns: int = CHUNK_TURNS) -> Data
     """
     m = (messages.select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
          .withColumn("chunk", F.floor(F.col("turn") / chunk_turns).cast("bigint")))
-    totals = m.groupBy("conv_id", "chunk").agg(F.sum("n_chars").alias("chunk_chars"))
+    totals = m.groupBy("conv_id", "chunk").agg(F.sum("n_chars").alias("chunk_chars"),
+                                               F.count(F.lit(1)).alias("chunk_turns"))
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("conv_id", "chunk",
-                            F.coalesce(F.sum("chunk_chars").over(before), F.lit(0)).alias("offset"))
+                            F.coalesce(F.sum("chunk_chars").over(before), F.lit(0)).alias("offset"),
+                            F.coalesce(F.sum("chunk_turns").over(before), F.lit(0)).alias("turns_before"))
     inner = Window.partitionBy("conv_id", "chunk").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    local = m.withColumn("local_prev", F.coalesce(F.sum("n_chars").over(inner), F.lit(0)))
+    local = (m.withColumn("local_prev", F.coalesce(F.sum("n_chars").over(inner), F.lit(0)))
+              .withColumn("local_turns", F.count(F.lit(1)).over(inner)))
     return (local.join(offsets, ["conv_id", "chunk"])
-                 .select("conv_id", "turn", "role", F.col("turn").cast("bigint").alias("n_prev_turns"),
+                 .select("conv_id", "turn", "role", (F.col("turns_before") + F.col("local_turns")).cast("bigint").alias("n_prev_turns"),
                          (F.col("offset") + F.col("local_prev")).cast("bigint").alias("prev_chars")))
 
 
@@ -62,8 +63,3 @@ def chat_segments(messages: DataFrame, add_generation_prompt: bool = True) -> Da
                     .select("conv_id", "turn", "role", seg.alias("segment"),
                             (F.col("turn") == F.col("last_turn")).alias("is_last")))
 
-
-def follow_turn(messages: DataFrame, offset: int, out: str) -> DataFrame:
-    """Attach the text of the turn ``offset`` steps later (NULL when absent)."""
-    other = messages.select("conv_id", (F.col("turn") - offset).alias("turn"), F.col("text").alias(out))
-    return messages.join(other, ["conv_id", "turn"], "left")

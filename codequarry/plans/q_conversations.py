@@ -21,7 +21,8 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("running_context", sql="""
-    SELECT conv_id, turn, role, turn::BIGINT AS n_prev_turns,
+    SELECT conv_id, turn, role,
+           (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n_prev_turns,
            coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prev_chars
     FROM conversations""")

@@ -19,6 +19,7 @@ from .registry import query
 KEYS = ["conv_id", "turn"]
 LEVELS = ["primary_obfuscation", "secondary_obfuscation"]
 RESCALE_BASELINE = 0.8
+FAIL_EVERY = 7
 
 
 def answered(spark: SparkSession, sf_dir: str, n_samples: int = catalog.DEFAULT_N_SAMPLES) -> DataFrame:
@@ -28,7 +29,8 @@ def answered(spark: SparkSession, sf_dir: str, n_samples: int = catalog.DEFAULT_
     level keys come from ``labels`` (quality, toxic -> primary level) and a
     content hash (secondary level).  The answering model is the
     question-echo baseline: every sample repeats the question; a blank
-    question yields no sample (a failed generation).
+    question, and one in ``FAIL_EVERY`` by hash of the key, yields no sample
+    (a failed generation).
     """
     pairs = C.qa_pairs(table(spark, sf_dir, "conversations"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality", "toxic")
@@ -36,7 +38,9 @@ def answered(spark: SparkSession, sf_dir: str, n_samples: int = catalog.DEFAULT_
     s_idx = H.md5_bucket(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 4)
     primary = F.array(*[F.lit(x) for x in catalog.PRIMARY_LEVELS])
     secondary = F.array(*[F.lit(x) for x in catalog.SECONDARY_LEVELS])
-    echo = F.when(TX.strip_ws("question") == "", F.array().cast("array<string>")).otherwise(
+    key = F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    failed = (TX.strip_ws("question") == "") | (H.md5_bucket(key, FAIL_EVERY) == 0)
+    echo = F.when(failed, F.array().cast("array<string>")).otherwise(
         F.array_repeat(F.col("question"), n_samples))
     return (pairs.join(labels, "conv_id", "left")
                  .select(*KEYS, F.try_element_at(primary, (p_idx + 1).cast("int")).alias(LEVELS[0]),
@@ -56,7 +60,7 @@ _SQL_ANSWERED = f"""
            {Q.str_list(catalog.PRIMARY_LEVELS)}[1 + coalesce(l.quality, 0) + 2 * coalesce(l.toxic, 0)] AS primary_obfuscation,
            {Q.str_list(catalog.SECONDARY_LEVELS)}[1 + {Q.bucket("CAST(p.conv_id AS VARCHAR) || '|' || CAST(p.turn AS VARCHAR)", 4)}] AS secondary_obfuscation,
            p.question, p.answer,
-           CASE WHEN {Q.strip('p.question')} = '' THEN [] ELSE list_transform(range(5), lambda i: p.question) END AS generated_answer
+           CASE WHEN {Q.strip('p.question')} = '' OR {Q.bucket("CAST(p.conv_id AS VARCHAR) || '|' || CAST(p.turn AS VARCHAR)", FAIL_EVERY)} = 0 THEN [] ELSE list_transform(range(5), lambda i: p.question) END AS generated_answer
     FROM ({Q.qa_pairs()}) p LEFT JOIN labels l ON l.doc_id = p.conv_id"""
 
 _SQL_CLEAN = f"""

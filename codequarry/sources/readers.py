@@ -29,16 +29,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     """JSON lines: (good rows, rejected lines).
 
     Bad lines are kept aside in ``_corrupt_record`` instead of stopping the
-    job; callers count or log them.  The result is cached because Spark
-    forbids queries on the corrupt column of an un-materialised scan.
+    job; callers count or log them.  Lines are read as text and parsed by a
+    column function, so neither side needs the corpus cached.
     """
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    df = df.cache()
-    good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-    return good, bad
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+                          .alias("r")).select("r.*")
+    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), parsed.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def parse_json_column(df: DataFrame, column: str, schema: T.StructType | str, out: str = "parsed") -> DataFrame:
@@ -85,15 +83,14 @@ def seeded_slice(df: DataFrame, key: str, seed: int, start: int = 0, end: int =
     order), then take rows [start, end); end = -1 means to the end."""
     if end != -1 and end < start:
         raise ValueError("end must be -1 or >= start")
-    if seed > 0:
-        ordered = df.orderBy(H.seeded_order_key(seed, key), F.col(key))
-    else:
-        ordered = df.orderBy(F.col(order_col or key))
-    if start:
-        ordered = ordered.offset(start)
+    order = [H.seeded_order_key(seed, key), F.col(key)] if seed > 0 else [F.col(order_col or key)]
     if end != -1:
-        ordered = ordered.limit(end - start)
-    return ordered
+        ordered = df.orderBy(*order).limit(end)
+        return ordered.offset(start) if start else ordered
+    if start:  # all but the first rows: an offset without a limit would end in one task
+        first = df.orderBy(*order).limit(start).select(F.col(key).alias("_first"))
+        df = df.join(first, F.col(key) == F.col("_first"), "left_anti")
+    return df.orderBy(*order)
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int | None) -> DataFrame:

@@ -16,17 +16,14 @@ def write_records(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """Small exports only: one JSON-lines file (one task)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Small exports only: the rows as one JSON array in one text file.
 
-
-def append_batch(df: DataFrame, path: str, batch_col: str = "batch_id") -> None:
-    """Partial save: append finished rows partitioned by batch id.
-
-    Appends are per batch partition, so a lost run leaves whole batches that
-    the resume anti-join skips.
+    The array is one value in one task, which bounds it to some hundreds of
+    MB; larger tables go through :func:`write_records`.
     """
-    df.write.mode("append").partitionBy(batch_col).parquet(path)
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("r"))
+    body = F.array_join(F.sort_array(F.collect_list("r")), ",\n")
+    rows.agg(F.concat(F.lit("["), body, F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_answers(df: DataFrame, root: str, mode: str = "append") -> None:

@@ -8,13 +8,17 @@ from codequarry.operators import fanout as FO
 SF = "/root/testdata/sf0.001"
 
 
-def test_qa_pairs_equals_lead_window(spark):
+def test_qa_pairs_and_counts_cross_gaps_in_turns(spark):
     m = spark.read.parquet(f"{SF}/conversations.parquet")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    brute = (m.withColumn("nr", F.lead("role").over(w)).withColumn("nt", F.lead("text").over(w))
-              .filter((F.col("role") == "user") & (F.col("nr") == "assistant"))
-              .select("conv_id", "turn", F.col("text").alias("question"), F.col("nt").alias("answer")))
-    assert sorted(C.qa_pairs(m).collect()) == sorted(brute.collect())
+    gaps = m.withColumn("turn", F.col("turn") * 3 + 5)
+    by_conv = {}
+    for r in sorted(m.collect(), key=lambda r: (r.conv_id, r.turn)):
+        by_conv.setdefault(r.conv_id, []).append(r)
+    want = sorted((c, a.turn * 3 + 5, a.text, b.text) for c, rows in by_conv.items()
+                  for a, b in zip(rows, rows[1:]) if (a.role, b.role) == ("user", "assistant"))
+    assert want and sorted(map(tuple, C.qa_pairs(gaps).collect())) == want
+    seen = {(r.conv_id, r.turn): r.n_prev_turns for r in C.running_context(gaps, chunk_turns=4).collect()}
+    assert seen == {(c, r.turn * 3 + 5): n for c, rows in by_conv.items() for n, r in enumerate(rows)}
 
 
 def test_running_context_chunked_equals_window(spark):

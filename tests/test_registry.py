@@ -1,16 +1,19 @@
 """Every registered query against its DuckDB oracle on the smallest tables."""
 
 import math
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from codequarry.plans import registry
 from codequarry.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+registry.load_all()
+QUERIES = registry.QUERIES
+ORACLE = registry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +41,11 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_entry_without_the_optional_parts(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "mean_f1" in df.columns

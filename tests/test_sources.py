@@ -26,6 +26,16 @@ def test_json_array(spark, tmp_dir):
     assert R.read_json_array(spark, p, SCHEMA).count() == 2
 
 
+def test_json_array_round_trip(spark, tmp_dir):
+    rows = [(1, "x\ny"), (2, None), (None, 'q"uote'), (3, "é")]
+    p = os.path.join(tmp_dir, "out")
+    sinks.write_json_array(spark.createDataFrame(rows, SCHEMA).repartition(3), p)
+    back = R.read_json_array(spark, p, SCHEMA).collect()
+    assert sorted(map(tuple, back), key=str) == sorted(rows, key=str)
+    sinks.write_json_array(spark.createDataFrame([], SCHEMA), os.path.join(tmp_dir, "none"))
+    assert R.read_json_array(spark, os.path.join(tmp_dir, "none"), SCHEMA).count() == 0
+
+
 def test_load_data_router(spark):
     with pytest.raises(ValueError):
         R.load_data(spark, "nope")
@@ -45,6 +55,16 @@ def test_seeded_slice_unshuffled(spark):
     assert [r[0] for r in R.seeded_slice(d, "k", 0, 2, 5).collect()] == [2, 3, 4]
 
 
+def test_open_slice_skips_the_first_rows_without_a_single_task_offset(spark):
+    d = spark.range(10).withColumnRenamed("id", "k")
+    out = R.seeded_slice(d, "k", 0, 7)
+    assert [r[0] for r in out.collect()] == [7, 8, 9]
+    assert "CollectLimit" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in R.seeded_slice(d, "k", 5, 0).collect()) == list(range(10))
+    with_first = {r[0] for r in R.seeded_slice(d, "k", 5, 0, 4).collect()}
+    assert with_first | {r[0] for r in R.seeded_slice(d, "k", 5, 4).collect()} == set(range(10))
+
+
 def test_answers_layout_roundtrip(spark, tmp_dir):
     df = spark.createDataFrame([(1, "m1", "with_code", 0.5), (2, "m2", "question_only", 0.7)],
                                "qa_id bigint, model string, prompt_mode string, f1 double")
