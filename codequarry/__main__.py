@@ -20,6 +20,7 @@ import importlib
 import json
 import sys
 
+from .functions.prompts import ANSWER_MODES
 from .operators import evaluate as E
 from .operators import infer as I
 from .plans import catalog, jobs
@@ -49,7 +50,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     a.add_argument("--records", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--model", required=True)
-    a.add_argument("--prompt-mode", required=True, choices=["with_code", "question_only", "raw"])
+    a.add_argument("--prompt-mode", required=True, choices=[m for m in ANSWER_MODES if m != "fewshot"])
     a.add_argument("--completer", default="hash")
     a.add_argument("--n-samples", type=int, default=catalog.DEFAULT_N_SAMPLES)
     e = sub.add_parser("evaluate")

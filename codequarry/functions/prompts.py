@@ -82,6 +82,23 @@ def codegen_prompt(code, summary) -> Column:
     return fill(catalog.CODEGEN_TEMPLATE, prompt=code, summary=summary)
 
 
+ANSWER_MODES = (*PROMPT_MODES, "summarize", "fewshot", "codegen")
+
+
+def answer_prompt(code, question, mode: str, examples=None) -> Column:
+    """Prompt of the answering job: the Q/A modes, or a summary of the code, without or with
+    worked ``examples`` (a text), or the code to go with a summary (the question)."""
+    if mode == "summarize":
+        return summarize_prompt(code)
+    if mode == "codegen":
+        return codegen_prompt(code, question)
+    if mode == "fewshot":
+        if examples is None:
+            raise ValueError("mode fewshot needs examples")
+        return fewshot_prompt(code, examples)
+    return qa_prompt(code, question, mode)
+
+
 def fewshot_example(inp, out) -> Column:
     return fill(catalog.FEWSHOT_EXAMPLE_TEMPLATE, input=inp, output=out)
 

@@ -49,14 +49,15 @@ def split_flat(flat: DataFrame, n_examples: int) -> DataFrame:
              .drop("per"))
 
 
-def merge_outputs(parts: DataFrame) -> DataFrame:
-    """(batch_id, example_no, texts) -> (batch_id, texts) concatenated in example order.
+def merge_outputs(parts: DataFrame, lists: Sequence[str] = ("texts",)) -> DataFrame:
+    """(batch_id, example_no, lists) -> (batch_id, lists), each concatenated in example order:
+    texts, and score lists beside them.
 
     One batch holds at most batch_size examples, so the gathered list is
     bounded by the batch size.
     """
-    g = parts.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("example_no", "texts"))).alias("_p"))
-    return g.select("batch_id", F.flatten(F.transform("_p", lambda s: s["texts"])).alias("texts"))
+    g = parts.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("example_no", *lists))).alias("_p"))
+    return g.select("batch_id", *[F.flatten(F.col(f"_p.{c}")).alias(c) for c in lists])
 
 
 def align_completions(flat: DataFrame, n_samples: int) -> DataFrame:

@@ -134,6 +134,19 @@ def rescale(col, baseline) -> Column:
     return F.try_divide(c - b, F.lit(1.0) - b)
 
 
+def rescale_by_encoder(scores: DataFrame, baselines: Sequence[tuple[str, float, float, float]]) -> DataFrame:
+    """Each score row once for each encoder, P, R and F1 rescaled by that encoder's baselines.
+
+    ``baselines`` is (encoder, precision, recall, f1): a short literal table, exploded in place.
+    """
+    rows = F.array(*[F.struct(F.lit(e).alias("encoder"), F.lit(p).alias("p"), F.lit(r).alias("r"), F.lit(f).alias("f"))
+                     for e, p, r, f in baselines])
+    out = scores.withColumn("_b", F.explode(rows)).withColumn("encoder", F.col("_b.encoder"))
+    for name, b in (("precision", "p"), ("recall", "r"), ("f1", "f")):
+        out = out.withColumn(name, rescale(name, F.col(f"_b.{b}")))
+    return out.drop("_b")
+
+
 # --- user-supplied encoder --------------------------------------------------
 
 VEC_LIST = T.ArrayType(T.ArrayType(T.DoubleType()))

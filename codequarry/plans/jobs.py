@@ -51,16 +51,20 @@ def build_qa_dataset(spark: SparkSession, corpus: DataFrame, completer: I.Comple
 
 def answer_records(spark: SparkSession, records: DataFrame, completer: I.CompleterFactory, model: str,
                    prompt_mode: str, out_root: str,
-                   config: I.GenerationConfig = I.GenerationConfig()) -> DataFrame:
+                   config: I.GenerationConfig = I.GenerationConfig(), commits: int = 1, share: bool = False,
+                   examples: str | None = None) -> DataFrame:
     """Answer every record not yet answered by (model, prompt_mode); append results.
 
-    The prompt shows the rewritten code or only the question.  Resume is by
-    record key, so a rerun after a partial run answers exactly the rest.
+    ``prompt_mode`` is one of ``prompts.ANSWER_MODES`` (``examples``: the worked examples of the
+    few-shot mode).  Each record gets its own samples unless ``share``.  Resume is by record key,
+    so a rerun after a partial run answers exactly the rest; ``commits`` saves in that many parts.
     """
-    prompt = P.qa_prompt("secondary_obfuscated_code", "question", prompt_mode)
+    shown = None if examples is None else F.lit(examples)
+    prompt = P.answer_prompt("secondary_obfuscated_code", "question", prompt_mode, shown)
     recs = records.withColumn("prompt", prompt)
     out_path = f"{out_root.rstrip('/')}/prompt_mode={prompt_mode}/model={model}"
-    return I.run_resumable(spark, recs, VARIANT_KEYS, "prompt", completer, out_path, config)
+    return I.run_resumable(spark, recs, VARIANT_KEYS, "prompt", completer, out_path, config, commits=commits,
+                           share=share)
 
 
 def score_answers(spark: SparkSession, answered: DataFrame, vectors: DataFrame, out_path: str,

@@ -72,7 +72,8 @@ def split_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("merge_batch", sql=f"""
-    SELECT bucket, batch_no, count(*)::BIGINT AS n_texts, string_agg(text, chr(10) ORDER BY conv_id, turn) AS merged
+    SELECT bucket, batch_no, count(*)::BIGINT AS n_texts, string_agg(text, chr(10) ORDER BY conv_id, turn) AS merged,
+           string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY conv_id, turn) AS scores
     FROM ({_SQL_BATCHES}) b GROUP BY bucket, batch_no""")
 def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-example outputs of each batch (at most 8) merged back into one list in order."""
@@ -80,10 +81,12 @@ def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE)
     w = Window.partitionBy("bucket", "batch_no").orderBy("conv_id", "turn")
     parts = batched.select(F.struct("bucket", "batch_no").alias("batch_id"),
-                           (F.row_number().over(w) - 1).alias("example_no"), F.array("text").alias("texts"))
-    merged = B.merge_outputs(parts)
+                           (F.row_number().over(w) - 1).alias("example_no"), F.array("text").alias("texts"),
+                           F.array(F.length("text")).alias("scores"))
+    merged = B.merge_outputs(parts, ("texts", "scores"))
     return merged.select(F.col("batch_id.bucket").alias("bucket"), F.col("batch_id.batch_no").alias("batch_no"),
-                         F.size("texts").cast("bigint").alias("n_texts"), F.array_join("texts", "\n").alias("merged"))
+                         F.size("texts").cast("bigint").alias("n_texts"), F.array_join("texts", "\n").alias("merged"),
+                         F.array_join("scores", ",").alias("scores"))
 
 
 @query("completions_align", sql="""

@@ -60,6 +60,54 @@ def batch_infer_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("generated_answer", ",").alias("samples"))
 
 
+def _mode_prompts(code, question, examples) -> list[tuple[str, object]]:
+    return [(m, P.answer_prompt(code, question, m, examples)) for m in P.ANSWER_MODES]
+
+
+_SQL_EXAMPLES = (f"(SELECT string_agg(piece, chr(10) || chr(10) ORDER BY item_id) FROM (SELECT item_id, "
+                 f"{P.sql_fill(catalog.FEWSHOT_EXAMPLE_TEMPLATE, input='text', output='text')} AS piece "
+                 f"FROM benchmark ORDER BY item_id LIMIT 3) e)")
+_SQL_MODES = {
+    "with_code": P.sql_fill(catalog.QA_TEMPLATE_WITH_CODE, prompt="question", question="answer"),
+    "question_only": P.sql_fill(catalog.QA_TEMPLATE_QUESTION_ONLY, question="answer"),
+    "raw": "question",
+    "summarize": P.sql_fill(catalog.SUMMARIZE_TEMPLATE, code="question"),
+    "fewshot": P.sql_fill(catalog.FEWSHOT_SUMMARIZE_TEMPLATE, fewshot_examples=_SQL_EXAMPLES, code="question"),
+    "codegen": P.sql_fill(catalog.CODEGEN_TEMPLATE, prompt="question", summary="answer"),
+}
+
+
+@query("answer_modes", sql=" UNION ALL ".join(
+    f"SELECT conv_id, turn, '{m}' AS mode, {_sql_hash('(' + p + ')')} AS sample FROM ({Q.qa_pairs()}) q"
+    for m, p in _SQL_MODES.items()))
+def answer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt type of the answering job, for each question turn (as code) and its answer (as
+    question or summary); the few-shot block is a scalar subquery over three benchmark passages."""
+    ex = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).select(
+        "item_id", P.fewshot_example("text", F.col("text")).alias("piece"))
+    block = ex.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "piece"))),
+                                            lambda x: x["piece"]), "\n\n")).scalar()
+    pairs = C.qa_pairs(table(spark, sf_dir, "conversations"))
+    one = pairs.select("conv_id", "turn", *[p.alias(m) for m, p in _mode_prompts("question", "answer", block)])
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("prompt")) for m in P.ANSWER_MODES])
+    rows = one.select("conv_id", "turn", F.explode(modes).alias("x")).select("conv_id", "turn", "x.mode", "x.prompt")
+    out = I.batch_infer(rows, "prompt", I.hash_completer, I.GenerationConfig(n=1), share=False,
+                        seed_cols=("conv_id", "turn", "mode"))
+    return out.select("conv_id", "turn", "mode", F.get("generated_answer", 0).alias("sample"))
+
+
+@query("render_messages", sql=f"""
+    SELECT conv_id, turn, md5('<|user|>' || chr(10) || question || chr(10) || '<|assistant|>' || chr(10) || answer || chr(10)
+           || '<|user|>' || chr(10) || {Q.lit(catalog.ANSWER_PROMPT)} || chr(10) || '<|assistant|>' || chr(10)) AS chat_md5
+    FROM ({Q.qa_pairs()}) q""")
+def render_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message list of three (question, answer, next user message) rendered as chat text."""
+    pairs = C.qa_pairs(table(spark, sf_dir, "conversations"))
+    said = F.array(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    messages = F.concat(P.user_message("question"), said, P.user_message(F.lit(catalog.ANSWER_PROMPT)))
+    return pairs.select("conv_id", "turn", F.md5(P.render_messages(messages)).alias("chat_md5"))
+
+
 def _sql_generate() -> str:
     nl = "chr(10)"
     cats = ", ".join(f"({i}, {Q.lit(c)}, {'NULL' if p is None else Q.lit(p)}, {Q.lit(q)})"
