@@ -36,14 +36,15 @@ from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO = np.int64(1) << np.int64(40)  # above every rank
-WORDS_KEPT = 400_000              # words a worker remembers
+WORDS_KEPT = 200_000              # words a worker remembers
 SEGMENT = 1 << 20                 # characters of a very long text handled at once
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = re.compile(f"[{_SPACE}]")
@@ -497,6 +498,24 @@ def _ids_of(codec: WordBpe, texts: list[str]) -> Iterator[tuple[int, list[np.nda
         i = j
 
 
+OUT_TOKENS = 200_000  # ids in one output batch
+
+
+def _out_batch(batch: pa.RecordBatch, rows: list, ids: bool) -> pa.RecordBatch:
+    """The kept columns of ``batch`` with the columns made for its rows."""
+    n = [r[0] for r in rows]
+    columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array([r[1] for r in rows], pa.string()),
+               pa.array([r[2] for r in rows], pa.string())]
+    names = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
+    if ids:
+        parts = [p for r in rows for p in r[3]]
+        flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
+        offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def tokenised(spark: SparkSession, docs: DataFrame, path: str | None = None, keep: tuple = ("doc_id",),
               ids: bool = True) -> DataFrame:
     """``keep`` columns with n_tokens, ids_sha256, decoded_sha256 and, if wanted, ``ids``.
@@ -505,11 +524,11 @@ def tokenised(spark: SparkSession, docs: DataFrame, path: str | None = None, kee
     """
     file = _file(spark, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
-            rows: list = [None] * len(texts)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            first, held, rows = 0, 0, []
             for i, parts in _ids_of(codec, texts):
                 a, b, n = hashlib.sha256(), hashlib.sha256(), 0
                 for part in parts:
@@ -517,16 +536,16 @@ def tokenised(spark: SparkSession, docs: DataFrame, path: str | None = None, kee
                         a.update(part.astype("<u4").tobytes())
                         b.update((" " if n else "").encode() + codec.decode(part).encode("utf-8"))
                         n += len(part)
-                rows[i] = (n, a.hexdigest(), b.hexdigest(), np.concatenate(parts) if ids else None)
-            got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"], index=pdf.index)
-            if not ids:
-                got = got.drop(columns="ids")
-            yield pd.concat([pdf.drop(columns="_text"), got], axis=1)
+                rows.append((n, a.hexdigest(), b.hexdigest(), parts if ids else None))
+                held += n
+                if held >= OUT_TOKENS or i + 1 == len(texts):
+                    yield _out_batch(batch.slice(first, len(rows)), rows, ids)
+                    first, held, rows = i + 1, 0, []
 
     src = docs.select(*[docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(keep)], docs["text"].alias("_text"))
     schema = [f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     schema += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * ids
-    return src.mapInPandas(run, ", ".join(schema)).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    return src.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
 def decode(spark: SparkSession, tokens: DataFrame, path: str | None = None) -> DataFrame:
