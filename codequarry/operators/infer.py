@@ -71,16 +71,22 @@ def seeded_hash_completer() -> Completer:
     return run
 
 
+BREAK_EVERY = 5
+
+
 def echo_code_completer() -> Completer:
     """Deterministic stub for rewrites: returns the code before the last blank
     line of the prompt inside chatty text, plus one marker statement derived
-    from the instruction (so every rewrite level yields different code)."""
+    from the instruction (so every rewrite level yields different code).  One
+    rewrite in ``BREAK_EVERY``, by hash of the code, does not parse."""
     def run(prompts, n, seeds, config):
         out = []
         for p in prompts:
             code, _, instruction = p.rpartition("\n\n")
             mark = hashlib.md5(instruction.encode()).hexdigest()[:6]
-            text = f"Here is the code:\n{code}\n    pass  # {mark}\nThe behaviour is unchanged."
+            broken = int(hashlib.md5(code.encode()).hexdigest()[:8], 16) % BREAK_EVERY == 0
+            text = (f"Here is the code:\n{code}\n    pass  # {mark}\n" + "    )\n" * broken
+                    + "The behaviour is unchanged.")
             out.append([text] * n)
         return out
     return run

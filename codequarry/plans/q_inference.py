@@ -145,7 +145,8 @@ def sql_echo_rewrite(code: str, instruction: str) -> str:
     prompt = f"({code}) || chr(10) || chr(10) || {Q.lit(instruction)}"
     part = f"regexp_extract({prompt}, '(?s)^(.*)\\n\\n', 1)"
     text = (f"'Here is the code:' || chr(10) || {part} || chr(10) || '    pass  # {_mark(instruction)}'"
-            f" || chr(10) || 'The behaviour is unchanged.'")
+            f" || chr(10) || CASE WHEN {Q.bucket(part, I.BREAK_EVERY)} = 0 THEN '    )' || chr(10) ELSE '' END"
+            f" || 'The behaviour is unchanged.'")
     return Q.keep_lines(text)
 
 
@@ -173,16 +174,25 @@ def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.primary_rewrites(_doc_codes(spark, sf_dir), I.echo_code_completer)
 
 
-@query("memo_rewrite", sql=f"""
-    SELECT p.code_id, p.level AS primary_obfuscation, 9::BIGINT AS n_records, md5(p.obfuscated_code) AS code_md5
-    FROM ({_sql_primary_long(sql_synth_code())}) p""")
+_SHARED = sql_synth_code(name="'shared'")
+
+
+@query("memo_rewrite", sql=" UNION ALL ".join(f"""
+    SELECT md5(code) AS code_key, '{level}' AS primary_obfuscation, count(*)::BIGINT AS n_codes,
+           ({len(catalog.CATEGORIES)} * count(*))::BIGINT AS n_records, md5(min({col})) AS code_md5
+    FROM ({_sql_primary_codes(_SHARED)}) p GROUP BY code"""
+    for level, col in (("Refactor", "refactor"), ("Dead Code", "dead_code"), ("Refactor and Dead Code", "combined"))))
 def memo_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model call per distinct (code, level), shared by the code's nine records."""
-    recs = FO.over_categories(_doc_codes(spark, sf_dir).select("code_id"))
-    rewrites = _primary(spark, sf_dir)
-    uses = recs.groupBy("code_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"))
-    return rewrites.join(uses, "code_id").select(
-        "code_id", F.col("level").alias("primary_obfuscation"), "n_records",
+    """One model call for each distinct code and level: functions here share a name, so equal texts
+    share their rewrites; returns how many codes and records each call serves."""
+    codes = synth_code(table(spark, sf_dir, "documents"), name=F.lit("shared"))
+    keyed = codes.select(F.md5("code").alias("code_id"), "code")
+    rewrites = G.primary_rewrites(keyed.dropDuplicates(["code_id"]), I.echo_code_completer)
+    uses = keyed.groupBy("code_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_codes"))
+    records = FO.over_categories(uses).groupBy("code_id").agg(
+        F.first("n_codes").alias("n_codes"), F.sum("n_codes").cast("bigint").alias("n_records"))
+    return rewrites.join(records, "code_id").select(
+        F.col("code_id").alias("code_key"), F.col("level").alias("primary_obfuscation"), "n_codes", "n_records",
         F.md5("obfuscated_code").alias("code_md5"))
 
 

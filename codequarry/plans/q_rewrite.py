@@ -184,10 +184,11 @@ def _sql_grid() -> str:
         SELECT s.*, lv.lv, CASE lv.lv {prim} END AS pcode
         FROM {_QA} s, (SELECT unnest({Q.str_list(catalog.PRIMARY_LEVELS)}) AS lv) lv),
     g AS (
-        SELECT p.*, md5(pcode) AS pkey, {npass} AS npass, sl.sl
-        FROM p, (SELECT unnest({Q.str_list(catalog.SECONDARY_LEVELS)}) AS sl) sl)
+        SELECT p.*, CASE WHEN broken THEN md5(code) ELSE md5(pcode) END AS pkey,
+               CASE WHEN broken THEN 0 ELSE {npass} END AS npass, sl.sl
+        FROM (SELECT *, contains(pcode, chr(10) || '    )') AS broken FROM p) p, (SELECT unnest({Q.str_list(catalog.SECONDARY_LEVELS)}) AS sl) sl)
     SELECT conv_id, turn, lv AS primary_obfuscation, sl AS secondary_obfuscation,
-           (sl <> 'None' AND NOT ({ok})) AS error,
+           (sl <> 'None' AND (broken OR NOT ({ok}))) AS error,
            md5(CASE WHEN sl = 'None' OR NOT ({ok}) THEN pcode ELSE CASE sl {secw} END END) AS code_md5,
            CASE WHEN sl IN ('Rename', 'Undocument and Rename') THEN {_sql_sub('question', 'pkey', ok)} ELSE question END AS question,
            CASE WHEN sl IN ('Rename', 'Undocument and Rename') THEN {_sql_sub('answer', 'pkey', ok)} ELSE answer END AS answer
