@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import persisted
 
 # FIXED VALUE: the white space of every contract of this subpackage.
 WS = "\\x20\\x09-\\x0D"
@@ -19,9 +17,7 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage with files that survive the loss of any executor.
     """
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return persisted(df, name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -149,13 +145,18 @@ def spans(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def slices(texts: list[str], max_chars: int):
-    """Consecutive runs of ``texts`` of about ``max_chars`` in all: bounds memory."""
+def runs(sizes: list[int], most: int):
+    """Consecutive runs [i, j) whose sizes add up to ``most`` at most, or of one."""
     i = 0
-    while i < len(texts):
+    while i < len(sizes):
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= max_chars):
-            n += len(texts[j])
+        while j < len(sizes) and (j == i or n + sizes[j] <= most):
+            n += sizes[j]
             j += 1
         yield i, j
         i = j
+
+
+def slices(texts: list[str], max_chars: int):
+    """Runs of ``texts`` of about ``max_chars`` characters in all: bounds memory."""
+    return runs([len(t) for t in texts], max_chars)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (WS, joined_bytes, keep_rows, mix64, row_digest, shuffle_partitions, slices, spans, staged,
+from .common import (WS, joined_bytes, keep_rows, mix64, row_digest, runs, shuffle_partitions, slices, spans, staged,
                      word_hashes)
 from .components import components
 
@@ -52,7 +52,7 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
 REGISTERS = BANDS * ROWS
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 BITMAP_WORDS = 1 << 20  # 64 bits each: 8 MB, whatever the corpus
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -195,7 +195,7 @@ def overlaps(left: list[str], right: list[str]) -> np.ndarray:
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     left, right = a.tolist(), b.tolist()
     out = np.empty(len(left))
-    for i, j in slices([x + y for x, y in zip(left, right)], BATCH_CHARS):
+    for i, j in runs([len(x) + len(y) for x, y in zip(left, right)], BATCH_CHARS):
         out[i:j] = overlaps(left[i:j], right[i:j])
     return pd.Series(out)
 
