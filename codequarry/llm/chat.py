@@ -13,8 +13,14 @@ is depth-first order, and each list emits the turns beyond what it shares
 with the list before it.  A pack ends at its token limit or with its
 partition; the next one repeats the path it needs once.  So a first turn
 shared by a third of all conversations costs one copy a pack, and no task
-sees more than its range.  Each conversation's turns are streamed in order;
-only its digests (some tens of bytes a turn) are held together.
+sees more than its range.
+
+A conversation of more tokens than a pack shares a pack with no other (the
+sharing one would pass the limit too), so it needs no list: it is a pack of its
+own, a row for each turn, streamed in order.  Lists, stacks and paths thus
+hold at most ``limit`` tokens (a turn has 32 or more: 2,048 turns at ``PACK``),
+and no row or worker holds a longer conversation.  One conversation is streamed by
+one task, as the SHA-256 over its turns needs their order.
 
 Template: ``<|im_start|>role<|im_sep|>text<|im_end|>``.  Control strings of
 this and other common templates inside a role or text get a backslash after
@@ -74,36 +80,52 @@ def parsed(segment: str) -> tuple[str, str]:
 
 # --- turns and paths --------------------------------------------------------
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Turns in order -> their number, prefix digest and segment; the path on a conversation's last turn.
+def _chain(limit: int):
+    """Turns in order -> their number, place and segment; leaf and path on a conversation's last turn.
 
-    A turn is held back until the next one shows whether it was the last.
+    Turns are held back until their conversation ends or passes the limit, then one by one; a
+    conversation beyond the limit (``alone``) has its leaf for a path.
     """
-    key, digest, nodes, sizes, held = None, b"", [], [], None
-    cols = ["ckey", "turn_no", "node", "segment", "text_from", "text_to", "loss", "nodes", "sizes"]
-    for pdf in batches:
-        out = []
-        for k, role, text in zip(pdf["ckey"], pdf["role"], pdf["text"]):
-            if k != key:
-                if held:
-                    out.append((*held, nodes, sizes))
-                key, digest, nodes, sizes = k, b"", [], []
-            elif held:
-                out.append((*held, None, None))
-            role, text = role or "", text or ""
-            r, t = role.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")
-            digest = hashlib.sha256(digest + len(r).to_bytes(8, "big") + r + t).digest()[:16]
-            segment, a, b = formatted(role, text)
-            held = (k, len(nodes), digest.hex(), segment, a, b, role == "assistant")
-            nodes.append(digest.hex())
-            sizes.append(len(segment))
-        yield pd.DataFrame(out, columns=cols)
-    if held:
-        yield pd.DataFrame([(*held, nodes, sizes)], columns=cols)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["ckey", "turn_no", "at", "size", "segment", "text_from", "text_to", "loss", "alone", "leaf", "nodes",
+                "sizes"]
+        key, digest, n, at, alone, nodes, sizes, held = None, b"", 0, 0, False, [], [], []
+
+        def ended():
+            leaf = digest.hex()
+            return [*((*h, alone, None, None, None) for h in held[:-1]),
+                    (*held[-1], alone, leaf, [leaf] if alone else nodes, sizes)]
+
+        for pdf in batches:
+            out = []
+            for k, role, text in zip(pdf["ckey"], pdf["role"], pdf["text"]):
+                if k != key:
+                    if held:
+                        out += ended()
+                    key, digest, n, at, alone, nodes, sizes, held = k, b"", 0, 0, False, [], [], []
+                role, text = role or "", text or ""
+                r, t = role.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")
+                digest = hashlib.sha256(digest + len(r).to_bytes(8, "big") + r + t).digest()[:16]
+                segment, a, b = formatted(role, text)
+                if alone:
+                    out += [(*h, alone, None, None, None) for h in held]
+                    held = []
+                held.append((k, n, at, len(segment), segment, a, b, role == "assistant"))
+                n, at = n + 1, at + len(segment)
+                if at > limit:
+                    alone, nodes, sizes = True, [], []
+                else:
+                    nodes.append(digest.hex())
+                    sizes.append(len(segment))
+            if out:
+                yield pd.DataFrame(out, columns=cols)
+        if held:
+            yield pd.DataFrame(ended(), columns=cols)
+    return run
 
 
-_CHAINED = ("ckey string, turn_no int, node string, segment string, text_from int, text_to int, loss boolean, "
-            "nodes array<string>, sizes array<int>")
+_CHAINED = ("ckey string, turn_no int, at long, size int, segment string, text_from int, text_to int, loss boolean, "
+            "alone boolean, leaf string, nodes array<string>, sizes array<int>")
 
 
 def _depth_first(limit: int):
@@ -112,10 +134,15 @@ def _depth_first(limit: int):
         cols = ["leaf", "ckey", "part", "pack", "turn_no", "seg", "parent", "depth", "start", "size", "position",
                 "attend", "path"]
         stack: list = []  # (node, seg, end position, attended intervals) down to the last conversation's leaf
-        pack, seg, at = 0, 0, 0
+        pack, seg, at, lone = 0, 0, 0, 0
         for pdf in batches:
             out = []
-            for leaf, ckey, part, nodes, sizes in zip(pdf["leaf"], pdf["ckey"], pdf["part"], pdf["nodes"], pdf["sizes"]):
+            for leaf, ckey, part, alone, nodes, sizes in zip(pdf["leaf"], pdf["ckey"], pdf["part"], pdf["alone"],
+                                                             pdf["nodes"], pdf["sizes"]):
+                if alone:
+                    out.append((leaf, ckey, -1 - part, lone, -1, -1, -1, -1, -1, 0, 0, None, None))
+                    lone += 1
+                    continue
                 same = 0
                 while same < min(len(stack), len(nodes)) and stack[same][0] == nodes[same]:
                     same += 1
@@ -143,7 +170,8 @@ _PLACED = ("leaf string, ckey string, part int, pack int, turn_no int, seg int,
 class Packed:
     """``segments``: the packs, one row for each node in them (part, pack, seg, parent, depth, start,
     size, position, attend, loss, text); ``paths``: (leaf, part, pack, path) of each distinct conversation;
-    ``members``: (conv_id, leaf) of every conversation."""
+    ``members``: (conv_id, leaf) of every conversation.  A negative part marks packs of one conversation
+    beyond the limit, whose path is NULL: all segments of its pack, in order."""
 
     def __init__(self, segments: DataFrame, paths: DataFrame, members: DataFrame):
         self.segments, self.paths, self.members = segments, paths, members
@@ -155,23 +183,30 @@ def pack(spark: SparkSession, conversations: DataFrame, limit: int = PACK) -> Pa
     src = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("ckey"), "turn",
                                "role", "text")
     turns = (src.repartition(n, "ckey").sortWithinPartitions("ckey", "turn", "role", "text")
-                .select("ckey", "role", "text").mapInPandas(_chain, _CHAINED))
+                .select("ckey", "role", "text").mapInPandas(_chain(limit), _CHAINED))
     turns = staged(spark, turns, "chat-turns")
-    convs = turns.filter(F.col("nodes").isNotNull()).select("ckey", F.col("node").alias("leaf"), "nodes", "sizes")
+    convs = turns.filter(F.col("leaf").isNotNull()).select("ckey", "leaf", "alone", "nodes", "sizes")
     members = convs.select(F.expr(f"cast(nullif(ckey, 'null') as {kind})").alias("conv_id"), "leaf")
-    distinct = convs.groupBy("leaf").agg(F.min("ckey").alias("ckey"), F.first("nodes").alias("nodes"),
-                                         F.first("sizes").alias("sizes"))
+    distinct = convs.groupBy("leaf").agg(F.min("ckey").alias("ckey"), F.first("alone").alias("alone"),
+                                         F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes"))
     ordered = distinct.repartitionByRange(n, "nodes").sortWithinPartitions("nodes")
     ordered = ordered.withColumn("part", F.spark_partition_id())
-    placed = staged(spark, ordered.select("leaf", "ckey", "part", "nodes", "sizes")
+    placed = staged(spark, ordered.select("leaf", "ckey", "part", "alone", "nodes", "sizes")
                     .mapInPandas(_depth_first(limit), _PLACED), "chat-places")
+    said = turns.select("ckey", "turn_no", "at", "size", "segment", "text_from", "text_to", "loss", "alone")
+    shared = placed.filter("seg >= 0").join(said.filter("not alone").drop("at", "size"), ["ckey", "turn_no"])
+    whole = (placed.filter("part < 0").select("ckey", "part", "pack").join(said.filter("alone"), "ckey")
+                   .withColumns({"seg": F.col("turn_no"), "parent": F.col("turn_no") - 1, "depth": F.col("turn_no"),
+                                 "start": F.col("at"), "position": F.col("at"),
+                                 "attend": F.array(F.struct(F.lit(0).cast("long").alias("start"),
+                                                            (F.col("at") + F.col("size")).alias("end")))}))
     at = F.col("start")
     loss = F.when(F.col("loss"), F.array(F.struct((at + F.col("text_from")).alias("start"),
                                                   (at + F.col("text_to")).alias("end"))))
     loss = loss.otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    segments = (placed.filter("seg >= 0").join(turns.drop("nodes", "sizes"), ["ckey", "turn_no"])
-                      .select("part", "pack", "seg", "parent", "depth", "start", "size", "position", "attend",
-                              loss.alias("loss"), F.col("segment").alias("text")))
+    cols = ["part", "pack", "seg", "parent", "depth", "start", "size", "position", "attend", loss.alias("loss"),
+            F.col("segment").alias("text")]
+    segments = shared.select(*cols).unionByName(whole.select(*cols))
     return Packed(staged(spark, segments, "chat-packs"),
                   placed.filter("seg < 0").select("leaf", "part", "pack", "path"), members)
 
@@ -209,8 +244,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_back(spark: SparkSession, packed: Packed) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the packs alone."""
-    steps = packed.paths.select("leaf", "part", "pack", F.posexplode("path").alias("i", "seg"))
-    rows = steps.join(packed.segments.select("part", "pack", "seg", "text", "start", "loss"), ["part", "pack", "seg"])
+    segments = packed.segments.select("part", "pack", "seg", "text", "start", "loss")
+    steps = packed.paths.filter("part >= 0").select("leaf", "part", "pack", F.posexplode("path").alias("i", "seg"))
+    whole = packed.paths.filter("part < 0").select("leaf", "part", "pack")
+    rows = steps.join(segments.filter("part >= 0"), ["part", "pack", "seg"]).unionByName(
+        whole.join(segments.filter("part < 0"), ["part", "pack"]).withColumn("i", F.col("seg")))
     rows = rows.repartition(shuffle_partitions(spark), "leaf").sortWithinPartitions("leaf", "i")
     digests = rows.select("leaf", "text", "start", "loss").mapInPandas(
         _read, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "

@@ -89,6 +89,28 @@ def test_packs_hold_each_prefix_once_with_positions_and_attention(spark):
     assert first <= len(segs) < 30
 
 
+def test_no_row_holds_a_conversation_longer_than_a_pack(spark):
+    rows = [(c, k, ("user", "assistant")[k % 2], f"t{k}") for c in (1, 2) for k in range(3000)]
+    rows += [(3, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(5)] + [(4, 0, "user", "t0")]
+    packed = C.pack(spark, spark.createDataFrame(rows, SCHEMA), 1000)
+    assert packed.paths.selectExpr("max(size(path))").first()[0] <= 1000 // 32
+    segments = packed.segments.collect()
+    assert len({(r.part, r.pack, r.seg) for r in segments}) == len(segments)
+    ends, at = {}, {}
+    for r in sorted(segments, key=lambda r: (r.part, r.pack, r.seg)):
+        p = (r.part, r.pack)
+        assert r.start == at.get(p, 0) and r.size == len(r.text)
+        at[p] = r.start + r.size
+        ends[p] = r.seg + 1
+        if ends[p] > 31:
+            assert (r.parent, r.depth, r.position) == (r.seg - 1, r.seg, r.start)
+            assert [tuple(iv) for iv in r.attend] == [(0, at[p])]
+    assert max(ends.values()) == 3000 and sum(n == 3000 for n in ends.values()) == 1   # equal conversations once
+    got = {r.conv_id: tuple(r)[1:] for r in C.read_back(spark, packed)
+           .select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()}
+    assert got == {c: expected(t) for c, t in conversations(rows).items()}
+
+
 def test_own_conversation_and_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     got = C.read_back(spark, C.pack(spark, C.with_own(spark, none))).collect()
