@@ -10,10 +10,14 @@ give every row an offset in its old shard, and the flows out of that shard
 are intervals of those offsets.  Only shards with a flow in or out are
 rewritten.
 
-Rows larger than a 64th of a shard (so at most 64 for each new shard) are
-placed one by one first, so that no interval ends inside a large row: sizes
-differ by at most two such rows.  A single row beyond a whole shard's share
-gets a shard to itself, and the rest is levelled over the others.
+No interval may end inside a large row, one above a 64th of a shard (at most
+64 for each new shard).  The flow is solved on all bytes, then rounded for
+these rows one by one: they stay as far as the flow lets bytes of their shard
+stay, the others fill the shards with most room left beside what stays, and a
+second flow carries the small rows around them.  The rounding is greedy: an
+overfull shard may send one large row's bytes more than the flow, and sizes
+differ by about two such rows.  A single row beyond a whole shard's share gets a
+shard to itself, its own if free, and the rest is levelled over the others.
 
 Law: ``bytes``.  Size of a row: UTF-8 bytes of its text (NULL: none) plus 8.
 Defined results: rows that repeat are rows of their own; a NULL ``doc_id``
@@ -167,23 +171,49 @@ def level_room(total: int, taken: list[int]) -> list[int]:
 
 
 def place_large(large: list[tuple[int, str, int]], sizes: list[int], n_new: int) -> dict[tuple[str, int], int]:
-    """Shard of each large row (old, key, size), repeats numbered: stays if it fits, else the emptiest."""
-    cap = -(-sum(sizes) // n_new) if sizes else 0
-    full = [0] * n_new
-    heap = [(0, j) for j in range(n_new)]
-    out, seen = {}, {}
+    """Shard and size of each large row (old, key, size), repeats numbered.
+
+    The flow on all bytes says how much of each old shard stays.  Its large rows stay, largest
+    first, as far as they fit that; the others go where most room is left beside what stays.
+    """
+    rows, seen = [], {}
     for old, key, size in sorted(large, key=lambda r: (-r[2], r[1])):
         no = seen[(old, key)] = seen.get((old, key), 0) + 1
-        if old < n_new and full[old] + size <= cap:
-            j = old
+        rows.append((old, key, no, size))
+    supply, rest, n_alone = list(sizes), sum(sizes), 0
+    while n_alone < len(rows) and rows[n_alone][3] * (n_new - n_alone) > rest:  # beyond an even share of what is left
+        supply[rows[n_alone][0]] -= rows[n_alone][3]
+        rest -= rows[n_alone][3]
+        n_alone += 1
+    out, taken, leaving = {}, [0] * n_new, []
+    for old, key, no, size in rows[:n_alone]:
+        if old < n_new and not taken[old]:
+            taken[old] = size
+            out[(old, key, no)] = (old, size)
         else:
-            while True:  # entries go stale when their shard has grown
-                used, j = heapq.heappop(heap)
-                if used == full[j]:
-                    break
-                heapq.heappush(heap, (full[j], j))
-        full[j] += size
-        heapq.heappush(heap, (full[j], j))
+            leaving.append((old, key, no, size))
+    for old, key, no, size in leaving:
+        j = min((j for j in range(n_new) if not taken[j]), key=lambda j: (supply[j] if j < len(supply) else 0, j))
+        taken[j] = size
+        out[(old, key, no)] = (j, size)
+
+    room = level_room(rest, taken)
+    stay = {i: f for i, j, f in transfers(supply, room) if i == j}
+    kept, leaving, small = [0] * len(sizes), [], list(supply)
+    for old, key, no, size in rows[n_alone:]:
+        small[old] -= size
+        if kept[old] + size <= stay.get(old, 0):
+            kept[old] += size
+            out[(old, key, no)] = (old, size)
+        else:
+            leaving.append((old, key, no, size))
+    for i, f in stay.items():
+        room[i] -= min(f, kept[i] + small[i])
+    heap = [(-r, j) for j, r in enumerate(room)]
+    heapq.heapify(heap)
+    for old, key, no, size in leaving:
+        left, j = heapq.heappop(heap)
+        heapq.heappush(heap, (left + size, j))
         out[(old, key, no)] = (j, size)
     return out
 
@@ -191,7 +221,7 @@ def place_large(large: list[tuple[int, str, int]], sizes: list[int], n_new: int)
 # --- the rows ---------------------------------------------------------------
 
 class Resharding:
-    """A solved resharding: ``transfers`` (old, new, bytes), ``path`` of the rewritten shards
+    """A solved resharding: ``transfers`` (old, new, bytes) of all rows, ``path`` of the rewritten shards
     (``shard=k`` folders), ``untouched`` shards, and ``layout``, all rows as struct ``_row`` with
     shard, old, block and rn."""
 
@@ -289,7 +319,10 @@ def reshard(spark: SparkSession, docs: DataFrame, old: str, n_new: int = N_SHARD
     if untouched:
         layout = layout.unionByName(rows.filter(F.col("old").isin(untouched)))
 
-    return Resharding(moves, path, layout, untouched)
+    carried: dict[tuple[int, int], int] = {}
+    for i, j, f in [*moves, *((i, j, size) for (i, _, _), (j, size) in placed.items())]:
+        carried[(i, j)] = carried.get((i, j), 0) + f
+    return Resharding([(i, j, f) for (i, j), f in sorted(carried.items())], path, layout, untouched)
 
 
 def by_file(spark: SparkSession, path: str) -> DataFrame:

@@ -56,6 +56,34 @@ def test_level_room_fills_the_lowest_first():
     assert S.level_room(0, [0, 0]) == [0, 0]
 
 
+def test_large_rows_move_the_fewest_bytes():
+    for counts in itertools.product(range(7), repeat=3):
+        large = [(i, f"{'abc'[i]}{k}", 10) for i, c in enumerate(counts) for k in range(c)]
+        if not large or len(large) % 3:
+            continue
+        placed = S.place_large(large, [10 * c for c in counts], 3)
+        load = Counter(j for j, _ in placed.values())
+        assert len(placed) == len(large) and set(load.values()) == {len(large) // 3}
+        moved = sum(1 for (i, _, _), (j, _) in placed.items() if i != j)
+        assert moved == sum(max(0, c - len(large) // 3) for c in counts), (counts, placed)
+
+
+def test_a_row_beyond_a_share_keeps_its_shard_and_large_rows_level_the_others():
+    large = [(1, "huge", 1000), (0, "a", 10), (0, "b", 10), (0, "c", 10), (2, "d", 10)]
+    placed = S.place_large(large, [30, 1000, 10], 3)
+    assert placed[(1, "huge", 1)] == (1, 1000) and placed[(2, "d", 1)] == (2, 10)
+    assert Counter(j for j, _ in placed.values()) == {0: 2, 1: 1, 2: 2}
+    assert {j for j, _ in S.place_large([(0, "x", 100), (0, "x", 100), (0, "y", 90)], [290], 3).values()} == {0, 1, 2}
+
+
+def test_transfers_list_large_rows(spark):
+    df = spark.createDataFrame([(i, "x" * 92, i % 2 if i < 6 else 0) for i in range(9)], "doc_id long, text string, o int")
+    r = S.reshard(spark, df, "o", 3)
+    rows = r.rows(F.col("_row.o").alias("o")).collect()
+    assert sorted(r.transfers) == sorted((i, j, 100 * n) for (i, j), n in Counter((x.o, x.shard) for x in rows).items())
+    assert sum(f for i, j, f in r.transfers if i != j) == 300 and r.untouched == [1]
+
+
 def resharded(spark, odd, n):
     old = odd.withColumn("o", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)).cast("int"))
     r = S.reshard(spark, old, "o", n)
