@@ -16,10 +16,11 @@ more than that bound is no link; all other pairs, and only they, are
 recomputed in double precision.
 
 Pairs are met in cells.  Equal vectors are one node first.  A label with up
-to ``CELL`` nodes is one cell; a larger one is split by k further rotation
-signs, in as many tables as leave a link unmet with probability ``MISS`` (k
-and the number of tables follow the label's size), and a pair counts in the
-first table where it meets.  Cells are dealt into blocks of about ``BLOCK``
+to ``CELL`` nodes is one cell, compared completely; a larger one is split by
+the signs of k independent directions, in as many tables as leave a link
+unmet with probability ``MISS`` at most (k and the number of tables follow the
+label's size), and a pair counts in the first table where it meets.  A link
+at the threshold that meets in no table is lost; no exact pass finds it.  Cells are dealt into blocks of about ``BLOCK``
 nodes; each pair of blocks is one bounded group of work, which returns a
 link count for each node and the links of a spanning forest, never all pairs.
 
@@ -52,11 +53,17 @@ AGREE = 1 - acos(COSINE) / pi  # chance that a sign agrees at the threshold
 
 @lru_cache(maxsize=256)
 def rotation(dim: int, number: int = 0) -> np.ndarray:
-    """A fixed random rotation; number 0 makes the codes, the others the tables."""
+    """A fixed random rotation."""
     q, r = np.linalg.qr(np.random.default_rng([dim, number]).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+@lru_cache(maxsize=256)
+def directions(dim: int, table: int, bits: int) -> np.ndarray:
+    """Independent random directions, one a row: signs of a rotation's rows agree together less often."""
+    return np.random.default_rng([dim, table, bits]).normal(size=(bits, dim))
+
+
 def tables_for(n: int) -> tuple[int, int]:
     """(sign bits, tables) for a label of ``n`` nodes."""
     bits = max(0, ceil(log(n / CELL, 2))) if n else 0
@@ -150,9 +157,7 @@ def _encode(batches):
             bits, tables = tables_for(int(n_label))
             cells = np.zeros((len(at), tables), dtype=np.int64)
             for t in range(tables if bits else 0):
-                for k in range(0, bits, int(dim)):  # more bits than dimensions take further rotations
-                    r = u @ rotation(int(dim), 1 + t + 100_000 * k).T[:, :min(bits - k, int(dim))]
-                    cells[:, t] = (cells[:, t] << r.shape[1]) | ((r > 0) @ (1 << np.arange(r.shape[1])))
+                cells[:, t] = (u @ directions(int(dim), t, bits).T > 0) @ (1 << np.arange(bits))
             of[at] = factor
             for row, c, p in zip(at, cells, packed):
                 code[row], cell[row] = p.tobytes(), c

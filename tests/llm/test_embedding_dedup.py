@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from codequarry.llm import embedding_dedup as E
@@ -72,6 +73,20 @@ def test_more_nodes_get_more_bits_and_enough_tables():
         assert n / 2 ** bits <= E.CELL and (1 - E.AGREE ** bits) ** tables <= E.MISS
 
 
+@pytest.mark.parametrize("dim,bits", [(64, 11), (16, 16), (2, 5)])
+def test_pairs_at_the_threshold_meet_as_often_as_the_tables_assume(dim, bits):
+    r = np.random.default_rng(7)
+    a = E.unit(r.normal(size=(4000, dim)))
+    b = r.normal(size=a.shape)
+    b = E.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    b = E.COSINE * a + np.sqrt(1 - E.COSINE ** 2) * b
+    pdf = pd.DataFrame({"v": [*a, *b], "dim": dim, "n_label": E.CELL * 2 ** bits})
+    cells = np.stack(next(iter(E._encode([pdf])))["cells"].to_numpy())
+    assert cells.shape[1] == E.tables_for(E.CELL * 2 ** bits)[1]
+    met = (cells[:len(a)] == cells[len(a):]).mean()
+    assert abs(met / E.AGREE ** bits - 1) < (0.2 if dim == 2 else 0.04)
+
+
 def test_null_ids_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1, 5, "x"), (1, [1.0, 0.0], 1, 5, "x"), (2, [1.0, 0.1], 1, 5, "x")],
                                "vec_id long, embedding array<double>, label int, node long, cells string")
