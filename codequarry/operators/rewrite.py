@@ -288,7 +288,10 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
                    consistent: bool = True, extra: Sequence[str] = ("category",)) -> DataFrame:
     """variants (keys, original_code, obfuscated_code, primary_obfuscation,
     category, question, answer) x secondary levels -> secondary records with
-    ``error`` (fallback taken) and renamed question/answer."""
+    ``error`` (fallback taken) and renamed question/answer.
+
+    A NULL ``obfuscated_code`` (no completion) falls back on the original's rewrite, or the
+    original itself, with ``error`` at every level."""
     keys = list(keys)
     # the variants feed three branches (distinct codes, distinct key pairs,
     # the join back): written once so their upstream runs once
@@ -296,7 +299,7 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
                           .withColumn("o_key", H.content_key(F.col("original_code"))), "variants")
     codes = (v.select(F.col("obfuscated_code").alias("code"))
               .unionByName(v.select(F.col("original_code").alias("code"))))
-    res = rewrite_distinct(codes, "code", seed, consistent)
+    res = rewrite_distinct(codes.filter(F.col("code").isNotNull()), "code", seed, consistent)
     # both join sides read the per-code results: parse each code once
     res = persisted(res, "rewrites")
     pairs = v.select("p_key", "o_key").dropDuplicates()
@@ -317,13 +320,14 @@ def secondary_grid(variants: DataFrame, keys: Sequence[str], seed: int = catalog
     decided = decided.select(
         "p_key", "o_key", "secondary_obfuscation",
         F.when(lvl == "None", None).when(p_ok, pick("p")).when(o_ok, pick("o")).alias("_code"),
-        ((lvl != "None") & ~p_ok).alias("error"),
+        (((lvl != "None") & ~p_ok) | F.col("p_key").isNull()).alias("error"),
         F.when(renames & p_ok, alias_map(F.col("p_idents")))
          .when(renames & o_ok, alias_map(F.col("o_idents"))).alias("_map"))
-    out = v.join(decided, ["p_key", "o_key"])
+    decided = decided.withColumnsRenamed({"p_key": "_p", "o_key": "_o"})
+    out = v.join(decided, F.col("p_key").eqNullSafe(F.col("_p")) & F.col("o_key").eqNullSafe(F.col("_o")))
     return out.select(
         *keys, "original_code", F.col("obfuscated_code").alias("primary_obfuscated_code"),
-        F.coalesce(F.col("_code"), F.col("obfuscated_code")).alias("secondary_obfuscated_code"),
+        F.coalesce(F.col("_code"), F.col("obfuscated_code"), F.col("original_code")).alias("secondary_obfuscated_code"),
         "primary_obfuscation", "secondary_obfuscation", *extra,
         substitute("question", "_map").alias("question"), substitute("answer", "_map").alias("answer"),
         "error")

@@ -122,6 +122,21 @@ def test_fallback_rules(spark):
     assert len(out) == 8
 
 
+def test_a_variant_without_a_completion_falls_back_on_its_original(spark):
+    good = "def f(a):\n    'd'\n    return a\n"
+    rows = [(1, good, None, "Refactor", "General", "What is a?", "a"),
+            (2, "def b(:", None, "Refactor", "General", "q", "x"), (3, None, None, "Refactor", "General", "q", "x"),
+            (4, good, good, "None", "General", "q", "x")]
+    g = RW.secondary_grid(_variants(spark, rows), ["qa_id"]).collect()
+    out = {(r["qa_id"], r["secondary_obfuscation"]): r for r in g}
+    assert len(g) == len(out) == 16
+    assert all(r["error"] == (r["qa_id"] != 4) for r in g)
+    assert out[(1, "None")]["secondary_obfuscated_code"] == good
+    assert out[(1, "Undocument")]["secondary_obfuscated_code"] == "def f(a):\n    return a"
+    assert out[(1, "Rename")]["question"] != "What is a?"
+    assert {out[(2, x)]["secondary_obfuscated_code"] for x in ("None", "Rename")} == {"def b(:"}
+
+
 def test_ordinal_scheme_renames_everything():
     out, idents = RW.rename_ordinal("def f(a, b):\n    c = len(a) + b\n    return c\n")
     assert out == "def _0(_1, _2):\n    _3 = _4(_1) + _2\n    return _3"
