@@ -30,19 +30,22 @@ def running_context(messages: DataFrame, chunk_turns: int = CHUNK_TURNS) -> Data
     map-side partial aggregate, offsets come from a window over the chunk
     totals (one row per chunk), and the in-chunk running sum is a window over
     at most ``chunk_turns`` rows.  No window ever holds a whole conversation.
+    Rows with a NULL turn come after the others of their conversation, as in
+    the SQL, and rows with a NULL conv_id are one conversation.
     """
     m = (messages.select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
          .withColumn("chunk", F.floor(F.col("turn") / chunk_turns).cast("bigint")))
     totals = m.groupBy("conv_id", "chunk").agg(F.sum("n_chars").alias("chunk_chars"),
                                                F.count(F.lit(1)).alias("chunk_turns"))
-    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("conv_id", "chunk",
+    before = Window.partitionBy("conv_id").orderBy(F.col("chunk").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"),
                             F.coalesce(F.sum("chunk_chars").over(before), F.lit(0)).alias("offset"),
                             F.coalesce(F.sum("chunk_turns").over(before), F.lit(0)).alias("turns_before"))
     inner = Window.partitionBy("conv_id", "chunk").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     local = (m.withColumn("local_prev", F.coalesce(F.sum("n_chars").over(inner), F.lit(0)))
               .withColumn("local_turns", F.count(F.lit(1)).over(inner)))
-    return (local.join(offsets, ["conv_id", "chunk"])
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("chunk").eqNullSafe(F.col("_chunk"))
+    return (local.join(offsets, same)
                  .select("conv_id", "turn", "role", (F.col("turns_before") + F.col("local_turns")).cast("bigint").alias("n_prev_turns"),
                          (F.col("offset") + F.col("local_prev")).cast("bigint").alias("prev_chars")))
 

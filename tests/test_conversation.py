@@ -29,6 +29,16 @@ def test_running_context_chunked_equals_window(spark):
     assert sorted(got.collect()) == sorted(brute.collect())
 
 
+def test_running_context_keeps_rows_with_null_turn_or_conversation(spark):
+    m = spark.createDataFrame([(1, 0, "user", "ab"), (1, 9, "user", "c"), (1, None, "user", "dd"), (1, None, "user", "ee"),
+                               (None, 0, "user", "fgh"), (None, None, "user", "i"), (None, 5, "user", None)],
+                              "conv_id bigint, turn bigint, role string, text string")
+    got = [tuple(r) for r in C.running_context(m, chunk_turns=4).select("conv_id", "turn", "n_prev_turns", "prev_chars")
+           .collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 0, 0), (1, 9, 1, 2), (1, None, 2, 3), (1, None, 3, 5), (None, 0, 0, 0),
+                                           (None, 5, 1, 3), (None, None, 2, 3)], key=str)
+
+
 def test_chat_segments_generation_prompt(spark):
     m = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "q")],
                               "conv_id bigint, turn bigint, role string, text string")
