@@ -4,8 +4,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,7 +82,10 @@ def intent_examples(df: DataFrame) -> DataFrame:
 def seeded_slice(df: DataFrame, key: str, seed: int, start: int = 0, end: int = -1,
                  order_col: str | None = None) -> DataFrame:
     """Shuffle deterministically by md5(seed|key) (seed <= 0 keeps ``order_col``
-    order), then take rows [start, end); end = -1 means to the end."""
+    order), then take rows [start, end); end = -1 means to the end.
+
+    Rows are counted, so repeated and NULL keys (first) are cut like others; which copies of
+    one key fall before a cut is open, how many is not."""
     if end != -1 and end < start:
         raise ValueError("end must be -1 or >= start")
     order = [H.seeded_order_key(seed, key), F.col(key)] if seed > 0 else [F.col(order_col or key)]
@@ -88,8 +93,15 @@ def seeded_slice(df: DataFrame, key: str, seed: int, start: int = 0, end: int =
         ordered = df.orderBy(*order).limit(end)
         return ordered.offset(start) if start else ordered
     if start:  # all but the first rows: an offset without a limit would end in one task
-        first = df.orderBy(*order).limit(start).select(F.col(key).alias("_first"))
-        df = df.join(first, F.col(key) == F.col("_first"), "left_anti")
+        keys = list(dict.fromkeys([key] if seed > 0 else [order_col or key, key]))
+        order = order if seed > 0 else [F.col(k) for k in keys]
+        first = (df.orderBy(*order).limit(start).groupBy(*keys).agg(F.count(F.lit(1)).alias("_skip"))
+                   .withColumnsRenamed({k: f"_first_{i}" for i, k in enumerate(keys)}))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_first_{i}")) for i, k in enumerate(keys)])
+        # only rows whose key is among the first are numbered
+        copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+        tied = df.join(first, same).withColumn("_copy", copy).filter("_copy > _skip").select(*df.columns)
+        df = df.join(first, same, "left_anti").unionByName(tied)
     return df.orderBy(*order)
 
 

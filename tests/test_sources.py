@@ -65,6 +65,18 @@ def test_open_slice_skips_the_first_rows_without_a_single_task_offset(spark):
     assert with_first | {r[0] for r in R.seeded_slice(d, "k", 5, 4).collect()} == set(range(10))
 
 
+def test_open_slice_counts_repeated_and_null_keys(spark):
+    keys = [None, None, 1, 1, 1, 2, 3, 3]
+    d = spark.createDataFrame([(k, i, -i) for i, k in enumerate(keys)], "k int, i int, o int").repartition(3)
+    for start in range(1, len(keys) + 2):
+        assert [r.k for r in R.seeded_slice(d, "k", 0, start).collect()] == keys[start:]
+    assert [r.o for r in R.seeded_slice(d, "k", 0, 3, order_col="o").collect()] == [-4, -3, -2, -1, 0]
+    whole = [r.k for r in R.seeded_slice(d, "k", 5).collect()]
+    for start in range(1, len(keys)):
+        assert [r.k for r in R.seeded_slice(d, "k", 5, start).collect()] == whole[start:]
+    assert R.seeded_slice(d, "k", 5, 4).columns == d.columns
+
+
 def test_answers_layout_roundtrip(spark, tmp_dir):
     df = spark.createDataFrame([(1, "m1", "with_code", 0.5), (2, "m2", "question_only", 0.7)],
                                "qa_id bigint, model string, prompt_mode string, f1 double")
