@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import bpe, chat, embedding_dedup, exact_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
+from . import (bpe, chat, embedding_dedup, exact_dedup, merkle, mixing, near_dedup, periodic, pii, quality, sharding,
+               token_counts, toxicity)
 
 
 def _shipped(fn):
@@ -25,9 +26,13 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_bpe": _shipped(bpe.op9),
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_token_counts": _shipped(token_counts.op11),
+    "op12_periodic_runs": _shipped(periodic.op12),
+    "op13_merkle": merkle.op13,
 }
 
 ORACLE = {
     "op7_mix": mixing.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }

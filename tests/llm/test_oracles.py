@@ -21,4 +21,4 @@ def test_query_matches_oracle(spark, name):
 
 
 def test_names_follow_the_numbering():
-    assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 11)) and set(Q.ORACLE) <= set(Q.QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 14)) and set(Q.ORACLE) <= set(Q.QUERIES)
