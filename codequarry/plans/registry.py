@@ -30,5 +30,5 @@ def query(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import (q_conversations, q_evaluation, q_fanout, q_inference, q_rewrite,  # noqa: F401
+    from . import (q_contamination, q_conversations, q_evaluation, q_fanout, q_inference, q_rewrite,  # noqa: F401
                    q_sources, q_streaming, q_text, q_tokens)
