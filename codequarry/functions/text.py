@@ -151,8 +151,16 @@ def keep_code_lines(text) -> Column:
     return F.array_join(kept, "\n")
 
 
+WORD = "[\\p{L}\\p{N}]+"  # letters and digits of every script; Java and RE2 read it alike
+
+
 def word_tokens(text) -> Column:
-    """Lower-case ASCII alphanumeric word tokens (same in Spark and DuckDB)."""
+    """Lower-case word tokens, runs of letters and digits of any script (same in Spark and DuckDB)."""
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD), 0)
+
+
+def ascii_words(text) -> Column:
+    """Lower-case ASCII words: usable in identifiers."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9]+"), 0)
 
 

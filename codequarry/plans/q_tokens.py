@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 from ..functions import tokens as K
 from ..sources.tables import table
+from . import sqlbits as Q
 from .registry import query
 
 TOP_K = 5
@@ -156,11 +157,11 @@ def score_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round(K.score_diff(1.5, a), 6).alias("from_number"))
 
 
-@query("ordinal_alias", sql="""
+@query("ordinal_alias", sql=f"""
     SELECT doc_id, tok AS name, '_' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS VARCHAR) AS alias
     FROM (SELECT doc_id, tok, min(pos) AS p FROM (
               SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos
-              FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents) a) b
+              FROM (SELECT doc_id, {Q.tokens('text')} AS toks FROM documents) a) b
           GROUP BY doc_id, tok) c""")
 def ordinal_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-seen ordinal aliases _0, _1, ... per text.

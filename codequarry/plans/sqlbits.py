@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import WS
+from ..functions.text import WORD, WS
 
 
 def strip(expr: str) -> str:
@@ -14,7 +14,7 @@ def bucket(expr: str, n) -> str:
 
 
 def tokens(expr: str) -> str:
-    return f"regexp_extract_all(lower({expr}), '[a-z0-9]+')"
+    return f"regexp_extract_all(lower({expr}), '{WORD}')"
 
 
 def str_list(values) -> str:

@@ -29,7 +29,7 @@ LEAK_EVERY = 5
 
 
 def _notes(text: str) -> Column:
-    """One line ``    assert '<words>'`` for each line of ``text`` that has ASCII words."""
+    """One line ``    assert '<words>'`` for each line of ``text`` that has words."""
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.array_join(T.word_tokens(x), " "))
     return F.array_join(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.concat(
         F.lit("    assert '"), x, F.lit("'\n"))), "")
@@ -51,7 +51,7 @@ def synth_code(docs: DataFrame, key: str = "doc_id", text: str = "text", name=No
     # them several times and Catalyst keeps such non-cheap columns shared.
     ident = name if name is not None else F.col(key).cast("string")
     staged = docs.select(*keep, F.col(key).alias("_key"), ident.alias("_ident"),
-                         F.slice(T.word_tokens(text), 1, 3).alias("_w"), T.first_sentence(text).alias("_fs"),
+                         F.slice(T.ascii_words(text), 1, 3).alias("_w"), T.first_sentence(text).alias("_fs"),
                          _notes(text).alias("_notes"))
     w1, w2, w3 = (F.coalesce(F.try_element_at(F.col("_w"), F.lit(i)), F.lit("x")) for i in (1, 2, 3))
     doc = F.replace(F.col("_fs"), F.lit("\\"), F.lit(""))
@@ -90,7 +90,7 @@ def sql_synth_code(src: str = "documents", key: str = "doc_id", text: str = "tex
         f" FROM (SELECT *, {key} AS {out_key}, {ident} AS ident,"
         f" regexp_extract_all(lower({text}), '[a-z0-9]+') AS toks,"
         f" array_to_string(list_transform(list_filter(list_transform(string_split({text}, chr(10)),"
-        f" lambda x: array_to_string(regexp_extract_all(lower(x), '[a-z0-9]+'), ' ')), lambda x: x <> ''),"
+        f" lambda x: array_to_string(regexp_extract_all(lower(x), '{T.WORD}'), ' ')), lambda x: x <> ''),"
         f" lambda x: '    assert ' || chr(39) || x || chr(39) || chr(10)), '') AS notes,"
         f" regexp_extract({text}, '(?s)^{_WSC}*(.*?[.!?])(?:{_WSC}|$)', 1) AS fs"
         f" FROM {src}) s0) s1)")

@@ -130,3 +130,51 @@ def test_score_samples_modes(spark):
         assert got["best"][k] == round(max(f), 9)
         assert got["mean"][k] == round(sum(f) / len(f), 9)
     assert 3 not in got["first"] and 3 not in got["best"]
+
+
+def _long_tables(spark, n=2000, words=4000):
+    import random
+    r = random.Random(1)
+    vecs = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(0, n, 2)]
+                                 + [(n - 1, [1.0] * 8), (1, [0.0] * 8), (3, [None] + [1.0] * 7), (5, [float("nan")] * 8)],
+                                 "vec_id bigint, embedding array<double>")
+    rows = [(1, " ".join(f"w{i}" for i in range(words)), " ".join(f"v{i}" for i in range(words))),
+            (2, "été 中文 naïve", "été 中文 x"), (2, "été 中文 naïve", "été 中文 x"), (None, "a", "b"), (3, "", "b"), (4, None, None)]
+    rows += [(10 + i, " ".join(f"a{r.randrange(9)}" for _ in range(i)), " ".join(f"a{r.randrange(9)}" for _ in range(20))) for i in range(9)]
+    return vecs, spark.createDataFrame(rows, "id bigint, p string, r string")
+
+
+def test_both_ways_give_the_same_scores(spark):
+    """The broadcast matrix and the join of the sides, with an example of thousands of distinct tokens."""
+    vecs, df = _long_tables(spark)
+    fix = lambda rows: sorted((str(r["id"]), *[round(x, 9) for x in r[1:]]) for r in rows)
+    a = fix(S.greedy_match(df, ["id"], "p", "r", vecs).collect())
+    b = fix(S.greedy_match(df, ["id"], "p", "r", vecs, matrix_bytes=0).collect())
+    assert a == b and len(a) == df.count()
+    assert all(0 <= x <= 1 + 1e-9 or x < 0 for row in a for x in row[1:])
+
+
+def test_letters_of_every_script_are_tokens(spark):
+    vecs = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(64)]) for i in range(64)],
+                                 "vec_id bigint, embedding array<double>")
+    df = spark.createDataFrame([(1, "中文 été", "中文 été"), (2, "中文", "日本")], "id bigint, p string, r string")
+    got = {r["id"]: r["f1"] for r in S.greedy_match(df, ["id"], "p", "r", vecs).collect()}
+    assert got[1] == 1.0 and got[2] < 1.0
+
+
+def test_no_array_of_vectors_is_shuffled(spark):
+    vecs, df = _long_tables(spark, 50, 5)
+    plan = S.greedy_match(df, ["id"], "p", "r", vecs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    plan = S.greedy_match(df, ["id"], "p", "r", vecs, matrix_bytes=0)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_tiles_change_nothing(monkeypatch):
+    r = np.random.default_rng(3)
+    m = r.normal(size=(300, 6))
+    a, b = r.integers(0, 300, 130), r.integers(0, 300, 77)
+    sim = m[a] @ m[b].T
+    monkeypatch.setattr(S, "TILE", 16)
+    x, y = S._best(m, a, b)
+    assert np.allclose(x, sim.max(axis=1)) and np.allclose(y, sim.max(axis=0))
