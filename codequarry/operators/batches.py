@@ -1,37 +1,28 @@
-"""Batching by key: batch ids, split/merge of flat example-major outputs,
+"""Batching by key: batch numbers, split/merge of flat example-major outputs,
 positional alignment of completions to prompts.
 
-A single global ``row_number`` runs in one task; batch numbers here are
-dense *per hash bucket* of the record key, so numbering is parallel across
-buckets and independent of how the input is partitioned.
+Batch numbers are dense over the whole table and follow the key order; the
+rows are numbered in ranges (:mod:`.ordinals`), not by one ``row_number`` in
+a single task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing as H
+from .ordinals import numbered
 
 
-def bucket_of(keys: Sequence[str], n_buckets: int) -> Column:
-    return H.md5_bucket(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), n_buckets)
+def assign_batches(df: DataFrame, keys: Sequence[str], batch_size: int) -> DataFrame:
+    """Add ``batch_no``: 0, 1, 2, ... with ``batch_size`` records each in key order, the last one smaller.
 
-
-N_BUCKETS = 64  # FIXED VALUE: numbering buckets; raise it where a 64th of the rows is too much for one task
-
-
-def assign_batches(df: DataFrame, keys: Sequence[str], batch_size: int, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """Add (bucket, batch_no): records of a bucket in key order, ``batch_size`` per batch.
-
-    The bucket is a hash of the key alone, so a row's bucket never depends on how many rows there are.
+    NULL keys come first; which of several rows with one key comes first is open.
     """
-    keys = list(keys)
-    w = Window.partitionBy("bucket").orderBy(*keys)
-    return (df.withColumn("bucket", bucket_of(keys, n_buckets))
-              .withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / batch_size).cast("bigint")))
+    out = numbered(df, [F.col(f"`{k}`") for k in keys], ordinal="batch_no")
+    return out.withColumn("batch_no", F.floor(F.col("batch_no") / batch_size).cast("bigint"))
 
 
 def split_flat(flat: DataFrame, n_examples: int) -> DataFrame:

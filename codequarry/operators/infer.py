@@ -99,6 +99,21 @@ def replay_completer(recorded: dict[str, list[str]]) -> Completer:
     return run
 
 
+REFUSE_EVERY = 7
+
+
+def refusing_completer() -> Completer:
+    """Deterministic stub of a failing model: :func:`hash_completer`, but it raises
+    where a batch holds one of the prompts that a hash marks, one in ``REFUSE_EVERY``."""
+    answer = hash_completer()
+
+    def run(prompts, n, seeds, config):
+        if any(int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % REFUSE_EVERY == 0 for p in prompts):
+            raise RuntimeError("refused")
+        return answer(prompts, n, seeds, config)
+    return run
+
+
 COMPLETERS: dict[str, CompleterFactory] = {"hash": hash_completer, "seeded_hash": seeded_hash_completer, "echo_code": echo_code_completer}
 
 
@@ -117,103 +132,139 @@ def prompt_key(prompt_col: str, salt_col: str | None = None):
 
 
 OUT_SCHEMA = T.StructType([T.StructField("prompt_key", T.StringType()),
-                           T.StructField("completions", T.ArrayType(T.StringType()))])
+                           T.StructField("completions", T.ArrayType(T.StringType())),
+                           T.StructField("error", T.StringType())])
+
 
+def answer_batch(completer: Completer, prompts: list[str], seeds: list[int], config: GenerationConfig,
+                 retries: int | None = None) -> list[tuple[list[str], str | None]]:
+    """(completions, reason of failure or None) for each prompt.
 
-def _run_batches(factory: CompleterFactory, config: GenerationConfig, batch_size: int):
+    With ``retries`` a batch that raises is halved until the failing prompts
+    are alone; these are tried ``retries`` times more and then fail: no
+    completions, and the error as reason.  The others keep their answers.
+    Without it (None) the error is raised, which ends the job.  A completer
+    that answers None or no sample for a prompt has failed on it, too.
+    """
+    try:
+        got = completer(prompts, config.n, seeds, config)
+        if len(got) != len(prompts):
+            raise ValueError("completer returned a different number of prompts")
+    except Exception as e:  # noqa: BLE001 - a model call may raise anything; the reason is kept
+        if retries is None:
+            raise
+        if len(prompts) > 1:
+            mid = len(prompts) // 2
+            return (answer_batch(completer, prompts[:mid], seeds[:mid], config, retries)
+                    + answer_batch(completer, prompts[mid:], seeds[mid:], config, retries))
+        if retries > 0:
+            return answer_batch(completer, prompts, seeds, config, retries - 1)
+        return [([], f"{type(e).__name__}: {e}")]
+    return [(list(x), None) if x else ([], NO_ANSWER) for x in got]
+
+
+NO_ANSWER = "no answer"
+
+
+def _run_batches(factory: CompleterFactory, config: GenerationConfig, batch_size: int, retries: int | None):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         completer = factory()
         for pdf in it:
             keys = pdf["prompt_key"].tolist()
             prompts = pdf["prompt"].fillna("").tolist()
-            outs: list[list[str]] = []
+            outs: list = []
             for s in range(0, len(prompts), batch_size):
-                chunk = prompts[s:s + batch_size]
                 seeds = [prompt_seed(config.seed, k) for k in keys[s:s + batch_size]]
-                got = completer(chunk, config.n, seeds, config)
-                if len(got) != len(chunk):
-                    raise ValueError("completer returned a different number of prompts")
-                outs.extend([list(x) if x is not None else [] for x in got])
-            yield pd.DataFrame({"prompt_key": keys, "completions": outs})
+                outs += answer_batch(completer, prompts[s:s + batch_size], seeds, config, retries)
+            yield pd.DataFrame({"prompt_key": keys, "completions": [o for o, _ in outs], "error": [e for _, e in outs]},
+                               columns=["prompt_key", "completions", "error"])
     return run
 
 
 def complete_distinct(prompts: DataFrame, prompt_col: str, factory: CompleterFactory,
                       config: GenerationConfig = GenerationConfig(),
                       batch_size: int = catalog.DEFAULT_BATCH_SIZE, salt_col: str | None = None,
-                      stable: bool = True) -> DataFrame:
-    """(prompt_key, completions) for every distinct prompt text in ``prompts``.
+                      stable: bool = True, retries: int | None = None) -> DataFrame:
+    """(prompt_key, completions, error) for every distinct prompt text in ``prompts``.
 
     ``salt_col`` makes the key per (salt, prompt): rows that must each get
     their own sample (a sampling model) are not merged even when their
     prompt texts are equal.  ``stable`` (default) writes the completions as a table
     in the shared folder: a sampling model is then called once per key even
-    when the result feeds several branches of the plan.
+    when the result feeds several branches of the plan.  ``retries``: see
+    :func:`answer_batch`.
     """
     ship_package(prompts.sparkSession)
     distinct = distinct_by_key(prompts.select(prompt_key(prompt_col, salt_col).alias("prompt_key"),
                                               F.col(prompt_col).alias("prompt")), "prompt_key")
-    out = distinct.mapInPandas(_run_batches(factory, config, batch_size), OUT_SCHEMA)
+    out = distinct.mapInPandas(_run_batches(factory, config, batch_size, retries), OUT_SCHEMA)
     return persisted(out, "completions") if stable else out
 
 
-def _run_rows(factory: CompleterFactory, config: GenerationConfig, batch_size: int,
-              prompt_col: str, out_col: str, seed_cols: Sequence[str]):
+def _run_rows(factory: CompleterFactory, config: GenerationConfig, batch_size: int, prompt_col: str, out_col: str,
+              seed_cols: Sequence[str], retries: int | None, error_col: str | None):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         completer = factory()
         for pdf in it:
             prompts = pdf[prompt_col].tolist()
             salts = pdf[list(seed_cols)].astype(str).agg("|".join, axis=1).tolist() if seed_cols else None
             outs: list = [None] * len(prompts)
+            errors: list = [None] * len(prompts)
             todo = [i for i, p in enumerate(prompts) if p is not None]
             for s in range(0, len(todo), batch_size):
                 idx = todo[s:s + batch_size]
-                chunk = [prompts[i] for i in idx]
                 keys = [(salts[i] + "|" if salts else "") + prompts[i] for i in idx]
                 seeds = [prompt_seed(config.seed, hashlib.md5(k.encode()).hexdigest()) for k in keys]
-                got = completer(chunk, config.n, seeds, config)
-                if len(got) != len(chunk):
-                    raise ValueError("completer returned a different number of prompts")
-                for i, g in zip(idx, got):
-                    outs[i] = list(g) if g is not None else []
+                for i, (g, e) in zip(idx, answer_batch(completer, [prompts[i] for i in idx], seeds, config, retries)):
+                    outs[i], errors[i] = g, e
             pdf[out_col] = outs
+            if error_col:
+                pdf[error_col] = pd.Series(errors, dtype=object, index=pdf.index)
             yield pdf
     return run
 
 
 def complete_rows(df: DataFrame, prompt_col: str, factory: CompleterFactory,
                   config: GenerationConfig = GenerationConfig(), out_col: str = "completions",
-                  batch_size: int = catalog.DEFAULT_BATCH_SIZE, seed_cols: Sequence[str] = ()) -> DataFrame:
+                  batch_size: int = catalog.DEFAULT_BATCH_SIZE, seed_cols: Sequence[str] = (),
+                  retries: int | None = None, error_col: str | None = None) -> DataFrame:
     """Call the completer for every row (each row its own sample), in place.
 
     A narrow stage: no dedupe shuffle and no join back.  Chains of such
     stages consume each output once, so a retried task recomputes its whole
     chain and stays self-consistent; persist the final result before reusing
     it.  NULL prompts get NULL output.  Seeds derive from ``seed_cols`` and
-    the prompt.
+    the prompt.  ``retries``: see :func:`answer_batch`; ``error_col`` takes
+    the reasons.
     """
     ship_package(df.sparkSession)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.StringType()))])
-    return df.mapInPandas(_run_rows(factory, config, batch_size, prompt_col, out_col, tuple(seed_cols)), schema)
+    more = [T.StructField(out_col, T.ArrayType(T.StringType()))]
+    more += [T.StructField(error_col, T.StringType())] if error_col else []
+    return df.mapInPandas(_run_rows(factory, config, batch_size, prompt_col, out_col, tuple(seed_cols), retries, error_col),
+                          T.StructType(list(df.schema.fields) + more))
 
 
 def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,
                 config: GenerationConfig = GenerationConfig(), out_col: str = "generated_answer",
                 batch_size: int = catalog.DEFAULT_BATCH_SIZE, stable: bool = True,
-                share: bool = True, seed_cols: Sequence[str] = ()) -> DataFrame:
+                share: bool = True, seed_cols: Sequence[str] = (),
+                retries: int | None = None, error_col: str | None = None) -> DataFrame:
     """Attach ``out_col`` (n completions) to every row.
 
     ``share`` lets identical prompts share one call (memoised rewrites);
     otherwise each row, told apart by ``seed_cols``, gets its own samples and
     nothing is shuffled.  ``stable=False`` skips writing the completions when
-    the caller materialises the result itself.
+    the caller materialises the result itself.  With ``retries`` a prompt
+    that the completer fails on gets ``[]`` and its reason in ``error_col``
+    (:func:`answer_batch`); without, the job ends with the error.
     """
     if not share:
-        return complete_rows(df, prompt_col, factory, config, out_col, batch_size, seed_cols)
+        return complete_rows(df, prompt_col, factory, config, out_col, batch_size, seed_cols, retries, error_col)
     done = complete_distinct(df.filter(F.col(prompt_col).isNotNull()), prompt_col, factory, config,
-                             batch_size, stable=stable)
-    return join_on_key(df, done.withColumnRenamed("prompt_key", "_pk"), H.content_key(F.col(prompt_col)),
-                       "_pk", "left").withColumnRenamed("completions", out_col)
+                             batch_size, stable=stable, retries=retries)
+    done = done.select(F.col("prompt_key").alias("_pk"), F.col("completions").alias(out_col),
+                       *([F.col("error").alias(error_col)] if error_col else []))
+    return join_on_key(df, done, H.content_key(F.col(prompt_col)), "_pk", "left")
 
 
 # --- resume ---------------------------------------------------------------------
@@ -230,11 +281,20 @@ def pending_rows(df: DataFrame, out_col: str = "generated_answer") -> DataFrame:
     return df.filter(F.col(out_col).isNull())
 
 
+def last_attempts(written: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each record's written rows the one of its last attempt (rows without ``attempt``: as they are)."""
+    if "attempt" not in written.columns:
+        return written
+    row = F.struct(*[F.col(f"`{c}`") for c in written.columns]).alias("_row")
+    last = written.groupBy(*keys).agg(F.max_by(row, "attempt").alias("_row"))
+    return last.select("_row.*")
+
+
 def run_resumable(spark: SparkSession, records: DataFrame, keys: Sequence[str], prompt_col: str,
                   factory: CompleterFactory, out_path: str,
                   config: GenerationConfig = GenerationConfig(), out_col: str = "generated_answer",
                   batch_size: int = catalog.DEFAULT_BATCH_SIZE,
-                  commits: int = 1, share: bool = False) -> DataFrame:
+                  commits: int = 1, share: bool = False, retries: int | None = None, attempts: int = 3) -> DataFrame:
     """Answer every record not yet in ``out_path`` and append the results.
 
     Each append is a complete set of rows, so an interrupted run leaves only
@@ -243,9 +303,24 @@ def run_resumable(spark: SparkSession, records: DataFrame, keys: Sequence[str],
     be read is an error.  ``commits`` splits the pending rows by a hash of
     their key into that many appends (the partial-save interval); they are
     written once, partitioned by commit, so no commit scans the input again.
+
+    With ``retries`` failing prompts do not end the run: they are written
+    with ``[]``, their reason (``error``) and the number of the run that
+    tried them (``attempt``).  A later run tries the failed records again,
+    and only these, until they were tried in ``attempts`` runs.  The result
+    has each record's last attempt.
     """
     done = spark.read.parquet(out_path) if path_has_data(spark, out_path) else None
     todo = pending(records, done, keys)
+    if retries is not None:
+        todo = todo.withColumn("attempt", F.lit(1))
+        if done is not None and "attempt" not in done.columns:
+            raise ValueError(f"{out_path} was written without attempts")
+        if done is not None:
+            last = last_attempts(done, keys)
+            failed = last.filter((F.size(out_col) == 0) & (F.col("attempt") < attempts))
+            again = records.join(failed.select(*keys, (F.col("attempt") + 1).alias("attempt")), list(keys))
+            todo = todo.unionByName(again.select(*todo.columns))
     if commits > 1:
         key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
         path = scratch_path(spark, f"pending-{uuid.uuid4().hex}")
@@ -255,9 +330,10 @@ def run_resumable(spark: SparkSession, records: DataFrame, keys: Sequence[str],
     else:
         parts = [todo]
     for part in parts:
-        answered = batch_infer(part, prompt_col, factory, config, out_col, batch_size, share=share, seed_cols=keys)
+        answered = batch_infer(part, prompt_col, factory, config, out_col, batch_size, share=share, seed_cols=keys,
+                               retries=retries, error_col=None if retries is None else "error")
         answered.write.mode("append").parquet(out_path)
-    return spark.read.parquet(out_path)
+    return last_attempts(spark.read.parquet(out_path), keys) if retries is not None else spark.read.parquet(out_path)
 
 
 # --- replay ---------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
+from ..functions import text as TX
 from ..operators import batches as B
 from ..operators import conversation as C
 from ..sources.tables import table
@@ -30,6 +32,23 @@ def running_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.running_context(table(spark, sf_dir, "conversations"))
 
 
+@query("context_window", sql=f"""
+    WITH m AS (
+      SELECT *, sum(n) OVER w - n AS s
+      FROM (SELECT conv_id, turn, role, seg, len(regexp_extract_all(seg, '[^{TX.WS[1:]}+'))::BIGINT AS n
+            FROM (SELECT *, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS seg
+                  FROM conversations) a) b
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT c.conv_id, c.turn, min(t.turn) AS first_turn, count(*)::BIGINT AS n_turns, sum(t.n)::BIGINT AS n_tokens,
+           string_agg(t.seg, '' ORDER BY t.turn) || {Q.lit(P.GENERATION_PROMPT)} AS context
+    FROM m c JOIN m t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.turn <= c.turn
+     AND (t.turn = c.turn OR c.s + c.n - t.s <= {C.CONTEXT_TOKENS})
+    WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered turns that each call sees within the context length."""
+    return C.context_window(table(spark, sf_dir, "conversations"))
+
+
 @query("render_chat", sql="""
     SELECT c.conv_id, c.turn, c.role,
            '<|' || c.role || '|>' || chr(10) || c.text || chr(10)
@@ -42,17 +61,13 @@ def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_BATCHES = f"""
-    SELECT conv_id, turn, text, bucket,
-           ((row_number() OVER (PARTITION BY bucket ORDER BY conv_id, turn) - 1) // {BATCH_SIZE})::BIGINT AS batch_no
-    FROM (SELECT conv_id, turn, text,
-                 (('0x' || substr(md5(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)), 1, 8))::BIGINT
-                  % {B.N_BUCKETS}) AS bucket
-          FROM conversations) c"""
+    SELECT conv_id, turn, text, ((row_number() OVER (ORDER BY conv_id, turn) - 1) // {BATCH_SIZE})::BIGINT AS batch_no
+    FROM conversations"""
 
 
-@query("batch_assign", sql=f"SELECT conv_id, turn, bucket, batch_no FROM ({_SQL_BATCHES}) b")
+@query("batch_assign", sql=f"SELECT conv_id, turn, batch_no FROM ({_SQL_BATCHES}) b")
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 8 records, numbered densely per md5 bucket of the record key."""
+    """Batches of 8 records, numbered densely in the order of the record key."""
     recs = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     return B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE)
 
@@ -72,19 +87,19 @@ def split_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("merge_batch", sql=f"""
-    SELECT bucket, batch_no, count(*)::BIGINT AS n_texts, string_agg(text, chr(10) ORDER BY conv_id, turn) AS merged,
+    SELECT batch_no, count(*)::BIGINT AS n_texts, string_agg(text, chr(10) ORDER BY conv_id, turn) AS merged,
            string_agg(CAST(length(text) AS VARCHAR), ',' ORDER BY conv_id, turn) AS scores
-    FROM ({_SQL_BATCHES}) b GROUP BY bucket, batch_no""")
+    FROM ({_SQL_BATCHES}) b GROUP BY batch_no""")
 def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-example outputs of each batch (at most 8) merged back into one list in order."""
     recs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     batched = B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE)
-    w = Window.partitionBy("bucket", "batch_no").orderBy("conv_id", "turn")
-    parts = batched.select(F.struct("bucket", "batch_no").alias("batch_id"),
+    w = Window.partitionBy("batch_no").orderBy("conv_id", "turn")
+    parts = batched.select(F.col("batch_no").alias("batch_id"),
                            (F.row_number().over(w) - 1).alias("example_no"), F.array("text").alias("texts"),
                            F.array(F.length("text")).alias("scores"))
     merged = B.merge_outputs(parts, ("texts", "scores"))
-    return merged.select(F.col("batch_id.bucket").alias("bucket"), F.col("batch_id.batch_no").alias("batch_no"),
+    return merged.select(F.col("batch_id").alias("batch_no"),
                          F.size("texts").cast("bigint").alias("n_texts"), F.array_join("texts", "\n").alias("merged"),
                          F.array_join("scores", ",").alias("scores"))
 

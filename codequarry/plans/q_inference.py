@@ -43,6 +43,21 @@ def batch_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("generated_answer", ",").alias("samples"))
 
 
+@query("failed_generations", sql=f"""
+    SELECT conv_id, turn, CASE WHEN failed THEN 0 ELSE {N_SAMPLES} END::BIGINT AS n_samples,
+           CASE WHEN NOT failed THEN {_sql_hash('p')} END AS first_sample,
+           CASE WHEN failed THEN 'RuntimeError: refused' END AS error
+    FROM (SELECT conv_id, turn, p, {Q.bucket('p', I.REFUSE_EVERY)} = 0 AS failed
+          FROM (SELECT conv_id, turn, {_SQL_QO} AS p FROM ({Q.qa_pairs()}) q) x) y""")
+def failed_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model that raises on some prompts: only these fail, with the reason."""
+    pairs = C.qa_pairs(table(spark, sf_dir, "conversations"))
+    prompts = pairs.select("conv_id", "turn", P.qa_prompt("", "question", "question_only").alias("prompt"))
+    out = I.batch_infer(prompts, "prompt", I.refusing_completer, I.GenerationConfig(n=N_SAMPLES), retries=1, error_col="error")
+    return out.select("conv_id", "turn", F.size("generated_answer").cast("bigint").alias("n_samples"),
+                      F.get("generated_answer", 0).alias("first_sample"), "error")
+
+
 _SQL_SEED = (f"('0x' || substr(md5('{I.GenerationConfig().seed}|' || md5(CAST(conv_id AS VARCHAR) || '|' || "
              "CAST(turn AS VARCHAR) || '|' || p)), 1, 8))::BIGINT")
 

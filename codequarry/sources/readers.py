@@ -4,15 +4,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..functions import text as TX
+from ..operators.ordinals import numbered
 from ..plans import catalog
 
 CORRUPT = "_corrupt_record"
@@ -79,30 +78,33 @@ def intent_examples(df: DataFrame) -> DataFrame:
                      F.col("intent").alias("output"), "*")
 
 
+TOP_ROWS = 10_000  # a slice that ends here at the latest is sorted as a top-k
+
+
 def seeded_slice(df: DataFrame, key: str, seed: int, start: int = 0, end: int = -1,
                  order_col: str | None = None) -> DataFrame:
     """Shuffle deterministically by md5(seed|key) (seed <= 0 keeps ``order_col``
     order), then take rows [start, end); end = -1 means to the end.
 
-    Rows are counted, so repeated and NULL keys (first) are cut like others; which copies of
-    one key fall before a cut is open, how many is not."""
+    A slice that ends within the first ``TOP_ROWS`` rows is a top-k; any other
+    is cut by row numbers taken in ranges, so neither its rows nor the
+    skipped ones pass through one task.  Rows are counted, so repeated and
+    NULL keys (first) are cut like others; which copies of one key fall
+    before a cut is open, how many is not."""
     if end != -1 and end < start:
         raise ValueError("end must be -1 or >= start")
-    order = [H.seeded_order_key(seed, key), F.col(key)] if seed > 0 else [F.col(order_col or key)]
-    if end != -1:
+    keys = [key] if order_col is None or seed > 0 else [order_col, key]
+    order = [H.seeded_order_key(seed, key)] * (seed > 0) + [F.col(k) for k in keys]
+    if end != -1 and end <= TOP_ROWS:
         ordered = df.orderBy(*order).limit(end)
         return ordered.offset(start) if start else ordered
-    if start:  # all but the first rows: an offset without a limit would end in one task
-        keys = list(dict.fromkeys([key] if seed > 0 else [order_col or key, key]))
-        order = order if seed > 0 else [F.col(k) for k in keys]
-        first = (df.orderBy(*order).limit(start).groupBy(*keys).agg(F.count(F.lit(1)).alias("_skip"))
-                   .withColumnsRenamed({k: f"_first_{i}" for i, k in enumerate(keys)}))
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_first_{i}")) for i, k in enumerate(keys)])
-        # only rows whose key is among the first are numbered
-        copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-        tied = df.join(first, same).withColumn("_copy", copy).filter("_copy > _skip").select(*df.columns)
-        df = df.join(first, same, "left_anti").unionByName(tied)
-    return df.orderBy(*order)
+    if end == -1 and not start:
+        return df.orderBy(*order)
+    row = F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")
+    rows = numbered(df.select(row, *[c.alias(f"k{i}") for i, c in enumerate(order)]),
+                    [F.col(f"k{i}") for i in range(len(order))], ordinal="n")
+    rows = rows.filter(F.col("n") >= start) if end == -1 else rows.filter((F.col("n") >= start) & (F.col("n") < end))
+    return rows.orderBy("n").select("row.*")
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int | None) -> DataFrame:

@@ -46,15 +46,45 @@ def test_chat_segments_generation_prompt(spark):
     assert "".join(segs) == "<|user|>\nhi\n<|assistant|>\nyo\n<|user|>\nq\n<|assistant|>\n"
 
 
-def test_batches_dense_per_bucket(spark):
-    df = spark.range(100).withColumnRenamed("id", "k")
-    out = B.assign_batches(df, ["k"], 8, 4).groupBy("bucket", "batch_no").count().collect()
-    per_bucket = {}
-    for r in out:
-        per_bucket.setdefault(r["bucket"], []).append(r["count"])
-    # every bucket: full batches of 8 and at most one smaller last batch
-    assert all(sum(c != 8 for c in v) <= 1 and max(v) == 8 for v in per_bucket.values())
-    assert sum(r["count"] for r in out) == 100
+def test_batches_are_dense_over_the_table(spark):
+    for parts in (1, 200):
+        df = spark.range(101).select((F.col("id") % 34).alias("k")).repartition(parts)  # repeated keys
+        rows = B.assign_batches(df, ["k"], 8).collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r.batch_no, []).append(r.k)
+        assert sorted(by) == list(range(13)) and [len(by[i]) for i in range(13)] == [8] * 12 + [5]
+        assert [k for i in range(13) for k in sorted(by[i])] == sorted(r.k for r in rows)
+
+
+def context_brute(rows, budget):
+    by, out = {}, {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, role, text, f"<|{role or ''}|>\n{text or ''}\n", t))
+    for c, turns in by.items():
+        turns.sort(key=lambda x: x[:2])
+        for j, call in enumerate(turns):
+            if call[2] != "user":
+                continue
+            i, n = j, len(call[4].split())
+            while i and n + len(turns[i - 1][4].split()) <= budget:
+                i -= 1
+                n += len(turns[i][4].split())
+            out[(c, call[5])] = (turns[i][5], j - i + 1, n, "".join(x[4] for x in turns[i:j + 1]) + "<|assistant|>\n")
+    return out
+
+
+def test_context_window_equals_brute_force(spark):
+    import random
+    r = random.Random(1)
+    rows = [(c, 3 * t + 1, r.choice(["user", "assistant", None]), r.choice(["", None, "w " * r.randrange(30), "x" * 50]))
+            for c in [0] * 1 + [1, 2, None] for t in range(400 if c == 0 else 12)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    for budget in (1, 7, 40, 4096):
+        got = {(x.conv_id, x.turn): (x.first_turn, x.n_turns, x.n_tokens, x.context)
+               for x in C.context_window(df, budget).collect()}
+        assert got == context_brute(rows, budget)
+    assert C.context_window(df.limit(0)).count() == 0
 
 
 def test_split_and_merge_roundtrip(spark):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.operators.ordinals import numbered
+from codequarry.operators.ordinals import Ordered, numbered
 
 
 def table(spark, n=3000, seed=1, hot=0.34):
@@ -50,3 +50,27 @@ def test_clashing_names_and_an_empty_table(spark):
     df = spark.createDataFrame([(1, "x", 2)], "_row long, _w0 string, _at long")
     assert numbered(df, [F.col("_row")], [F.col("_w0")]).collect()[0].asDict() == {"_row": 1, "_w0": "x", "_at": 2, "ordinal": 0}
     assert numbered(df.limit(0), [F.col("_row")]).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 200])
+def test_running_sums_and_next_rows_by_group(spark, ranges):
+    df = table(spark).withColumn("v", F.when(F.col("i") % 11 != 0, F.col("i") % 7))
+    o = Ordered(df, [F.col("k"), F.col("i")], [F.col("g")], ranges)
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.g, []).append((r.k is not None, r.k or 0, r.i, r.v))
+    sums, after = {}, {}
+    for rows in groups.values():
+        rows.sort(key=lambda x: x[:3])
+        total = 0
+        for n, (_, _, i, v) in enumerate(rows):
+            sums[i], after[i] = total, (rows[n + 1][2], rows[n + 1][3]) if n + 1 < len(rows) else (None, None)
+            total += v or 0
+    assert {r.i: r.before for r in o.sums_before(before="v").collect()} == sums
+    assert {r.i: (r.j, r.w) for r in o.next(j="i", w="v").collect()} == after
+
+
+def test_next_row_of_a_table_without_groups(spark):
+    df = spark.range(0, 500, 1, 9)
+    rows = Ordered(df, [F.col("id")], ranges=16).next(after="id").collect()
+    assert {r.id: r.after for r in rows} == {i: i + 1 if i < 499 else None for i in range(500)}

@@ -26,6 +26,25 @@ def test_hot_conversation_pairs_and_context(spark):
     assert sorted(got.collect()) == sorted(brute.collect())
 
 
+def test_no_task_holds_the_hot_conversation(spark):
+    """A conversation with a third of all rows is dealt to ranges of like size."""
+    from codequarry.operators.ordinals import Ordered
+    m = hot_messages(spark, n_hot=3000, n_small=1000).repartition(8)
+    placed = Ordered(m, [F.col("turn")], [F.col("conv_id")], ranges=20).placed
+    sizes = sorted(r["count"] for r in placed.groupBy("_range").count().collect())
+    assert len(sizes) == 20 and sizes[-1] <= 2 * sizes[10]
+    windows = [r["count"] for r in placed.groupBy("_range", "_w0").count().collect()]  # rows of one window
+    assert max(windows) <= 2 * sizes[10]
+    pairs = C.qa_pairs(m)
+    assert pairs.filter("conv_id = 0").count() == 1500 and pairs.count() == 1500 + 1000 * 3
+
+
+def test_context_pieces_are_bounded(spark):
+    m = hot_messages(spark, n_hot=900)
+    out = C.context_window(m, budget=30).filter("conv_id = 0").collect()
+    assert len(out) == 450 and max(r.n_tokens for r in out) <= 30 and max(r.n_turns for r in out) == 10
+
+
 def test_hot_prompt_called_once(spark, tmp_dir):
     df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"p{i}") for i in range(300)], "id bigint, prompt string")
 

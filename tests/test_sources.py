@@ -161,3 +161,17 @@ def test_corpus_scan_reads_two_columns(spark):
     with contextlib.redirect_stdout(buf):
         corpus(spark, "/root/testdata/sf0.001").explain()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in buf.getvalue()
+
+
+def test_large_slices_are_cut_by_row_numbers(spark, monkeypatch):
+    """Slices beyond the top-k bound: the same rows in the same order, with 1 and 200 partitions and a repeated key."""
+    d = spark.range(0, 600).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    whole = [r.k for r in R.seeded_slice(d, "k", 5).collect()]
+    small = [r.k for r in R.seeded_slice(d, "k", 5, 20, 450).collect()]
+    monkeypatch.setattr(R, "TOP_ROWS", 10)
+    for parts in (1, 200):
+        df = R.seeded_slice(d.repartition(parts), "k", 5, 20, 450)
+        assert [r.k for r in df.collect()] == small == whole[20:450]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Limit" not in plan and "Offset" not in plan
+    assert [r.k for r in R.seeded_slice(d, "k", 0, 20, 450).collect()] == sorted(r.k for r in d.collect())[20:450]
