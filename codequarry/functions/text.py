@@ -22,9 +22,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_COMMON = "[\\x09-\\x0D\\x1C-\\x20]"           # white space in ASCII: one bit table
+_MAY_BE_RARE = "[\\x85\\xA0\\x{1680}-\\x{3000}]"  # holds all other white space
+
+
 def strip_ws(col) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_c(col), F.lit(_SPACES))
+
+
+def _by_space(col: Column, fn) -> Column:
+    """``fn(class of white space)``; a text without rare white space gets the short class, which is tested faster."""
+    return F.when(col.rlike(_MAY_BE_RARE), fn(WS)).otherwise(fn(_COMMON))
 
 
 # --- docstring cleaning ------------------------------------------------------
@@ -34,20 +45,35 @@ def escape_regex(col) -> Column:
     return F.regexp_replace(_c(col), r"([\\.+*?^$()\[\]{}|])", r"\\$1")
 
 
-def docstring_pattern(doc) -> Column:
-    """Row-specific pattern matching a docstring literal and its line end.
+# FIXED VALUE: the quote forms around a docstring, in the order in which they are tried.
+_QUOTES = "(?:\"\"\"|\"|'|\'\'\')"
+_MARK = "\x00"
 
-    Optional prefix letters, one of the quote forms, the escaped docstring,
-    the same quote forms, trailing space and a newline; DOTALL.
-    """
-    quotes = "(\"\"\"|\"|'|''')"
-    return F.concat(F.lit("(?sU)\\s*\\w*r?u?" + quotes + "\\s*"), escape_regex(doc),
-                    F.lit("\\s*" + quotes + "\\s*\\n"))
+
+def docstring_literal(doc) -> Column:
+    """Row-specific pattern: a quote form, the docstring, a quote form and the line end; DOTALL."""
+    return F.concat(F.lit(f"(?sU){_QUOTES}\\s*"), escape_regex(doc), F.lit(f"\\s*{_QUOTES}\\s*\\n"))
 
 
 def strip_docstring(code, doc) -> Column:
-    """Remove the docstring literal from the code (every match -> newline)."""
-    return F.regexp_replace(_c(code), docstring_pattern(doc), F.lit("\n"))
+    """Remove the docstring literal from the code (every match -> newline).
+
+    A match is ``\\s*\\w*`` (indentation and prefix letters), a quote form,
+    the docstring, a quote form, space and a newline.  Only the quotes can
+    begin it by search: a code without the docstring is left as it is, a
+    match is marked from its quotes on, and the word and the space before
+    each mark are then cut off backwards, from the mark.
+    """
+    c, d = _c(code), _c(doc)
+    parts = F.split(F.regexp_replace(c, docstring_literal(d), F.lit(_MARK)), _MARK, -1)
+    before = lambda x: F.reverse(F.regexp_replace(F.reverse(x), "(?U)\\A\\w*\\s*", ""))
+    # in an array of one, the parts are bound once and not made again for each use
+    joined = F.get(F.transform(F.array(parts), lambda ps: F.array_join(F.concat(
+        F.transform(F.slice(ps, F.lit(1), F.size(ps) - 1), before), F.slice(ps, F.lit(-1), F.lit(1))), "\n")), 0)
+    # a code that holds the mark itself is searched for the whole pattern
+    whole = F.regexp_replace(c, F.concat(F.lit("(?sU)\\s*\\w*"), F.substring(docstring_literal(d), 6, 1 << 30)), F.lit("\n"))
+    return (F.when(~F.contains(c, d), c).when(F.contains(c, F.lit(_MARK)), whole)
+             .otherwise(joined))
 
 
 def strip_comment_prefix(doc) -> Column:
@@ -93,10 +119,9 @@ def entry_point_name(intent, first_nwords: int = catalog.ENTRY_FIRST_NWORDS,
     """
     stop = stop_words if stop_words is not None else catalog.ENTRY_STOP_WORDS
     delims = delimiters if delimiters is not None else catalog.ENTRY_DELIMITERS
-    # split(limit=n+1) after a left trim yields exactly the first n words of
-    # a full split (the last piece holds the unsplit rest and is dropped).
-    lead = F.regexp_replace(_c(intent), "^(?U)\\s+", "")
-    first = F.slice(F.split(lead, "(?U)\\s+", first_nwords + 1), 1, first_nwords)
+    # one anchored match takes the first words; the rest of the text is never split
+    lead = F.regexp_extract(_c(intent), f"(?U)\\A\\s*(\\S+(?:\\s+\\S+){{0,{first_nwords - 1}}})", 1)
+    first = F.split(lead, "(?U)\\s+")
     words = F.transform(F.filter(first, lambda w: w != ""), lambda w: F.lower(w))
 
     # The three cuts are prefix cuts on the same indices, so they compose to
@@ -166,4 +191,11 @@ def ascii_words(text) -> Column:
 
 def whitespace_tokens(text) -> Column:
     """Python ``str.split()`` tokens."""
-    return F.filter(F.split(_c(text), f"{WS}+"), lambda w: w != "")
+    t = strip_ws(text)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(_by_space(t, lambda ws: F.split(t, f"{ws}+")))
+
+
+def whitespace_token_count(text) -> Column:
+    """Length of Python's ``str.split()``."""
+    t = _c(text)
+    return _by_space(t, lambda ws: F.regexp_count(t, F.lit(f"[^{ws[1:]}+")))

@@ -6,7 +6,7 @@ and earlier ones are counted, not computed from the turn number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
@@ -32,11 +32,6 @@ def qa_pairs(messages: DataFrame, question_role: str = "user", answer_role: str
                .select("conv_id", "turn", "question", "answer"))
 
 
-def token_count(text) -> Column:
-    """Tokens of a text as the context length counts them: words between white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{TX.WS[1:]}+")), F.lit(0)).cast("bigint")
-
-
 def context_window(messages: DataFrame, budget: int = CONTEXT_TOKENS, caller_role: str = "user") -> DataFrame:
     """What each call sees: (conv_id, turn, first_turn, n_turns, n_tokens, context).
 
@@ -55,7 +50,7 @@ def context_window(messages: DataFrame, budget: int = CONTEXT_TOKENS, caller_rol
     """
     m = messages.select("conv_id", "turn", "role", P.chat_segment(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
                         .alias("segment"), F.md5(F.coalesce("text", F.lit(""))).alias("_dg"))
-    m = m.withColumn("n", token_count(F.col("segment")))
+    m = m.withColumn("n", TX.whitespace_token_count("segment").cast("bigint"))
     order = [F.col("turn"), F.col("role"), F.col("_dg")]
     placed = Ordered(m.withColumn("one", F.lit(1).cast("bigint")), order, [F.col("conv_id")]).sums_before(start="n", at="one")
     placed = persisted(placed.drop("one", "_dg"), "context")

@@ -96,4 +96,4 @@ def fallback_rate(grid: DataFrame, levels: Sequence[str] = LEVEL_COLS) -> DataFr
 
 def max_token_len(df: DataFrame, col: str) -> DataFrame:
     """Longest whitespace-token length over the data set."""
-    return df.agg(F.max(F.size(TX.whitespace_tokens(col))).cast("bigint").alias("max_tokens"))
+    return df.agg(F.max(TX.whitespace_token_count(col)).cast("bigint").alias("max_tokens"))

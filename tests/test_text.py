@@ -82,3 +82,31 @@ def test_clean_reference(spark):
 
 def test_whitespace_tokens(spark):
     assert one(spark, F.array_join(TX.whitespace_tokens("c0"), "|"), " a  b\tc\n") == "a|b|c"
+
+
+def reference_strip(code, doc):
+    """The pattern as one regular expression."""
+    import re
+    return re.sub("\\s*\\w*r?u?(\"\"\"|\"|'|\'\'\')\\s*" + re.escape(doc) + "\\s*(\"\"\"|\"|'|\'\'\')\\s*\n", "\n", code, flags=re.DOTALL)
+
+
+def test_strip_docstring_equals_one_expression(spark):
+    import random
+    r = random.Random(1)
+    parts = ['"""', '"', "'", "'''", "\n", " ", "    ", "r", "u", "é", "Doc. x", "Doc. x", "Doc. x", "(", "aDoc. x", "\x00", "a a"]
+    rows = [("".join(r.choice(parts) for _ in range(r.randrange(24))), r.choice(["Doc. x", "a a", "é", " ", "", "'"]))
+            for _ in range(4000)]
+    rows += [(q + "Doc. x" + e + "\n\n  y", "Doc. x") for q in ('""', '""""', "''", "  ur'", 'ab """ ') for e in ('"', '"""', "'''", "' ")]
+    df = spark.createDataFrame(rows, "c string, d string")
+    got = df.select("c", "d", TX.strip_docstring("c", "d").alias("out")).collect()
+    assert [x.out for x in got] == [reference_strip(x.c, x.d) for x in got]
+    assert sum(x.out != x.c for x in got) > 100
+
+
+def test_white_space_of_python(spark):
+    texts = ["", "  ", "a", " a\u3000b\x85", "\x1c\x1da \u2009b’c–d", "a\u1680\u200ab", "\u200b x", " \ta\nb "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", TX.whitespace_tokens("t").alias("w"), TX.whitespace_token_count("t").alias("n"),
+                    TX.strip_ws("t").alias("s")).collect()
+    for x in got:
+        assert x.w == x.t.split() and x.n == len(x.w) and x.s == x.t.strip(), repr(x.t)
