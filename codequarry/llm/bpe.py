@@ -30,6 +30,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count, repeat
@@ -41,6 +42,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import known_chars
+
+LONG_WORD = 512                   # bytes above which a word is walked and merged alone
 NO = np.int64(1) << np.int64(40)  # above every rank
 WORDS_KEPT = 200_000              # words a worker remembers
 SEGMENT = 1 << 20                 # characters of a very long text handled at once
@@ -53,14 +57,6 @@ _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
 
-@lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Characters that Python's Unicode tables do not know; others may class them otherwise."""
-    code = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    cuts = [0] + [i for i in range(1, len(code)) if code[i] != code[i - 1] + 1] + [len(code)]
-    return re.compile("[" + "".join(f"\\U{code[a]:08x}-\\U{code[b - 1]:08x}" for a, b in zip(cuts, cuts[1:])) + "]")
-
-
 @lru_cache(maxsize=1)
 def _library_split():
     from tokenizers import Regex, normalizers, pre_tokenizers
@@ -147,6 +143,8 @@ class WordBpe:
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         first = np.unique(left << 20 | right, return_index=True)[1]  # a repeated pair keeps one rank
         self.rank = IntTable((left << 20 | right)[first], np.arange(len(merges))[first])
+        self.made_of = self.made.tolist()
+        self.rank_of = dict(zip((left << 20 | right)[first].tolist(), first.tolist()))  # the same, for one pair
         self.own = np.full(n, -1, dtype=np.int64)
         self.own[self.made] = np.arange(len(merges))
         self.odd = np.zeros(n, dtype=bool)
@@ -193,9 +191,11 @@ class WordBpe:
                 at = keys[k]
             (self_final if ends else self_inner)[at] = i
         self.step = IntTable(np.fromiter(keys, np.int64), np.fromiter(keys.values(), np.int64))
+        self.step_of = keys
         self.accept = np.full((2, nodes), -1, dtype=np.int64)
         for row, d in ((0, self_inner), (1, self_final)):
             self.accept[row, np.fromiter(d, np.int64)] = np.fromiter(d.values(), np.int64)
+        self.accept_of = self.accept.tolist()
 
     def _check_tokens(self, vocab, byte_of) -> None:
         """Tokens whose own text is not encoded to them are odd."""
@@ -235,6 +235,34 @@ class WordBpe:
         return t[order], np.bincount(w, minlength=len(words))
 
     def _longest(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(longest tokens of all words in a row, number of the word of each)."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._walk_all(words)
+        t, w = self._walk_all([b"" if len(x) > LONG_WORD else x for x in words])
+        walks = [self._walk_one(words[k]) for k in long]
+        t = np.concatenate([t, *walks])
+        w = np.concatenate([w, np.repeat(long, [len(x) for x in walks])])
+        order = np.argsort(w, kind="stable")
+        return t[order], w[order]
+
+    def _walk_one(self, word: bytes) -> np.ndarray:
+        """The longest tokens of one long word, a byte at a time."""
+        step, n, out = self.step_of.get, len(word), array("i")
+        inner, final = self.accept_of
+        at = 0
+        while at < n:
+            node, cur, best, best_at = 0, at, -1, at
+            while cur < n and (nxt := step(node << 8 | word[cur])) is not None:
+                node, cur = nxt, cur + 1
+                token = final[node] if cur == n else inner[node]
+                if token >= 0:
+                    best, best_at = token, cur
+            out.append(best)
+            at = best_at
+        return np.frombuffer(out, dtype=np.int32).astype(np.int64)
+
+    def _walk_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8).astype(np.int64)
         n = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(n)
@@ -352,30 +380,32 @@ class WordBpe:
             fits = best < r.shape[1]
             r[here[fits], best[fits]] = after[fits]
 
-    def _merge_one(self, t: list[int]) -> np.ndarray:
-        """One long word: a heap of (rank, place) over a linked list of symbols."""
-        n = len(t)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-
-        def rank(i):
-            return int(self.rank.get(np.array([t[i] << 20 | t[nxt[i]]]))[0]) if nxt[i] < n else -1
+    def _merge_one(self, symbols: list[int]) -> np.ndarray:
+        """One long word: a heap of (rank, place), packed, over a linked list of symbols.
 
-        first = self.rank.get(np.array(t[:-1], dtype=np.int64) << 20 | np.array(t[1:], dtype=np.int64)) if n > 1 else []
-        heap = [(int(k), i, t[i], t[i + 1]) for i, k in enumerate(first) if k >= 0]
+        An entry is stale where the pair at its place no longer has its rank.
+        """
+        n, rank, made = len(symbols), self.rank_of.get, self.made_of
+        t, nxt, prev = array("i", symbols), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank(t[i] << 20 | t[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            k, i, a, b = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
             j = nxt[i]
-            if not alive[i] or t[i] != a or j >= n or t[j] != b:
+            if t[i] < 0 or j >= n or rank(t[i] << 20 | t[j]) != r:
                 continue
-            t[i], alive[j], nxt[i] = int(self.made[k]), False, nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-            for p in (prev[i], i):
-                if p >= 0 and nxt[p] < n and (r := rank(p)) >= 0:
-                    heapq.heappush(heap, (r, p, t[p], t[nxt[p]]))
-        return np.array([x for x, ok in zip(t, alive) if ok], dtype=np.int64)
+            t[i], t[j] = made[r], -1
+            k = nxt[i] = nxt[j]
+            if k < n:
+                prev[k] = i
+                if (x := rank(t[i] << 20 | t[k])) is not None:
+                    heapq.heappush(heap, x << 32 | i)
+            p = prev[i]
+            if p >= 0 and (x := rank(t[p] << 20 | t[i])) is not None:
+                heapq.heappush(heap, x << 32 | p)
+        out = np.frombuffer(t, dtype=np.int32).astype(np.int64)
+        return out[out >= 0]
 
     # --- texts ----------------------------------------------------------------
 
@@ -383,7 +413,7 @@ class WordBpe:
         if text.isascii():
             return _ASCII_WORDS.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
-        if _unassigned().search(text):
+        if not known_chars(text):
             return _library_words(text)
         # lower case character by character: a final sigma is like any other
         return _WORDS.findall(text.replace("Σ", "σ").lower())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +91,19 @@ def row_digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("\x00")).cast("binary"))
 
 
+_KNOWN: set[str] = set()
+
+
+def known_chars(text: str) -> bool:
+    """Whether Python's Unicode tables know all characters of a text; others may class newer ones otherwise."""
+    unseen = set(text) - _KNOWN
+    if unseen:
+        if any(unicodedata.category(c) == "Cn" for c in unseen):
+            return False
+        _KNOWN.update(unseen)
+    return True
+
+
 # --- words as 64-bit hashes, for whole Arrow batches ------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)

@@ -23,7 +23,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _File, byte_alphabet
+from .common import known_chars
 
 LIMIT = 512
 KEPT = 500_000        # merged pre-tokens that a worker remembers
@@ -156,18 +156,10 @@ def _library_pre_tokens(text: str) -> list[str]:
     return [w for w, _ in pre_tokenizers.Split(Regex(_PATTERN), "isolated").pre_tokenize_str(text)]
 
 
-_SEEN: set[str] = set()  # characters that Python's tables know
-
-
 def pre_tokens(text: str) -> list[str]:
     if text.isascii():
         return _ASCII.findall(text)
-    unseen = set(text) - _SEEN
-    if unseen:
-        if any(unicodedata.category(c) == "Cn" for c in unseen):
-            return _library_pre_tokens(text)
-        _SEEN.update(unseen)
-    return _ALL.findall(text)
+    return _ALL.findall(text) if known_chars(text) else _library_pre_tokens(text)
 
 
 def default_path() -> str:

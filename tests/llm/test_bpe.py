@@ -97,3 +97,30 @@ def test_table_round_trip(spark, odd, library, monkeypatch):
 
 def test_empty_table(spark, none):
     assert B.tokenised(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("text", ["中" * 350_000, "字中文" * 600_000, "x" * 5_000_000, "ab" * 500_000 + "é" * 200_000],
+                         ids=["chinese", "chinese 5 MB", "one letter 5 MB", "mixed"])
+def test_long_texts_without_a_space(codec, library, text):
+    import time
+    t = time.perf_counter()
+    ids = codec.encode_batch([text])[0]
+    assert time.perf_counter() - t < 10 * max(1, len(text.encode()) / 1e6)
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_random_word_in_a_five_megabyte_text(codec, library):
+    rng = random.Random(9)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    text = "the cat sat on the mat " * 200_000 + word + " end"
+    ids = np.concatenate([codec.encode_batch([s])[0] for s in B.segments(text)])
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_and_short_walks_agree(codec, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéñ中!") for _ in range(rng.randrange(1, 90))).encode() for _ in range(300)]
+    whole = codec.encode_words(words)
+    monkeypatch.setattr(B, "LONG_WORD", 20)
+    parts = codec.encode_words(words)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
