@@ -1,29 +1,36 @@
 """Personal data by weak supervision (DataFrame functions only).
 
-*Candidates.*  For each kind (email, ip, card, phone) the base pattern and a
-wider one give candidate spans with a little context on either side.  Base
-spans are the base pattern's leftmost matches that pass the kind's rule;
-they always stay.
-
-*Labelers.*  Six labelers vote +, - or 0 on every candidate: the base rule,
-a checksum or shape test, a gazetteer (top-level domains, calling codes,
-issuer digits, reserved ranges), cue words before the span, the characters
-next to it, and variety of its digits.
-
-*EM.*  Votes are counted by (kind, vote pattern), at most 4 * 3**6 rows,
-and a Dawid-Skene model is fitted to them: each labeler's vote distribution
-for true and for false spans, and each kind's share of true ones.
-
-*Span classifier.*  A logistic model of a candidate's own features (form,
-length, digits, the word before, the character after) is trained on the EM
-posteriors, summed by feature tuple, at most ``MAX_TUPLES`` rows; it is
-applied as a column expression.  Candidates beyond the base that reach
-``ADD_FROM`` and overlap no base span and no earlier addition are added.
+*Candidates.*  For each kind (email, ip, card, phone) the base pattern gives
+base spans: its leftmost matches that pass the kind's rule; they always
+stay.  A wider pattern proposes forms that the base does not know, true or
+not: addresses spelled with "at" and "dot" words or with letters outside
+ASCII; longer and shortened or defanged host addresses; cards of 13 to 15
+digits or with other separators; local numbers of 8 to 15 digits.  Dates,
+order numbers and sentences with "at" are proposed as well.
+
+*Labelers.*  Seven labelers vote +, - or 0 on every candidate: the base
+rule, a checksum or shape test, a gazetteer (top-level domains, calling
+codes, issuer digits, reserved ranges), cue and counter-cue words before
+the span, the characters next to it, the variety of its digits, and its
+form (separators and lengths that are usual, dates and book numbers that
+are not).
+
+*EM.*  Votes are counted by (kind, base or wider, vote pattern), at most
+8 * 3**7 rows, and a Dawid-Skene model is fitted to each of the eight
+groups: each labeler's vote distribution for true and for false spans, and
+the share of true ones.
+
+*Span classifier.*  A logistic model of a candidate's own features (length,
+digits, the word before, the character after, what the gazetteer, the cues
+and the form say) is trained on the EM posteriors, summed by feature tuple,
+at most ``MAX_TUPLES`` rows; it is applied as a column expression.  Wider
+candidates that pass their check and reach ``ADD_FROM`` and overlap no base
+span and no earlier addition are added.
 
 Offsets: a text is split at a pattern's matches, and prefix sums over the
 lengths of gaps and matches give each match its place, in code points.  All
 patterns run in time linear in the text: runs are entered at their first
-character only and are possessive.
+character only and are possessive or of bounded length.
 
 Defined results: NULL counts as empty; a text without spans has the digest
 of the empty string; rows that repeat are rows of their own.
@@ -31,7 +38,7 @@ of the empty string; rows that repeat are rows of their own.
 
 from __future__ import annotations
 
-from math import exp, log
+from math import exp, log, prod
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,12 +58,17 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT, _DOT = "(?:at|arroba|arobase|ät)", "(?:dot|punkt|point|punto)"  # FIXED VALUES: the words for the marks
+_HOST = r"[A-Za-z0-9-]{1,63}+"
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{]at[)\]}] ?[A-Za-z0-9-]{1,63}+"
-             r"(?: ?(?:[(\[{]dot[)\]}]|\.) ?[A-Za-z0-9-]{1,63}+){1,5}+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])",
-    "phone": r"(?<![0-9+(])(?<![0-9][\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\x20.-]?[0-9])",
+    "email": r"(?i)(?<![\p{L}\p{N}._%+@-])(?:"
+             rf"[A-Za-z0-9._%+-]{{1,64}}+(?: ?[(\[{{] ?{_AT} ?[)\]}}] ?| {_AT} ){_HOST}"
+             rf"(?:(?: ?[(\[{{] ?{_DOT} ?[)\]}}] ?| {_DOT} |\.){_HOST}){{1,5}}+"
+             r"|[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,5}+)",
+    "ip": r"(?i)(?<![\p{L}\p{N}:.])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}"
+          r"|[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[\[(]dot[\])])[0-9]{1,3}){3})(?![\p{L}\p{N}:])",
+    "card": r"(?<![0-9])(?<![0-9][\x20./-])(?:[0-9](?:[\x20-]?[0-9]){12,14}+|[0-9]{4}(?:[./][0-9]{4}){3})(?![\x20./-]?[0-9])",
+    "phone": r"(?<![\p{L}\p{N}+(.,])(?<![\p{N}][\x20./-])\(?[0-9]{2,5}\)?(?:[\x20./-]{0,2}[0-9]{2,5}){1,4}+(?![\p{L}\p{N}])",
 }
 # FIXED VALUES: gazetteers and cue words.
 DOMAINS = "com org net edu gov info io de fr es it nl uk eu ch at co us ca"
@@ -64,11 +76,11 @@ CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54
 CUES = {
     "email": "mail email e-mail contact write kontakt courriel correo",
     "ip": "ip host server address adresse dirección node",
-    "card": "card visa mastercard credit karte carte tarjeta",
-    "phone": "phone tel call mobile fax telefon téléphone teléfono",
+    "card": "card visa mastercard amex credit karte carte tarjeta",
+    "phone": "phone tel call mobile fax telefon handy téléphone teléfono móvil",
 }
-COUNTER_CUES = "version v section isbn order invoice nr no"
-LABELERS = ("rule", "check", "gazetteer", "cue", "edge", "variety")
+COUNTER_CUES = "version v section isbn issn order invoice bestellung commande pedido ticket date datum fecha id page nr no"
+LABELERS = ("rule", "check", "gazetteer", "cue", "edge", "variety", "form")
 
 
 def _words(s: str) -> str:
@@ -98,7 +110,9 @@ def candidates(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
     """(documents: rid, doc_id; spans: rid, kind, wide, m, before, after, start, end)."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digits, at = F.col("text").rlike("[0-9]"), F.col("text").contains("@")
-    worth = {"email": (at, F.col("text").rlike(r"[(\[{]at[)\]}]")), "ip": (digits, F.col("text").contains(":")),
+    other = F.octet_length("text") > F.length("text")  # characters outside ASCII
+    worth = {"email": (at, F.col("text").rlike(rf"(?i){_AT} ?[)\]}}]|[ .)\]}}]{_DOT}[ )\]}}]") | (at & other)),
+             "ip": (digits, digits & F.col("text").rlike(r"(?i)[0-9a-f]:[0-9a-f:]|[\[(](?:\.|dot)[\])]")),
              "card": (digits, digits), "phone": (F.col("text").contains("+"), digits)}
     names = []
     for k, kind in enumerate(KINDS):
@@ -112,6 +126,11 @@ def candidates(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
     end = F.sum(F.col("gap") + F.length("m")).over(upto)
     s = s.withColumn("end", end).withColumn("start", F.col("end") - F.length("m"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
+    # a wider match that is a base one (an address in ASCII) or has too few digits proposes nothing
+    number = F.length(F.regexp_replace("m", "[^0-9]", "")).between(8, 15)
+    plain = F.col("m").contains("@") & ~F.col("m").rlike("[^\\x00-\\x7F]")
+    s = s.filter((F.pmod("p", F.lit(2)) == 0) | ((F.col("p") == 1) & ~plain) | ((F.col("p") == 7) & number)
+                 | F.col("p").isin(3, 5))
     spans = s.select("rid", F.get(kinds, F.floor(F.col("p") / 2).cast("int")).alias("kind"),
                      (F.pmod("p", F.lit(2)) == 1).alias("wide"), "m", "before", "after", "start", "end")
     return df.select("rid", "doc_id"), spans
@@ -132,7 +151,7 @@ def luhn(digits: Column) -> Column:
 
 
 def with_votes(spans: DataFrame) -> DataFrame:
-    """Adds ``base`` (passes the base rule) and ``votes``, a string of + - 0, one for each labeler."""
+    """Adds ``base`` (passes the base rule), ``check`` and ``votes``, a string of + - 0, one for each labeler."""
     kind, m = F.col("kind"), F.col("m")
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
@@ -141,7 +160,7 @@ def with_votes(spans: DataFrame) -> DataFrame:
     check = (F.when(kind == "card", F.when(n.between(13, 19), luhn(F.col("digits"))).otherwise(False))
               .when(kind == "ip", F.when(F.col("wide"), F.lit(True)).otherwise(octets))
               .when(kind == "phone", n.between(8, 15))
-              .otherwise(m.rlike(r"(?i)(?:\.|dot[)\]}]) ?[a-z]{2,24}$")))
+              .otherwise(m.rlike(rf"(?i)(?:\.|{_DOT} ?[)\]}}]?) ?[\p{{L}}]{{2,24}}$")))
     s = s.withColumn("check", check)
     rule = (F.when(kind == "email", True).when(kind == "card", n.between(16, 19) & F.col("check"))
              .otherwise(F.col("check")))
@@ -153,10 +172,11 @@ def with_votes(spans: DataFrame) -> DataFrame:
     no = F.lit(False)
     before = F.lower("before")
     gazetteer = (
-        F.when(kind == "email", vote(F.lower(m).rlike(rf"(?:\.|dot[)\]}}]) ?(?:{_words(DOMAINS)})$"), no))
+        F.when(kind == "email", vote(F.lower(m).rlike(rf"(?:\.|{_DOT} ?[)\]}}]?) ?(?:{_words(DOMAINS)})$"), F.col("wide")))
          .when(kind == "ip", vote(no, ~F.col("wide") & m.rlike(r"^(?:0|127|255)\.")))
          .when(kind == "card", vote(F.col("digits").rlike("^[3456]"), ~F.col("digits").rlike("^[3456]")))
-         .otherwise(vote(F.col("digits").rlike(f"^(?:{_words(CALLING_CODES)})"), F.col("digits").rlike("^0{2,}"))))
+         .otherwise(F.when(F.col("wide"), vote(F.col("digits").rlike("^0[1-9]"), no)).otherwise(
+             vote(F.col("digits").rlike(f"^(?:{_words(CALLING_CODES)})"), F.col("digits").rlike("^0{2,}")))))
     cue = F.when(before.rlike(rf"\b(?:{_words(COUNTER_CUES)})[.:#]? *$"), "-")
     for k in KINDS:
         cue = cue.when((kind == k) & before.rlike(rf"\b(?:{_words(CUES[k])})\b"), "+")
@@ -164,8 +184,16 @@ def with_votes(spans: DataFrame) -> DataFrame:
                 before.rlike(r"[\p{L}0-9]$") | F.col("after").rlike(r"^[\p{L}0-9]"))
     kinds_of_digit = F.size(F.array_distinct(F.split("digits", "")))
     variety = F.when(kind == "email", "0").otherwise(vote(kinds_of_digit >= 4, kinds_of_digit <= 2))
+    date = m.rlike(r"^(?:19|20)[0-9]{2}[-./ ]?[01][0-9][-./ ]?[0-3][0-9]|^[0-3]?[0-9][-./][01]?[0-9][-./](?:19|20)[0-9]{2}")
+    usual = F.col("digits").rlike("^(?:3[47][0-9]{13}|3[068][0-9]{12}|4[0-9]{12}|[3-6][0-9]{15})$")
+    form = (F.when(kind == "phone", vote(m.rlike(r"[/()]|^0[0-9]+[\x20-]"), date | F.col("digits").rlike("^97[89]")
+                                         | ~m.rlike("[^0-9]")))
+             .when(kind == "card", vote(usual, ~usual))
+             .when(kind == "email", vote(m.rlike(r"[(\[{@]"), no))
+             .otherwise(vote(m.rlike(r"(?i)[a-f].*:|[\[(]"), no)))
     votes = F.concat(F.when(F.col("wide"), "0").otherwise(vote(F.col("base"), ~F.col("base"))),
-                     vote(F.col("check"), ~F.col("check")), gazetteer, cue.otherwise("0"), edge, variety)
+                     vote(F.col("check"), ~F.col("check")), gazetteer, cue.otherwise("0"), edge, variety,
+                     F.when(F.col("wide"), form).otherwise("0"))
     return s.withColumn("votes", votes)
 
 
@@ -211,8 +239,14 @@ def reliabilities(counts: list[tuple[str, str, int]], rounds: int = 60) -> dict[
 # --- the span classifier ----------------------------------------------------------
 
 # Number of values of each feature; a tuple of all of them is a row of the training table.
-FEATURES = {"wide": 2, "length": 4, "n_digits": 5, "word_before": 16, "char_after": 3}
-MAX_TUPLES = len(KINDS) * 2 * 4 * 5 * 16 * 3
+FEATURES = {"wide": 2, "length": 4, "n_digits": 5, "word_before": 8, "char_after": 3, "gazetteer": 3, "cue": 3, "form": 3}
+MAX_TUPLES = len(KINDS) * prod(FEATURES.values())
+
+
+def vote_of(labeler: str) -> Column:
+    """0, 1 or 2 for a vote of - 0 +."""
+    c = F.substring("votes", 1 + LABELERS.index(labeler), 1)
+    return F.when(c == "-", 0).when(c == "0", 1).otherwise(2)
 
 
 def with_features(spans: DataFrame) -> DataFrame:
@@ -223,7 +257,8 @@ def with_features(spans: DataFrame) -> DataFrame:
                  .withColumn("f_length", step(n, 12, 17, 25))
                  .withColumn("f_n_digits", step(d, 3, 8, 11, 16))
                  .withColumn("f_word_before", F.when(word == "", 0).otherwise(
-                     1 + F.pmod(F.crc32(word.cast("binary")), F.lit(15))).cast("int"))
+                     1 + F.pmod(F.crc32(word.cast("binary")), F.lit(7))).cast("int"))
+                 .withColumns({f"f_{name}": vote_of(name) for name in ("gazetteer", "cue", "form")})
                  .withColumn("f_char_after", F.when(F.col("after") == "", 0)
                              .when(F.col("after").rlike(r"^[\p{L}0-9]"), 1).otherwise(2)))
 
@@ -261,22 +296,40 @@ def span_score(model: dict[str, dict]) -> Column:
     return out
 
 
-def personal_data(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: rid, doc_id; spans: rid, kind, start, end, m, base): base spans and added ones."""
+def _group(kind: Column, wide: Column) -> Column:
+    return F.concat(kind, F.when(wide, ":wide").otherwise(":base"))
+
+
+def candidate_table(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents; all candidate spans with votes and features, written once)."""
     rows, spans = candidates(spark, docs)
-    spans = staged(spark, with_features(with_votes(spans)), "pii-votes")
-    counts = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    post = reliabilities([(r["kind"], r["votes"], r["n"]) for r in counts])
+    return rows, staged(spark, with_features(with_votes(spans)), "pii-votes")
+
+
+def fit_spans(spark: SparkSession, spans: DataFrame) -> dict[str, dict]:
+    """The span classifier: labelers' reliabilities from all candidates, then weights from their posteriors."""
+    group = _group(F.col("kind"), F.col("wide")).alias("group")
+    counts = spans.groupBy(group, "votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    post = reliabilities([(r["group"], r["votes"], r["n"]) for r in counts])
     table = spark.createDataFrame([(k, v, p) for (k, v), p in post.items()] or [("", "", 0.0)],
-                                  "kind string, votes string, p double")
+                                  "group string, votes string, p double")
     feats = [F.col(f"f_{f}").alias(f) for f in FEATURES]
-    train = (spans.join(F.broadcast(table), ["kind", "votes"]).groupBy("kind", *feats)
+    train = (spans.withColumn("group", group).join(F.broadcast(table), ["group", "votes"]).groupBy("kind", *feats)
                   .agg(F.sum("p").alias("true"), F.count(F.lit(1)).alias("n")).collect())
-    model = train_spans([r.asDict() for r in train])
+    return train_spans([r.asDict() for r in train])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, model: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents: rid, doc_id; spans: rid, kind, start, end, m, base): base spans and added ones.
+
+    Without a ``model`` (of :func:`fit_spans`) it is fitted to these documents.
+    """
+    rows, spans = candidate_table(spark, docs)
+    model = model or fit_spans(spark, spans)
     keep = spans.withColumn("p", span_score(model))
     keep = keep.filter(F.col("base") | (F.col("wide") & F.col("check") & (F.col("p") >= ADD_FROM)))
     # additions give way to base spans and to additions that begin earlier
-    by_start = Window.partitionBy("rid").orderBy("start", F.col("base").desc(), "end", "kind")
+    by_start = Window.partitionBy("rid").orderBy("start", F.col("base").desc(), F.col("p").desc(), "end", "kind")
     earlier = by_start.rowsBetween(Window.unboundedPreceding, -1)
     later = by_start.rowsBetween(1, Window.unboundedFollowing)
     keep = (keep.withColumn("reach", F.max("end").over(earlier))
