@@ -87,6 +87,23 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return j.filter("_reps = 1").select("_row").union(once.select("_row")).select("_row.*")
 
 
+HOT_SHARE = 1000  # a key is hot above this part of all rows, so at most this many keys are
+HOT_LEAST = 1000  # ... and above this many rows
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, rows: int,
+             least: int = HOT_LEAST, share: int = HOT_SHARE) -> DataFrame:
+    """``left.join(right, key)`` for a ``right`` with one row a key, whatever part of ``left`` one key holds.
+
+    ``sizes`` is (key, n): the rows of ``left`` by key, of ``rows`` in all.
+    Keys with more than ``rows / share`` of them are at most ``share``, so
+    their rows of ``right`` are broadcast; all others are shuffled.
+    """
+    named = F.broadcast(sizes.filter(F.col("n") > max(least, rows // share)).select(key))
+    hot = F.broadcast(right.join(named, key, "left_semi"))
+    return left.join(hot, key).unionByName(left.join(named, key, "left_anti").join(right, key))
+
+
 def row_digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("\x00")).cast("binary"))
 

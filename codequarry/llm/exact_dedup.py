@@ -15,8 +15,9 @@ identifiers: its recipe.  Equal recipes mean equal texts.
 * Recipes (8 bytes for some hundreds of characters) are then grouped and
   joined; the long texts move no further than that one chunk shuffle.
 
-A hot group of copies is pre-aggregated before the shuffle on recipes; the
-join back to its rows is an ordinary equi-join, which AQE splits.
+A hot group of copies is pre-aggregated before the shuffle on recipes; in
+the join back to the rows the hottest groups, a bounded number, are
+broadcast, so their rows are not shuffled at all.
 
 Defined results: a NULL text counts as empty, and empty texts are equal to
 each other; a NULL ``doc_id`` sorts after all others; of rows that repeat
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, keep_rows, row_digest, staged
+from .common import WS, join_hot, keep_rows, row_digest, staged
 
 MIN_CHUNK = 256
 MAX_CHUNK = 2048
@@ -87,7 +88,9 @@ def exact_groups(spark: SparkSession, docs: DataFrame, bits: int = 64, **cut) ->
     # longest text first, then smallest doc_id (NULL last); rid settles full repeats
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("u"), "doc_id", "rid", "digest")
     groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
-    j = rows.join(groups, "recipe")
+    groups = staged(spark, groups, "recipe-groups")
+    sizes = groups.select("recipe", F.col("group_size").alias("n"))
+    j = join_hot(rows, groups, "recipe", sizes, rows.count())
     return j.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
                     (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"),
                     "digest", F.col("best.digest").alias("keep_digest"))

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (WS, joined_bytes, keep_rows, mix64, row_digest, runs, shuffle_partitions, slices, spans, staged,
+from .common import (WS, join_hot, joined_bytes, keep_rows, mix64, row_digest, runs, shuffle_partitions, slices, spans, staged,
                      word_hashes)
 from .components import components
 
@@ -354,7 +354,8 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = _relabel(members, labels)
     # second leader: the largest, for members outside its component
     high = named.select(F.col("node").alias("high"), F.col("label").alias("high_label")).distinct()
-    other = (named.join(high, "high").filter("label <> high_label")
+    sizes = members.groupBy("high").agg(F.count(F.lit(1)).alias("n"))
+    other = (join_hot(named, high, "high", sizes, members.count()).filter("label <> high_label")
                   .select(F.col("node").alias("a"), F.col("high").alias("b")).distinct())
     labels = staged(spark, _joined(spark, labels, _between(verified(other), labels)), "labels")
     named = _relabel(members, labels)
