@@ -32,7 +32,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import count, repeat
 
 import numpy as np
@@ -144,7 +144,6 @@ class WordBpe:
         first = np.unique(left << 20 | right, return_index=True)[1]  # a repeated pair keeps one rank
         self.rank = IntTable((left << 20 | right)[first], np.arange(len(merges))[first])
         self.made_of = self.made.tolist()
-        self.rank_of = dict(zip((left << 20 | right)[first].tolist(), first.tolist()))  # the same, for one pair
         self.own = np.full(n, -1, dtype=np.int64)
         self.own[self.made] = np.arange(len(merges))
         self.odd = np.zeros(n, dtype=bool)
@@ -191,12 +190,23 @@ class WordBpe:
                 at = keys[k]
             (self_final if ends else self_inner)[at] = i
         self.step = IntTable(np.fromiter(keys, np.int64), np.fromiter(keys.values(), np.int64))
-        self.step_of = keys
         self.accept = np.full((2, nodes), -1, dtype=np.int64)
         for row, d in ((0, self_inner), (1, self_final)):
             self.accept[row, np.fromiter(d, np.int64)] = np.fromiter(d.values(), np.int64)
         self.accept_of = self.accept.tolist()
 
+    @cached_property
+    def step_of(self) -> dict[int, int]:
+        """The trie's steps for one byte at a time; made when the first long word comes."""
+        used = self.step.keys >= 0
+        return dict(zip(self.step.keys[used].tolist(), self.step.values[used].tolist()))
+
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The ranks for one pair at a time; made when the first long word is merged."""
+        used = self.rank.keys >= 0
+        return dict(zip(self.rank.keys[used].tolist(), self.rank.values[used].tolist()))
+
     def _check_tokens(self, vocab, byte_of) -> None:
         """Tokens whose own text is not encoded to them are odd."""
         words, ids, closed = [], [], []
