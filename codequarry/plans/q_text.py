@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import evaluate as E
+from ..operators import sentences as SE
 from ..sources import readers as R
 from ..sources.tables import SQL_SYNTH_CODE, synth_code, table
 from . import catalog
@@ -130,6 +131,33 @@ def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", TX.first_sentence("text").alias("sentence"))
 
 
+_TYPE_SQL = """regexp_replace(lower({w}), '^[(\\["'']+|[)\\]"'',;:!?]*\\.?$', '', 'g')"""
+_TOKS_SQL = "list_filter(regexp_split_to_array(text, '[\\x09-\\x0D\\x20]+'), lambda w: w <> '')"
+
+
+@query("learned_sentence", sql=f"""
+    WITH t AS (SELECT doc_id, text, {_TOKS_SQL} AS toks FROM documents),
+    seen AS (SELECT {_TYPE_SQL.format(w='tok')} AS type, count(*) AS n, count_if(ends_with(tok, '.')) AS c
+             FROM (SELECT unnest(toks) AS tok FROM t) x GROUP BY 1),
+    s AS (SELECT type, n::DOUBLE AS n, c::DOUBLE AS c, (SELECT sum(c)::DOUBLE / sum(n)::DOUBLE FROM seen) AS p,
+                 least(c::DOUBLE / n, 0.99) AS q, length(type) - length(replace(type, '.', '')) AS inner_stops
+          FROM seen WHERE n >= {SE.MIN_SEEN} AND c > 0 AND length(type) BETWEEN 1 AND {SE.MAX_TYPE}
+          AND regexp_full_match(type, '[\\p{{L}}.]+')),
+    abbr AS (SELECT type FROM s WHERE c / n > p AND
+             -2 * ((c * ln(p) + (n - c) * ln(1 - p)) - (c * ln(q) + (n - c) * ln(1 - q)))
+             * (inner_stops + 1) * exp(-(length(type) - inner_stops)::DOUBLE) * pow(n, -(n - c)) >= {SE.MIN_SCORE}),
+    e AS (SELECT doc_id, i, w FROM (SELECT doc_id, unnest(toks) AS w, unnest(range(len(toks))) AS i FROM t) x
+          WHERE regexp_matches(w, '[.!?][)\\]"'']*$')),
+    f AS (SELECT doc_id, min(i) AS i FROM e
+          WHERE NOT (ends_with(w, '.') AND {_TYPE_SQL.format(w='w')} IN (SELECT type FROM abbr)) GROUP BY doc_id)
+    SELECT t.doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(toks[1:coalesce(f.i + 1, len(toks))], ' ') END AS sentence
+    FROM t LEFT JOIN f ON f.doc_id = t.doc_id""")
+def learned_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sentences, with abbreviations learned from all documents."""
+    d = table(spark, sf_dir, "documents")
+    return SE.first_sentences(d, SE.abbreviations(d))
+
+
 _CHATTER = "Sure! Here is the code:\n```python\n"
 _CHATTER_END = "\n```\nThe behaviour is unchanged."
 

@@ -13,17 +13,14 @@ from ..functions import hashing as H
 from ..functions import text as TX
 from ..operators.ordinals import numbered
 from ..plans import catalog
+from . import json_arrays
 
 CORRUPT = "_corrupt_record"
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A file holding one JSON array of records (the stage files).
-
-    A multi-line file is read by one task; convert such files to Parquet
-    once (``write_records``) and read that afterwards.
-    """
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A file (or a folder of parts) holding one JSON array of records, read by many tasks (:mod:`.json_arrays`)."""
+    return json_arrays.read_array(spark, path, schema)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import json_arrays
+
 
 def write_records(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   mode: str = "overwrite", fmt: str = "parquet") -> None:
@@ -16,14 +18,8 @@ def write_records(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """Small exports only: the rows as one JSON array in one text file.
-
-    The array is one value in one task, which bounds it to some hundreds of
-    MB; larger tables go through :func:`write_records`.
-    """
-    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("r"))
-    body = F.array_join(F.sort_array(F.collect_list("r")), ",\n")
-    rows.agg(F.concat(F.lit("["), body, F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The rows as the ordered parts of one JSON array, written by many tasks (:mod:`.json_arrays`)."""
+    json_arrays.write_array(df, path)
 
 
 def write_answers(df: DataFrame, root: str, mode: str = "append") -> None:

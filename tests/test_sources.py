@@ -175,3 +175,62 @@ def test_large_slices_are_cut_by_row_numbers(spark, monkeypatch):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Limit" not in plan and "Offset" not in plan
     assert [r.k for r in R.seeded_slice(d, "k", 0, 20, 450).collect()] == sorted(r.k for r in d.collect())[20:450]
+
+
+def hard_records(n):
+    """Records whose strings hold braces, brackets, quotes, backslashes and record borders."""
+    bits = ["}, {", "{", "}", "]", '"', "\\", '\\"', "é中😀", "\n", "plain", "[", '"}', "\\}"]
+    return [{"row_id": i, "code": "".join(bits[(i * 7 + k * (i % 5 + 1)) % len(bits)] for k in range(i % 9)) if i % 11 else None,
+             "more": [{"a": {"b": "}" * (i % 3)}}]} for i in range(n)]
+
+
+@pytest.mark.parametrize("style", [{}, {"indent": 1}, {"separators": (",", ":")}, {"ensure_ascii": False}])
+@pytest.mark.parametrize("split", [64, 997, 1 << 27])
+def test_json_array_is_read_by_many_tasks(spark, tmp_dir, style, split):
+    rows = hard_records(300)
+    p = os.path.join(tmp_dir, "a.json")
+    with open(p, "w", encoding="utf-8") as f:
+        json.dump(rows, f, **style)
+    schema = "row_id long, code string, more array<struct<a:struct<b:string>>>"
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = R.read_json_array(spark, p, schema)
+        got = sorted((r.row_id, r.code, r.more[0].a.b) for r in df.collect())
+        parts = spark.read.option("lineSep", "}").text(p).rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == sorted((r["row_id"], r["code"], r["more"][0]["a"]["b"]) for r in rows)
+    assert parts > 1 or split == 1 << 27
+
+
+def test_json_array_parts_make_one_array(spark, tmp_dir):
+    rows = hard_records(200)
+    df = spark.createDataFrame([(r["row_id"], r["code"]) for r in rows], SCHEMA).repartition(7)
+    p = os.path.join(tmp_dir, "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_json_array(df, p)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    names = sorted(f for f in os.listdir(p) if f.startswith("part-"))
+    whole = json.loads("".join(open(os.path.join(p, f), encoding="utf-8").read() for f in names))
+    assert len(names) > 1
+    assert sorted((r["row_id"], r["code"]) for r in whole) == sorted((r["row_id"], r["code"]) for r in rows)
+    assert sorted(map(tuple, R.read_json_array(spark, p, SCHEMA).collect())) == sorted((r["row_id"], r["code"]) for r in rows)
+
+
+def test_json_array_faults_are_errors(spark, tmp_dir):
+    for name, text in (("cut", '[{"row_id": 1, "code": "x"}, {"row_id": 2'), ("tail", '[{"row_id": 1}] x'), ("bad", '[{"row_id": "x" 1}]')):
+        p = os.path.join(tmp_dir, name)
+        with open(p, "w") as f:
+            f.write(text)
+        with pytest.raises(Exception):
+            R.read_json_array(spark, p, SCHEMA).collect()
+    for name, text in (("none", "[]"), ("space", " [ ]\n"), ("empty", "")):
+        p = os.path.join(tmp_dir, name)
+        with open(p, "w") as f:
+            f.write(text)
+        assert R.read_json_array(spark, p, SCHEMA).count() == 0
