@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions import hashing as H
 from ..plans import catalog
 from ..session import path_has_data, persisted, scratch_path, ship_package
+from .batches import length_batches
 from .util import distinct_by_key, join_on_key
 
 
@@ -267,6 +268,32 @@ def batch_infer(df: DataFrame, prompt_col: str, factory: CompleterFactory,
     return join_on_key(df, done, H.content_key(F.col(prompt_col)), "_pk", "left")
 
 
+def complete_by_length(df: DataFrame, prompt_col: str, length_col: str, keys: Sequence[str], factory: CompleterFactory,
+                       budget: int, config: GenerationConfig = GenerationConfig(), out_col: str = "completions",
+                       retries: int | None = None, error_col: str | None = None) -> DataFrame:
+    """``df`` with ``out_col``: one call of the completer for each batch of similar lengths.
+
+    Batches are those of :func:`.batches.length_batches`, so a model that pads
+    a batch to its longest prompt holds ``budget`` tokens at most.  Rows with
+    a NULL prompt are no part of any batch and get NULL.  Every row has its
+    own sample; seeds derive from ``keys`` and the prompt.  ``retries`` and
+    ``error_col`` as in :func:`complete_rows`.
+    """
+    ship_package(df.sparkSession)
+    more = [T.StructField(out_col, T.ArrayType(T.StringType()))]
+    more += [T.StructField(error_col, T.StringType())] if error_col else []
+    asked = df.filter(F.col(prompt_col).isNotNull())
+    batched = length_batches(asked, length_col, keys, budget)
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = _run_rows(factory, config, len(batch), prompt_col, out_col, tuple(keys), retries, error_col)
+        return next(rows(iter([batch.drop(columns="batch_no").sort_values(list(keys), ignore_index=True)])))
+
+    answered = batched.groupBy("batch_no").applyInPandas(run, T.StructType(list(df.schema.fields) + more))
+    rest = df.filter(F.col(prompt_col).isNull())
+    return answered.unionByName(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]))
+
+
 # --- resume ---------------------------------------------------------------------
 
 def pending(records: DataFrame, done: DataFrame | None, keys: Sequence[str]) -> DataFrame:

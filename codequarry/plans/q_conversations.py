@@ -72,6 +72,34 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.assign_batches(recs, ["conv_id", "turn"], BATCH_SIZE)
 
 
+BATCH_TOKENS = 16384
+_SQL_LENGTHS = f"""
+    SELECT doc_id, n_tokens, (dense_rank() OVER (ORDER BY bound, part) - 1)::BIGINT AS batch_no FROM (
+      SELECT *, (row_number() OVER (PARTITION BY bound ORDER BY n_tokens, doc_id) - 1)
+                // greatest({BATCH_TOKENS} // bound, 1) AS part FROM (
+        SELECT *, (greatest(n_tokens, 1) + step - 1) // step * step AS bound FROM (
+          SELECT *, greatest((2 ** (length(bin(greatest(n_tokens, 1))) - 3))::BIGINT, 1) AS step FROM (
+            SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^{TX.WS[1:]}+'))::BIGINT AS n_tokens
+            FROM documents) a) b) c) d"""
+
+
+@query("length_batches", sql=_SQL_LENGTHS)
+def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of similar length, 16,384 tokens between white space at most when padded."""
+    n = F.coalesce(TX.whitespace_token_count("text"), F.lit(0)).cast("bigint")
+    lengths = table(spark, sf_dir, "documents").select("doc_id", n.alias("n_tokens"))
+    return B.length_batches(lengths, "n_tokens", ["doc_id"], BATCH_TOKENS)
+
+
+@query("batch_waste", sql=f"""
+    SELECT batch_no, count(*)::BIGINT AS n_records, max(n_tokens)::BIGINT AS max_tokens,
+           (count(*) * max(n_tokens))::BIGINT AS padded_tokens, (count(*) * max(n_tokens) - sum(n_tokens))::BIGINT AS waste_tokens
+    FROM ({_SQL_LENGTHS}) e GROUP BY batch_no""")
+def batch_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What padding to the longest document adds to each of these batches."""
+    return B.batch_waste(length_batches(spark, sf_dir), "n_tokens")
+
+
 @query("split_batch", sql=f"""
     SELECT c.conv_id, c.turn, (c.turn // n.per)::BIGINT AS example_no, (c.turn % n.per)::BIGINT AS sample_no, c.text
     FROM conversations c JOIN (SELECT conv_id, count(*) // {EXAMPLES_PER_BATCH} AS per FROM conversations GROUP BY conv_id) n

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions import text as TX
 from ..operators import conversation as C
 from ..operators import fanout as FO
 from ..operators import generate as G
@@ -58,6 +59,19 @@ def failed_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.get("generated_answer", 0).alias("first_sample"), "error")
 
 
+@query("batch_infer_by_length", sql=f"""
+    SELECT conv_id, turn, array_to_string([{', '.join(_sql_hash('p', i) for i in range(N_SAMPLES))}], ',') AS samples
+    FROM (SELECT conv_id, turn, {_SQL_QO} AS p FROM ({Q.qa_pairs()}) q) x""")
+def batch_infer_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same prompts in batches of similar length, one call a batch of 1,024 padded tokens at most."""
+    pairs = C.qa_pairs(table(spark, sf_dir, "conversations"))
+    prompts = pairs.select("conv_id", "turn", P.qa_prompt("", "question", "question_only").alias("prompt"))
+    sized = prompts.withColumn("n_tokens", TX.whitespace_token_count("prompt"))
+    out = I.complete_by_length(sized, "prompt", "n_tokens", ["conv_id", "turn"], I.hash_completer, 1024,
+                               I.GenerationConfig(n=N_SAMPLES))
+    return out.select("conv_id", "turn", F.array_join("completions", ",").alias("samples"))
+
+
 _SQL_SEED = (f"('0x' || substr(md5('{I.GenerationConfig().seed}|' || md5(CAST(conv_id AS VARCHAR) || '|' || "
              "CAST(turn AS VARCHAR) || '|' || p)), 1, 8))::BIGINT")
 

@@ -16,6 +16,7 @@ from ..operators import evaluate as E
 from ..operators import generate as G
 from ..operators import infer as I
 from ..operators import rewrite as RW
+from ..operators import table_functions as TF
 from ..operators.util import join_on_key
 from ..sources.tables import sql_synth_code, synth_code, table
 from . import catalog
@@ -106,6 +107,14 @@ def identifier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "code_id", "i.name", "i.alias", "i.is_def", "i.first_pos")
 
 
+@query("identifiers_lateral", sql=f"""
+    WITH s AS (SELECT * FROM {_DOCS} x WHERE {_sql_ok('w1', 'w2', 'w3')})
+    {_sql_names('ident_s', 'md5(code)')}""")
+def identifiers_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by the table function ``identifiers`` and LATERAL."""
+    return TF.identifiers(synth_code(table(spark, sf_dir, "documents")), "code_id")
+
+
 @query("alias_map", sql=f"""
     WITH s AS (SELECT * FROM {_DOCS} x WHERE {_sql_ok('w1', 'w2', 'w3')})
     SELECT code_id, name, alias FROM ({_sql_names('ident_s', 'md5(code)')}) n""")

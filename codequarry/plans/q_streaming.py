@@ -17,13 +17,13 @@ from .q_sources import PROPS_SCHEMA
 from .registry import query
 
 
-@query("incremental_ingest", sql="""
+_SQL_INGEST = """
     SELECT event_type, count(*)::BIGINT AS n_events,
            sum(TRY_CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS sum_k
-    FROM events GROUP BY event_type""")
-def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arriving events ingested by a file stream, run twice (the second run
-    finds nothing new), then summarised from the sink."""
+    FROM events GROUP BY event_type"""
+
+
+def _ingest(spark: SparkSession, sf_dir: str, ttl: str | None = None) -> DataFrame:
     src = f"{sf_dir.rstrip('/')}/events*.parquet"  # the stream source takes a folder or a glob
     schema = spark.read.parquet(src).schema
     run = uuid.uuid4().hex[:12]
@@ -34,11 +34,24 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return parsed.select("event_id", "event_type", F.col("parsed.k").alias("k"))
 
     for _ in range(2):
-        out = run_incremental(spark, src, schema, ["event_id"], parse, sink, ckpt)
+        out = run_incremental(spark, src, schema, ["event_id"], parse, sink, ckpt, ttl=ttl)
     return out.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n_events"),
                                          F.sum("k").cast("bigint").alias("sum_k"))
 
 
+@query("incremental_ingest", sql=_SQL_INGEST)
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving events ingested by a file stream, run twice (the second run
+    finds nothing new), then summarised from the sink."""
+    return _ingest(spark, sf_dir)
+
+
+@query("incremental_ingest_ttl", sql=_SQL_INGEST)
+def incremental_ingest_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a key state that ends after an hour, and a table of the keys written."""
+    return _ingest(spark, sf_dir, ttl="1 hour")
+
+
 _QO = P.sql_fill(catalog.QA_TEMPLATE_QUESTION_ONLY, question="text")
 
 
