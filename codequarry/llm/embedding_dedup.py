@@ -15,14 +15,26 @@ probability under 1e-9, so a pair whose estimate falls short of COSINE by
 more than that bound is no link; all other pairs, and only they, are
 recomputed in double precision.
 
-Pairs are met in cells.  Equal vectors are one node first.  A label with up
-to ``CELL`` nodes is one cell, compared completely; a larger one is split by
-the signs of k independent directions, in as many tables as leave a link
-unmet with probability ``MISS`` at most (k and the number of tables follow the
-label's size), and a pair counts in the first table where it meets.  A link
-at the threshold that meets in no table is lost; no exact pass finds it.  Cells are dealt into blocks of about ``BLOCK``
-nodes; each pair of blocks is one bounded group of work, which returns a
-link count for each node and the links of a spanning forest, never all pairs.
+Equal vectors are one node first.  The nodes of a label are dealt into blocks
+of about ``BLOCK``; each pair of blocks that is compared is one bounded group
+of work, which returns a link count for each node and the links of a spanning
+forest, never all pairs.
+
+Which pairs of blocks are compared is exact by default, at every size: a
+label of more than ``BLOCK`` nodes gets pivots, nodes of its own drawn by hash
+(``PIVOTS`` at most in all labels, shared by size), and a block holds nodes of
+one nearest pivot whose angles to it lie in one shell.  A node goes to the
+blocks of another shell only if its own angle to that pivot is within the
+threshold's angle of the shell; by the triangle inequality on the sphere no
+other block holds a link of it.  Where a label's vectors lie in few clusters
+most pairs of blocks fall away; where they are spread evenly in many
+dimensions none does, and the work is quadratic in the label's nodes.
+
+For such labels ``miss`` above 0 trades that for a small loss: a label of
+more than ``CELL`` nodes is compared within cells only, the signs of k
+independent directions, in as many tables as leave a link at the threshold
+unmet with that probability at most (closer pairs less); a pair counts in the
+first table where it meets.
 
 Defined results: a vector that is NULL, empty, zero, or holds a NULL or
 non-finite component, or whose label or id is NULL, links with nothing;
@@ -37,7 +49,7 @@ from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -46,8 +58,11 @@ from .components import components
 COSINE = 0.93
 Z = 6.0
 CELL = 16384
-BLOCK = 1024
-MISS = 1e-6
+BLOCK = 4096
+PIVOTS = 4096  # vectors broadcast at most, whatever the table's size
+SHELLS = 36
+SHELL = pi / SHELLS
+ANGLE = acos(COSINE) + 1e-6  # rounding of an angle is far below the last term
 AGREE = 1 - acos(COSINE) / pi  # chance that a sign agrees at the threshold
 
 
@@ -64,10 +79,10 @@ def directions(dim: int, table: int, bits: int) -> np.ndarray:
     return np.random.default_rng([dim, table, bits]).normal(size=(bits, dim))
 
 
-def tables_for(n: int) -> tuple[int, int]:
-    """(sign bits, tables) for a label of ``n`` nodes."""
-    bits = max(0, ceil(log(n / CELL, 2))) if n else 0
-    return (0, 1) if bits == 0 else (bits, ceil(log(MISS) / log(1 - AGREE ** bits)))
+def tables_for(n: int, miss: float) -> tuple[int, int]:
+    """(sign bits, tables) for a label of ``n`` nodes; no signs where ``miss`` is 0."""
+    bits = max(0, ceil(log(n / CELL, 2))) if n and miss > 0 else 0
+    return (0, 1) if bits == 0 else (bits, ceil(log(miss) / log(1 - AGREE ** bits)))
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -147,25 +162,133 @@ def _compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return out[links > 0]
 
 
-def _encode(batches):
-    """Adds code, factor and the cell of each table."""
-    for pdf in batches:
-        code, of, cell = [b""] * len(pdf), np.zeros(len(pdf)), [None] * len(pdf)
-        for (dim, n_label), at in pdf.groupby(["dim", "n_label"]).indices.items():
-            u = unit(np.stack(pdf["v"].to_numpy()[at]).astype(np.float64))
-            packed, factor = codes(u)
-            bits, tables = tables_for(int(n_label))
-            cells = np.zeros((len(at), tables), dtype=np.int64)
-            for t in range(tables if bits else 0):
-                cells[:, t] = (u @ directions(int(dim), t, bits).T > 0) @ (1 << np.arange(bits))
-            of[at] = factor
-            for row, c, p in zip(at, cells, packed):
-                code[row], cell[row] = p.tobytes(), c
-        yield pdf.assign(code=code, factor=of, cells=cell)
-
-
-def embedding_classes(spark: SparkSession, vectors: DataFrame) -> DataFrame:
-    """One row for each row of ``vectors``: vec_id, n_links, component_id, kept."""
+def _encoder(miss: float):
+    def encode(batches):
+        """Adds code, factor and the cell of each table."""
+        for pdf in batches:
+            code, of, cell = [b""] * len(pdf), np.zeros(len(pdf)), [None] * len(pdf)
+            for (dim, n_label), at in pdf.groupby(["dim", "n_label"]).indices.items():
+                u = unit(np.stack(pdf["v"].to_numpy()[at]).astype(np.float64))
+                packed, factor = codes(u)
+                bits, tables = tables_for(int(n_label), miss)
+                cells = np.zeros((len(at), tables), dtype=np.int64)
+                for t in range(tables if bits else 0):
+                    cells[:, t] = (u @ directions(int(dim), t, bits).T > 0) @ (1 << np.arange(bits))
+                of[at] = factor
+                for row, c, p in zip(at, cells, packed):
+                    code[row], cell[row] = p.tobytes(), c
+            yield pdf.assign(code=code, factor=of, cells=cell)
+    return encode
+
+
+# --- exact choice of block pairs ------------------------------------------------
+
+PLACE = ["label", "dim", "tab", "cell"]
+
+
+def pivots_of(stored: DataFrame) -> dict[tuple, np.ndarray]:
+    """(label, dim) -> unit vectors, for labels of more than a block: PIVOTS vectors at most in all."""
+    large = stored.filter(F.col("n_label") > BLOCK)
+    sizes = stored.select("label", "dim", "n_label").distinct()
+    total = sizes.agg(F.sum("n_label")).first()[0] or 0
+    share = F.least(F.ceil(F.col("n_label") / BLOCK), F.floor(F.lit(PIVOTS // 2) * F.col("n_label") / max(total, 1)))
+    # drawn by hash with twice the share's chance, about PIVOTS rows in all; the first of them are taken
+    draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 40))
+    chance = 2 * F.col("share") / F.col("n_label")
+    rows = (large.withColumn("share", share).filter(draw < chance * (1 << 40))
+                 .select("label", "dim", "share", "v", draw.alias("draw"), "node").collect())
+    found: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: (r["draw"], r["node"])):
+        mine = found.setdefault((r["label"], r["dim"]), [])
+        if len(mine) < r["share"]:
+            mine.append(r["v"])
+    return {k: unit(np.array(v, dtype=np.float64)) for k, v in found.items() if len(v) > 1}
+
+
+def _angles(v, at: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    u = unit(np.stack(v.to_numpy()[at]).astype(np.float64))
+    return np.arccos(np.clip(u @ pivots.T, -1, 1))
+
+
+def _pieces(pdf: pd.DataFrame, known: dict):
+    """(key, rows) of the rows whose (label, dim) is in ``known``."""
+    for key, at in pdf.groupby(["label", "dim"], sort=False).indices.items():
+        if key in known:
+            yield key, at
+
+
+def exact_pairs(spark: SparkSession, stored: DataFrame) -> DataFrame:
+    """``stored`` with its block, once for each block it must be compared with (``other``)."""
+    pivots = spark.sparkContext.broadcast(pivots_of(stored))
+
+    def shells(batches):
+        for pdf in batches:
+            shell = np.zeros(len(pdf), dtype=np.int64)
+            for key, at in _pieces(pdf, pivots.value):
+                angle = _angles(pdf["v"], at, pivots.value[key])
+                home = angle.argmin(axis=1)
+                inside = (angle[np.arange(len(at)), home] / SHELL).astype(np.int64)
+                shell[at] = home * (SHELLS + 1) + inside
+            yield pdf.assign(shell=shell)
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
+    homed = staged(spark, stored.mapInPandas(shells, f"{kind}, shell long"), "vec-shells")
+    counts = (homed.groupBy("label", "dim", "shell").agg(F.count(F.lit(1)).alias("n"))
+                   .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    whole = Window.partitionBy("label", "dim")  # a label has at most 37 shells for each of its pivots
+    before = whole.orderBy("shell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = staged(spark, counts.select("label", "dim", "shell", "blocks",
+                                         F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int").alias("start"),
+                                         F.sum("blocks").over(whole).cast("int").alias("all_blocks")), "vec-blocks")
+    shelled = sorted(pivots.value)
+    known: dict[tuple, list] = {k: [] for k in shelled}
+    if known:  # at most 37 * PIVOTS rows
+        named = spark.createDataFrame(shelled, counts.select("label", "dim").schema)
+        for r in counts.join(F.broadcast(named), ["label", "dim"], "left_semi").collect():
+            known[r["label"], r["dim"]].append((r["shell"], r["start"], r["blocks"]))
+    table = spark.sparkContext.broadcast({k: np.array(sorted(v), dtype=np.int64) for k, v in known.items()})
+
+    def visits(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):  # a row may visit many blocks
+                part = pdf.iloc[i:i + 256].reset_index(drop=True)
+                others = [np.empty(0, dtype=np.int32)] * len(part)
+                for key, at in _pieces(part, table.value):
+                    shell, start, blocks = table.value[key].T
+                    angle = _angles(part["v"], at, pivots.value[key])[:, shell // (SHELLS + 1)]
+                    low = shell % (SHELLS + 1) * SHELL
+                    meet = (angle >= low - ANGLE) & (angle <= low + SHELL + ANGLE)
+                    for row, m in zip(at, meet):
+                        others[row] = np.concatenate([np.arange(s, s + n, dtype=np.int32)
+                                                      for s, n in zip(start[m], blocks[m])])
+                yield part.assign(others=others)
+
+    placed = homed.join(counts, ["label", "dim", "shell"])
+    block = F.col("start") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = placed.select(*stored.columns, "all_blocks", block.alias("block"))
+    placed = placed.mapInPandas(visits, f"{kind}, all_blocks int, block int, others array<int>")
+    every = F.sequence(F.lit(0), F.col("all_blocks") - 1)  # a label without pivots is compared completely
+    others = F.when(F.size("others") > 0, F.col("others")).otherwise(every)
+    return placed.select(*stored.columns, "block", F.lit(0).alias("tab"), F.lit(0).cast("long").alias("cell"),
+                         F.explode(others).alias("other"))
+
+
+def sign_pairs(stored: DataFrame) -> DataFrame:
+    """The same within the cells of each table."""
+    placed = stored.select("*", F.posexplode("cells").alias("tab", "cell"))
+    n_blocks = (placed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"))
+                      .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
+    placed = placed.join(n_blocks, PLACE)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+
+def embedding_classes(spark: SparkSession, vectors: DataFrame, miss: float = 0.0) -> DataFrame:
+    """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
+
+    ``miss`` 0 finds every link; above 0 it bounds the chance that a link in a
+    label of more than ``CELL`` distinct vectors is lost.
+    """
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
@@ -178,21 +301,15 @@ def embedding_classes(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     kind = nodes.schema["v"].dataType.simpleString()
     label = nodes.schema["label"].dataType.simpleString()
     stored = nodes.join(sizes, ["label", "dim"]).select("node", "label", "dim", "n_label", "mult", "v")
-    stored = stored.mapInPandas(_encode, f"node long, label {label}, dim int, n_label long, mult long, v {kind}, "
-                                         "code binary, factor double, cells array<bigint>")
+    stored = stored.mapInPandas(_encoder(miss), f"node long, label {label}, dim int, n_label long, mult long, v {kind}, "
+                                                "code binary, factor double, cells array<bigint>")
     stored = staged(spark, stored, "vec-codes")
 
     # (label, dim, table, cell) -> blocks -> pairs of blocks
-    placed = stored.select("*", F.posexplode("cells").alias("tab", "cell"))
-    place = ["label", "dim", "tab", "cell"]
-    n_blocks = (placed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
-                      .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
-    placed = placed.join(n_blocks, place)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = sign_pairs(stored) if miss > 0 else exact_pairs(spark, stored)
     placed = (placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-                    .select(*place, "bi", "bj", "block", "node", "mult", "v", "code", "factor", "cells"))
-    found = placed.groupBy(*place, "bi", "bj").applyInPandas(_compare, "node long, links long, root long")
+                    .select(*PLACE, "bi", "bj", "block", "node", "mult", "v", "code", "factor", "cells"))
+    found = placed.groupBy(*PLACE, "bi", "bj").applyInPandas(_compare, "node long, links long, root long")
     found = staged(spark, found, "vec-links")
 
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))

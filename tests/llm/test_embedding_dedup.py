@@ -4,6 +4,8 @@ import pytest
 
 from codequarry.llm import embedding_dedup as E
 
+MISS = 1e-6
+
 
 def brute(rows):
     """vec_id -> (links, smallest reachable id), from all pairs."""
@@ -42,15 +44,36 @@ def vectors(dim, n, seed):
     return rows
 
 
-@pytest.mark.parametrize("cell,block", [(16384, 1024), (16384, 16), (12, 8)])
-def test_links_and_components_match_all_pairs(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize("cell,block,miss", [(16384, 1024, 0.0), (16384, 16, 0.0), (12, 4, 0.0), (16384, 16, MISS), (12, 8, MISS)])
+def test_links_and_components_match_all_pairs(spark, monkeypatch, cell, block, miss):
     monkeypatch.setattr(E, "CELL", cell)
     monkeypatch.setattr(E, "BLOCK", block)
     rows = vectors(24, 150, 3)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_classes(spark, df).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_classes(spark, df, miss).collect()}
+    assert got == brute(rows)
+
+
+def test_pivots_skip_far_blocks_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 32)
+    r = np.random.default_rng(9)
+    centers = np.eye(16)[:5] * 10
+    rows = [(i, (centers[i % 5] + r.normal(size=16) * 0.6).round(3).tolist(), 0) for i in range(600)]
+    rows += [(600 + i, (centers[i % 5] + centers[(i + 1) % 5] + r.normal(size=16)).round(3).tolist(), 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in E.embedding_classes(spark, df).collect()}
     assert got == brute(rows)
+    kept = {}
+
+    def counted(spark, stored, real=E.exact_pairs):
+        kept["rows"] = (placed := real(spark, stored)).count()
+        kept["blocks"] = placed.select("block").distinct().count()
+        return placed
+
+    monkeypatch.setattr(E, "exact_pairs", counted)
+    E.embedding_classes(spark, df).count()
+    assert kept["rows"] < 0.6 * len(rows) * kept["blocks"]
 
 
 def test_estimates_are_unbiased_and_the_bound_holds():
@@ -67,10 +90,11 @@ def test_estimates_are_unbiased_and_the_bound_holds():
 
 
 def test_more_nodes_get_more_bits_and_enough_tables():
-    assert E.tables_for(0) == (0, 1) and E.tables_for(E.CELL) == (0, 1)
+    assert E.tables_for(0, MISS) == (0, 1) and E.tables_for(E.CELL, MISS) == (0, 1)
+    assert E.tables_for(E.CELL * 1000, 0.0) == (0, 1)
     for n in (E.CELL * 2, E.CELL * 1000):
-        bits, tables = E.tables_for(n)
-        assert n / 2 ** bits <= E.CELL and (1 - E.AGREE ** bits) ** tables <= E.MISS
+        bits, tables = E.tables_for(n, MISS)
+        assert n / 2 ** bits <= E.CELL and (1 - E.AGREE ** bits) ** tables <= MISS
 
 
 @pytest.mark.parametrize("dim,bits", [(64, 11), (16, 16), (2, 5)])
@@ -81,8 +105,8 @@ def test_pairs_at_the_threshold_meet_as_often_as_the_tables_assume(dim, bits):
     b = E.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
     b = E.COSINE * a + np.sqrt(1 - E.COSINE ** 2) * b
     pdf = pd.DataFrame({"v": [*a, *b], "dim": dim, "n_label": E.CELL * 2 ** bits})
-    cells = np.stack(next(iter(E._encode([pdf])))["cells"].to_numpy())
-    assert cells.shape[1] == E.tables_for(E.CELL * 2 ** bits)[1]
+    cells = np.stack(next(iter(E._encoder(MISS)([pdf])))["cells"].to_numpy())
+    assert cells.shape[1] == E.tables_for(E.CELL * 2 ** bits, MISS)[1]
     met = (cells[:len(a)] == cells[len(a):]).mean()
     assert abs(met / E.AGREE ** bits - 1) < (0.2 if dim == 2 else 0.04)
 
