@@ -36,10 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import staged
+from .common import shuffle_partitions, staged
 
 N_SHARDS = 24
+N_OLD = 17
 BLOCK_BYTES = 8 << 20
+PART_BYTES = 128 << 20
 LARGE = 64  # a row above 1/64 of a shard is placed by itself
 ROW_BYTES = 8
 OLD, OLD_FILE = "__old_shard", "__old_file"
@@ -294,7 +296,9 @@ def reshard(spark: SparkSession, docs: DataFrame, old: str, n_new: int = N_SHARD
               .agg(F.sum("size").alias("b"))
               .withColumn("start", F.coalesce(F.sum("b").over(prior), F.lit(0))).drop("b"))
     inside = Window.partitionBy("old", "block").orderBy("key")
-    rows = (blocked(full)
+    # the texts' one shuffle: as many parts as keep each near PART_BYTES
+    parts = max(shuffle_partitions(spark), sum(sizes) // PART_BYTES + 1)
+    rows = (blocked(full).repartition(parts, "old", "block")
             .withColumn("rn", F.row_number().over(inside))
             .withColumn("within", F.coalesce(F.sum("size").over(
                 inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -326,16 +330,30 @@ def reshard(spark: SparkSession, docs: DataFrame, old: str, n_new: int = N_SHARD
 
 
 def by_file(spark: SparkSession, path: str) -> DataFrame:
-    """The table with ``OLD``: each of its files is an old shard, numbered in name order."""
+    """The table with ``OLD``: each of its files is an old shard, numbered in the order of their paths."""
     docs = spark.read.parquet(path)
-    named = docs.select("*", docs.metadataColumn("_metadata")["file_name"].alias(OLD_FILE))
+    named = docs.select("*", docs.metadataColumn("_metadata")["file_path"].alias(OLD_FILE))
     names = sorted(r[0] for r in named.select(OLD_FILE).distinct().collect())  # one row for each file
     index = spark.createDataFrame([(n, i) for i, n in enumerate(names)] or [("", 0)], f"{OLD_FILE} string, {OLD} int")
     return named.join(F.broadcast(index), OLD_FILE).drop(OLD_FILE)
 
 
+def dealt(docs: DataFrame, n_old: int = N_OLD) -> DataFrame:
+    """The table with ``OLD``: ``n_old`` old shards of uneven sizes, by hash of the row.
+
+    Shard k of n holds a share of about sqrt((k + 1) / n) - sqrt(k / n) of the rows, so
+    the first of 17 holds about a quarter and the last a 34th.
+    """
+    u = F.pmod(F.xxhash64(F.lit("old"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return docs.withColumn(OLD, F.floor(F.lit(n_old) * u * u).cast("int"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reshard(spark, by_file(spark, f"{sf_dir}/documents.parquet"), OLD, N_SHARDS)
+    """``documents`` in 24 shards of near equal bytes, from ``N_OLD`` uneven ones.
+
+    The old layout is dealt by hash, as the tables' files (one, as a rule) hold none.
+    """
+    r = reshard(spark, dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")), OLD, N_SHARDS)
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     out = r.rows(F.col("_row.doc_id").alias("doc_id"), row_size(F.col("_row.text")).alias("size"),
                  F.crc32(text.cast("binary")).alias("text_crc32"))

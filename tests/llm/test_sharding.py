@@ -126,6 +126,28 @@ def test_query_digests_by_file(spark, corpus):
     assert not got
 
 
+def test_files_of_one_name_in_different_folders_are_different_shards(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(k, "x")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"part={k}"))
+        made = next((tmp_path / f"part={k}").glob("*.parquet"))
+        (made.parent / "a.parquet").write_bytes(made.read_bytes())
+        made.unlink()
+    rows = S.by_file(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r[S.OLD]) for r in rows) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_uneven_old_layout_makes_the_flow_move_as_little_as_it_can(spark, corpus):
+    old = S.dealt(corpus).select(S.OLD, S.row_size(F.col("text")).alias("b"))
+    sizes = {r[S.OLD]: r["b"] for r in old.groupBy(S.OLD).agg(F.sum("b").alias("b")).collect()}
+    assert set(sizes) == set(range(S.N_OLD)) and sizes[0] > 3 * sizes[S.N_OLD - 1]
+    r = S.reshard(spark, S.dealt(corpus), S.OLD, 24)
+    mean = sum(sizes.values()) / 24
+    least = sum(max(0, b - mean) for b in sizes.values())
+    moved = sum(f for i, j, f in r.transfers if i != j)
+    assert least * 0.99 <= moved <= least * 1.05
+    assert sum(f for _, _, f in r.transfers) == sum(sizes.values())
+
+
 def test_empty_table(spark, none):
     r = S.reshard(spark, none.withColumn("o", F.lit(0)), "o", 3)
     assert r.rows(F.col("_row.doc_id").alias("d")).count() == 0
