@@ -17,12 +17,20 @@ source and doc_id are never inputs of a score.
 
 The model (a few MB, fixed) is broadcast.
 
+A text longer than ``BATCH_CHARS`` is scored in pieces cut between words: the
+filters' largest responses and the function words met are carried from piece
+to piece, and the last two words go with the next one, so memory follows the
+piece.  (A single word longer than that is one piece.)
+
 Defined results: NULL and empty texts are scored as one blank word; a sample
 without both classes gives every text the share of label 1.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,10 +89,29 @@ def text_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _FUNCTION = [text_words([w])[0][:, 0] for w in FUNCTION_WORDS.values()]
 
 
+def function_words(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Function words of each language in each text: LANGUAGES x texts."""
+    return np.stack([np.zeros(n)] + [np.bincount(doc[np.isin(h[:, 0], f)], minlength=n) for f in _FUNCTION])
+
+
 def languages(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Number in LANGUAGES of each text: most function words; 0 where there is none."""
-    hits = np.stack([np.zeros(n)] + [np.bincount(doc[np.isin(h[:, 0], f)], minlength=n) for f in _FUNCTION])
-    return np.argmax(hits, axis=0)
+    return np.argmax(function_words(h, doc, n), axis=0)
+
+
+_GAP = re.compile("[\x00-/:-`{-\x7f]")  # what is no part of a lower-case word
+
+
+def word_pieces(text: str, most: int) -> Iterator[str]:
+    """The text in lower case, in pieces of about ``most`` characters cut between words."""
+    text, at = text.lower(), 0
+    while len(text) - at > most:
+        gap = _GAP.search(text, at + most)
+        if gap is None:
+            break
+        yield text[at:gap.start()]
+        at = gap.start()
+    yield text[at:]
 
 
 class TextCnn:
@@ -244,9 +271,28 @@ class TextCnn:
             np.maximum.at(out, who[edge], np.maximum.reduceat(resp[at], edge, axis=0))
         return out
 
+    def _score_long(self, text: str) -> float:
+        pooled = np.full((1, len(self.bias)), -np.inf, dtype=np.float32)
+        hits = np.zeros((len(LANGUAGES), 1))
+        carried = np.zeros((0, PIECES), dtype=np.int64)
+        for piece in word_pieces(text, BATCH_CHARS):
+            h, doc = text_words([piece])
+            hits += function_words(h, doc, 1)
+            rows = np.concatenate([carried, self.bucket(h)])
+            # the last two rows only follow others here and lead in the next piece
+            pooled = np.maximum(pooled, self._pool(rows, np.zeros(1, np.int64)))
+            carried = rows[-2:]
+        blank = np.zeros((2 if len(carried) else 3, PIECES), dtype=np.int64)
+        pooled = np.maximum(pooled, self._pool(np.concatenate([carried, blank]), np.zeros(1, np.int64)))
+        raw = np.maximum(pooled + self.bias, 0) @ self.out + self.out_bias + self.shift[np.argmax(hits, axis=0)]
+        return float(1 / (1 + np.exp(-np.clip(raw[0], -30, 30))))
+
     def score(self, texts: list[str]) -> np.ndarray:
         result = np.empty(len(texts))
         for i, j in slices(texts, BATCH_CHARS):
+            if j == i + 1 and len(texts[i]) > BATCH_CHARS:
+                result[i] = self._score_long(texts[i])
+                continue
             h, doc = text_words(texts[i:j])
             n = j - i
             count = np.bincount(doc, minlength=n)

@@ -85,6 +85,86 @@ def test_cnn_pools_a_long_text_in_blocks():
     assert np.allclose(np.maximum(a + c.bias, 0), c._forward(ids)[0], atol=1e-4)
 
 
+def plain_raw(c, text):
+    """Score before calibration, word by word and filter by filter."""
+    ids = c.bucket(X.text_words([text])[0]).tolist() or [[0] * X.PIECES]
+    words = [[sum(float(c.embed[p][d]) for p in piece) for d in range(X.DIM)] for piece in ids]
+    words += [[0.0] * X.DIM] * 2
+    total, n = float(c.out_bias), 0
+    for k, f in zip(X.WIDTHS, c.filters):
+        for o in range(X.FILTERS):
+            best = max(sum(words[i + j][d] * float(f[j * X.DIM + d][o]) for j in range(k) for d in range(X.DIM))
+                       for i in range(len(ids)))
+            total += max(0.0, best + float(c.bias[n])) * float(c.out[n])
+            n += 1
+    return total
+
+
+def plain_language(text):
+    words = "".join(x if x.isalnum() else " " for x in text.lower()).split()
+    counts = [0] + [sum(w in f.split() for w in words) for f in X.FUNCTION_WORDS.values()]
+    return counts.index(max(counts))
+
+
+def test_cnn_against_plain_loops():
+    r = np.random.default_rng(4)
+    c = X.TextCnn()
+    c.embed[1:] = r.normal(size=(X.BUCKETS - 1, X.DIM))
+    c.bias[:], c.out[:], c.out_bias = r.normal(size=len(c.bias)), r.normal(size=len(c.out)), np.float32(0.3)
+    c.shift = r.normal(size=len(X.LANGUAGES))
+    texts = ["", "one", "the cat and the hat", "der Hund und die Katze sind nicht hier", "le chat est dans les rues",
+             "los perros y el gato con una casa", "nothing known ... at all 123", "é è ü"]
+    want = [1 / (1 + np.exp(-(plain_raw(c, t) + c.shift[plain_language(t)]))) for t in texts]
+    assert np.allclose(c.score(texts), want, atol=1e-4)
+
+
+def test_calibration_takes_the_best_f1_of_each_language():
+    r = np.random.default_rng(5)
+    c = X.TextCnn()
+    lang = r.integers(0, 3, size=600)
+    toxic = r.random(600) < 0.3
+    raw = np.where(toxic, 1.0, -1.0) + lang * 2.0 + r.normal(size=600) * 0.8
+    toxic[lang == 2] = False
+    toxic[np.flatnonzero(lang == 2)[:3]] = True  # too few: language 2 shares the pooled threshold
+    c._calibrate(raw, toxic, lang)
+    at = np.log(X.THRESHOLD / (1 - X.THRESHOLD))
+
+    def f1(raw, toxic, threshold):
+        hit = sum(1 for x, t in zip(raw, toxic) if x >= threshold and t)
+        return 2 * hit / (sum(1 for x in raw if x >= threshold) + int(toxic.sum()))
+
+    for k, rows in ((0, lang == 0), (1, lang == 1), (2, lang >= 0)):
+        best = max(f1(raw[rows], toxic[rows], x) for x in raw[rows])
+        assert np.isclose(f1(raw[rows], toxic[rows], at - c.shift[k]), best)
+
+
+def test_toxicity_of_long_texts_in_pieces(monkeypatch):
+    r = np.random.default_rng(6)
+    c = X.TextCnn()
+    c.embed[1:] = r.normal(size=(X.BUCKETS - 1, X.DIM))
+    c.shift = r.normal(size=len(X.LANGUAGES))
+    words = ["the", "und", "Größe", "x", "a1", "vile", "中文", "THE", "…", "--", "e\u0301"]
+    texts = [" ".join(r.choice(words, size=k)) for k in (0, 1, 2, 3, 5, 40, 400)] + ["...", "y" * 300, "  the  ", "a" * 90 + " b"]
+    whole = c.score(texts)
+    for most in (1, 2, 7, 64):
+        monkeypatch.setattr(X, "BATCH_CHARS", most)
+        assert np.allclose(c.score(texts), whole, atol=1e-5)
+        assert all("".join(X.word_pieces(t, most)) == t.lower() for t in texts)
+
+
+def test_a_text_of_some_megabytes():
+    r = np.random.default_rng(8)
+    text = "\n".join(" ".join(r.choice(["the", "vile", "one", "Größe", "中文", "7"], size=12)) for _ in range(110_000))
+    assert len(text.encode()) > 5_000_000
+    c = X.TextCnn()
+    c.embed[1:] = r.normal(size=(X.BUCKETS - 1, X.DIM)) * 0.1
+    short = text[:len(text) // 50]
+    a, b, short_alone = *c.score([text, short]), c.score([short])[0]
+    assert 0 <= a <= 1 and np.isclose(b, short_alone)
+    q = Q.LineCrf()
+    assert 0 <= q.score([text])[0] <= 1
+
+
 def test_odd_rows_empty_tables_and_missing_classes(spark, odd, none, labels):
     one = spark.createDataFrame([(3, 1, 0), (4, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
