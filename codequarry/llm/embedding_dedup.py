@@ -162,11 +162,17 @@ def _compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return out[links > 0]
 
 
-def _encoder(miss: float):
+def _encoder(miss: float, pivots=None):
+    """``pivots`` is the broadcast of :func:`pivots_of`, or None."""
     def encode(batches):
-        """Adds code, factor and the cell of each table."""
+        """Adds code, factor, the cell of each table and the shell around the nearest pivot."""
         for pdf in batches:
             code, of, cell = [b""] * len(pdf), np.zeros(len(pdf)), [None] * len(pdf)
+            shell = np.zeros(len(pdf), dtype=np.int64)
+            for key, at in _pieces(pdf, pivots.value) if pivots else ():
+                angle = _angles(pdf["v"], at, pivots.value[key])
+                home = angle.argmin(axis=1)
+                shell[at] = home * (SHELLS + 1) + (angle[np.arange(len(at)), home] / SHELL).astype(np.int64)
             for (dim, n_label), at in pdf.groupby(["dim", "n_label"]).indices.items():
                 u = unit(np.stack(pdf["v"].to_numpy()[at]).astype(np.float64))
                 packed, factor = codes(u)
@@ -177,7 +183,7 @@ def _encoder(miss: float):
                 of[at] = factor
                 for row, c, p in zip(at, cells, packed):
                     code[row], cell[row] = p.tobytes(), c
-            yield pdf.assign(code=code, factor=of, cells=cell)
+            yield pdf.assign(code=code, factor=of, cells=cell, shell=shell)
     return encode
 
 
@@ -186,11 +192,10 @@ def _encoder(miss: float):
 PLACE = ["label", "dim", "tab", "cell"]
 
 
-def pivots_of(stored: DataFrame) -> dict[tuple, np.ndarray]:
+def pivots_of(nodes: DataFrame, sizes: DataFrame) -> dict[tuple, np.ndarray]:
     """(label, dim) -> unit vectors, for labels of more than a block: PIVOTS vectors at most in all."""
-    large = stored.filter(F.col("n_label") > BLOCK)
-    sizes = stored.select("label", "dim", "n_label").distinct()
     total = sizes.agg(F.sum("n_label")).first()[0] or 0
+    large = nodes.join(sizes.filter(F.col("n_label") > BLOCK), ["label", "dim"])
     share = F.least(F.ceil(F.col("n_label") / BLOCK), F.floor(F.lit(PIVOTS // 2) * F.col("n_label") / max(total, 1)))
     # drawn by hash with twice the share's chance, about PIVOTS rows in all; the first of them are taken
     draw = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 40))
@@ -217,23 +222,9 @@ def _pieces(pdf: pd.DataFrame, known: dict):
             yield key, at
 
 
-def exact_pairs(spark: SparkSession, stored: DataFrame) -> DataFrame:
+def exact_pairs(spark: SparkSession, stored: DataFrame, pivots) -> DataFrame:
     """``stored`` with its block, once for each block it must be compared with (``other``)."""
-    pivots = spark.sparkContext.broadcast(pivots_of(stored))
-
-    def shells(batches):
-        for pdf in batches:
-            shell = np.zeros(len(pdf), dtype=np.int64)
-            for key, at in _pieces(pdf, pivots.value):
-                angle = _angles(pdf["v"], at, pivots.value[key])
-                home = angle.argmin(axis=1)
-                inside = (angle[np.arange(len(at)), home] / SHELL).astype(np.int64)
-                shell[at] = home * (SHELLS + 1) + inside
-            yield pdf.assign(shell=shell)
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
-    homed = staged(spark, stored.mapInPandas(shells, f"{kind}, shell long"), "vec-shells")
-    counts = (homed.groupBy("label", "dim", "shell").agg(F.count(F.lit(1)).alias("n"))
+    counts = (stored.groupBy("label", "dim", "shell").agg(F.count(F.lit(1)).alias("n"))
                    .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
     whole = Window.partitionBy("label", "dim")  # a label has at most 37 shells for each of its pivots
     before = whole.orderBy("shell").rowsBetween(Window.unboundedPreceding, -1)
@@ -263,7 +254,8 @@ def exact_pairs(spark: SparkSession, stored: DataFrame) -> DataFrame:
                                                       for s, n in zip(start[m], blocks[m])])
                 yield part.assign(others=others)
 
-    placed = homed.join(counts, ["label", "dim", "shell"])
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
+    placed = stored.join(counts, ["label", "dim", "shell"])
     block = F.col("start") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.select(*stored.columns, "all_blocks", block.alias("block"))
     placed = placed.mapInPandas(visits, f"{kind}, all_blocks int, block int, others array<int>")
@@ -301,12 +293,13 @@ def embedding_classes(spark: SparkSession, vectors: DataFrame, miss: float = 0.0
     kind = nodes.schema["v"].dataType.simpleString()
     label = nodes.schema["label"].dataType.simpleString()
     stored = nodes.join(sizes, ["label", "dim"]).select("node", "label", "dim", "n_label", "mult", "v")
-    stored = stored.mapInPandas(_encoder(miss), f"node long, label {label}, dim int, n_label long, mult long, v {kind}, "
-                                                "code binary, factor double, cells array<bigint>")
+    pivots = spark.sparkContext.broadcast({} if miss > 0 else pivots_of(nodes, sizes))
+    stored = stored.mapInPandas(_encoder(miss, pivots), f"node long, label {label}, dim int, n_label long, mult long, v {kind}, "
+                                                "code binary, factor double, cells array<bigint>, shell long")
     stored = staged(spark, stored, "vec-codes")
 
     # (label, dim, table, cell) -> blocks -> pairs of blocks
-    placed = sign_pairs(stored) if miss > 0 else exact_pairs(spark, stored)
+    placed = sign_pairs(stored) if miss > 0 else exact_pairs(spark, stored, pivots)
     placed = (placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
                     .select(*PLACE, "bi", "bj", "block", "node", "mult", "v", "code", "factor", "cells"))
     found = placed.groupBy(*PLACE, "bi", "bj").applyInPandas(_compare, "node long, links long, root long")

@@ -66,8 +66,8 @@ def test_pivots_skip_far_blocks_and_lose_no_link(spark, monkeypatch):
     assert got == brute(rows)
     kept = {}
 
-    def counted(spark, stored, real=E.exact_pairs):
-        kept["rows"] = (placed := real(spark, stored)).count()
+    def counted(spark, stored, pivots, real=E.exact_pairs):
+        kept["rows"] = (placed := real(spark, stored, pivots)).count()
         kept["blocks"] = placed.select("block").distinct().count()
         return placed
 
@@ -104,7 +104,7 @@ def test_pairs_at_the_threshold_meet_as_often_as_the_tables_assume(dim, bits):
     b = r.normal(size=a.shape)
     b = E.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
     b = E.COSINE * a + np.sqrt(1 - E.COSINE ** 2) * b
-    pdf = pd.DataFrame({"v": [*a, *b], "dim": dim, "n_label": E.CELL * 2 ** bits})
+    pdf = pd.DataFrame({"v": [*a, *b], "label": 0, "dim": dim, "n_label": E.CELL * 2 ** bits})
     cells = np.stack(next(iter(E._encoder(MISS)([pdf])))["cells"].to_numpy())
     assert cells.shape[1] == E.tables_for(E.CELL * 2 ** bits, MISS)[1]
     met = (cells[:len(a)] == cells[len(a):]).mean()
