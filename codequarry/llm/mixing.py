@@ -1,13 +1,15 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 Every document gets a hash-random key.  Within a source the documents are
-range-sorted by it: the leading hex digits are the range, so a range is a
-group of bounded size even where one source holds a third of all rows.
-Token counts are summed by (source, range), prefix sums of those few sums
-give each range its start, and a window inside each range gives each
-document its own start.  Each source is then cut at its exact budget: whole
-epochs first, then the documents before the cut, then the first words of
-the one document on it.
+range-sorted by it: the key's first 32 bits choose one of the source's
+ranges, whose number follows the source's rows (``RANGE_ROWS`` each, at
+least ``MIN_RANGES``), so a range stays small where one source holds a third
+of all rows.  Token counts are summed by (source, range), prefix sums of
+those sums find the one range on which the source's budget ends, and a
+window over that range's distinct keys finds the key.  So each source is cut
+at its exact budget: whole epochs first, then the documents before the cut
+key, then the first words of the one document on it.  Sizes and keys alone
+are written and shuffled; texts are read twice and never moved.
 
 Targets: sources in code-point order (NULL last) weigh 5, 2, 1, repeating,
 and share the corpus size; no target exceeds ``MAX_EPOCHS`` times its
@@ -16,7 +18,8 @@ size over weight the capped ones are a prefix, so prefix sums over the
 source table (one row for each source) settle it without iteration.
 
 Defined results: a NULL text has size 0; NULL is a source of its own; a
-source of size 0 has target 0; rows that repeat are rows of their own.
+source of size 0 has target 0; rows that repeat are rows of their own, and
+where they lie on the cut they are numbered across ranges of their own.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import numbered
 from .common import WS, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-RANGE_DIGITS = 3  # 4,096 ranges in a source
+MIN_RANGES = 4096  # ranges in a source, at least
+RANGE_ROWS = 4096  # rows in a range of a larger source, on average
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +74,44 @@ def targets(by_source: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
                   .select("no_source", "src", "source_size", "target", "budget"))
 
 
+def key_range(key: Column, n_ranges: Column) -> Column:
+    """The range of a key, 0 to n_ranges - 1, in the order of the keys."""
+    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * n_ranges, 32)
+
+
+def cuts(spark: SparkSession, sizes: DataFrame) -> DataFrame:
+    """One row for each source of ``sizes`` (no_source, src, size, key): its target and where its budget ends.
+
+    Rows with a key below ``cut_key`` are taken once more than ``epochs`` times.  ``left`` words are for the
+    ``copies`` rows that have the cut key, fewer than these hold.  A source of size 0 has no cut key.
+    """
+    source = ["no_source", "src"]
+    n = F.greatest(F.lit(MIN_RANGES), F.ceil(F.count("*") / RANGE_ROWS)).cast("long")
+    n_ranges = staged(spark, sizes.groupBy(*source).agg(n.alias("n_ranges")), "mix-sources")
+    dealt = sizes.join(n_ranges, source).withColumn("range", key_range(F.col("key"), F.col("n_ranges")))
+    ranges = staged(spark, dealt.groupBy(*source, "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
+    by_source = ranges.groupBy(*source).agg(F.sum("range_size").alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
+    goal = targets(by_source).withColumn("epochs", whole.cast("long"))
+    goal = staged(spark, goal.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")),
+                  "mix-targets")
+    prior = Window.partitionBy(*source).rowsBetween(Window.unboundedPreceding, -1)
+
+    def on_cut(parts: DataFrame, order: str, size: str, rest: str) -> DataFrame:
+        """The part of each source on which its rest ends, with the words left for it."""
+        before = F.coalesce(F.sum(size).over(prior.orderBy(order)), F.lit(0))
+        found = parts.withColumn("left", F.col(rest) - before)
+        return found.filter(f"`left` >= 0 AND `left` < `{size}`")
+
+    cut_range = on_cut(ranges.join(goal.select(*source, "rest"), source), "range", "range_size", "rest")
+    cut_range = staged(spark, cut_range.select(*source, "range", F.col("left").alias("range_left")), "mix-cut-ranges")
+    keys = (dealt.join(cut_range, [*source, "range"]).groupBy(*source, "range_left", "key")
+                 .agg(F.sum("size").alias("key_size"), F.count("*").alias("copies")))
+    cut_key = on_cut(keys, "key", "key_size", "range_left")
+    cut_key = cut_key.select(*source, F.col("key").alias("cut_key"), "copies", "left")
+    return staged(spark, goal.join(cut_key, source, "left"), "mix-cuts")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, payload: dict[str, Column], seed: str = SEED) -> DataFrame:
     """Each row of ``docs`` as its ``payload`` columns with size, source_size, target, taken, epochs, extra.
 
@@ -78,20 +121,18 @@ def mixed(spark: SparkSession, docs: DataFrame, payload: dict[str, Column], seed
     base = docs.select(*[c.alias(n) for n, c in payload.items()], F.col("source").isNull().alias("no_source"),
                        F.coalesce("source", F.lit("")).alias("src"), word_count(F.col("text")).alias("size"),
                        mix_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
-    base = base.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    place = ["no_source", "src", "range"]
-    ranges = staged(spark, base.groupBy(*place).agg(F.sum("size").alias("range_size")), "mix-ranges")
-    by_source = ranges.groupBy("no_source", "src").agg(F.sum("range_size").alias("source_size"))
-    goal = staged(spark, targets(by_source), "mix-targets")
-    prior = Window.partitionBy("no_source", "src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (ranges.withColumn("start", F.coalesce(F.sum("range_size").over(prior), F.lit(0)))
-                    .join(goal, ["no_source", "src"]).drop("range_size"))
-    inside = Window.partitionBy(*place).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, place)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("within")
-    rows = rows.withColumn("epochs", whole.cast("long"))
-    rows = rows.withColumn("extra", F.least("size", F.greatest(F.lit(0).cast("long"), rest)))
+    cut = cuts(spark, staged(spark, base.select("no_source", "src", "size", "key"), "mix-sizes"))
+    rows = base.join(cut, ["no_source", "src"])
+    single = rows.withColumn("number", F.lit(0).cast("long"))
+    if not cut.filter("copies > 1").isEmpty():
+        repeated = F.coalesce((F.col("copies") > 1) & (F.col("key") == F.col("cut_key")), F.lit(False))
+        again = numbered(rows.filter(repeated), [F.col("key")], [F.col("no_source"), F.col("src")], "number")
+        single = single.filter(~repeated).unionByName(again)
+    rows = single
+    at = F.least("size", F.greatest(F.lit(0).cast("long"), F.col("left") - F.col("number") * F.col("size")))
+    extra = (F.when(F.col("key") < F.col("cut_key"), F.col("size"))
+              .when(F.col("key") == F.col("cut_key"), at).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("extra", extra)
     return rows.select(*payload, "size", "source_size", "target",
                        (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"), "epochs", "extra")
 
