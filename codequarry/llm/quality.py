@@ -14,7 +14,9 @@ never inputs of a score.  The model is a fixed few KB and is broadcast.
 
 Defined results: NULL and empty texts are scored as one empty line; blank
 lines are left out; a document without any label class in the sample gets
-the share of good labels.
+the share of good labels.  A text of many MB is read in pieces of about
+``PIECE_CHARS`` (a longer line is one piece), and its chain is passed in
+blocks of ``CHAIN`` lines; some 150 bytes a line are held for a whole text.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ EPOCHS = 120
 RATE = 0.1
 L2 = 1e-3
 BATCH_CHARS = 1 << 20
+PIECE_CHARS = 1 << 20
+CHAIN = 512  # lines of a block; longer chains are passed block by block
+VIEW_LINES = 1 << 16
 
 # Bin edges of each line feature; bin 0 of a neighbour means there is none.
 BINS = {
@@ -78,7 +83,49 @@ def _distinct(group: np.ndarray, h: np.ndarray, n_groups: int) -> np.ndarray:
 
 
 def line_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins, document, length) of the non-blank lines; a text without any has one empty line."""
+    """(bins, document, length) of the non-blank lines; a text without any has one empty line.
+
+    A text above ``PIECE_CHARS`` is read in pieces cut after lines, so what is held for each byte and word
+    follows a piece (or a longer line); each line's bins, length and hash are held for the whole text.
+    """
+    owner, pieces = [], []
+    for i, t in enumerate(texts):
+        parts = line_pieces(t, PIECE_CHARS)
+        owner += [i] * len(parts)
+        pieces += parts
+    read = [_line_features(pieces[i:j], np.array(owner[i:j])) for i, j in slices(pieces, PIECE_CHARS)]
+    bins, doc, length, total = (np.concatenate(x) for x in zip(*read))
+    # blank pieces of a text that has lines elsewhere count for nothing
+    lines = np.bincount(doc, length > 0, minlength=len(texts))
+    first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.empty(0, bool)
+    keep = (length > 0) | ((lines[doc] == 0) & first)
+    bins, doc, length, total = bins[keep], doc[keep], length[keep], total[keep]
+    by_doc = np.lexsort((total, doc))
+    same = (total[by_doc][1:] == total[by_doc][:-1]) & (doc[by_doc][1:] == doc[by_doc][:-1])
+    repeat = np.zeros(len(doc), dtype=bool)
+    repeat[by_doc[1:][same]] = True
+    repeat[by_doc[:-1][same]] = True
+    at = list(BINS).index("repeated_line")
+    bins[:, at] = 1 + np.searchsorted(BINS["repeated_line"], repeat.astype(float), side="right")
+    return bins, doc, np.maximum(length, 1)
+
+
+def line_pieces(text: str, most: int) -> list[str]:
+    """``text`` cut after line ends into pieces of at most ``most`` characters, or of one line."""
+    out, i = [], 0
+    while len(text) - i > most:
+        cut = text.rfind("\n", i, i + most) + 1
+        if not cut:
+            cut = text.find("\n", i) + 1
+            if not cut:
+                break
+        out.append(text[i:cut])
+        i = cut
+    return out + [text[i:]] if out else [text]
+
+
+def _line_features(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bins, document, length, hash) of the lines of ``texts``, all bins but the one of repeated lines."""
     data, ends = joined_bytes(texts)
     kind = _CLASS[data]
     newline = data == 10
@@ -113,11 +160,6 @@ def line_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(h)) - (np.cumsum(words) - words)[w_line] if len(h) else np.empty(0, np.int64)
     total = np.zeros(n, dtype=np.uint64)
     np.add.at(total, w_line, mix64(h + place.astype(np.uint64)))
-    by_doc = np.lexsort((total, doc))
-    same = (total[by_doc][1:] == total[by_doc][:-1]) & (doc[by_doc][1:] == doc[by_doc][:-1])
-    repeat = np.zeros(n, dtype=bool)
-    repeat[by_doc[1:][same]] = True
-    repeat[by_doc[:-1][same]] = True
 
     one = np.maximum(length, 1)
     values = {
@@ -126,10 +168,10 @@ def line_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         "distinct_words": _distinct(w_line, h, n) / np.maximum(words, 1),
         "repeated_next": twice / np.maximum(words - 1, 1),
         "distinct_pairs": _distinct(w_line[1:][same_line], pair, n) / np.maximum(words - 1, 1),
-        "repeated_line": repeat.astype(float), "symbol_words": sym_words / np.maximum(words, 1),
+        "repeated_line": np.zeros(n), "symbol_words": sym_words / np.maximum(words, 1),
     }
     bins = np.stack([1 + np.searchsorted(BINS[f], values[f], side="right") for f in BINS], axis=1)
-    return bins.astype(np.int64), doc, np.maximum(length, 1)
+    return bins.astype(np.int8), owner[doc], length, total
 
 
 class LineCrf:
@@ -147,16 +189,41 @@ class LineCrf:
         joined = (doc[1:] == doc[:-1])[:, None]
         before[1:] = np.where(joined, bins[:-1], 0)
         after[:-1] = np.where(joined, bins[1:], 0)
-        f = np.arange(len(BINS)) * N_BINS
+        f = np.arange(len(BINS), dtype=np.int16) * N_BINS
         return np.concatenate([f + bins, len(BINS) * N_BINS + f + before, 2 * len(BINS) * N_BINS + f + after], axis=1)
 
+    def line_scores(self, bins: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Each line's sum of weights, some lines at a time (with one more on both sides)."""
+        out = np.empty(len(doc))
+        for i in range(0, len(doc), VIEW_LINES):
+            j = min(i + VIEW_LINES, len(doc))
+            lo, hi = max(i - 1, 0), min(j + 1, len(doc))
+            out[i:j] = self.w.ravel()[self.views(bins[lo:hi], doc[lo:hi])[i - lo:j - lo]].sum(axis=1)
+        return out
+
     def marginals(self, view: np.ndarray, doc: np.ndarray, n_docs: int):
         """(P(good) of each line, expected label changes from each line to the next, as 2 x 2)."""
-        score = self.w.ravel()[view].sum(axis=1)
+        return self.chain_marginals(self.w.ravel()[view].sum(axis=1), doc, n_docs)
+
+    def chain_marginals(self, score: np.ndarray, doc: np.ndarray, n_docs: int):
+        """The same from the lines' scores."""
         emit = np.exp(np.clip(np.stack([-score / 2, score / 2], axis=1), -30, 30))
         move = np.exp(self.change)
         first = np.searchsorted(doc, np.arange(n_docs))
         n = np.bincount(doc, minlength=n_docs)
+        passed = self._by_line if n.max(initial=0) <= CHAIN else self._by_block
+        ahead, back = passed(emit, move, first, n)
+        p = ahead * back
+        p /= p.sum(axis=1, keepdims=True)
+        pair = np.zeros((2, 2))
+        i = np.flatnonzero(doc[1:] == doc[:-1])
+        if len(i):
+            joint = ahead[i][:, :, None] * move[None] * (emit[i + 1] * back[i + 1])[:, None, :]
+            pair = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        return p[:, 1], pair
+
+    def _by_line(self, emit, move, first, n):
+        """Forward and backward messages, line by line in all documents at once."""
         order = np.argsort(-n, kind="stable")
         first, n = first[order], n[order]
         ahead = np.empty_like(emit)
@@ -182,14 +249,59 @@ class LineCrf:
                 now[:more] /= now[:more].sum(axis=1, keepdims=True)
             back[at] = now
             b = now
-        p = ahead * back
-        p /= p.sum(axis=1, keepdims=True)
-        pair = np.zeros((2, 2))
-        i = np.flatnonzero(doc[1:] == doc[:-1])
-        if len(i):
-            joint = ahead[i][:, :, None] * move[None] * (emit[i + 1] * back[i + 1])[:, None, :]
-            pair = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        return p[:, 1], pair
+        return ahead, back
+
+    def _by_block(self, emit, move, first, n):
+        """The same messages for long chains: 2 x 2 products inside blocks of ``CHAIN`` lines, all blocks at
+        once, then from block to block of each document.  lines / CHAIN + CHAIN steps instead of lines."""
+        blocks = -(-n // CHAIN)
+        doc = np.repeat(np.arange(len(n)), blocks)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = first[doc] + number * CHAIN
+        size = np.minimum(CHAIN, n[doc] - number * CHAIN)
+        order = np.argsort(-size, kind="stable")
+        alive = np.searchsorted(-size[order], -np.arange(CHAIN), side="left")
+        begins = number == 0
+        fore = np.empty((len(emit), 2, 2))  # from the message before a block to each of its lines
+        aft = np.empty((len(emit), 2, 2))   # from a block's last line to each of its lines
+        p = np.where(begins[order][:, None, None], np.eye(2), move)
+        for t in range(CHAIN):
+            k = alive[t]
+            at = start[order[:k]] + t
+            p = (p[:k] @ move if t else p[:k]) * emit[at][:, None, :]
+            p = p / p.sum(axis=(1, 2), keepdims=True)
+            fore[at] = p
+        q = np.empty((0, 2, 2))
+        for t in range(CHAIN - 1, -1, -1):
+            k = alive[t]
+            at = start[order[:k]] + t
+            now = np.broadcast_to(np.eye(2), (k, 2, 2)).copy()
+            more = len(q)
+            if more:
+                now[:more] = move @ (emit[at[:more] + 1][:, :, None] * q)
+                now[:more] /= now[:more].sum(axis=(1, 2), keepdims=True)
+            aft[at] = now
+            q = now
+        into, out = np.empty((len(doc), 2)), np.empty((len(doc), 2))
+        offset, steps = np.cumsum(blocks) - blocks, int(blocks.max(initial=0))
+        state = np.tile(np.exp(self.begin), (len(n), 1))
+        for k in range(steps):
+            d = np.flatnonzero(blocks > k)
+            b = offset[d] + k
+            into[b] = state[d]
+            state[d] = np.einsum("bi,bij->bj", into[b], fore[start[b] + size[b] - 1])
+            state[d] /= state[d].sum(axis=1, keepdims=True)
+        state = np.ones((len(n), 2))
+        for k in range(steps - 1, -1, -1):
+            d = np.flatnonzero(blocks > k)
+            b = offset[d] + k
+            out[b] = state[d]
+            state[d] = (emit[start[b]] * np.einsum("bij,bj->bi", aft[start[b]], out[b])) @ move.T
+            state[d] /= state[d].sum(axis=1, keepdims=True)
+        block = np.repeat(np.arange(len(doc)), size)
+        ahead = np.einsum("li,lij->lj", into[block], fore)
+        back = np.einsum("lij,lj->li", aft, out[block])
+        return ahead / ahead.sum(axis=1, keepdims=True), back / back.sum(axis=1, keepdims=True)
 
     def fit(self, rows: list[tuple[str, int]]) -> "LineCrf":
         """Adam on the conditional log-likelihood of whole label chains."""
@@ -231,7 +343,7 @@ class LineCrf:
         out = np.empty(len(texts))
         for i, j in slices(texts, BATCH_CHARS):
             bins, doc, length = line_bins(texts[i:j])
-            p, _ = self.marginals(self.views(bins, doc), doc, j - i)
+            p, _ = self.chain_marginals(self.line_scores(bins, doc), doc, j - i)
             out[i:j] = np.bincount(doc, p * length, minlength=j - i) / np.bincount(doc, length, minlength=j - i)
         return np.clip(out, 0.0, 1.0)
 

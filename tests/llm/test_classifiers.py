@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,46 @@ def test_score_is_the_same_alone_and_in_a_batch():
         assert np.allclose(together, [model.score([t])[0] for t in texts], atol=1e-6)
 
 
+def random_crf(seed):
+    r = np.random.default_rng(seed)
+    c = Q.LineCrf()
+    c.w[:] = r.normal(size=c.w.shape)
+    c.change[:], c.begin[:] = r.normal(size=(2, 2)), r.normal(size=2)
+    return c
+
+
+def test_crf_chains_in_blocks_equal_line_by_line(monkeypatch):
+    c, r = random_crf(6), np.random.default_rng(7)
+    n = [1, 5, 6, 7, 12, 40, 83]
+    doc, score = np.repeat(np.arange(len(n)), n), r.normal(size=sum(n)) * 8
+    want = c.chain_marginals(score, doc, len(n))
+    for chain in (1, 2, 5, 6, 40, 82):
+        monkeypatch.setattr(Q, "CHAIN", chain)
+        got = c.chain_marginals(score, doc, len(n))
+        assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[1], want[1], atol=1e-9)
+
+
+def test_crf_reads_a_text_in_pieces(monkeypatch):
+    c, r = random_crf(8), np.random.default_rng(9)
+    lines = ["", "   ", "a b a b", "The quick, brown fox; 1234 #### --", "x" * 90, "é ü 中文", "same line here"]
+    texts = ["\n".join(r.choice(lines, size=k)) for k in (0, 1, 30, 200)] + ["\n" * 300, "", " \n" * 200 + "end"]
+    want, score = [x.tolist() for x in Q.line_bins(texts)], c.score(texts)
+    for most in (1, 7, 64, 500):
+        monkeypatch.setattr(Q, "PIECE_CHARS", most)
+        monkeypatch.setattr(Q, "VIEW_LINES", 1 + most // 5)
+        assert [x.tolist() for x in Q.line_bins(texts)] == want
+        assert np.allclose(c.score(texts), score, atol=1e-12)
+        assert all("".join(Q.line_pieces(t, most)) == t for t in texts)
+
+
+def test_crf_scores_a_text_of_many_lines():
+    c = random_crf(10)
+    text = "\n".join(["one two three", "4 5 6 ####", "The end."] * 100_000)
+    start = time.monotonic()
+    score = c.score([text, "one two three"])
+    assert 0 <= score[0] <= 1 and time.monotonic() - start < 20
+
+
 def test_cnn_pools_a_long_text_in_blocks():
     c = X.TextCnn()
     c.embed[:] = np.random.default_rng(2).normal(size=c.embed.shape)
