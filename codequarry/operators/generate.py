@@ -2,8 +2,8 @@
 
 Generation: per (code, category) record, an optional context turn, then a
 question turn, then an answer turn; each turn sees the messages before it
-(at most six, so the message list lives in one row).  Each turn is one
-batched completer stage over its rendered prompts.
+(at most six, so the message list lives in one row).  All turns of a record
+run in one Python stage, turn by turn in batches over its rendered prompts.
 
 Primary rewrite: records x levels; the model is called once per distinct
 (code, level) (the nine questions on one code share a rewrite), the
@@ -119,32 +119,19 @@ def generate_followups(codes: DataFrame, factory: I.CompleterFactory,
     extractive category); every call sees the whole transcript so far,
     which holds at most 2n + 3 messages.
     """
-    from . import fanout as FO
     gen = F.lit(P.GENERATION_PROMPT)
-    seeds = ("code_id", "category")
 
-    def seg(role: str, text) -> Column:
-        return P.chat_segment(F.lit(role), text)
+    def turn(text) -> Column:
+        return F.concat(P.chat_segment(F.lit("user"), text), gen)
 
     r = FO.fan_out(codes.select("code_id", "code"), FOLLOWUP_ROWS, ["category", "first_prompt", "next_prompt", "extractive"])
-    ctx_user = seg("user", F.lit(catalog.FOLLOWUP_EXTRACTIVE_CONTEXT))
-    r = r.withColumn("_p", F.when(F.col("extractive"), F.concat(ctx_user, gen)))
-    r = I.complete_rows(r, "_p", factory, config, "_c", seed_cols=seeds)
-    r = r.withColumn("_p", F.when(F.col("extractive"), F.concat("_p", _first("_c"), F.lit("\n")))
-                     .otherwise(F.lit(""))).drop("_c")
+    turns = [F.when(F.col("extractive"), turn(F.lit(catalog.FOLLOWUP_EXTRACTIVE_CONTEXT))).otherwise(F.lit(""))]
     answer_turn = F.when(F.col("extractive"), F.lit(catalog.FOLLOWUP_SPAN_PROMPT)).otherwise(
         F.lit(catalog.FOLLOWUP_ANSWER_PROMPT))
     for i in range(n):
-        ask = P.question_turn("code", "first_prompt") if i == 0 else F.col("next_prompt")
-        r = r.withColumn("_p", F.concat("_p", seg("user", ask), gen))
-        if i == 0:
-            # the code now lives in the transcript; stop shipping it through Arrow
-            r = r.drop("code", "first_prompt")
-        r = I.complete_rows(r, "_p", factory, config, f"_q{i}", seed_cols=seeds)
-        r = r.withColumn("_p", F.concat("_p", _first(f"_q{i}"), F.lit("\n"), seg("user", answer_turn), gen))
-        r = I.complete_rows(r, "_p", factory, config, f"_a{i}", seed_cols=seeds)
-        r = r.withColumn("_p", F.concat("_p", _first(f"_a{i}"), F.lit("\n"))) if i + 1 < n else r.drop("_p")
-    rounds = F.array(*[F.struct(F.lit(i).cast("bigint").alias("q_no"), _first(f"_q{i}").alias("question"),
-                                _first(f"_a{i}").alias("answer")) for i in range(n)])
+        turns += [turn(P.question_turn("code", "first_prompt") if i == 0 else F.col("next_prompt")), turn(answer_turn)]
+    r = I.complete_turns(r, ["code_id", "category"], turns, factory, config)
+    rounds = F.array(*[F.struct(F.lit(i).cast("bigint").alias("q_no"), F.get("answers", 2 * i + 1).alias("question"),
+                                F.get("answers", 2 * i + 2).alias("answer")) for i in range(n)])
     return r.select("code_id", "category", F.explode(rounds).alias("x")).select(
         "code_id", "category", "x.q_no", "x.question", "x.answer")
