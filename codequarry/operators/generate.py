@@ -34,27 +34,19 @@ def generate_qa(records: DataFrame, factory: I.CompleterFactory,
 
     Every record gets its own calls (as sampling requires).  The transcript
     is carried as rendered text: each turn appends its chat segment, and a
-    prompt is the transcript so far plus the generation prompt.  Columns are
-    dropped as soon as the transcript holds them, so the Arrow stages ship
-    only what later turns need.
+    prompt is the transcript so far plus the generation prompt.  All turns
+    run in one Python step (:func:`.infer.complete_turns`), which is given
+    the segments that a turn adds and returns the answers alone.
     """
     gen = F.lit(P.GENERATION_PROMPT)
-    seeds = ("code_id", "category")
-    r = records.withColumn("_pa", F.when(F.col("pre_prompt").isNotNull(),
-                                         F.concat(P.chat_segment(F.lit("user"), F.col("pre_prompt")), gen)))
-    r = I.complete_rows(r, "_pa", factory, config, "_ca", seed_cols=seeds)
-    context = F.when(F.col("pre_prompt").isNotNull(), F.concat(
-        P.chat_segment(F.lit("user"), F.col("pre_prompt")),
-        P.chat_segment(F.lit("assistant"), _first("_ca")))).otherwise(F.lit(""))
-    r = r.select("code_id", "category", F.concat(context, P.chat_segment(F.lit("user"), P.question_turn("code", "prompt")),
-                                                 gen).alias("_pb"))
-    r = I.complete_rows(r, "_pb", factory, config, "_cb", seed_cols=seeds)
-    # a prompt ends with the mark of the coming message: answer and newline complete its segment
-    r = r.select("code_id", "category", "_cb",
-                 F.concat("_pb", _first("_cb"), F.lit("\n"),
-                          P.chat_segment(F.lit("user"), F.lit(answer_prompt)), gen).alias("_pc"))
-    r = I.complete_rows(r, "_pc", factory, config, "_cc", seed_cols=seeds)
-    return r.select("code_id", "category", _first("_cb").alias("question"), _first("_cc").alias("answer"))
+
+    def turn(text) -> Column:
+        return F.concat(P.chat_segment(F.lit("user"), text), gen)
+
+    context = F.when(F.col("pre_prompt").isNotNull(), turn("pre_prompt")).otherwise(F.lit(""))
+    r = I.complete_turns(records, ["code_id", "category"],
+                         [context, turn(P.question_turn("code", "prompt")), turn(F.lit(answer_prompt))], factory, config)
+    return r.select("code_id", "category", F.get("answers", 1).alias("question"), F.get("answers", 2).alias("answer"))
 
 
 # --- primary rewrite ---------------------------------------------------------------

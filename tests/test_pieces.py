@@ -27,6 +27,11 @@ def test_all_turns_of_a_conversation_run_in_one_python_step(spark):
     rows = {(r["code_id"], r["category"], r["q_no"]): (r["question"], r["answer"]) for r in follow.collect()}
     assert all((q is None and a is None) == (k[0] == 2) for k, (q, a) in rows.items()) and len(rows) == len(set(rows))
 
+    from codequarry.operators import fanout as FO
+    qa = G.generate_qa(FO.over_categories(codes), I.seeded_hash_completer)
+    assert python_steps(qa) == 1
+    assert all((r["question"] is None) == (r["code_id"] == 2) for r in qa.collect())
+
 
 def test_turns_see_the_transcript_and_stop_without_an_answer(spark):
     def factory():
