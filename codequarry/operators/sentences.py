@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persisted
+
 MIN_SEEN = 5
 MIN_SCORE = 0.3  # FIXED VALUE: score above which a type counts as an abbreviation
 MAX_TYPE = 12    # longer words are never abbreviations
@@ -48,9 +50,11 @@ def abbreviations(docs: DataFrame, text: str = "text", min_seen: int = MIN_SEEN,
     the type's own full stops, times exp(-length), times a penalty
     n ** -(appearances without a stop).
     """
-    t = docs.select(F.explode(tokens(F.col(text))).alias("tok"))
-    t = t.select(word_type(F.col("tok")).alias("type"), F.col("tok").endswith(".").cast("int").alias("stop"))
-    seen = t.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("c"))
+    # equal tokens are counted first: a type is made once for each distinct token of a task, and the
+    # counts of the types are written, as the common rate and the scores both read them
+    t = docs.select(F.explode(tokens(F.col(text))).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    t = t.select(word_type(F.col("tok")).alias("type"), F.when(F.col("tok").endswith("."), F.col("n")).otherwise(0).alias("c"), "n")
+    seen = persisted(t.groupBy("type").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "types")
     total = seen.agg(F.sum("n").cast("double"), F.sum("c").cast("double")).first()
     common = F.lit(total[1] / total[0] if total[0] else 0.0)
     s = seen.filter((F.col("n") >= min_seen) & (F.col("c") > 0) & F.length("type").between(1, MAX_TYPE)
@@ -75,8 +79,7 @@ def abbreviations(docs: DataFrame, text: str = "text", min_seen: int = MIN_SEEN,
 def first_sentences(docs: DataFrame, learned: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sentence): each text up to its first end, with its tokens joined by one space."""
     rows = docs.select(F.col(key).alias("_key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_dg"), F.col(text).alias("_text"))
-    rows = rows.withColumn("_tok", tokens(F.col("_text")))
-    ends = F.filter(F.transform("_tok", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
+    ends = F.filter(F.transform(tokens(F.col("_text")), lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
                     lambda x: x.w.rlike("[.!?][)\\]\"']*$"))
     # a text's possible ends leave its row one by one; only a full stop after a learned type is no end
     each = rows.select("_key", "_dg", F.explode(ends).alias("e")).select(
@@ -85,6 +88,7 @@ def first_sentences(docs: DataFrame, learned: DataFrame, key: str = "doc_id", te
     real = each.join(known, "_type", "left").filter(~(F.col("_stop") & F.coalesce("_abbr", F.lit(False))))
     first = real.groupBy(F.col("_key").alias("_k"), F.col("_dg").alias("_d")).agg(F.min("i").alias("_end"))
     out = rows.join(first, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_dg") == F.col("_d")), "left")
+    out = out.withColumn("_tok", tokens(F.col("_text")))  # split again: the join carries the text alone
     upto = F.coalesce(F.col("_end") + 1, F.size("_tok"))
     sentence = F.array_join(F.slice("_tok", F.lit(1), upto), " ")
     return out.select(F.col("_key").alias(key), F.when(F.col("_text").isNotNull(), sentence).alias("sentence"))
