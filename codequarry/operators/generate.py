@@ -13,15 +13,19 @@ results are joined back to every record.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
 from ..functions import prompts as P
 from ..functions import text as TX
 from ..plans import catalog
 from ..session import persisted
 from . import fanout as FO
 from . import infer as I
+from .util import distinct_by_key, join_on_key
 
 def _first(col: str) -> Column:
     return F.get(F.col(col), 0)
@@ -51,33 +55,60 @@ def generate_qa(records: DataFrame, factory: I.CompleterFactory,
 
 # --- primary rewrite ---------------------------------------------------------------
 
+CHAINED = "Refactor and Dead Code"
+
+
 def primary_rewrites(codes: DataFrame, factory: I.CompleterFactory,
                      config: I.GenerationConfig = I.GenerationConfig(n=1),
-                     double_refactor: bool = False) -> DataFrame:
+                     double_refactor: bool = False, out: Callable[[Column], Column] | None = None) -> DataFrame:
     """(code_id, code) -> (code_id, level, obfuscated_code) for the model levels.
 
     ``codes`` must hold each code once (the memo key).  Single-step levels
     rewrite the original; the chained level rewrites the refactored code
     (a code without a first-stage output has no chained row).
+
+    ``out`` is what the caller needs of a rewritten code, such as its digest.
+    It is made where the code is, so that no rewritten code is shuffled to
+    its ``code_id`` and only those that the chained level reads are written.
     """
     single = [("Refactor", catalog.REFACTOR_PROMPT), ("Dead Code", catalog.DEAD_CODE_PROMPT)]
-    s1 = FO.fan_out(codes, single, ["level", "instruction"])
-    s1 = s1.withColumn("_prompt", P.question_turn("code", "instruction"))
+    second = [(CHAINED, catalog.REFACTOR_PROMPT if double_refactor else catalog.DEAD_CODE_PROMPT)]
+    level, made = F.col("level"), F.col("_code") if out is None else out(F.col("_code"))
+
     # the first stage feeds both the result and the chained stage: written
     # once, so the model is called once per code and level
-    s1 = persisted(_rewrite(s1, factory, config).select("code_id", "level", "obfuscated_code"), "first-stage")
-
-    second = catalog.REFACTOR_PROMPT if double_refactor else catalog.DEAD_CODE_PROMPT
-    refactored = s1.filter((F.col("level") == "Refactor") & F.col("obfuscated_code").isNotNull()).select("code_id", F.col("obfuscated_code").alias("_r"))
-    s2 = refactored.select("code_id", F.lit("Refactor and Dead Code").alias("level"),
-                           P.question_turn(F.col("_r"), F.lit(second)).alias("_prompt"))
-    s2 = _rewrite(s2, factory, config).select("code_id", "level", "obfuscated_code")
-    return s1.unionByName(persisted(s2, "second-stage"))
-
-
-def _rewrite(df: DataFrame, factory, config) -> DataFrame:
-    out = I.batch_infer(df, "_prompt", factory, config, out_col="_out", stable=False)
-    return out.withColumn("obfuscated_code", TX.keep_code_lines(_first("_out")))
+    s1 = _rewrite(codes, single, factory, config).select(
+        "_text", "level", made.alias("obfuscated_code"),
+        *([] if out is None else [F.when(level == "Refactor", F.col("_code")).alias("_refactored")]))
+    s1 = persisted(s1, "first-stage", free_shuffles=True)
+    refactored = s1.filter(level == "Refactor").select(
+        "_text", F.col("obfuscated_code" if out is None else "_refactored").alias("code")).filter(F.col("code").isNotNull())
+    s2 = _rewrite(refactored, second, factory, config).select("_text", "level", made.alias("obfuscated_code"))
+
+    # from each code's digest, and that of its refactored code, to their rewrites
+    after = refactored.select(F.col("_text").alias("_of"), H.content_key("code").alias("_next"))
+    keyed = join_on_key(codes.select("code_id", H.content_key("code").alias("_text")), after, "_text", "_of", "left")
+    wanted = FO.fan_out(keyed, [(lv,) for lv, _ in single + second], ["level"])
+    wanted = wanted.filter((level != CHAINED) | F.col("_next").isNotNull())
+    done = s1.select("_text", "level", "obfuscated_code").unionByName(s2)
+    done = done.select(F.concat("_text", F.lit("|"), "level").alias("_made"), "obfuscated_code")
+    source = F.concat(F.when(level == CHAINED, F.col("_next")).otherwise(F.col("_text")), F.lit("|"), level)
+    rewrites = join_on_key(wanted, done, source, "_made", "left").select("code_id", "level", "obfuscated_code")
+    return persisted(rewrites, "rewrites", free_shuffles=True)
+
+
+def _rewrite(codes: DataFrame, instructions: list[tuple[str, str]], factory, config) -> DataFrame:
+    """(.., code) -> (_text, level, _code): a rewrite of each distinct code at each level; ``_text`` is the code's md5.
+
+    Equal codes share their calls.  A code is shuffled once for all its levels;
+    the prompts are made after that, in the stage that calls the model.
+    """
+    # a NULL code is left out behind the Python step: a filter before it would be pushed down and make each code twice
+    distinct = distinct_by_key(codes.select(H.content_key("code").alias("_text"), "code"), "_text")
+    asks = FO.fan_out(distinct, instructions, ["level", "instruction"])
+    asks = asks.select("_text", "level", P.question_turn("code", "instruction").alias("_prompt"))
+    got = I.complete_rows(asks, "_prompt", factory, config, out_col="_out", keep_prompt=False)
+    return got.filter(F.col("_text").isNotNull()).select("_text", "level", TX.keep_code_lines(_first("_out")).alias("_code"))
 
 
 def primary_records(records: DataFrame, rewrites: DataFrame) -> DataFrame:
