@@ -85,16 +85,22 @@ def primary_rewrites(codes: DataFrame, factory: I.CompleterFactory,
         "_text", F.col("obfuscated_code" if out is None else "_refactored").alias("code")).filter(F.col("code").isNotNull())
     s2 = _rewrite(refactored, second, factory, config).select("_text", "level", made.alias("obfuscated_code"))
 
-    # from each code's digest, and that of its refactored code, to their rewrites
+    # codes find their rewrites by digest: their own, and that of their refactored code
     after = refactored.select(F.col("_text").alias("_of"), H.content_key("code").alias("_next"))
     keyed = join_on_key(codes.select("code_id", H.content_key("code").alias("_text")), after, "_text", "_of", "left")
-    wanted = FO.fan_out(keyed, [(lv,) for lv, _ in single + second], ["level"])
-    wanted = wanted.filter((level != CHAINED) | F.col("_next").isNotNull())
-    done = s1.select("_text", "level", "obfuscated_code").unionByName(s2)
-    done = done.select(F.concat("_text", F.lit("|"), "level").alias("_made"), "obfuscated_code")
-    source = F.concat(F.when(level == CHAINED, F.col("_next")).otherwise(F.col("_text")), F.lit("|"), level)
-    rewrites = join_on_key(wanted, done, source, "_made", "left").select("code_id", "level", "obfuscated_code")
-    return persisted(rewrites, "rewrites", free_shuffles=True)
+    keyed = persisted(keyed, "code-digests", free_shuffles=True)
+    rewrites = _of_codes(keyed, [lv for lv, _ in single], "_text", s1)
+    chained = _of_codes(keyed.filter(F.col("_next").isNotNull()), [lv for lv, _ in second], "_next", s2)
+    # one after the other: the texts that one join shuffles are gone when the next begins
+    return persisted(rewrites, "rewrites", free_shuffles=True).unionByName(persisted(chained, "chained", free_shuffles=True))
+
+
+def _of_codes(keyed: DataFrame, levels: list[str], text: str, done: DataFrame) -> DataFrame:
+    """(code_id, level, obfuscated_code): for each code and level what ``done`` (_text, level, obfuscated_code) has for its ``text``."""
+    wanted = FO.fan_out(keyed.select("code_id", text), [(lv,) for lv in levels], ["level"])
+    made = done.select(F.concat("_text", F.lit("|"), "level").alias("_made"), "obfuscated_code")
+    found = join_on_key(wanted, made, F.concat(text, F.lit("|"), "level"), "_made", "left")
+    return found.select("code_id", "level", "obfuscated_code")
 
 
 def _rewrite(codes: DataFrame, instructions: list[tuple[str, str]], factory, config) -> DataFrame:

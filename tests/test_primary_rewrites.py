@@ -74,8 +74,7 @@ def test_each_code_and_level_is_asked_once(spark, tmp_dir, digests):
 def texts_shuffled(df):
     """How many exchanges of the plan carry a column of whole texts."""
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
-    assert inputs
+    inputs = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     return sum(bool(re.search(r"\b(code|first|prompt|_prompt|_out|generated_answer|completions|_code|_refactored)(\(.*\))?#", x))
                for x in inputs)
 
